@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +27,24 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder of the cluster; a temporary one only where none is set."""
-    spark = df.sparkSession
+    """Cut lineage in the shared checkpoint folder of the cluster."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Keep the folder that the cluster names; a temporary one only where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="/tmp/spark-"))
-    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the same folder, which keeps columns apart and packs them."""
+    checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def fold(column: str, n: int) -> Column:

@@ -8,15 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .jaccard_join import jaccard_components
+from .lm_score import score_texts
+from .ordinal_quality import score_quality
+from .packing import pack
+from .quality_rules import QUALITY_SQL, quality_rules
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "expected_grade", "tail_probability", "keep")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(load(spark, sf_dir, "documents"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(load(spark, sf_dir, "documents"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_jaccard_join": op4}
+    return {"op1_ordinal_quality": op1, "op4_ngram_jaccard_join": op4, "op6_lm_score": op6, "op7_quality_rules": op7, "op8_packing": op8}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": QUALITY_SQL}
