@@ -12,8 +12,9 @@ becomes a signature. Two allocations keep every link:
 The cheaper one is chosen for each band from the number of sets in it. Candidates are verified exactly on texts.
 
 Large groups: a signature's sets are first compared with one leader drawn for that signature, components are formed,
-and only sets of different components that share a signature are then compared with each other, so that no group
-makes all of its pairs and no link between components is lost.
+and this is repeated between sets of different components. Only sets of components that are still apart and share a
+signature are then compared with each other, so that a linked group never makes all of its pairs and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .components import components
 BITMAP_BITS = 26
 BROADCAST_ROWS = 2_000_000
 LEADERS = 2
+#: Rounds of leaders at most, and pairs left between components at which the rest is compared directly.
+ROUNDS, LEAST_PAIRS = 7, 100_000
 SHARE = 0.02  # assumed chance that two elements of unlike sets are the same
 _ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -241,16 +244,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
         check, form = _verify(k, num, den)
         return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, form))
 
-    first = links(pairs)
-    comp = components(first)
-    label = met.select("sig", "doc_id", "n").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    label = checkpointed(label)
-    open_ = label.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    rest = label.join(open_, "sig")
+    known, found_links = pairs, links(pairs)
+    for turn in range(1, ROUNDS + 1):
+        comp = components(found_links).withColumnRenamed("node", "doc_id")
+        label = checkpointed(met.select("sig", "doc_id", "n").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        by = label.groupBy("sig", "component").agg(F.count("*").cast("double").alias("c")).groupBy("sig").agg(F.count("*").alias("parts"), ((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("cross")).where("parts > 1")
+        by = checkpointed(by)
+        if turn == ROUNDS or (by.agg(F.sum("cross")).first()[0] or 0) <= LEAST_PAIRS:
+            break
+        seed = F.xxhash64("sig", "doc_id", F.lit(turn))
+        head = label.join(by, "sig", "left_semi").groupBy("sig").agg(F.min_by(F.struct(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_comp")), seed).alias("x")).select("sig", "x.*")
+        star = label.join(head, "sig").where("component <> leader_comp").where(fits(F.col("n"), F.col("leader_n")))
+        star = star.select(F.col("doc_id"), F.col("leader"), F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+        star = star.groupBy("doc_id").agg(*[F.min_by("leader", F.xxhash64("leader", F.lit(turn), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
+        star = star.select("doc_id", F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leader"))
+        fresh = checkpointed(star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
+        known = checkpointed(known.unionByName(fresh))
+        found_links = checkpointed(found_links.unionByName(links(fresh)))
+    rest = label.join(by, "sig", "left_semi")
     x, y = (rest.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component")]) for s in "xy")
     cross = x.join(y, "sig").where("component_x < component_y").where(fits(F.col("n_x"), F.col("n_y")))
-    cross = cross.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    final = components(first.unionByName(links(checkpointed(cross))))
+    cross = cross.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+    final = components(found_links.unionByName(links(checkpointed(cross))))
 
     named = cls.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     done = profile.join(named, ["key_a", "key_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
