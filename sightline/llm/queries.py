@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
+from .embedding_dedup import near_vectors
 from .jaccard_join import jaccard_components
+from .license_scan import scan_licenses
 from .lm_score import score_texts
 from .ordinal_quality import score_quality
 from .packing import pack
 from .quality_rules import QUALITY_SQL, quality_rules
+from .sentencepiece_codec import encode_texts
+from .toxicity import score_toxicity
+from .url_filter import judge_urls
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +24,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "expected_grade", "tail_probability", "keep")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(load(spark, sf_dir, "documents"))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(load(spark, sf_dir, "pages"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(load(spark, sf_dir, "documents"))
 
@@ -35,8 +52,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(load(spark, sf_dir, "documents"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ordinal_quality": op1, "op4_ngram_jaccard_join": op4, "op6_lm_score": op6, "op7_quality_rules": op7, "op8_packing": op8}
+    return {
+        "op1_ordinal_quality": op1,
+        "op2_sentencepiece": op2,
+        "op3_url_filter": op3,
+        "op4_ngram_jaccard_join": op4,
+        "op5_toxicity": op5,
+        "op6_lm_score": op6,
+        "op7_quality_rules": op7,
+        "op8_packing": op8,
+        "op9_license_scan": op9,
+        "op10_embedding_dedup": op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
