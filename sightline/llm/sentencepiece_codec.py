@@ -86,11 +86,11 @@ class DoubleArray:
                     ends.append(-1)
                 s = children[s][b]
             ends[s] = value
-        size = 4 * len(children) + 1024
+        size = sum(max(c) - min(c) + 2 for c in children if len(c) > 1) + len(children) + 1024
         self.base, self.check, self.value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         used = bytearray(size)
         used[0] = 1
-        place, free = {0: 0}, 1
+        place, free, top = {0: 0}, 257, 0
         self.value[0] = ends[0]
         queue = [0]
         for s in queue:
@@ -99,9 +99,13 @@ class DoubleArray:
                 continue
             while used[free]:
                 free += 1
-            b = max(free - codes[0] - 1, 0)
-            while any(used[b + c + 1] for c in codes):
-                b += 1
+            if len(codes) == 1:  # fills a gap
+                b = max(free - codes[0] - 1, 0)
+                while used[b + codes[0] + 1]:
+                    b += 1
+            else:  # goes behind all others
+                b = max(top - codes[0], 0)
+            top = max(top, b + codes[-1] + 1)
             self.base[place[s]] = b
             for c in codes:
                 to = b + c + 1
