@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import ragged, written
 
 QUEUES = 256
-CACHE = 500_000
+CACHE = 700_000
+SIGNS = b".,;:!?*#%&$|()"
 _worker: dict = {}
 
 
@@ -42,16 +43,23 @@ class WordEncoder:
         self.kept: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list({w for x in words for w in x}.difference(self.kept))
+        words = [t.lower().split() for t in texts]  # the tokenizer lower-cases too
+        new = {w for x in words for w in x}.difference(self.kept)
         if len(self.kept) + len(new) > CACHE:
             self.kept = {}
-            new = list({w for x in words for w in x})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+            new = {w for x in words for w in x}
+        ending = {}  # letters and the signs behind them are tokens apart
+        for w in new:
+            stem = w.rstrip(SIGNS)
+            if len(stem) < len(w) and stem[-1:].isalpha():
+                ending[w] = stem, w[len(stem) :]
+        plain = list(new.difference(ending).union(*ending.values()).difference(self.kept))
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.kept.update((w, np.array(c.ids, np.uint16).tobytes()) for w, c in zip(part, coded, strict=True))
         get = self.kept.__getitem__
+        self.kept.update((w, get(stem) + get(signs)) for w, (stem, signs) in ending.items())
         return [b"".join(map(get, x)) for x in words]
 
 
@@ -66,8 +74,8 @@ def _encode(path: str, queue_of: dict, end_id: int):
         encode = _worker.get(path) or _worker.setdefault(path, WordEncoder(path))
         block, ahead = TaskContext.get().partitionId(), [0] * (len(queue_of) + 1)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
                 texts = [x.encode() for x in part.column("text").fill_null("").to_pylist()]
                 ids = [x + tail for x in encode(texts)]
                 queue = [queue_of.get(s, len(queue_of)) for s in part.column("source").to_pylist()]
