@@ -1,9 +1,548 @@
 """Registered queries of the event store, with their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import times
+from .operators import compaction, packets, rules, schema
+from .plans import search as plan
+from .sources import envelopes, store
+from .streaming import subscriptions as subs
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+E = "(SELECT *, 'evt_' || lower(event_type) AS _index FROM events)"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return store.as_events(table(spark, d, "events"))
+
+
+def bucketed(spark: SparkSession, d: str) -> str:
+    return store.write_buckets(events(spark, d), store.fresh_dir(spark))
+
+
+def ntz(c: str):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+def index_names(e: DataFrame) -> list[str]:
+    return [r[0] for r in e.select("_index").distinct().collect()]
+
+
+# ---- search
+
+
+@query(f"SELECT _index, count(*) AS n, max(ts) AS last FROM {E} GROUP BY 1")
+def wildcard_count(spark, d):
+    e = events(spark, d)
+    return plan.search(spark, "select _index, count(*) n, cast(max(_time) as timestamp_ntz) last from evt_* group by 1", e, index_names(e))
+
+
+@query(f"SELECT a._index, count(*) AS n FROM {E} a JOIN (SELECT DISTINCT user_id FROM {E} WHERE _index = 'evt_purchase') b USING (user_id) WHERE a._index = 'evt_click' GROUP BY 1")
+def index_join(spark, d):
+    e = events(spark, d)
+    return plan.search(spark, "select a._index, count(*) n from EVT_Click a join (select distinct user_id from evt_purchase) b on a.user_id = b.user_id group by a._index", e, index_names(e))
+
+
+@query("SELECT event_id, ts FROM events WHERE date_trunc('hour', ts) <= TIMESTAMP '2024-01-10 12:30:00' AND date_trunc('hour', ts) + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-09 12:30:00'")
+def time_pruned_search(spark, d):
+    hour = F.date_trunc("HOUR", "_time")
+    low, high = F.lit("2024-01-09 12:30:00").cast("timestamp"), F.lit("2024-01-10 12:30:00").cast("timestamp")
+    return events(spark, d).where(store.overlaps(hour, hour + F.expr("interval 1 hour"), low, high)).select("event_id", "ts")
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def relative_range(spark, d):
+    e = events(spark, d)
+    now = e.agg(F.max("_time").alias("now")).first()["now"]
+    return e.where(F.col("_time") >= times.range_start(F.lit(now), "7d")).select("event_id")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('click', 'view') AND user_id = 8 ORDER BY value DESC, event_id LIMIT 50")
+def filter_dict(spark, d):
+    return plan.filtered(table(spark, d, "events"), {"event_type": ["click", "view"], "user_id": "8", "unknown": 1}, ["-value", "event_id"], 50).select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT event_id, value FROM events WHERE value > 50 AND event_type <> 'error'")
+def store_scan(spark, d):
+    return store.scan(spark, bucketed(spark, d)).where("value > 50 and event_type <> 'error'").select("event_id", "value")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def file_glob_scan(spark, d):
+    return store.scan(spark, bucketed(spark, d), "part-*").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND date_trunc('hour', ts) = (SELECT min(date_trunc('hour', ts)) FROM events WHERE event_type = 'click')")
+def single_file_scan(spark, d):
+    rows = store.scan(spark, bucketed(spark, d))
+    first = rows.where("_index = 'evt_click'").agg(F.min("bucket_start")).first()[0]
+    return rows.where((F.col("_index") == "evt_click") & (F.col("bucket_start") == first)).select("event_id", "event_type")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 300")
+def paged_search(spark, d):
+    return plan.page(table(spark, d, "orders"), 3, 100, [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
+def last_records(spark, d):
+    return plan.last_records(events(spark, d)).select("event_id", "ts")
+
+
+@query(f"SELECT (SELECT count(*) FROM {E} WHERE _index = 'evt_click' AND value > 50) AS returned, (SELECT count(*) FROM {E} WHERE _index = 'evt_click') AS total")
+def result_envelope(spark, d):
+    e = events(spark, d).where("_index = 'evt_click'")
+    return e.agg(F.count(F.when(F.col("value") > 50, 1)).alias("returned"), F.count("*").alias("total"))
+
+
+# ---- schema
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_acctbal AS balance, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'S' || s_suppkey, s_acctbal, s_name, NULL FROM supplier")
+def reconcile_union(spark, d):
+    c = table(spark, d, "customer").selectExpr("c_custkey as key", "c_name as name", "c_acctbal as balance", "c_mktsegment as segment")
+    s = table(spark, d, "supplier").selectExpr("'S' || s_suppkey as key", "s_name as name", "s_acctbal as balance")
+    return schema.reconcile([c, s])
+
+
+@query("SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
+def promote_union(spark, d):
+    return schema.promote_union([table(spark, d, "customer").selectExpr("c_custkey as key", "c_name as name", "c_mktsegment as segment"), table(spark, d, "supplier").selectExpr("s_suppkey as key", "s_name as name")])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 1")
+def align_first(spark, d):
+    c = table(spark, d, "customer")
+    return schema.align_to_first([c.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), c.where("c_custkey % 2 = 1").selectExpr("c_name", "cast(c_custkey as int) as c_custkey").select("c_custkey", "c_name")])
+
+
+@query("SELECT s_suppkey AS key, s_name AS name FROM supplier")
+def drop_null_columns(spark, d):
+    return schema.without_null_columns(promote_union(spark, d).join(table(spark, d, "supplier").selectExpr("s_suppkey as key", "s_name as name"), ["key", "name"], "left_semi"))[0]
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN value END AS value, ts FROM events")
+def zone_harmonised(spark, d):
+    e = table(spark, d, "events")
+    a = e.where("event_id % 2 = 0").selectExpr("event_id", "if(value > 50, value, null) as value", "ts")
+    b = e.where("event_id % 2 <> 0").selectExpr("event_id", "if(value > 50, value, null) as value", "cast(ts as timestamp) as ts")
+    return schema.reconcile([a, b]).select("event_id", "value", ntz("ts"))
+
+
+@query("SELECT * FROM (VALUES ('left', 'c_mktsegment', 'string'), ('left', 'c_custkey', 'bigint'), ('left', 'c_name', 'string'), ('left', 'c_nationkey', 'int'), ('left', 'c_acctbal', 'double'), ('right', 's_suppkey', 'bigint'), ('right', 's_name', 'string'), ('right', 's_nationkey', 'int'), ('right', 's_acctbal', 'double')) t(side, field, type)")
+def schema_difference(spark, d):
+    return schema.schema_difference(table(spark, d, "customer"), table(spark, d, "supplier"))
+
+
+# ---- catalog and meta tables
+
+HOURS = f"SELECT _index AS index, strftime(ts, '%Y%m%d%H') AS bucket_start, count(*) AS record_count, min(ts) AS start_time, max(ts) AS end_time FROM {E} GROUP BY 1, 2"
+
+
+@query(HOURS)
+def catalog_build(spark, d):
+    c = store.build_catalog(spark, bucketed(spark, d))
+    return c.groupBy("index", "bucket_start").agg(F.sum("record_count").alias("record_count"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).select("index", "bucket_start", "record_count", ntz("start_time"), ntz("end_time"))
+
+
+@query(f"SELECT index, count(*) AS buckets, sum(record_count)::BIGINT AS record_count, min(start_time) AS start_time, max(end_time) AS end_time FROM ({HOURS}) GROUP BY 1")
+def indexes_meta(spark, d):
+    c = store.build_catalog(spark, bucketed(spark, d)).groupBy("index", "bucket_start").agg(F.sum("record_count").alias("n"), F.min("start_time").alias("lo"), F.max("end_time").alias("hi"))
+    part = c.groupBy("index", F.col("bucket_start").substr(1, 8).alias("day")).agg(F.count("*").alias("b"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return part.groupBy("index").agg(F.sum("b").alias("buckets"), F.sum("n").alias("record_count"), F.min("lo").cast("timestamp_ntz").alias("start_time"), F.max("hi").cast("timestamp_ntz").alias("end_time"))
+
+
+@query(f"SELECT DISTINCT _index AS index FROM {E} WHERE ts >= TIMESTAMP '2024-01-20' UNION ALL SELECT * FROM (VALUES ('_indexes'), ('_schema')) t(i)")
+def index_list(spark, d):
+    named = events(spark, d).where(F.col("_time") >= "2024-01-20").select(F.col("_index").alias("index")).distinct()
+    return named.unionByName(spark.createDataFrame([(m,) for m in plan.META], "index string"))
+
+
+@query(f"SELECT index, count(*) AS files FROM (SELECT DISTINCT _index AS index, strftime(ts, '%Y%m%d%H') AS h FROM {E} WHERE ts >= TIMESTAMP '2024-01-05') GROUP BY 1")
+def catalog_refresh(spark, d):
+    e = events(spark, d)
+    path = store.write_buckets(e.where(F.col("_time") < "2024-01-25"), store.fresh_dir(spark))
+    old = store.build_catalog(spark, path)
+    old = old.where("bucket_start >= '2024010500'")
+    store.write_buckets(e.where(F.col("_time") >= "2024-01-25"), path)
+    new = store.build_catalog(spark, path).where("bucket_start >= '2024010500'")
+    return store.refresh_catalog(old, new).groupBy("index").agg(F.countDistinct("bucket_start").alias("files"))
+
+
+@query(f"SELECT _index AS index, 'string' AS event_type, 'double' AS value, 'bigint' AS event_id, count(*) AS buckets FROM (SELECT DISTINCT _index, date_trunc('hour', ts) AS h FROM {E}) GROUP BY 1")
+def schema_meta(spark, d):
+    path = bucketed(spark, d)
+    c = store.build_catalog(spark, path).select("index", "bucket_start").distinct()
+    fields = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in store.scan(spark, path).schema.fields if f.name in ("event_type", "value", "event_id")], "field string, type string")
+    wide = c.crossJoin(F.broadcast(fields)).groupBy("index", "bucket_start").pivot("field", ["event_type", "value", "event_id"]).agg(F.first("type"))
+    return wide.groupBy("index", "event_type", "value", "event_id").agg(F.count("*").alias("buckets"))
+
+
+@query(f"SELECT _index AS index, count(*) AS record_count FROM {E} GROUP BY ROLLUP (_index)")
+def file_stats(spark, d):
+    return store.read_footers(spark, bucketed(spark, d)).where("ok").rollup("index").agg(F.sum("record_count").alias("record_count"))
+
+
+@query("SELECT count(*) AS listed, 0::BIGINT AS flagged FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) FROM events)")
+def file_listing(spark, d):
+    path = bucketed(spark, d)
+    listed = store.list_files(spark, path).select(F.regexp_extract("path", "(_index=[^/]+/bucket_start=[^/]+)/", 1).alias("b")).agg(F.countDistinct("b").alias("listed"))
+    return listed.withColumn("flagged", F.lit(store.read_footers(spark, path).where("row_groups > 10").count()).cast("bigint"))
+
+
+@query("SELECT event_id, user_id, event_type, value, props FROM events")
+def json_results(spark, d):
+    path = store.fresh_dir(spark)
+    table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props").write.option("compression", "gzip").json(path)
+    return spark.read.schema("event_id long, user_id long, event_type string, value double, props string").json(path)
+
+
+# ---- ingest and time
+
+KIND = "event_id % 4"
+
+
+def written_times(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    text = F.expr(f"case {KIND} when 0 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") when 1 then cast(unix_timestamp(cast(ts as timestamp)) as string) when 2 then cast(unix_timestamp(cast(ts as timestamp)) * 1000 as string) else 'bad' end")
+    raw = e.select("event_id", "user_id", text.alias("raw"), F.expr(KIND).alias("kind"))
+    return raw.withColumn("t", F.when(F.col("kind") == 2, times.smart_time(F.col("raw"), "unix_ms")).otherwise(times.smart_time(F.col("raw"))))
+
+
+@query(f"SELECT event_id, CASE WHEN {KIND} < 3 THEN date_trunc('second', ts) END AS t FROM events")
+def smart_time(spark, d):
+    return written_times(spark, d).select("event_id", ntz("t"))
+
+
+@query(f"SELECT event_id, coalesce(last_value(CASE WHEN {KIND} < 3 THEN date_trunc('second', ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), TIMESTAMP '2024-02-01') AS t FROM events")
+def time_ffill(spark, d):
+    return times.filled_times(written_times(spark, d), "t", "user_id", "event_id", F.lit("2024-02-01").cast("timestamp")).select("event_id", ntz("t"))
+
+
+@query("SELECT user_id, min(ts) AS min_time, max(ts) AS max_time, arg_min(ts, event_id) AS first_time, arg_max(ts, event_id) AS last_time FROM events GROUP BY 1")
+def batch_times(spark, d):
+    return times.batch_times(events(spark, d), "user_id", "_time", "event_id").select("user_id", *[ntz(c) for c in ("min_time", "max_time", "first_time", "last_time")])
+
+
+@query("SELECT 'evt_' || event_type AS _index, event_id, value FROM events")
+def row_batches(spark, d):
+    e = table(spark, d, "events").withColumn("json", F.to_json(F.struct("event_id", "value")))
+    one = e.groupBy("user_id", F.concat(F.lit("EVT_"), "event_type").alias("index")).agg(F.collect_list("json").alias("events"))
+    payload = one.groupBy("user_id").agg(F.to_json(F.collect_list(F.struct("index", "events"))).alias("payload"))
+    return envelopes.row_batches(payload).select("_index", F.get_json_object("event", "$.event_id").cast("bigint").alias("event_id"), F.get_json_object("event", "$.value").cast("double").alias("value"))
+
+
+def packed(spark, d, columns: str) -> DataFrame:
+    return table(spark, d, "events").selectExpr("event_id", "user_id", "event_type", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") as when", columns)
+
+
+@query("SELECT 'main' AS _index, date_trunc('second', ts) AS t, event_id, 'header' AS event_type FROM events")
+def envelope_rows(spark, d):
+    e = packed(spark, d, "1 as one").withColumn("json", F.to_json(F.struct(F.col("event_id").cast("string"), "event_type", F.col("when").alias("at"))))
+    box = e.groupBy("user_id").agg(F.collect_list("json").alias("events")).withColumn("header", F.create_map(F.lit("timefield"), F.lit("at"), F.lit("event_type"), F.lit("header")))
+    return envelopes.row_envelopes(box).select("_index", F.col("_time").cast("timestamp_ntz").alias("t"), F.col("fields")["event_id"].cast("bigint").alias("event_id"), F.col("fields")["event_type"].alias("event_type"))
+
+
+@query("SELECT 'main' AS _index, date_trunc('second', ts) AS t, event_id, event_type, 'constant' AS source FROM events")
+def envelope_columns(spark, d):
+    e = packed(spark, d, "1 as one")
+    box = e.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_id").cast("string").alias("a"), F.col("event_type").alias("b"), F.col("when").alias("c"))).alias("r"))
+    box = box.select(F.create_map(F.lit("source"), F.lit("constant"), F.lit("event_type"), F.lit("header")).alias("header"), F.array(F.lit("event_id"), F.lit("event_type"), F.lit("_time")).alias("columns"), F.array(F.col("r.a"), F.col("r.b"), F.col("r.c")).alias("events"))
+    f = F.col("fields")
+    return envelopes.column_envelopes(box).select("_index", F.col("_time").cast("timestamp_ntz").alias("t"), f["event_id"].cast("bigint").alias("event_id"), f["event_type"].alias("event_type"), f["source"].alias("source"))
+
+
+@query("SELECT event_id, date_trunc('hour', ts) AS bucket_start, ((row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) - 1) // 3)::BIGINT AS seq FROM events")
+def bucket_assign(spark, d):
+    e = events(spark, d).withColumn("bucket_start", F.window("_time", "1 hour")["start"])
+    rank = F.row_number().over(W.partitionBy("_index", "bucket_start").orderBy("_time", "event_id"))
+    return e.select("event_id", ntz("bucket_start"), F.floor((rank - 1) / 3).cast("bigint").alias("seq"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g) SELECT user_id, min(ts) AS start_time, count(*) AS n FROM s GROUP BY user_id, s""")
+def bucket_expiry(spark, d):
+    e = events(spark, d)
+    return e.groupBy("user_id", F.session_window("_time", "30 minutes").alias("s")).agg(F.count("*").alias("n"), F.min("_time").cast("timestamp_ntz").alias("start_time")).select("user_id", "start_time", "n")
+
+
+# ---- compaction
+
+FILES = "SELECT event_type AS index, date_trunc('day', ts)::DATE AS day, date_trunc('hour', ts) AS h, 100 * count(*) AS size FROM events GROUP BY 1, 2, 3"
+
+
+def hour_files(spark, d) -> DataFrame:
+    e = events(spark, d).groupBy(F.col("event_type").alias("index"), F.date_trunc("HOUR", "_time").alias("start_time")).agg((100 * F.count("*")).alias("size"))
+    return e.withColumn("file_location", F.date_format("start_time", "yyyyMMddHH"))
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY index, day ORDER BY h) AS k, count(*) OVER (PARTITION BY index, day) AS c FROM ({FILES})),
+r AS (SELECT index, day, k, 0 AS bin, size AS bytes, 1 AS files, size FROM f WHERE k = 1 AND c >= 2
+UNION ALL SELECT f.index, f.day, f.k, CASE WHEN r.files >= 5 OR r.bytes + f.size > 1500 THEN r.bin + 1 ELSE r.bin END, CASE WHEN r.files >= 5 OR r.bytes + f.size > 1500 THEN f.size ELSE r.bytes + f.size END, CASE WHEN r.files >= 5 OR r.bytes + f.size > 1500 THEN 1 ELSE r.files + 1 END, f.size FROM r JOIN f ON f.index = r.index AND f.day = r.day AND f.k = r.k + 1)
+SELECT index, day, bin, count(*) AS files, sum(size)::BIGINT AS bytes FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+def compaction_plan(spark, d):
+    files = compaction.candidates(hour_files(spark, d), 100_000)
+    return compaction.greedy_bins(files, 1500, 5).select("index", "day", "bin", "files", "bytes")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-03'")
+def compaction_rows(spark, d):
+    path = store.fresh_dir(spark)
+    compaction.rewrite(store.scan(spark, bucketed(spark, d)).where("_index = 'evt_click' and bucket_start < '2024010300'"), path)
+    return spark.read.parquet(path).select("event_id", "value")
+
+
+@query(f"SELECT index || strftime(h, '%Y%m%d%H') AS file, ((row_number() OVER (ORDER BY h, index) - 1) // 20)::BIGINT AS batch FROM ({FILES})")
+def merge_batches(spark, d):
+    return compaction.fixed_batches(hour_files(spark, d), 20, F.col("start_time"), F.col("index")).select(F.concat("index", "file_location").alias("file"), "batch")
+
+
+@query("SELECT event_type AS index, strftime(min(ts), '%Y%m%d%H%M%S') || '-' || strftime(max(ts), '%Y%m%d%H%M%S') || '_packed_20240201000000' AS name, date_trunc('second', min(ts)) AS start_time FROM events GROUP BY 1")
+def packed_names(spark, d):
+    e = events(spark, d).groupBy(F.col("event_type").alias("index")).agg(F.min("_time").alias("lo"), F.max("_time").alias("hi"))
+    e = e.withColumn("name", compaction.packed_name(F.col("lo"), F.col("hi"), F.lit("2024-02-01").cast("timestamp")))
+    return e.select("index", "name", compaction.parse_name(F.col("name"))[0].cast("timestamp_ntz").alias("start_time"))
+
+
+# ---- streams
+
+SUBS = [("s1", ["evt_click"], {"user_id": ["8", "9"]}), ("s2", [], {"event_type": ["error"], "nofield": ["x"]}), ("s3", ["evt_view", "evt_error"], {}), ("s4", ["evt_click"], {"user_id": ["9", "8"]})]
+ROUTED = f"SELECT 's1' AS stream_id, event_id FROM {E} WHERE _index = 'evt_click' AND user_id IN (8, 9) UNION ALL SELECT 's2', event_id FROM {E} WHERE event_type = 'error' UNION ALL SELECT 's3', event_id FROM {E} WHERE _index IN ('evt_view', 'evt_error')"
+
+
+def subscribed(spark) -> DataFrame:
+    return subs.define(spark.createDataFrame(SUBS, subs.SUBSCRIPTION))
+
+
+@query(ROUTED)
+def firehose_route(spark, d):
+    return subs.route(events(spark, d), subscribed(spark)).select("stream_id", "event_id")
+
+
+@query("SELECT * FROM (VALUES ('s1'), ('s2')) t(stream_id)")
+def streams_visible(spark, d):
+    return subs.visible(subscribed(spark), ["evt_click"]).select("stream_id")
+
+
+@query("SELECT event_id FROM events ORDER BY ts, event_id OFFSET 100")
+def stream_replay(spark, d):
+    return subs.replay(events(spark, d), "100", [F.col("_time"), F.col("event_id")]).select("event_id")
+
+
+def landed(spark, d, *parts) -> tuple[DataFrame, str, str]:
+    base = store.fresh_dir(spark)
+    return events(spark, d), f"{base}/in", base
+
+
+@query(f"SELECT _index, event_id, strftime(ts, '%Y%m%d%H') AS bucket_start FROM {E}")
+def stream_ingest(spark, d):
+    e, path, base = landed(spark, d)
+    for part in (0, 1):  # the second run goes on from the checkpoint
+        e.where(F.col("event_id") % 2 == part).select("event_id", "_index", "_time").write.mode("append").json(path)
+        stream = envelopes.landing_stream(spark, path, "event_id long, _index string, _time timestamp")
+        subs.run_available(stream.withColumn("bucket_start", F.date_format("_time", "yyyyMMddHH")), f"{base}/out", f"{base}/state", partition=["_index", "bucket_start"])
+    return spark.read.schema("event_id long, _index string, bucket_start string").parquet(f"{base}/out").select("_index", "event_id", "bucket_start")
+
+
+@query(ROUTED)
+def subscription_restore(spark, d):
+    e, path, base = landed(spark, d)
+    subscribed(spark).write.parquet(f"{base}/subscriptions")
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).write.mode("append").parquet(path)
+        subs.run_available(subs.route(subs.parquet_stream(spark, e, path), spark.read.parquet(f"{base}/subscriptions")), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("stream_id", "event_id")
+
+
+@query()
+def stream_summary(spark, d):
+    e, path, base = landed(spark, d)
+    e.write.parquet(path)
+    subs.run_available(subs.summary(subs.parquet_stream(spark, e, path)), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("_index", ntz("bucket_start"), "n")
+
+
+# ---- rules
+
+YAML = """id: r1
+title: Errors of user 8
+level: high
+detection: {selection: {Kind: error, User: 8}}
+---
+id: r2
+title: Text
+level: low
+detection: {selection: {"Kind|contains": rcha, "Kind|startswith": pur}}
+---
+title: no id
+---
+id: r3
+title: unmapped
+detection: {selection: {Other: 1}}
+"""
+MAPPING = {"r1": {"Kind": "event_type", "User": "user_id"}, "r2": {"Kind": "event_type"}}
+MATCHED = f"SELECT 'r1' AS rule_id, * FROM {E} WHERE event_type = 'error' AND user_id = 8 UNION ALL SELECT 'r2', * FROM {E} WHERE event_type = 'purchase'"
+
+
+def rule_list(spark) -> list:
+    texts = spark.createDataFrame([(t,) for t in YAML.split("---\n")], "value string")
+    return [r.asDict(recursive=True) for r in rules.load_rules(texts).collect()]
+
+
+@query(f"SELECT rule_id, event_id FROM ({MATCHED})")
+def rule_matches(spark, d):
+    return rules.match(events(spark, d), rule_list(spark), MAPPING).select("rule_id", "event_id")
+
+
+@query(f"WITH m AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts, event_id) AS k FROM ({MATCHED})) SELECT rule_id, count(*) AS num_rows, string_agg('{{\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}}', chr(10) ORDER BY k) FILTER (k <= 5) AS result_data FROM m GROUP BY 1")
+def rule_exec_log(spark, d):
+    m = rules.match(events(spark, d), rule_list(spark), MAPPING).select("rule_id", "event_id", "user_id", "_time")
+    return rules.executions(m, ["event_id", "user_id"], ["_time", "event_id"])
+
+
+@query(f"SELECT 'alerts_rule_' || rule_id AS _index, ts, rule_id, 'rule' AS alert_type FROM ({MATCHED})")
+def rule_alerts(spark, d):
+    return rules.alerts(rules.match(events(spark, d), rule_list(spark), MAPPING)).select("_index", F.col("_time").cast("timestamp_ntz").alias("ts"), "rule_id", "alert_type")
+
+
+@query(f"SELECT rule_id, event_id FROM ({MATCHED})")
+def stream_alerts(spark, d):
+    e, path, base = landed(spark, d)
+    e.write.parquet(path)
+    subs.run_available(rules.match(subs.parquet_stream(spark, e, path), rule_list(spark), MAPPING), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("rule_id", "event_id")
+
+
+@query("SELECT user_id AS rule_id, date_trunc('hour', ts) AS run_at FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2")
+def rule_schedule(spark, d):
+    due = events(spark, d).select(F.col("user_id").alias("rule_id"), F.date_trunc("HOUR", "_time").alias("run_at")).distinct()
+    return rules.not_yet_run(due, due.where("rule_id % 2 <> 0")).select("rule_id", ntz("run_at"))
+
+
+# ---- access, audit, history
+
+ACCESS = """WITH RECURSIVE ro AS (SELECT n_nationkey AS id, 100 + n_regionkey AS parent FROM nation UNION ALL SELECT 100 + r_regionkey, 100 + (r_regionkey + 1) % 5 FROM region),
+up AS (SELECT c_custkey AS user_id, c_nationkey AS role_id, 0 AS k FROM customer UNION ALL SELECT user_id, parent, k + 1 FROM up JOIN ro ON ro.id = up.role_id WHERE k < 2),
+g AS (SELECT user_id, 'evt_click' AS index_name FROM up WHERE role_id = 101 UNION ALL SELECT user_id, 'evt_view' FROM up WHERE role_id = 7 UNION ALL SELECT c_custkey, 'evt_error' FROM customer WHERE c_custkey % 3 = 0)
+SELECT DISTINCT user_id, index_name FROM g"""
+
+
+def access(spark, d) -> DataFrame:
+    roles = table(spark, d, "nation").selectExpr("n_nationkey as id", "100 + n_regionkey as parent_id").unionByName(table(spark, d, "region").selectExpr("100 + r_regionkey as id", "100 + (r_regionkey + 1) % 5 as parent_id"))
+    c = table(spark, d, "customer")
+    grant = "true as read_permission, false as write_permission, false as delete_permission".split(", ")
+    role_permissions = spark.createDataFrame([(101, "evt_click"), (7, "evt_view")], "role_id int, index_name string").selectExpr("*", *grant)
+    own = c.where("c_custkey % 3 = 0").selectExpr("c_custkey as user_id", "'evt_error' as index_name", *grant)
+    return plan.effective_access(spark, c, roles, c.selectExpr("c_custkey as user_id", "c_nationkey as role_id"), own, role_permissions, 2)
+
+
+@query(ACCESS)
+def effective_access(spark, d):
+    return access(spark, d).where("can_read").select("user_id", "index_name")
+
+
+@query(f"SELECT a.user_id, e._index, count(*) AS n FROM ({ACCESS}) a JOIN {E} e ON e._index = a.index_name WHERE a.user_id <= 20 GROUP BY 1, 2")
+def visible_events(spark, d):
+    sizes = events(spark, d).groupBy("_index").agg(F.count("*").alias("n"))
+    return access(spark, d).where("can_read and user_id <= 20").join(sizes, F.col("index_name") == F.col("_index")).select("user_id", "_index", "n")
+
+
+CLIENT = "CASE event_id % 4 WHEN 0 THEN '10.0.0.' || user_id WHEN 1 THEN '10.1.0.' || user_id WHEN 2 THEN 'peer' ELSE 'unknown' END"
+
+
+@query(f"SELECT {CLIENT} AS ip_address, (event_id % 5 < 4) AS success, count(*) AS n FROM events GROUP BY 1, 2")
+def audit_client_ip(spark, d):
+    e = table(spark, d, "events").selectExpr("if(event_id % 4 = 0, '10.0.0.' || user_id, '') as real_ip", "if(event_id % 4 = 1, ' 10.1.0.' || user_id || ', 1.1.1.1', null) as forwarded", "if(event_id % 4 = 2, 'peer', null) as host", "100 * (event_id % 5) + 1 as status_code")
+    ip = F.coalesce(F.nullif("real_ip", F.lit("")), F.nullif(F.trim(F.split("forwarded", ",")[0]), F.lit("")), "host", F.lit("unknown"))
+    return e.groupBy(ip.alias("ip_address"), (F.col("status_code") < 400).alias("success")).agg(F.count("*").alias("n"))
+
+
+HISTORY = "SELECT user_id, event_type AS query, max(ts) AS last_used, count(*) AS times_used FROM events GROUP BY 1, 2"
+
+
+def history(spark, d) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("query")).agg(F.max("ts").alias("last_used"), F.count("*").alias("times_used"))
+
+
+@query(HISTORY)
+def history_upsert(spark, d):
+    return history(spark, d).orderBy(F.desc("last_used"))
+
+
+@query(f"SELECT * FROM ({HISTORY}) WHERE contains(query, 'cli')")
+def history_search(spark, d):
+    return history(spark, d).where(F.contains(F.lower("query"), F.lower(F.lit("CLI")))).orderBy(F.desc("last_used"))
+
+
+@query(f"SELECT user_id, query, last_used, times_used FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_used DESC, query) AS k FROM ({HISTORY})) WHERE k <= 2")
+def history_retention(spark, d):
+    return plan.newest(history(spark, d), ["user_id"], [F.desc("last_used"), F.asc("query")], 2)
+
+
+@query(f"SELECT * FROM ({HISTORY}) WHERE user_id <> 8")
+def history_delete(spark, d):
+    return history(spark, d).where("user_id <> 8")
+
+
+# ---- packets
+
+
+def frames(spark, d) -> DataFrame:
+    """Ethernet frames made of lineitem's integers: IPv4 with TCP, UDP or ICMP."""
+    h = lambda c, n: F.lpad(F.hex(c), n, "0")
+    li = table(spark, d, "lineitem").withColumn("p", F.element_at(F.array(F.lit(6), F.lit(17), F.lit(1)), (F.col("l_linenumber") % 3 + 1).cast("int")))
+    ip = F.concat(F.lit("45000028000000004000"), h(F.col("p"), 2), F.lit("0000"), F.lit("0A00"), h(F.col("l_suppkey") % 65536, 4), F.lit("0B00"), h(F.col("l_partkey") % 65536, 4))
+    tcp = F.concat(h(F.col("l_orderkey") % 65536, 4), F.lit("01BB"), F.lit("0000000000000000"), F.lit("50"), h(F.col("l_linenumber") * 7 % 64, 2), F.lit("000000000000"), F.lit("DEADBEEF"))
+    return li.select("l_orderkey", "l_linenumber", F.lit(1).alias("link_type"), F.unhex(F.concat(F.lit("FFFFFFFFFFFF0000000000000800"), ip, tcp)).alias("data"))
+
+
+PROTO = "CASE l_linenumber % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 1 END"
+
+
+@query(f"SELECT CASE {PROTO} WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'other' END AS protocol, count(*) AS packets, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS share FROM lineitem GROUP BY 1")
+def protocol_mix(spark, d):
+    return packets.protocol_mix(packets.headers(frames(spark, d)))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, '10.0.' || (l_suppkey // 256) % 256 || '.' || l_suppkey % 256 AS src, CASE WHEN {PROTO} <> 1 THEN l_orderkey % 65536 END AS src_port, CASE WHEN {PROTO} <> 1 THEN 443::BIGINT END AS dst_port FROM lineitem")
+def packet_headers(spark, d):
+    return packets.headers(frames(spark, d)).select("l_orderkey", "l_linenumber", "src", "src_port", "dst_port")
+
+
+@query(f"""WITH f AS (SELECT l_orderkey, l_linenumber, l_linenumber * 7 % 64 AS b FROM lineitem WHERE {PROTO} = 6),
+n AS (SELECT *, concat_ws('|', CASE WHEN b & 1 > 0 THEN 'FIN' END, CASE WHEN b & 2 > 0 THEN 'SYN' END, CASE WHEN b & 4 > 0 THEN 'RST' END, CASE WHEN b & 8 > 0 THEN 'PSH' END, CASE WHEN b & 16 > 0 THEN 'ACK' END, CASE WHEN b & 32 > 0 THEN 'URG' END) AS s FROM f)
+SELECT CASE WHEN s = '' THEN 'None' ELSE s END AS flags, count(*) AS n FROM n GROUP BY 1""")
+def tcp_flags(spark, d):
+    return packets.headers(frames(spark, d)).where("proto = 6").groupBy(packets.flag_names(F.col("flags")).alias("flags")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE WHEN {PROTO} = 6 THEN 54 ELSE 42 END::INTEGER AS size, count(*) AS n FROM lineitem GROUP BY 1")
+def strip_payload(spark, d):
+    return packets.without_payload(packets.headers(packets.blank_arp(frames(spark, d)))).groupBy(F.octet_length("data").alias("size")).agg(F.count("*").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
