@@ -14,6 +14,7 @@ from .streaming import subscriptions as subs
 
 Q: dict = {}
 SQL: dict[str, str] = {}
+DAY = "yyyyMMdd"
 E = "(SELECT *, 'evt_' || lower(event_type) AS _index FROM events)"
 
 
@@ -36,7 +37,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bucketed(spark: SparkSession, d: str) -> str:
-    return store.write_buckets(events(spark, d), store.fresh_dir(spark))
+    return store.write_buckets(events(spark, d), store.fresh_dir(spark), stamp=DAY)
 
 
 def ntz(c: str):
@@ -91,7 +92,7 @@ def file_glob_scan(spark, d):
     return store.scan(spark, bucketed(spark, d), "part-*").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND date_trunc('hour', ts) = (SELECT min(date_trunc('hour', ts)) FROM events WHERE event_type = 'click')")
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND date_trunc('day', ts) = (SELECT min(date_trunc('day', ts)) FROM events WHERE event_type = 'click')")
 def single_file_scan(spark, d):
     rows = store.scan(spark, bucketed(spark, d))
     first = rows.where("_index = 'evt_click'").agg(F.min("bucket_start")).first()[0]
@@ -155,16 +156,16 @@ def schema_difference(spark, d):
 
 # ---- catalog and meta tables
 
-HOURS = f"SELECT _index AS index, strftime(ts, '%Y%m%d%H') AS bucket_start, count(*) AS record_count, min(ts) AS start_time, max(ts) AS end_time FROM {E} GROUP BY 1, 2"
+BUCKETS = f"SELECT _index AS index, strftime(ts, '%Y%m%d') AS bucket_start, count(*) AS record_count, min(ts) AS start_time, max(ts) AS end_time FROM {E} GROUP BY 1, 2"
 
 
-@query(HOURS)
+@query(BUCKETS)
 def catalog_build(spark, d):
     c = store.build_catalog(spark, bucketed(spark, d))
     return c.groupBy("index", "bucket_start").agg(F.sum("record_count").alias("record_count"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).select("index", "bucket_start", "record_count", ntz("start_time"), ntz("end_time"))
 
 
-@query(f"SELECT index, count(*) AS buckets, sum(record_count)::BIGINT AS record_count, min(start_time) AS start_time, max(end_time) AS end_time FROM ({HOURS}) GROUP BY 1")
+@query(f"SELECT index, count(*) AS buckets, sum(record_count)::BIGINT AS record_count, min(start_time) AS start_time, max(end_time) AS end_time FROM ({BUCKETS}) GROUP BY 1")
 def indexes_meta(spark, d):
     c = store.build_catalog(spark, bucketed(spark, d)).groupBy("index", "bucket_start").agg(F.sum("record_count").alias("n"), F.min("start_time").alias("lo"), F.max("end_time").alias("hi"))
     part = c.groupBy("index", F.col("bucket_start").substr(1, 8).alias("day")).agg(F.count("*").alias("b"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -177,18 +178,21 @@ def index_list(spark, d):
     return named.unionByName(spark.createDataFrame([(m,) for m in plan.META], "index string"))
 
 
-@query(f"SELECT index, count(*) AS files FROM (SELECT DISTINCT _index AS index, strftime(ts, '%Y%m%d%H') AS h FROM {E} WHERE ts >= TIMESTAMP '2024-01-05') GROUP BY 1")
+@query(f"SELECT index, count(*) AS files FROM (SELECT DISTINCT _index AS index, strftime(ts, '%Y%m%d') AS h FROM {E} WHERE ts >= TIMESTAMP '2024-01-05') GROUP BY 1")
 def catalog_refresh(spark, d):
     e = events(spark, d)
-    path = store.write_buckets(e.where(F.col("_time") < "2024-01-25"), store.fresh_dir(spark))
+    path = store.write_buckets(e.where(F.col("_time") < "2024-01-25"), store.fresh_dir(spark), stamp=DAY)
     old = store.build_catalog(spark, path)
-    old = old.where("bucket_start >= '2024010500'")
-    store.write_buckets(e.where(F.col("_time") >= "2024-01-25"), path)
-    new = store.build_catalog(spark, path).where("bucket_start >= '2024010500'")
+    old = old.where("bucket_start >= '20240105'")
+    kept = store.fresh_dir(spark)
+    old.write.parquet(kept)
+    old = spark.read.parquet(kept)
+    store.write_buckets(e.where(F.col("_time") >= "2024-01-25"), path, stamp=DAY)
+    new = store.build_catalog(spark, path).where("bucket_start >= '20240105'")
     return store.refresh_catalog(old, new).groupBy("index").agg(F.countDistinct("bucket_start").alias("files"))
 
 
-@query(f"SELECT _index AS index, 'string' AS event_type, 'double' AS value, 'bigint' AS event_id, count(*) AS buckets FROM (SELECT DISTINCT _index, date_trunc('hour', ts) AS h FROM {E}) GROUP BY 1")
+@query(f"SELECT _index AS index, 'string' AS event_type, 'double' AS value, 'bigint' AS event_id, count(*) AS buckets FROM (SELECT DISTINCT _index, date_trunc('day', ts) AS h FROM {E}) GROUP BY 1")
 def schema_meta(spark, d):
     path = bucketed(spark, d)
     c = store.build_catalog(spark, path).select("index", "bucket_start").distinct()
@@ -202,7 +206,7 @@ def file_stats(spark, d):
     return store.read_footers(spark, bucketed(spark, d)).where("ok").rollup("index").agg(F.sum("record_count").alias("record_count"))
 
 
-@query("SELECT count(*) AS listed, 0::BIGINT AS flagged FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) FROM events)")
+@query("SELECT count(*) AS listed, 0::BIGINT AS flagged FROM (SELECT DISTINCT event_type, date_trunc('day', ts) FROM events)")
 def file_listing(spark, d):
     path = bucketed(spark, d)
     listed = store.list_files(spark, path).select(F.regexp_extract("path", "(_index=[^/]+/bucket_start=[^/]+)/", 1).alias("b")).agg(F.countDistinct("b").alias("listed"))
@@ -257,7 +261,7 @@ def packed(spark, d, columns: str) -> DataFrame:
 
 @query("SELECT 'main' AS _index, date_trunc('second', ts) AS t, event_id, 'header' AS event_type FROM events")
 def envelope_rows(spark, d):
-    e = packed(spark, d, "1 as one").withColumn("json", F.to_json(F.struct(F.col("event_id").cast("string"), "event_type", F.col("when").alias("at"))))
+    e = packed(spark, d, "1 as one").withColumn("json", F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("when").alias("at"))))
     box = e.groupBy("user_id").agg(F.collect_list("json").alias("events")).withColumn("header", F.create_map(F.lit("timefield"), F.lit("at"), F.lit("event_type"), F.lit("header")))
     return envelopes.row_envelopes(box).select("_index", F.col("_time").cast("timestamp_ntz").alias("t"), F.col("fields")["event_id"].cast("bigint").alias("event_id"), F.col("fields")["event_type"].alias("event_type"))
 
@@ -307,7 +311,7 @@ def compaction_plan(spark, d):
 @query("SELECT event_id, value FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-03'")
 def compaction_rows(spark, d):
     path = store.fresh_dir(spark)
-    compaction.rewrite(store.scan(spark, bucketed(spark, d)).where("_index = 'evt_click' and bucket_start < '2024010300'"), path)
+    compaction.rewrite(store.scan(spark, bucketed(spark, d)).where("_index = 'evt_click' and bucket_start < '20240103'"), path)
     return spark.read.parquet(path).select("event_id", "value")
 
 
@@ -353,13 +357,13 @@ def landed(spark, d, *parts) -> tuple[DataFrame, str, str]:
     return events(spark, d), f"{base}/in", base
 
 
-@query(f"SELECT _index, event_id, strftime(ts, '%Y%m%d%H') AS bucket_start FROM {E}")
+@query(f"SELECT _index, event_id, strftime(ts, '%Y%m%d') AS bucket_start FROM {E}")
 def stream_ingest(spark, d):
     e, path, base = landed(spark, d)
     for part in (0, 1):  # the second run goes on from the checkpoint
         e.where(F.col("event_id") % 2 == part).select("event_id", "_index", "_time").write.mode("append").json(path)
         stream = envelopes.landing_stream(spark, path, "event_id long, _index string, _time timestamp")
-        subs.run_available(stream.withColumn("bucket_start", F.date_format("_time", "yyyyMMddHH")), f"{base}/out", f"{base}/state", partition=["_index", "bucket_start"])
+        subs.run_available(stream.withColumn("bucket_start", F.date_format("_time", DAY)), f"{base}/out", f"{base}/state", partition=["_index", "bucket_start"])
     return spark.read.schema("event_id long, _index string, bucket_start string").parquet(f"{base}/out").select("_index", "event_id", "bucket_start")
 
 
@@ -510,7 +514,7 @@ def frames(spark, d) -> DataFrame:
     """Ethernet frames made of lineitem's integers: IPv4 with TCP, UDP or ICMP."""
     h = lambda c, n: F.lpad(F.hex(c), n, "0")
     li = table(spark, d, "lineitem").withColumn("p", F.element_at(F.array(F.lit(6), F.lit(17), F.lit(1)), (F.col("l_linenumber") % 3 + 1).cast("int")))
-    ip = F.concat(F.lit("45000028000000004000"), h(F.col("p"), 2), F.lit("0000"), F.lit("0A00"), h(F.col("l_suppkey") % 65536, 4), F.lit("0B00"), h(F.col("l_partkey") % 65536, 4))
+    ip = F.concat(F.lit("450000280000000040"), h(F.col("p"), 2), F.lit("0000"), F.lit("0A00"), h(F.col("l_suppkey") % 65536, 4), F.lit("0B00"), h(F.col("l_partkey") % 65536, 4))
     tcp = F.concat(h(F.col("l_orderkey") % 65536, 4), F.lit("01BB"), F.lit("0000000000000000"), F.lit("50"), h(F.col("l_linenumber") * 7 % 64, 2), F.lit("000000000000"), F.lit("DEADBEEF"))
     return li.select("l_orderkey", "l_linenumber", F.lit(1).alias("link_type"), F.unhex(F.concat(F.lit("FFFFFFFFFFFF0000000000000800"), ip, tcp)).alias("data"))
 

@@ -24,10 +24,9 @@ def as_events(events: DataFrame) -> DataFrame:
     return events.withColumns({"_index": F.concat(F.lit("evt_"), F.lower("event_type")), "_time": F.col("ts").cast("timestamp")})
 
 
-def write_buckets(df: DataFrame, path: str, mode: str = "append") -> str:
-    """One folder per index and hour; the commit protocol publishes whole files only."""
-    hour = F.date_format("_time", "yyyyMMddHH")
-    df.withColumn("bucket_start", hour).repartition("_index", F.date_trunc("DAY", "_time")).write.partitionBy("_index", "bucket_start").mode(mode).parquet(path)
+def write_buckets(df: DataFrame, path: str, mode: str = "append", stamp: str = "yyyyMMddHH") -> str:
+    """One folder per index and hour (or what stamp names); the commit protocol publishes whole files only."""
+    df.withColumn("bucket_start", F.date_format("_time", stamp)).repartition("_index", F.date_trunc("DAY", "_time")).write.partitionBy("_index", "bucket_start").mode(mode).parquet(path)
     return path
 
 
