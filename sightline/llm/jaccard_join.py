@@ -12,7 +12,8 @@ becomes a signature. Two allocations keep every link:
 The cheaper one is chosen for each band from the number of sets in it. Candidates are verified exactly on texts.
 
 Large groups: a signature's sets are first compared with one leader drawn for that signature, components are formed,
-and this is repeated between sets of different components. Only sets of components that are still apart and share a
+and this is repeated between sets of different components. Before texts are compared, pairs are dropped
+whose parity sketches differ in more bits than linked sets can differ in elements. Only sets of components that are still apart and share a
 signature are then compared with each other, so that a linked group never makes all of its pairs and no link between
 components is lost.
 """
@@ -36,6 +37,8 @@ BROADCAST_ROWS = 2_000_000
 LEADERS = 2
 #: Rounds of leaders at most, and pairs left between components at which the rest is compared directly.
 ROUNDS, LEAST_PAIRS = 7, 100_000
+#: 64-bit words of a set's parity sketch. Sketches differ in no more bits than their sets do in elements.
+SKETCH_WORDS = 16
 SHARE = 0.02  # assumed chance that two elements of unlike sets are the same
 _ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -201,6 +204,21 @@ def _verify(k: int, num: int, den: int):
     return run, "a long, b long"
 
 
+def _sketch(k: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), *[(f"w{i}", pa.int64()) for i in range(SKETCH_WORDS)]])
+
+    def run(batches):
+        for b in batches:
+            ids = np.array(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
+            for first, end, row, value in shingle_sets(b.column("text"), k):
+                bit = mix(value + np.uint64(0xD1B54A32D192ED03)) % np.uint64(64 * SKETCH_WORDS)
+                words = np.zeros((end - first, SKETCH_WORDS), np.uint64)
+                np.bitwise_xor.at(words, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+                yield table({"doc_id": ids[first:end], "n": np.bincount(row, minlength=end - first), **{f"w{i}": words[:, i].view(np.int64) for i in range(SKETCH_WORDS)}}, schema)
+
+    return run, "doc_id long, n long, " + ", ".join(f"w{i} long" for i in range(SKETCH_WORDS))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id for Jaccard similarity num/den or more of k-word shingles.
 
@@ -239,8 +257,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     few = wanted.count() <= BROADCAST_ROWS
     found = checkpointed(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
+    run, shape = _sketch(k)
+    sketch = checkpointed(found.mapInArrow(run, shape))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches differ in few enough bits for a link; no link is lost."""
+        side = lambda x: sketch.select(*[F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in sketch.columns])
+        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH_WORDS)])
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+
     def links(pairs: DataFrame) -> DataFrame:
-        side = lambda x: found.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+        pairs = checkpointed(near(pairs))
+        least = pairs.count() <= BROADCAST_ROWS
+
+        def side(x: str) -> DataFrame:
+            texts = found.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+            return texts.join(F.broadcast(pairs.select(x).distinct()), x, "left_semi") if least else texts
+
         check, form = _verify(k, num, den)
         return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, form))
 
@@ -260,7 +293,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
         star = star.select("doc_id", F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leader"))
         fresh = checkpointed(star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
         known = checkpointed(known.unionByName(fresh))
-        found_links = checkpointed(found_links.unionByName(links(fresh)))
+        more = links(fresh)
+        if more.isEmpty():
+            break
+        found_links = checkpointed(found_links.unionByName(more))
     rest = label.join(by, "sig", "left_semi")
     x, y = (rest.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component")]) for s in "xy")
     cross = x.join(y, "sig").where("component_x < component_y").where(fits(F.col("n_x"), F.col("n_y")))
