@@ -131,7 +131,7 @@ def scan(text: str) -> tuple[int, int | None, int | None, set[str], set[str], fl
     return len(at), min(at, default=None), max(at, default=None), base, base | {x[2] for x in own}, score
 
 
-_HINT = re.compile(rb"licen|mit|apache|cc|gpl|copyright|rights|public|propriet|artistic|wtfpl", re.I)
+_HINT = re.compile(rb"licen|mit|apache|bsd|cc|gpl|copyright|rights|public|propriet|artistic|wtfpl", re.I)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
