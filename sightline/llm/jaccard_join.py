@@ -11,11 +11,12 @@ becomes a signature. Two allocations keep every link:
 
 The cheaper one is chosen for each band from the number of sets in it. Candidates are verified exactly on texts.
 
-Large groups: a signature's sets are first compared with one leader drawn for that signature, components are formed,
-and this is repeated between sets of different components. Before texts are compared, pairs are dropped
-whose parity sketches differ in more bits than linked sets can differ in elements. Only sets of components that are still apart and share a
-signature are then compared with each other, so that a linked group never makes all of its pairs and no link between
-components is lost.
+Large groups: each set is first verified against the leader, one set drawn for each signature, that it shares most
+signatures with, and components are formed. The sets of a signature that are in different components then make a cell,
+or cells of two blocks each where they are many; equal cells are one. A task compares the parity sketches of a cell's
+sets, and only pairs whose sketches differ in no more bits than linked sets can differ in elements leave it. While
+these are many, a few for each set are verified and pairs within a component dropped; what is left is verified whole.
+So a linked group never makes all of its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,16 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, mix, table, text_slices, word_hashes, word_spans
+from .common import checkpointed, lower_ascii, mix, ragged, table, text_slices, word_hashes, word_spans, written
 from .components import components
 
 BITMAP_BITS = 26
 BROADCAST_ROWS = 2_000_000
-LEADERS = 2
-#: Rounds of leaders at most, and pairs left between components at which the rest is compared directly.
-ROUNDS, LEAST_PAIRS = 7, 100_000
-#: 64-bit words of a set's parity sketch. Sketches differ in no more bits than their sets do in elements.
-SKETCH_WORDS = 16
+#: Bytes of signatures in a bucket, and buckets above which signatures are counted as rows.
+BUCKET_BYTES, BUCKETS = 16 << 20, 4096
+#: Sets in a block of a large signature, and pairs that a task compares at a time.
+BLOCK, PAIRS_AT_ONCE = 1024, 1 << 16
+#: Rounds of a few pairs for each set at most, and candidates for each set at which all are verified.
+ROUNDS, PAIRS_A_SET = 7, 1.5
+#: Bits of a set's parity sketch, as powers of two: above twice its size, between these.
+LEAST_LEVEL, TOP_LEVEL = 6, 13
 SHARE = 0.02  # assumed chance that two elements of unlike sets are the same
 _ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -170,13 +174,68 @@ def _signatures(k: int, bands: Bands, bitmap=None):
     return run, "sig long, doc_id long, n long"
 
 
-def _bitmap(repeated: DataFrame):
+def _packed(k: int, bands: Bands, buckets: int):
+    """Signatures of each slice of texts in one value for each bucket; a signature of several sets is there twice."""
+    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for first, end, row, value in shingle_sets(b.column("text"), k):
+                n = np.bincount(row, minlength=end - first)
+                at, sig = bands.signatures(row, value, n)
+                sums = np.zeros(end - first, np.uint64)
+                np.add.at(sums, row, mix(value + np.uint64(1)))
+                owner = np.unique(sums, return_inverse=True)[1][at]
+                order = np.lexsort((owner, sig))
+                sig, owner = sig[order], owner[order]
+                fresh = np.ones(len(sig), bool)
+                fresh[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
+                sig = sig[fresh]
+                twice = np.ones(len(sig), bool)
+                twice[2:] = sig[2:] != sig[:-2]
+                sig = sig[twice]
+                to = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+                cut = np.flatnonzero(np.diff(to, prepend=-1))
+                ends = np.append(cut[1:], len(sig))
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array([sig[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], schema=schema)
+
+    return run, "bucket int, sigs binary"
+
+
+def _repeats():
+    """Words of the bitmap of signatures that are twice or more in whole buckets."""
+    schema = pa.schema([("at", pa.int64()), ("bits", pa.int64())])
+
+    def run(batches):
+        sig = [np.frombuffer(x, np.uint64) for b in batches for x in b.column("sigs").to_pylist()]
+        if sig:
+            sig = np.concatenate(sig)
+            sig.sort()
+            x = np.unique(sig[1:][sig[1:] == sig[:-1]] & np.uint64((1 << BITMAP_BITS) - 1))
+            at, bits = (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63))
+            cut = np.flatnonzero(np.diff(at, prepend=-1))
+            if len(cut):
+                yield table({"at": at[cut], "bits": np.bitwise_or.reduceat(bits, cut).view(np.int64)}, schema)
+
+    return run, "at long, bits long"
+
+
+def _bitmap(texts: DataFrame, k: int, bands: Bands, sigs: int):
     """Fixed 2**BITMAP_BITS bits of the repeated signatures; other signatures mostly miss it and need no shuffle."""
-    x = F.col("sig").bitwiseAND((1 << BITMAP_BITS) - 1)
-    words = repeated.select(F.shiftright(x, 6).alias("at"), F.expr(f"shiftleft(1L, cast(sig & 63 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return repeated.sparkSession.sparkContext.broadcast(bits)
+    buckets = max(8, math.ceil(8 * sigs / BUCKET_BYTES))
+    if buckets <= BUCKETS:
+        run, shape = _packed(k, bands, buckets)
+        find, form = _repeats()
+        bits = texts.mapInArrow(run, shape).repartition(buckets, "bucket").mapInArrow(find, form)
+    else:
+        run, shape = _signatures(k, bands)
+        x = F.col("sig").bitwiseAND((1 << BITMAP_BITS) - 1)
+        repeated = texts.mapInArrow(run, shape).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+        bits = repeated.select(F.shiftright(x, 6).alias("at"), F.expr("shiftleft(1L, cast(sig & 63 as int))").alias("bits"))
+    words = bits.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return texts.sparkSession.sparkContext.broadcast(out)
 
 
 def _verify(k: int, num: int, den: int):
@@ -205,18 +264,90 @@ def _verify(k: int, num: int, den: int):
 
 
 def _sketch(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), *[(f"w{i}", pa.int64()) for i in range(SKETCH_WORDS)]])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         for b in batches:
             ids = np.array(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
             for first, end, row, value in shingle_sets(b.column("text"), k):
-                bit = mix(value + np.uint64(0xD1B54A32D192ED03)) % np.uint64(64 * SKETCH_WORDS)
-                words = np.zeros((end - first, SKETCH_WORDS), np.uint64)
-                np.bitwise_xor.at(words, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-                yield table({"doc_id": ids[first:end], "n": np.bincount(row, minlength=end - first), **{f"w{i}": words[:, i].view(np.int64) for i in range(SKETCH_WORDS)}}, schema)
+                n = np.bincount(row, minlength=end - first)
+                words = np.int64(1) << (levels(n) - 6)
+                base = np.cumsum(words) - words
+                bit = mix(value + np.uint64(0xD1B54A32D192ED03)) & (words[row] * 64 - 1).astype(np.uint64)
+                out = np.zeros(int(words.sum()), np.uint64)
+                np.bitwise_xor.at(out, base[row] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+                yield table({"doc_id": ids[first:end], "n": n, "sketch": [out[i : i + w].tobytes() for i, w in zip(base.tolist(), words.tolist(), strict=True)]}, schema)
+
+    return run, "doc_id long, n long, sketch binary"
+
 
-    return run, "doc_id long, n long, " + ", ".join(f"w{i} long" for i in range(SKETCH_WORDS))
+def levels(n: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(np.log2(4.0 * np.maximum(n, 1))).astype(np.int64), LEAST_LEVEL, TOP_LEVEL)
+
+
+def _near(num: int, den: int):
+    """Cells (sorted; cell, doc_id, n, component, sketch) -> pairs of different components that the sketches don't rule
+    out. Half a sketch laid over the other half is the sketch of the next lower level."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(ids, n, comp, ends, sketches):
+        level = levels(n)
+        order = np.argsort(level, kind="stable")
+        place = np.empty(len(n), np.int64)
+        full, half = {}, {}
+        for p in np.unique(level).tolist():
+            mine = order[level[order] == p]
+            place[mine] = np.arange(len(mine))
+            full[p] = np.frombuffer(b"".join(sketches[i] for i in mine.tolist()), np.uint64).reshape(len(mine), -1)
+            if p > LEAST_LEVEL:
+                w = full[p].shape[1] // 2
+                half[p] = full[p][:, :w] ^ full[p][:, w:]
+        after = ends - np.arange(len(n)) - 1
+        done = np.cumsum(after)
+        first, out = 0, []
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + PAIRS_AT_ONCE, "right")))
+            x = np.repeat(np.arange(first, last), after[first:last])
+            y = ragged(np.arange(first + 1, last + 1), after[first:last])
+            ok = (comp[x] != comp[y]) & (np.maximum(n[x], n[y]) * num <= np.minimum(n[x], n[y]) * den)
+            x, y = x[ok], y[ok]
+            low = np.minimum(level[x], level[y])
+            for p in np.unique(low).tolist():
+                at = np.flatnonzero(low == p)
+                sides = []
+                for side in (x[at], y[at]):
+                    same = level[side] == p
+                    s = np.empty((len(side), full[p].shape[1] if p in full else half[p + 1].shape[1]), np.uint64)
+                    if same.any():
+                        s[same] = full[p][place[side[same]]]
+                    if not same.all():
+                        s[~same] = half[p + 1][place[side[~same]]]
+                    sides.append(s)
+                differ = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64)
+                at = at[differ * (den + num) <= (n[x[at]] + n[y[at]]) * (den - num)]
+                out.append(np.stack([np.minimum(ids[x[at]], ids[y[at]]), np.maximum(ids[x[at]], ids[y[at]])], 1))
+            first = last
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            cell = held.column("cell").to_numpy()
+            end = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            if end:
+                yield from_cells(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield from_cells(held)
+
+    def from_cells(t: pa.Table) -> pa.RecordBatch:
+        cell, ids, n, comp = (t.column(c).to_numpy() for c in ("cell", "doc_id", "n", "component"))
+        cut = np.flatnonzero(np.append(cell[1:] != cell[:-1], True)) + 1
+        found = compare(ids, n, comp, np.repeat(cut, np.diff(cut, prepend=0)), t.column("sketch").to_pylist())
+        return table({"a": found[:, 0], "b": found[:, 1]}, schema)
+
+    return run, "a long, b long"
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -237,71 +368,64 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     counts = {r["band"]: r["n"] for r in cls.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
     bands = Bands(num, den, counts)
 
-    run, shape = _signatures(k, bands)
-    repeated = texts.mapInArrow(run, shape).select("sig").groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    run, shape = _signatures(k, bands, _bitmap(repeated))
+    sigs = sum(2 * c * int(bands.segments[j]) for j, c in counts.items())
+    run, shape = _signatures(k, bands, _bitmap(texts, k, bands, int(sigs)))
     reps = cls.select(F.col("rep").alias("doc_id"))
-    held = texts.mapInArrow(run, shape).join(reps, "doc_id", "left_semi").distinct()
-    draw = F.xxhash64("sig", "doc_id")
-    held = checkpointed(held)
-    leader = held.groupBy("sig").agg(F.count("*").alias("c"), F.min_by("doc_id", draw).alias("leader"), F.min_by("n", draw).alias("leader_n")).where("c > 1").drop("c")
-    met = checkpointed(held.join(leader, "sig"))
-    fits = lambda x, y: F.greatest(x, y) * num <= F.least(x, y) * den
-
-    star = met.where(F.col("doc_id") != F.col("leader")).where(fits(F.col("n"), F.col("leader_n")))
-    star = star.groupBy("doc_id").agg(*[F.min_by("leader", F.xxhash64("leader", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
-    star = star.select("doc_id", F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leader"))
-    pairs = checkpointed(star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
-
-    wanted = met.select("doc_id").distinct()
-    few = wanted.count() <= BROADCAST_ROWS
-    found = checkpointed(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
+    held = written(texts.mapInArrow(run, shape).join(reps, "doc_id", "left_semi"))
+    draw = F.xxhash64("doc_id")
+    leader = held.groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min_by("doc_id", draw).alias("leader"), F.min_by("n", draw).alias("leader_n")).where("least <> most").drop("least", "most")
+    met = written(held.join(leader, "sig"))
+
+    few = lambda ids: ids.count() <= BROADCAST_ROWS
+    wanted = checkpointed(met.select("doc_id").distinct())
+    sets = wanted.count()
+    found = written(texts.join(F.broadcast(wanted) if sets <= BROADCAST_ROWS else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     run, shape = _sketch(k)
-    sketch = checkpointed(found.mapInArrow(run, shape))
+    sketch = written(found.mapInArrow(run, shape))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sketches differ in few enough bits for a link; no link is lost."""
-        side = lambda x: sketch.select(*[F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in sketch.columns])
-        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH_WORDS)])
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+    def near(cells: DataFrame, component: DataFrame | None) -> DataFrame:
+        """cells (cell, doc_id) -> distinct pairs that may link, of different components; no link is lost."""
+        node = sketch.withColumn("component", F.col("doc_id")) if component is None else sketch.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        run, shape = _near(num, den)
+        return written(cells.join(node, "doc_id").select("cell", "doc_id", "n", "component", "sketch").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, shape).distinct())
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(near(pairs))
-        least = pairs.count() <= BROADCAST_ROWS
-
         def side(x: str) -> DataFrame:
-            texts = found.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-            return texts.join(F.broadcast(pairs.select(x).distinct()), x, "left_semi") if least else texts
+            texts, ids = found.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")), pairs.select(x).distinct()
+            return texts.join(F.broadcast(ids), x, "left_semi") if few(ids) else texts
 
         check, form = _verify(k, num, den)
-        return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, form))
-
-    known, found_links = pairs, links(pairs)
+        return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, form))
+
+    fits = F.greatest("n", "leader_n") * num <= F.least("n", "leader_n") * den
+    star = met.where(F.col("doc_id") != F.col("leader")).where(fits).groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
+    star = star.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
+    star = star.select(F.xxhash64(F.least("doc_id", "leader"), F.greatest("doc_id", "leader")).alias("cell"), F.explode(F.array("doc_id", "leader")).alias("doc_id")).distinct()
+    found_links = links(near(star, None))
+    component = components(found_links).withColumnRenamed("node", "doc_id")
+
+    label = met.select("sig", "doc_id").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    label = written(label)
+    apart = label.groupBy("sig").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    cells = label.select("sig", "doc_id").join(apart, "sig").select("sig", "doc_id", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = cells.groupBy("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
+    cells = cells.select("members").distinct().select(F.xxhash64("members").alias("cell"), F.explode("members").alias("doc_id"))
+    left = near(cells, component)
     for turn in range(1, ROUNDS + 1):
-        comp = components(found_links).withColumnRenamed("node", "doc_id")
-        label = checkpointed(met.select("sig", "doc_id", "n").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-        by = label.groupBy("sig", "component").agg(F.count("*").cast("double").alias("c")).groupBy("sig").agg(F.count("*").alias("parts"), ((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("cross")).where("parts > 1")
-        by = checkpointed(by)
-        if turn == ROUNDS or (by.agg(F.sum("cross")).first()[0] or 0) <= LEAST_PAIRS:
-            break
-        seed = F.xxhash64("sig", "doc_id", F.lit(turn))
-        head = label.join(by, "sig", "left_semi").groupBy("sig").agg(F.min_by(F.struct(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_comp")), seed).alias("x")).select("sig", "x.*")
-        star = label.join(head, "sig").where("component <> leader_comp").where(fits(F.col("n"), F.col("leader_n")))
-        star = star.select(F.col("doc_id"), F.col("leader"), F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        star = star.groupBy("doc_id").agg(*[F.min_by("leader", F.xxhash64("leader", F.lit(turn), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
-        star = star.select("doc_id", F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leader"))
-        fresh = checkpointed(star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
-        known = checkpointed(known.unionByName(fresh))
-        more = links(fresh)
-        if more.isEmpty():
+        some = left
+        if turn < ROUNDS and left.count() > PAIRS_A_SET * sets:
+            both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            some = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b"))
+            some = checkpointed(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        more = links(some)
+        found_links = found_links.unionByName(more)
+        final = components(found_links)
+        if some is left:
             break
-        found_links = checkpointed(found_links.unionByName(more))
-    rest = label.join(by, "sig", "left_semi")
-    x, y = (rest.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component")]) for s in "xy")
-    cross = x.join(y, "sig").where("component_x < component_y").where(fits(F.col("n_x"), F.col("n_y")))
-    cross = cross.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    final = components(found_links.unionByName(links(checkpointed(cross))))
+        of = lambda x: final.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+        left = left.join(some, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        left = written(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
 
     named = cls.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     done = profile.join(named, ["key_a", "key_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
