@@ -11,12 +11,12 @@ becomes a signature. Two allocations keep every link:
 
 The cheaper one is chosen for each band from the number of sets in it. Candidates are verified exactly on texts.
 
-Large groups: each set is first verified against the leader, one set drawn for each signature, that it shares most
-signatures with, and components are formed. The sets of a signature that are in different components then make a cell,
-or cells of two blocks each where they are many; equal cells are one. A task compares the parity sketches of a cell's
-sets, and only pairs whose sketches differ in no more bits than linked sets can differ in elements leave it. While
-these are many, a few for each set are verified and pairs within a component dropped; what is left is verified whole.
-So a linked group never makes all of its pairs, and no link between components is lost.
+Large groups: the sets of a signature make a cell, or cells of blocks that share one set where they are many; equal
+cells are one. A task compares the parity sketches of a cell's sets: only pairs whose sketches differ in no more bits
+than linked sets can differ in elements may link. At first each set leaves a cell with its first such partner only;
+these pairs are verified and components formed. Then all such pairs of different components leave, of different blocks
+too. While they are many, a few for each set are verified and pairs within a component dropped; what is left is
+verified whole. So a linked group never makes all of its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ BROADCAST_ROWS = 2_000_000
 #: Bytes of signatures in a bucket, and buckets above which signatures are counted as rows.
 BUCKET_BYTES, BUCKETS = 16 << 20, 4096
 #: Sets in a block of a large signature, and pairs that a task compares at a time.
-BLOCK, PAIRS_AT_ONCE = 1024, 1 << 16
+BLOCK, PAIRS_AT_ONCE = 2048, 1 << 16
 #: Rounds of a few pairs for each set at most, and candidates for each set at which all are verified.
 ROUNDS, PAIRS_A_SET = 7, 1.5
 #: Bits of a set's parity sketch, as powers of two: above twice its size, between these.
@@ -285,9 +285,9 @@ def levels(n: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(4.0 * np.maximum(n, 1))).astype(np.int64), LEAST_LEVEL, TOP_LEVEL)
 
 
-def _near(num: int, den: int):
+def _near(num: int, den: int, first_only: bool):
     """Cells (sorted; cell, doc_id, n, component, sketch) -> pairs of different components that the sketches don't rule
-    out. Half a sketch laid over the other half is the sketch of the next lower level."""
+    out, or the first of a cell for each of its sets. Half a sketch laid over the other half is the sketch of the next lower level."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(ids, n, comp, ends, sketches):
@@ -304,12 +304,12 @@ def _near(num: int, den: int):
                 half[p] = full[p][:, :w] ^ full[p][:, w:]
         after = ends - np.arange(len(n)) - 1
         done = np.cumsum(after)
-        first, out = 0, []
+        first, kept, has_partner = 0, [], np.zeros(len(n), bool)
         while first < len(n):
             last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + PAIRS_AT_ONCE, "right")))
             x = np.repeat(np.arange(first, last), after[first:last])
             y = ragged(np.arange(first + 1, last + 1), after[first:last])
-            ok = (comp[x] != comp[y]) & (np.maximum(n[x], n[y]) * num <= np.minimum(n[x], n[y]) * den)
+            ok = (comp[x] != comp[y]) & (np.maximum(n[x], n[y]) * num <= np.minimum(n[x], n[y]) * den) & ~has_partner[y]
             x, y = x[ok], y[ok]
             low = np.minimum(level[x], level[y])
             for p in np.unique(low).tolist():
@@ -325,9 +325,19 @@ def _near(num: int, den: int):
                     sides.append(s)
                 differ = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64)
                 at = at[differ * (den + num) <= (n[x[at]] + n[y[at]]) * (den - num)]
-                out.append(np.stack([np.minimum(ids[x[at]], ids[y[at]]), np.maximum(ids[x[at]], ids[y[at]])], 1))
+                kept.append(np.stack([x[at], y[at]], 1))
+            if first_only and kept:
+                has_partner[kept[-1][:, 1]] = True
             first = last
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        if not kept:
+            return np.zeros((0, 2), np.int64)
+        x, y = np.concatenate(kept).T
+        if first_only:
+            order = np.lexsort((x, y))
+            x, y = x[order], y[order]
+            fresh = np.diff(y, prepend=-1) > 0
+            x, y = x[fresh], y[fresh]
+        return np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
 
     def run(batches):
         held = None
@@ -372,22 +382,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     run, shape = _signatures(k, bands, _bitmap(texts, k, bands, int(sigs)))
     reps = cls.select(F.col("rep").alias("doc_id"))
     held = written(texts.mapInArrow(run, shape).join(reps, "doc_id", "left_semi"))
-    draw = F.xxhash64("doc_id")
-    leader = held.groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min_by("doc_id", draw).alias("leader"), F.min_by("n", draw).alias("leader_n")).where("least <> most").drop("least", "most")
-    met = written(held.join(leader, "sig"))
+    shared = held.groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("leader")).where("least <> most")
+    shared = checkpointed(shared.select("sig", "blocks", "leader"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+
+    def cells_of(members: DataFrame) -> DataFrame:
+        return written(members.select("members").distinct().select(F.xxhash64("members").alias("cell"), F.explode("members").alias("doc_id")))
+
+    members = F.sort_array(F.array_union(F.collect_set("doc_id"), F.array(F.first("leader"))))
+    cells = cells_of(held.join(shared, "sig").groupBy("sig", block.alias("block")).agg(members.alias("members")))
 
     few = lambda ids: ids.count() <= BROADCAST_ROWS
-    wanted = checkpointed(met.select("doc_id").distinct())
+    wanted = checkpointed(cells.select("doc_id").distinct())
     sets = wanted.count()
     found = written(texts.join(F.broadcast(wanted) if sets <= BROADCAST_ROWS else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     run, shape = _sketch(k)
     sketch = written(found.mapInArrow(run, shape))
 
     def near(cells: DataFrame, component: DataFrame | None) -> DataFrame:
-        """cells (cell, doc_id) -> distinct pairs that may link, of different components; no link is lost."""
+        """cells (cell, doc_id) -> all distinct pairs of different components that may link; without components, a few."""
         node = sketch.withColumn("component", F.col("doc_id")) if component is None else sketch.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        run, shape = _near(num, den)
-        return written(cells.join(node, "doc_id").select("cell", "doc_id", "n", "component", "sketch").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, shape).distinct())
+        run, shape = _near(num, den, component is None)
+        return written(cells.join(node, "doc_id").select("cell", "doc_id", "n", "component", "sketch").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(run, shape).distinct())
 
     def links(pairs: DataFrame) -> DataFrame:
         def side(x: str) -> DataFrame:
@@ -397,20 +413,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
         check, form = _verify(k, num, den)
         return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, form))
 
-    fits = F.greatest("n", "leader_n") * num <= F.least("n", "leader_n") * den
-    star = met.where(F.col("doc_id") != F.col("leader")).where(fits).groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
-    star = star.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-    star = star.select(F.xxhash64(F.least("doc_id", "leader"), F.greatest("doc_id", "leader")).alias("cell"), F.explode(F.array("doc_id", "leader")).alias("doc_id")).distinct()
-    found_links = links(near(star, None))
+    found_links = links(near(cells, None))
     component = components(found_links).withColumnRenamed("node", "doc_id")
-
-    label = met.select("sig", "doc_id").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    label = written(label)
-    apart = label.groupBy("sig").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    cells = label.select("sig", "doc_id").join(apart, "sig").select("sig", "doc_id", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cells = cells.groupBy("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
-    cells = cells.select("members").distinct().select(F.xxhash64("members").alias("cell"), F.explode("members").alias("doc_id"))
+    large = shared.where("blocks > 1")
+    if not large.isEmpty():
+        label = held.join(large, "sig").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        label = written(label.select("sig", "doc_id", "component", "blocks", block.alias("block")))
+        apart = label.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        across = label.join(apart, "sig", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> other")
+        across = across.groupBy("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
+        cells = cells.unionByName(cells_of(across))
     left = near(cells, component)
     for turn in range(1, ROUNDS + 1):
         some = left
