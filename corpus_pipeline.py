@@ -21,7 +21,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def filter_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; a repeated doc_id goes if one of its rows is rejected."""
-    rejected = quality_rules(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    rejected = quality_rules(docs, line_words=None).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["gone"]), "left_anti").select(docs.columns)
 
 

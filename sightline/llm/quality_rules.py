@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
-#: A line of at most so many words that stands in more than so many different texts of a host is boilerplate.
+#: A line of at most so many words (None: of any length) that stands in more than so many different texts of a host is
+#: boilerplate. QUALITY_SQL holds the default; op7 and the pipeline take lines of any length.
 LINE_WORDS, LINE_TEXTS = 20, 25
 #: A document is depleted if boilerplate holds over this share of its words, in per cent.
 DEPLETED = 80
@@ -43,21 +44,22 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def short_lines(docs: DataFrame, line_words: int) -> DataFrame:
-    """doc_id, source, text_key, pos, line, n: the hashed normalised lines of 1 to line_words words."""
+def hashed_lines(docs: DataFrame, line_words: int | None) -> DataFrame:
+    """doc_id, source, text_key, pos, line, n: the hashed normalised lines of 1 to line_words words, or of any number."""
     d = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     d = d.withColumn("plain", F.trim(F.regexp_replace(F.lower("raw"), SPACE + "+", " "))).where("plain <> ''")
-    d = d.withColumn("n", F.regexp_count("plain", F.lit(" ")) + 1).where(F.col("n") <= line_words)
+    d = d.withColumn("n", F.regexp_count("plain", F.lit(" ")) + 1)
+    d = d if line_words is None else d.where(F.col("n") <= line_words)
     return d.select("doc_id", "source", "text_key", "pos", F.xxhash64(F.regexp_replace("plain", "[0-9]+", "0")).alias("line"), "n")
 
 
-def quality_rules(docs: DataFrame, line_words: int = LINE_WORDS, line_texts: int = LINE_TEXTS, depleted: int = DEPLETED) -> DataFrame:
+def quality_rules(docs: DataFrame, line_words: int | None = LINE_WORDS, line_texts: int = LINE_TEXTS, depleted: int = DEPLETED) -> DataFrame:
     """docs (doc_id, text, source) -> the base counts, removed_words, base_failed and kept, a row each.
 
     The host is the source (null: one host of its own). Exact copies count once in a line's frequency. Null and empty
     texts have no words and fail. Repeated rows give equal rows; an empty table gives no rows."""
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    lines = short_lines(d, line_words)
+    lines = hashed_lines(d, line_words)
     often = lines.select("source", "line", "text_key").distinct().groupBy("source", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_texts).select("source", "line")
     gone = lines.join(often, ["source", "line"]).dropDuplicates(["doc_id", "source", "text_key", "pos"])
     gone = gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("source").alias("g_source"), F.col("text_key").alias("g_key")).agg(F.sum("n").alias("removed_words"))

@@ -45,7 +45,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(load(spark, sf_dir, "documents"))
+    return quality_rules(load(spark, sf_dir, "documents"), line_words=None)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

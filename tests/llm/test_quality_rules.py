@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 
 from sightline.llm.quality_rules import QUALITY_SQL, quality_rules
+from sightline.llm.queries import op7
 
 
 def brute(t):
@@ -38,3 +39,15 @@ def test_lines_and_edges(spark):
     assert by[1003].kept and by[None].kept and not by[1000].kept and by[1002].n_words == 6 and by[1002].n_dup_lines == 1
     assert all(tuple(by[d][1:6]) == brute(t) for d, t, _ in rows)
     assert quality_rules(docs.limit(0)).collect() == []
+
+
+def test_long_lines(spark, tmp_path):
+    passage = " ".join(f"p{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    own = lambda i, n: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{'z' * j}" for j in range(n))
+    rows = [(i, f"{passage}\n{own(i, 100)}", "a") for i in range(30)] + [(100 + i, passage + "\nend" + "x" * i, "b") for i in range(30)]
+    rows += [(200 + i, own(999, 80), "c") for i in range(30)] + [(300 + i, f"{passage}\n{own(i, 100)}", "d") for i in range(25)]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    by = {r.doc_id: r for r in op7(spark, path).collect()}
+    assert all(by[i].removed_words == 60 and by[i].kept and by[100 + i].removed_words == 60 and not by[100 + i].kept for i in range(30))
+    assert all(not by[d].removed_words and by[d].kept for d, _, _ in rows[60:])  # exact copies count once, 25 texts aren't too many
