@@ -11,7 +11,7 @@ from sightline.llm.common import load, written
 from sightline.llm.jaccard_join import jaccard_components
 from sightline.llm.ordinal_quality import score_quality
 from sightline.llm.packing import pack
-from sightline.llm.quality_rules import quality_rules
+from sightline.llm.quality_rules import quality_rules, removed_lines, without_lines
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def filter_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; a repeated doc_id goes if one of its rows is rejected."""
-    rejected = quality_rules(docs, line_words=None).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["gone"]), "left_anti").select(docs.columns)
+    """Documents that the quality rules keep, without their boilerplate lines; a repeated doc_id goes if one of its rows
+    is rejected."""
+    lines = written(removed_lines(docs, line_words=None))
+    rejected = quality_rules(docs, line_words=None, gone=lines).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["gone"]), "left_anti").select(docs.columns)
+    out = without_lines(left, lines)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,19 +53,42 @@ def hashed_lines(docs: DataFrame, line_words: int | None) -> DataFrame:
     return d.select("doc_id", "source", "text_key", "pos", F.xxhash64(F.regexp_replace("plain", "[0-9]+", "0")).alias("line"), "n")
 
 
-def quality_rules(docs: DataFrame, line_words: int | None = LINE_WORDS, line_texts: int = LINE_TEXTS, depleted: int = DEPLETED) -> DataFrame:
-    """docs (doc_id, text, source) -> the base counts, removed_words, base_failed and kept, a row each.
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and source without nulls in the last two."""
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+
 
-    The host is the source (null: one host of its own). Exact copies count once in a line's frequency. Null and empty
-    texts have no words and fail. Repeated rows give equal rows; an empty table gives no rows."""
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    lines = hashed_lines(d, line_words)
+def removed_lines(docs: DataFrame, line_words: int | None = LINE_WORDS, line_texts: int = LINE_TEXTS) -> DataFrame:
+    """g_doc, g_source, g_key, removed_at, removed_words: the places (from 0) and words of the boilerplate lines of every
+    text that has any. The host is the source (null: one host of its own). Exact copies count once in a line's frequency."""
+    lines = hashed_lines(keyed(docs), line_words)
     often = lines.select("source", "line", "text_key").distinct().groupBy("source", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_texts).select("source", "line")
     gone = lines.join(often, ["source", "line"]).dropDuplicates(["doc_id", "source", "text_key", "pos"])
-    gone = gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("source").alias("g_source"), F.col("text_key").alias("g_key")).agg(F.sum("n").alias("removed_words"))
-    base = base_counts(d)
-    same = base["doc_id"].eqNullSafe(gone["g_doc"]) & (base["source"] == gone["g_source"]) & (base["text_key"] == gone["g_key"])
-    out = base.join(gone, same, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    return gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("source").alias("g_source"), F.col("text_key").alias("g_key")).agg(F.collect_list("pos").alias("removed_at"), F.sum("n").alias("removed_words"))
+
+
+def of_text(source: Column, text_key: Column) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("g_doc")) & (source == F.col("g_source")) & (text_key == F.col("g_key"))
+
+
+def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs with each text rebuilt from the lines, in order, that removed_lines doesn't name; other texts stay as they are."""
+    source, text = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed_at")
+    rebuilt = F.when(F.col("removed_at").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    out = docs.join(gone, of_text(source, F.xxhash64(text)), "left")
+    return out.select([rebuilt.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality_rules(docs: DataFrame, line_words: int | None = LINE_WORDS, line_texts: int = LINE_TEXTS, depleted: int = DEPLETED, gone: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text, source) -> the base counts, removed_words, base_failed and kept, a row each.
+
+    gone: removed_lines of docs, where the caller has them. Null and empty texts have no words and fail. Repeated rows give
+    equal rows; an empty table gives no rows."""
+    gone = removed_lines(docs, line_words, line_texts) if gone is None else gone
+    base = base_counts(keyed(docs))
+    out = base.join(gone, of_text(F.col("source"), F.col("text_key")), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words"))

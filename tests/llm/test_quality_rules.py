@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 
+from corpus_pipeline import filter_rules
 from sightline.llm.quality_rules import QUALITY_SQL, quality_rules
 from sightline.llm.queries import op7
 
@@ -51,3 +52,14 @@ def test_long_lines(spark, tmp_path):
     by = {r.doc_id: r for r in op7(spark, path).collect()}
     assert all(by[i].removed_words == 60 and by[i].kept and by[100 + i].removed_words == 60 and not by[100 + i].kept for i in range(30))
     assert all(not by[d].removed_words and by[d].kept for d, _, _ in rows[60:])  # exact copies count once, 25 texts aren't too many
+
+
+def test_pipeline_drops_boilerplate_lines(spark):
+    own = lambda i, n: " ".join(f"w{chr(97 + i)}{'z' * j}{'xy'[n % 2]}" for j in range(n))
+    text = lambda i: f"{own(i, 31)}\nShare  this page {i}\n\n {own(i, 40)}\nshare this page 7"
+    clean = lambda i: f"{own(i, 31)}\n\n {own(i, 40)}"
+    rows = [(i, "en", text(i % 26), "a", len(text(i % 26))) for i in range(26)] + [(None, "en", text(3), "a", 1), (3, "de", text(3), "a", 1), (50, "en", text(5), "b", len(text(5))), (51, "en", text(6), None, len(text(6))), (52, "en", "short", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string, n_chars long")
+    got = filter_rules(spark, docs, "").collect()
+    want = [(d, x, clean(i), s, len(clean(i))) for (d, x, _, s, _), i in zip(rows[:28], [*range(26), 3, 3], strict=True)] + [tuple(r) for r in rows[28:30]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
