@@ -1,4 +1,5 @@
 import re
+from re import _parser
 
 import numpy as np
 
@@ -58,3 +59,33 @@ def test_suppression():
     assert label("licensed under cc by nc 4 0") == ["cc-by-nc-4.0"]
     assert label("gnu lesser general public license version 2 1 or later") == ["lgpl-2.1-or-later"]
     assert label("plain words only") == []
+
+
+def example(parsed, keyword):
+    """A text that the parsed regex matches: optional parts taken, the first way of each choice that holds the keyword."""
+    out = ""
+    for op, x in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(x)
+        elif kind == "IN":
+            out += "0" if str(x[0][1]) == "CATEGORY_DIGIT" else chr(x[0][1] if str(x[0][0]) == "LITERAL" else x[0][1][0])
+        elif kind == "MAX_REPEAT":
+            out += example(x[2], keyword)
+        elif kind == "SUBPATTERN":
+            out += example(x[3], keyword)
+        elif kind == "BRANCH":
+            ways = [example(w, keyword) for w in x[1]]
+            out += next((w for w in ways if keyword in w), ways[0])
+    return out
+
+
+def test_every_rule_reaches_scan(spark):
+    texts = [example(_parser.parse(p.pattern), k) for _, k, p, *_ in rules()]
+    assert all(k in t and p.search(t) for t, (_, k, p, *_) in zip(texts, rules(), strict=True))
+    raw = [t.upper().replace(" ", " -\n") if i % 2 else t for i, t in enumerate(texts)]
+    raw.append("Photos are shared under Creative Commons Attribution-ShareAlike 4.0 by their makers.")
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert got[len(texts)].labels == "cc-by-sa-4.0"
+    assert all(got[i].score > 0 and {x[2] for x in detect(t)} <= set(got[i].labels.split(",")) for i, t in enumerate(texts))
