@@ -2,8 +2,9 @@
 
 Outputs are classes: the most frequent words have one each, the end mark too, and all other words share classes by
 length and letters. P(word | context) = P(class | two classes before) * P(word | class); both are normalised, so the
-products are. Word counts and class triples are counted over all training texts; the neural part is trained on all
-triples, in rounds of local steps in tasks whose parameters are then averaged."""
+products are. Word counts and class triples are counted over all training texts; the neural part is trained on
+triples drawn by their counts (TASKS * ROUNDS * STEPS * BATCH at most, at any input size), in rounds of local steps in
+tasks whose parameters are then averaged."""
 
 from __future__ import annotations
 
