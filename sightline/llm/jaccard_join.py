@@ -294,14 +294,20 @@ def _near(num: int, den: int, first_only: bool):
         level = levels(n)
         order = np.argsort(level, kind="stable")
         place = np.empty(len(n), np.int64)
-        full, half = {}, {}
+        full = {}
         for p in np.unique(level).tolist():
             mine = order[level[order] == p]
             place[mine] = np.arange(len(mine))
-            full[p] = np.frombuffer(b"".join(sketches[i] for i in mine.tolist()), np.uint64).reshape(len(mine), -1)
-            if p > LEAST_LEVEL:
-                w = full[p].shape[1] // 2
-                half[p] = full[p][:, :w] ^ full[p][:, w:]
+            full[p, p] = np.frombuffer(b"".join(sketches[i] for i in mine.tolist()), np.uint64).reshape(len(mine), -1)
+
+        def at_level(p, q):
+            """Sketches of level p as those of level q, p or lower."""
+            if (p, q) not in full:
+                up = at_level(p, q + 1)
+                w = up.shape[1] // 2
+                full[p, q] = up[:, :w] ^ up[:, w:]
+            return full[p, q]
+
         after = ends - np.arange(len(n)) - 1
         done = np.cumsum(after)
         first, kept, has_partner = 0, [], np.zeros(len(n), bool)
@@ -316,12 +322,10 @@ def _near(num: int, den: int, first_only: bool):
                 at = np.flatnonzero(low == p)
                 sides = []
                 for side in (x[at], y[at]):
-                    same = level[side] == p
-                    s = np.empty((len(side), full[p].shape[1] if p in full else half[p + 1].shape[1]), np.uint64)
-                    if same.any():
-                        s[same] = full[p][place[side[same]]]
-                    if not same.all():
-                        s[~same] = half[p + 1][place[side[~same]]]
+                    s = np.empty((len(side), 1 << (p - 6)), np.uint64)
+                    for own in np.unique(level[side]).tolist():
+                        of = level[side] == own
+                        s[of] = at_level(own, p)[place[side[of]]]
                     sides.append(s)
                 differ = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64)
                 at = at[differ * (den + num) <= (n[x[at]] + n[y[at]]) * (den - num)]
@@ -360,13 +364,52 @@ def _near(num: int, den: int, first_only: bool):
     return run, "a long, b long"
 
 
+def _single(docs: DataFrame) -> bool:
+    """Whether no doc_id is repeated; nulls don't count."""
+    return docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id for Jaccard similarity num/den or more of k-word shingles.
 
     Null or empty texts have no shingles and link with nothing. Texts with equal sets are one class. A repeated doc_id
-    is one node and gives a row each; rows with a null doc_id get a null component. An empty table gives no rows."""
-    spark = docs.sparkSession
+    is one node with the links of all its texts and gives a row each; rows with a null doc_id get a null component. An
+    empty table gives no rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if _single(texts):
+        return _classes(texts, k, num, den)
+    rows = written(texts.withColumn("row", F.monotonically_increasing_id()))
+    found = written(_classes(rows.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text"), k, num, den))
+    of = rows.select("row", F.col("doc_id").alias("id")).join(found.withColumnRenamed("doc_id", "row"), "row")
+    least = of.groupBy("component_id").agg(F.min("id").alias("least"))
+    same = components(of.join(least, "component_id").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    done = of.join(same, of["id"] == same["node"], "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return done.unionByName(_unnamed(rows.where("doc_id is null"), k))
+
+
+def first_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of docs without those that near-duplicate another that stays: of each group the row with the smallest
+    doc_id does. Rows with a repeated or null doc_id are rows of their own, so that of repeated rows one stays. Texts
+    without words stay."""
+    if docs.where("doc_id is null").isEmpty() and _single(docs):
+        spare = jaccard_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(spare, docs["doc_id"] == spare["_gone"], "left_anti").select(docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k, num, den)
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("_row").alias("z"))
+    group = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    stays = group.groupBy("component_id").agg(F.min_by("_row", rank).alias("_row")).select("_row")
+    return rows.join(stays, "_row", "left_semi").select(docs.columns)
+
+
+def _unnamed(texts: DataFrame, k: int) -> DataFrame:
+    run, shape = _profile(k)
+    return texts.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(run, shape).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+
+
+def _classes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """jaccard_components of texts in which no doc_id is repeated."""
+    spark = texts.sparkSession
     run, shape = _profile(k)
     unnamed = texts.where("doc_id is null")
     texts = texts.where("doc_id is not null")
@@ -395,7 +438,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     few = lambda ids: ids.count() <= BROADCAST_ROWS
     wanted = checkpointed(cells.select("doc_id").distinct())
     sets = wanted.count()
-    found = written(texts.join(F.broadcast(wanted) if sets <= BROADCAST_ROWS else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = written(texts.join(F.broadcast(wanted) if sets <= BROADCAST_ROWS else wanted, "doc_id", "left_semi"))
     run, shape = _sketch(k)
     sketch = written(found.mapInArrow(run, shape))
 
@@ -441,5 +484,4 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
 
     named = cls.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     done = profile.join(named, ["key_a", "key_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    run, shape = _profile(k)
-    return done.unionByName(unnamed.withColumn("doc_id", F.lit(0)).mapInArrow(run, shape).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    return done.unionByName(_unnamed(unnamed, k))

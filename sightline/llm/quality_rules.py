@@ -1,16 +1,22 @@
-"""Quality rules in DataFrame functions alone: per-document counts and cross-document line frequency."""
+"""Quality rules in DataFrame functions alone: per-document counts and cross-document line frequency.
+
+A host's documents count once each in a line's frequency however often they are copied: exact copies are one document
+here, as else every group of more than LINE_TEXTS copies would lose all of its lines, the clean original with them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SPACE = r"[\x20\x09-\x0D]"
-#: A line of at most so many words (None: of any length) that stands in more than so many different texts of a host is
-#: boilerplate. QUALITY_SQL holds the default; op7 and the pipeline take lines of any length.
-LINE_WORDS, LINE_TEXTS = 20, 25
+#: A line, of any length, that stands in more than so many different documents of a host is boilerplate.
+LINE_TEXTS = 25
 #: A document is depleted if boilerplate holds over this share of its words, in per cent.
 DEPLETED = 80
+#: Hashes of boilerplate lines that are broadcast; more of them are joined, and split by salt.
+BROADCAST_ROWS, SALTS = 1_000_000, 32
 
 
 def words_of(text: Column) -> Column:
@@ -27,72 +33,79 @@ def repeat_words(wins: Column) -> Column:
     return F.when(F.size(F.array_distinct(wins)) == F.size(wins), 0).otherwise(total)
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds words and the base counts of every whole text (null: none) to doc_id, source, text."""
-    d = docs.withColumn("words", words_of(F.col("text")))
-    n = F.size("words")
-    word = lambda i: F.col("words")[i]
-    d = d.withColumn("wins", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("lines", lines)
-    return d.select(
-        "doc_id", "source", F.xxhash64("text").alias("text_key"), n.cast("long").alias("n_words"),
-        (F.char_length("text") - F.regexp_count("text", F.lit(SPACE))).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("wins")).cast("long").alias("n_repeat_words"),
-    )
-
-
-def hashed_lines(docs: DataFrame, line_words: int | None) -> DataFrame:
-    """doc_id, source, text_key, pos, line, n: the hashed normalised lines of 1 to line_words words, or of any number."""
-    d = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    d = d.withColumn("plain", F.trim(F.regexp_replace(F.lower("raw"), SPACE + "+", " "))).where("plain <> ''")
-    d = d.withColumn("n", F.regexp_count("plain", F.lit(" ")) + 1)
-    d = d if line_words is None else d.where(F.col("n") <= line_words)
-    return d.select("doc_id", "source", "text_key", "pos", F.xxhash64(F.regexp_replace("plain", "[0-9]+", "0")).alias("line"), "n")
+def base_counts(text: Column) -> list[tuple[str, Column]]:
+    """Steps of columns, each named, that end in the base counts of a whole text."""
+    n, h = F.size("_words"), F.col("_hashes")
+    wins = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    return [
+        ("_words", words_of(text)), ("_hashes", F.transform("_words", lambda w: F.xxhash64(w))), ("_wins", wins),
+        ("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
+        ("n_words", n.cast("long")), ("word_chars", F.char_length(F.array_join("_words", "")).cast("long")),
+        ("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")),
+        ("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")),
+        ("n_repeat_words", repeat_words(F.col("_wins")).cast("long")),
+    ]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and source without nulls in the last two."""
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-
+    """_row (all columns of docs), _id, _text and _host without nulls, _key of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), text.alias("_text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), F.xxhash64(text).alias("_key"))
 
-def removed_lines(docs: DataFrame, line_words: int | None = LINE_WORDS, line_texts: int = LINE_TEXTS) -> DataFrame:
-    """g_doc, g_source, g_key, removed_at, removed_words: the places (from 0) and words of the boilerplate lines of every
-    text that has any. The host is the source (null: one host of its own). Exact copies count once in a line's frequency."""
-    lines = hashed_lines(keyed(docs), line_words)
-    often = lines.select("source", "line", "text_key").distinct().groupBy("source", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_texts).select("source", "line")
-    gone = lines.join(often, ["source", "line"]).dropDuplicates(["doc_id", "source", "text_key", "pos"])
-    return gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("source").alias("g_source"), F.col("text_key").alias("g_key")).agg(F.collect_list("pos").alias("removed_at"), F.sum("n").alias("removed_words"))
 
-
-def of_text(source: Column, text_key: Column) -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("g_doc")) & (source == F.col("g_source")) & (text_key == F.col("g_key"))
+def removed_lines(docs: DataFrame, line_texts: int = LINE_TEXTS) -> DataFrame:
+    """g_doc, g_host, g_key, removed_at, removed_words: the places (from 0) and words of the boilerplate lines of every
+    text that has any. Lines are lower-cased, white space is one space, digits are one zero. The host is the source
+    (null: one host of its own)."""
+    d = keyed(docs).select("_id", "_host", "_key", F.posexplode(F.split("_text", "\n")).alias("pos", "raw"))
+    d = d.withColumn("plain", F.trim(F.regexp_replace(F.lower("raw"), SPACE + "+", " "))).where("plain <> ''")
+    words = F.char_length("plain") - F.char_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
+    lines = written(d.select("_id", "_host", "_key", "pos", F.xxhash64("_host", F.regexp_replace("plain", "[0-9]+", "0")).alias("line"), words.alias("n")))
+    often = written(lines.select("line", "_key").distinct().groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_texts).select("line"))
+    if often.count() <= BROADCAST_ROWS:
+        gone = lines.join(F.broadcast(often), "line")
+    else:
+        often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        gone = lines.withColumn("salt", F.pmod(F.xxhash64("_id", "_key", "pos"), F.lit(SALTS)).cast("int")).join(often, ["line", "salt"])
+    gone = gone.select("_id", "_host", "_key", "pos", "n").distinct()
+    return gone.groupBy(F.col("_id").alias("g_doc"), F.col("_host").alias("g_host"), F.col("_key").alias("g_key")).agg(F.collect_list("pos").alias("removed_at"), F.sum("n").alias("removed_words"))
+
+
+def rated(docs: DataFrame, gone: DataFrame, depleted: int = DEPLETED, whole: bool = True) -> DataFrame:
+    """_row (the row of docs, or its doc_id alone), the base counts, base_failed, kept, removed_words and removed_at (null:
+    no line) of each row."""
+    d = keyed(docs)
+    for name, column in base_counts(F.col("_text")):
+        d = d.withColumn(name, column)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    d = d.select("_row" if whole else F.struct(F.col("_id").alias("doc_id")).alias("_row"), "_id", "_host", "_key", *counts)
+    d = d.join(gone, F.col("_id").eqNullSafe(F.col("g_doc")) & (F.col("_host") == F.col("g_host")) & (F.col("_key") == F.col("g_key")), "left")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    removed = F.coalesce("removed_words", F.lit(0)).cast("long")
+    d = d.select("_row", *counts, failed.alias("base_failed"), removed.alias("removed_words"), "removed_at")
+    return d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words")))
 
 
-def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with each text rebuilt from the lines, in order, that removed_lines doesn't name; other texts stay as they are."""
-    source, text = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed_at")
-    rebuilt = F.when(F.col("removed_at").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = docs.join(gone, of_text(source, F.xxhash64(text)), "left")
-    return out.select([rebuilt.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+def quality_rules(docs: DataFrame, line_texts: int = LINE_TEXTS, depleted: int = DEPLETED) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, the base counts, base_failed, kept and removed_words, a row each.
 
+    Null and empty texts have no words and fail. Repeated rows give equal rows; a null doc_id stays null; other columns
+    of docs don't matter, whatever their names; an empty table gives no rows."""
+    d = rated(docs, removed_lines(docs, line_texts), depleted, whole=False)
+    return d.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
-def quality_rules(docs: DataFrame, line_words: int | None = LINE_WORDS, line_texts: int = LINE_TEXTS, depleted: int = DEPLETED, gone: DataFrame | None = None) -> DataFrame:
-    """docs (doc_id, text, source) -> the base counts, removed_words, base_failed and kept, a row each.
 
-    gone: removed_lines of docs, where the caller has them. Null and empty texts have no words and fail. Repeated rows give
-    equal rows; an empty table gives no rows."""
-    gone = removed_lines(docs, line_words, line_texts) if gone is None else gone
-    base = base_counts(keyed(docs))
-    out = base.join(gone, of_text(F.col("source"), F.col("text_key")), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", kept.alias("kept"))
+def cleaned(docs: DataFrame, line_texts: int = LINE_TEXTS, depleted: int = DEPLETED) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns; boilerplate lines are cut from the texts and n_chars, if
+    there is one, counts anew. Each row is judged by itself, also where its doc_id is null or repeated."""
+    d = rated(docs, removed_lines(docs, line_texts), depleted).where("kept")
+    lines = F.split("_row.text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed_at")
+    text = F.when(F.col("removed_at").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    d = d.withColumn("_rebuilt", text)
+    own = {"text": F.col("_rebuilt"), "n_chars": F.char_length("_rebuilt")}
+    kinds = docs.schema
+    return d.select([(own[c].cast(kinds[c].dataType) if c in own else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 QUALITY_SQL = rf"""
@@ -102,7 +115,7 @@ v AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] A
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM v) WHERE c > 1),
 t AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest([0, 1, 2]) AS j) GROUP BY 1),
 l AS (SELECT doc_id, source, text, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM d)),
-k AS (SELECT doc_id, source, text, len(string_split(line, ' ')) AS n, regexp_replace(line, '[0-9]+', '0', 'g') AS line FROM l WHERE line <> '' AND len(string_split(line, ' ')) <= {LINE_WORDS}),
+k AS (SELECT doc_id, source, text, len(string_split(line, ' ')) AS n, regexp_replace(line, '[0-9]+', '0', 'g') AS line FROM l WHERE line <> ''),
 o AS (SELECT source, line FROM k GROUP BY 1, 2 HAVING count(DISTINCT text) > {LINE_TEXTS}),
 g AS (SELECT doc_id, sum(n) AS n FROM k JOIN o USING (source, line) GROUP BY 1),
 b AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars,

@@ -1,7 +1,7 @@
 import re
 from itertools import combinations
 
-from sightline.llm.jaccard_join import jaccard_components
+from sightline.llm.jaccard_join import first_of_each, jaccard_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +30,7 @@ def brute(rows, k, num, den):
 def test_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for k, num, den in ((3, 9, 10), (5, 8, 10)):
+    for k, num, den in ((3, 9, 10), (5, 8, 10), (2, 3, 10)):
         assert {tuple(r) for r in jaccard_components(docs, k, num, den).collect()} == brute(rows, k, num, den)
 
 
@@ -41,3 +41,16 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sig", "2 as component")
     assert {tuple(r) for r in jaccard_components(docs, 3, 9, 10).collect()} == brute(rows, 3, 9, 10)
     assert jaccard_components(docs.limit(0)).collect() == []
+
+
+def test_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, "c"), (4, "c"), (None, a), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as _gone", "8 as component_id")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_components(docs, 3, 9, 10).collect()), key=str)
+    assert got == sorted([(1, 38, 1), (1, 38, 1), (2, 39, 1), (3, 39, 1), (4, 1, 4), (4, 1, 4), (0, 38, None), (0, 0, None)], key=str)
+    kept = first_of_each(docs, 3, 9, 10).collect()
+    assert sorted(map(str, (tuple(r)[:2] for r in kept))) == sorted(map(str, [(1, a), (1, b), (4, "c"), (None, None)]))
+    once = docs.where("doc_id = 2 or text = 'c'").dropDuplicates(["doc_id"])
+    assert {r.doc_id for r in first_of_each(once.unionByName(once.selectExpr("doc_id + 10 as doc_id", "text", "_gone", "component_id"))).collect()} == {2, 4}
+    assert first_of_each(docs.limit(0)).collect() == []

@@ -3,8 +3,8 @@ from collections import Counter
 
 import duckdb
 
-from corpus_pipeline import filter_rules
-from sightline.llm.quality_rules import QUALITY_SQL, quality_rules
+from sightline.llm import quality_rules as rules
+from sightline.llm.quality_rules import QUALITY_SQL, cleaned, quality_rules
 from sightline.llm.queries import op7
 
 
@@ -24,12 +24,13 @@ def test_counts_and_sql(spark):
     assert {r.doc_id: tuple(r[1:6]) for r in got} == {d: brute(t) for d, t in text.items()}
     con = duckdb.connect()
     con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
-    assert sorted(map(tuple, got)) == sorted(con.execute(QUALITY_SQL).fetchall())
+    names = ", ".join(got[0].__fields__)
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"select {names} from ({QUALITY_SQL})").fetchall())
 
 
 def test_lines_and_edges(spark):
     body = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, f"Accept 12 cookies {i}\n" * 1 + " ".join(f"x{i}y{j}" for j in range(60)), "a") for i in range(30)]
+    rows = [(i, f"Accept 12 cookies {i}\n" + " ".join(f"x{chr(97 + i % 26)}{chr(97 + i // 26)}y{j}" for j in range(60)), "a") for i in range(30)]
     rows += [(100 + i, "\n".join(f"menu {j}" for j in range(40)) + f"\nend{i}", "b") for i in range(30)]
     rows += [(1000, None, None), (1001, "", "a"), (1002, "a\x0bb c  d\na\x0bb c  d", "a"), (None, body, "c"), (1003, body, "c"), (1003, body, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as line", "2 as n", "3 as words")
@@ -54,12 +55,22 @@ def test_long_lines(spark, tmp_path):
     assert all(not by[d].removed_words and by[d].kept for d, _, _ in rows[60:])  # exact copies count once, 25 texts aren't too many
 
 
-def test_pipeline_drops_boilerplate_lines(spark):
+def test_cleaned_drops_boilerplate_lines(spark):
     own = lambda i, n: " ".join(f"w{chr(97 + i)}{'z' * j}{'xy'[n % 2]}" for j in range(n))
     text = lambda i: f"{own(i, 31)}\nShare  this page {i}\n\n {own(i, 40)}\nshare this page 7"
     clean = lambda i: f"{own(i, 31)}\n\n {own(i, 40)}"
     rows = [(i, "en", text(i % 26), "a", len(text(i % 26))) for i in range(26)] + [(None, "en", text(3), "a", 1), (3, "de", text(3), "a", 1), (50, "en", text(5), "b", len(text(5))), (51, "en", text(6), None, len(text(6))), (52, "en", "short", "a", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string, n_chars long")
-    got = filter_rules(spark, docs, "").collect()
+    docs = docs.unionByName(spark.createDataFrame([(None, "en", "bad row without an id", "a", 3)], docs.schema))
+    got = cleaned(docs).collect()
     want = [(d, x, clean(i), s, len(clean(i))) for (d, x, _, s, _), i in zip(rows[:28], [*range(26), 3, 3], strict=True)] + [tuple(r) for r in rows[28:30]]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_many_boilerplate_lines_are_salted(spark, monkeypatch):
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}w{chr(97 + i // 26)}q{j}" for j in range(60))
+    rows = [(i, f"{own(i)}\nfollow us on all channels\nfollow us on all channels", "a") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, quality_rules(docs).collect()))
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, quality_rules(docs).collect())) == want and want[0][-1] == 10

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
+from sightline.llm import embedding_dedup
 from sightline.llm.embedding_dedup import near_vectors
 from sightline.llm.sentencepiece_codec import Codec, decode_ids, default_model, encode_texts, fields, read_model
 
@@ -45,6 +46,25 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_in_many_cells_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "OCCUPIED", 8)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, [float(c) for c in base[i % 40] * (1 + i % 3) + rng.normal(size=16) * 0.12], i % 2) for i in range(900)] + [(900 + i, [float(c) for c in base[i % 2]], 0) for i in range(50)]
+    link, comp = brute(rows)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(r.n_links <= len(link[r.vec_id]) for r in got) and sum(r.n_links for r in got) >= 0.97 * sum(map(len, link.values()))
+    assert sum(r.component_id == comp[r.vec_id] for r in got) >= 0.98 * len(got)
+
+
+def test_vectors_with_repeated_and_null_ids(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.001, 1.0]
+    rows = [(1, x, 1), (1, y, 1), (2, [2.0, 0.01, 0.0], 1), (3, [0.01, 3.0, 0.0], 1), (4, z, 1), (4, z, 1), (None, x, 1), (5, x, 2), (6, [1.0, 0.0], 1), (7, [], 1)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+
+
 def unigram_model() -> bytes:
     """The model's own bytes with its kind and scores changed, for the library to read."""
 
