@@ -5,13 +5,12 @@ Each stage takes (spark, docs, sf_dir) and its result is written as Parquet and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sightline.llm.common import load, written
-from sightline.llm.jaccard_join import jaccard_components
+from sightline.llm.jaccard_join import first_of_each
 from sightline.llm.ordinal_quality import score_quality
 from sightline.llm.packing import pack
-from sightline.llm.quality_rules import quality_rules, removed_lines, without_lines
+from sightline.llm.quality_rules import cleaned
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,19 +19,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def filter_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their boilerplate lines; a repeated doc_id goes if one of its rows
-    is rejected."""
-    lines = written(removed_lines(docs, line_words=None))
-    rejected = quality_rules(docs, line_words=None, gone=lines).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["gone"]), "left_anti").select(docs.columns)
-    out = without_lines(left, lines)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """Documents that the quality rules keep, without their boilerplate lines; each row is judged by itself."""
+    return cleaned(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, and all rows without an id."""
-    spare = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(spare, docs["doc_id"] == spare["gone"], "left_anti").select(docs.columns)
+    """One document of each near-duplicate group, the one with the smallest id."""
+    return first_of_each(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
