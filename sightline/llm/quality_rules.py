@@ -83,7 +83,8 @@ def rated(docs: DataFrame, gone: DataFrame, depleted: int = DEPLETED, whole: boo
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     d = d.select("_row", *counts, failed.alias("base_failed"), removed.alias("removed_words"), "removed_at")
-    return d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words")))
+    # one condition over both sides of the join: a part of it alone would be pushed below and compute the counts again
+    return d.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(100 * F.col("removed_words") <= depleted * F.col("n_words")))
 
 
 def quality_rules(docs: DataFrame, line_texts: int = LINE_TEXTS, depleted: int = DEPLETED) -> DataFrame:

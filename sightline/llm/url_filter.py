@@ -19,6 +19,8 @@ LOSS, LEAST = 0.01, 20
 # Host and path prefix, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 START = "\u0002"
+#: Tables of short grams up to so many rows are broadcast; grams in more than one of HOT places are looked up apart.
+BROADCAST_ROWS, HOT = 1_000_000, 1000
 
 
 def host_of(url: Column) -> Column:
@@ -38,7 +40,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: int = ORDER, loss: float = LOSS) -> DataFrame:
-    """pages (page_id, url) -> page_id, host, path, rule, score, verdict.
+    """pages (page_id, url) -> page_id, host, path, rule, verdict, score.
 
     A null url has empty host and path and no characters; a url without characters scores 0 and is allowed unless the
     cut is above 0. Repeated rows are judged alike. Without accepted or rejected URLs the scores are 0. An empty table
@@ -55,7 +57,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, orde
     urls = urls.withColumn("grams", grams)
 
     side = F.when((F.col("ruled") == "allow") & (F.coalesce("fold", F.lit(1)) != 0), "a").when((F.col("ruled") == "block") & (F.coalesce("fold", F.lit(1)) != 0), "b")
-    taught = urls.select(side.alias("side"), F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum(F.when(F.col("side") == "a", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == "b", 1).otherwise(0)).alias("b"))
+    taught = urls.select(side.alias("side"), F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum(F.when(F.col("side") == "a", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == "b", 1).otherwise(0)).alias("b"), F.count("*").alias("n"))
     full = written(taught)
 
     scored = full.select("gram").withColumns({"pa": F.lit(1 / ALPHABET), "pb": F.lit(1 / ALPHABET)})
@@ -65,15 +67,22 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, orde
         seen = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
         base = part.groupBy(context.alias("c")).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), seen("a").alias("ta"), seen("b").alias("tb"))
         step = part.withColumn("c", context).join(base, "c")
+        if n <= 3:  # few grams, each the end of very many longer ones
+            step = written(step)
+            step = F.broadcast(step) if step.count() <= BROADCAST_ROWS else step
         scored = scored.withColumn("g", F.substring("gram", width - n + 1, n)).join(step, "g")
         mixed = lambda x: F.when(F.col(f"n{x}") > 0, (F.col(x) + F.col(f"t{x}") * F.col(f"p{x}")) / (F.col(f"n{x}") + F.col(f"t{x}"))).otherwise(F.col(f"p{x}"))  # noqa: E731,B023
         scored = scored.select("gram", mixed("a").alias("pa"), mixed("b").alias("pb"))
     model = written(scored.select("gram", (F.log("pa") - F.log("pb")).alias("ratio")))
+    places = full.agg(F.sum("n")).first()[0] or 0
+    hot = written(full.where(F.col("n") * HOT > places).select("gram").join(model, "gram"))  # fewer than HOT rows
 
     distinct = urls.select("body", "grams").dropDuplicates(["body"]).select("body", F.explode("grams").alias("gram"))
-    sums = distinct.join(model, "gram").groupBy(F.col("body").alias("of")).agg(F.avg("ratio").alias("score"))
+    seldom = distinct.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(model, "gram")
+    ratios = distinct.join(F.broadcast(hot), "gram").unionByName(seldom).select("body", "ratio")
+    sums = ratios.groupBy(F.col("body").alias("of")).agg(F.avg("ratio").alias("score"))
     judged = written(d.join(sums, d["body"] == sums["of"], "left").select("page_id", "host", "path", "rule", "ruled", "fold", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score")))
     held = judged.where("fold = 0 and ruled = 'allow'").agg(F.count("*").alias("n"), F.percentile_approx("score", loss, 10000).alias("cut")).first()
     cut = min(held["cut"], 0.0) if held["n"] >= LEAST else 0.0
     verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return judged.select("page_id", "host", "path", "rule", "score", verdict.alias("verdict"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -51,7 +51,7 @@ def test_stages_against_brute_force(spark):
 
 def test_odd_rows(spark, tmp_path):
     """Null and empty texts, null and repeated ids, a very long text, a column more and no rows at all."""
-    words = lambda s, n: " ".join(f"{s}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(n))
+    words = lambda s, n: " ".join(f"{s}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(n))
     rows = [(1, words("a", 80)), (1, words("a", 80)), (2, words("b", 80)), (None, words("a", 81)), (None, "x"), (3, None), (4, ""), (5, words("c", 60_000)), (6, words("b", 79))]
     docs = spark.createDataFrame([(d, t, "en", None, 0, d) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, line long")
     labels = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (5, None)], "doc_id long, quality int")
