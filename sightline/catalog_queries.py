@@ -40,12 +40,20 @@ def bucketed(spark: SparkSession, d: str) -> str:
     return store.write_buckets(events(spark, d), store.fresh_dir(spark), stamp=DAY)
 
 
+def opened(spark: SparkSession, d: str) -> store.Store:
+    return store.Store(spark, bucketed(spark, d))
+
+
 def ntz(c: str):
     return F.col(c).cast("timestamp_ntz").alias(c)
 
 
-def index_names(e: DataFrame) -> list[str]:
-    return [r[0] for r in e.select("_index").distinct().collect()]
+
+
+ACCESS = """WITH RECURSIVE ro AS (SELECT n_nationkey AS id, 100 + n_regionkey AS parent FROM nation UNION ALL SELECT 100 + r_regionkey, 100 + (r_regionkey + 1) % 5 FROM region),
+up AS (SELECT c_custkey AS user_id, c_nationkey AS role_id, 0 AS k FROM customer UNION ALL SELECT user_id, parent, k + 1 FROM up JOIN ro ON ro.id = up.role_id WHERE k < 2),
+g AS (SELECT user_id, 'evt_click' AS index_name FROM up WHERE role_id = 101 UNION ALL SELECT user_id, 'evt_view' FROM up WHERE role_id = 7 UNION ALL SELECT c_custkey, 'evt_error' FROM customer WHERE c_custkey % 3 = 0)
+SELECT DISTINCT user_id, index_name FROM g"""
 
 
 # ---- search
@@ -53,21 +61,43 @@ def index_names(e: DataFrame) -> list[str]:
 
 @query(f"SELECT _index, count(*) AS n, max(ts) AS last FROM {E} GROUP BY 1")
 def wildcard_count(spark, d):
-    e = events(spark, d)
-    return plan.search(spark, "select _index, count(*) n, cast(max(_time) as timestamp_ntz) last from evt_* group by 1", e, index_names(e))
+    s = opened(spark, d)
+    return plan.search(spark, "select _index, count(*) n, cast(max(_time) as timestamp_ntz) last from evt_* group by 1", s.rows, s.indexes())
 
 
 @query(f"SELECT a._index, count(*) AS n FROM {E} a JOIN (SELECT DISTINCT user_id FROM {E} WHERE _index = 'evt_purchase') b USING (user_id) WHERE a._index = 'evt_click' GROUP BY 1")
 def index_join(spark, d):
-    e = events(spark, d)
-    return plan.search(spark, "select a._index, count(*) n from EVT_Click a join (select distinct user_id from evt_purchase) b on a.user_id = b.user_id group by a._index", e, index_names(e))
+    s = opened(spark, d)
+    return plan.search(spark, "select a._index, count(*) n from EVT_Click a join (select distinct user_id from evt_purchase) b on a.user_id = b.user_id group by a._index", s.rows, s.indexes())
+
 
+IN_RANGE = "min(ts) OVER w <= TIMESTAMP '2024-01-10 12:30:00' AND max(ts) OVER w >= TIMESTAMP '2024-01-09 12:30:00'"
 
-@query("SELECT event_id, ts FROM events WHERE date_trunc('hour', ts) <= TIMESTAMP '2024-01-10 12:30:00' AND date_trunc('hour', ts) + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-09 12:30:00'")
+
+@query(f"SELECT event_id, ts FROM (SELECT *, {IN_RANGE} AS hit FROM events WINDOW w AS (PARTITION BY event_type, date_trunc('day', ts))) WHERE hit")
 def time_pruned_search(spark, d):
-    hour = F.date_trunc("HOUR", "_time")
-    low, high = F.lit("2024-01-09 12:30:00").cast("timestamp"), F.lit("2024-01-10 12:30:00").cast("timestamp")
-    return events(spark, d).where(store.overlaps(hour, hour + F.expr("interval 1 hour"), low, high)).select("event_id", "ts")
+    return opened(spark, d).rows(None, "2024-01-09 12:30:00", "2024-01-10 12:30:00").select("event_id", "ts")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-09 12:30:00' AND TIMESTAMP '2024-01-10 12:30:00' AND event_type IN ('click', 'view')")
+def time_strict_search(spark, d):
+    return opened(spark, d).rows(["EVT_click", "evt_view"], "2024-01-09 12:30:00", "2024-01-10 12:30:00", strict=True).select("event_id", "ts")
+
+
+@query("SELECT e.event_id, count(*) AS buckets FROM events e JOIN (SELECT event_type, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY event_type, date_trunc('day', ts)) b ON b.event_type = e.event_type AND e.ts BETWEEN b.lo AND b.hi GROUP BY 1")
+def bucket_range_join(spark, d):
+    return store.buckets_of(events(spark, d), opened(spark, d).catalog).groupBy("event_id").agg(F.count("*").alias("buckets"))
+
+
+RANGES = {"1h": "1 HOUR", "6h": "6 HOUR", "12h": "12 HOUR", "24h": "24 HOUR", "3d": "3 DAY", "7d": "7 DAY", "14d": "14 DAY", "1m": "1 MONTH", "3m": "3 MONTH", "1y": "1 YEAR"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{r}' AS name, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {i}" for r, i in RANGES.items()) + " UNION ALL SELECT 'ytd', count(*) FROM events WHERE ts >= (SELECT date_trunc('year', max(ts)) FROM events)")
+def relative_ranges(spark, d):
+    e = events(spark, d)
+    now = F.lit(e.agg(F.max("_time").alias("now")).first()["now"])
+    counts = e.agg(*[F.count(F.when(F.col("_time") >= times.range_start(now, r), 1)).alias(r) for r in [*RANGES, "ytd"]])
+    return counts.unpivot([], [*RANGES, "ytd"], "name", "n")
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
@@ -87,16 +117,40 @@ def store_scan(spark, d):
     return store.scan(spark, bucketed(spark, d)).where("value > 50 and event_type <> 'error'").select("event_id", "value")
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def file_glob_scan(spark, d):
-    return store.scan(spark, bucketed(spark, d), "part-*").groupBy("event_type").agg(F.count("*").alias("n"))
+    return store.scan(spark, bucketed(spark, d), "part-*", index="EVT_Click").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND date_trunc('day', ts) = (SELECT min(date_trunc('day', ts)) FROM events WHERE event_type = 'click')")
 def single_file_scan(spark, d):
-    rows = store.scan(spark, bucketed(spark, d))
-    first = rows.where("_index = 'evt_click'").agg(F.min("bucket_start")).first()[0]
-    return rows.where((F.col("_index") == "evt_click") & (F.col("bucket_start") == first)).select("event_id", "event_type")
+    s = opened(spark, d)
+    first = s.catalog.where("index = 'evt_click'").orderBy("start_time", "file_location").first()["file_location"]
+    return spark.read.parquet(first).select("event_id", "event_type")
+
+
+def drifted(spark, d) -> store.Store:
+    """A store whose second half has value as text and another field."""
+    e = events(spark, d)
+    path = store.write_buckets(e.where(F.col("_time") < "2024-01-15").drop("props"), store.fresh_dir(spark), stamp=DAY)
+    store.write_buckets(e.where(F.col("_time") >= "2024-01-15").withColumns({"value": F.col("value").cast("int").cast("string"), "more": F.lit(1)}), path, stamp=DAY)
+    return store.Store(spark, path)
+
+
+@query("SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN props END AS props, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN 1 END AS more, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN CAST(trunc(value) AS BIGINT) ELSE -1 END AS value FROM events")
+def schema_drift_scan(spark, d):
+    e = drifted(spark, d).rows()
+    return e.select("event_id", "props", "more", F.when(F.col("_time") >= "2024-01-15", F.col("value").cast("bigint")).otherwise(-1).alias("value"))
+
+
+@query(f"SELECT _index, count(*) AS n, 1::BIGINT AS broken FROM {E} GROUP BY 1")
+def quarantine_scan(spark, d):
+    """A store with one damaged file: it is moved away and the rest is read."""
+    path = bucketed(spark, d)
+    spark.range(1).select(F.lit("no parquet").alias("value")).coalesce(1).write.mode("append").text(f"{path}/_index=evt_click/bucket_start=20240101")
+    broken = store.quarantine(spark, path)
+    left = store.read_footers(spark, path)
+    return store.Store(spark, path, left).rows().groupBy("_index").agg(F.count("*").alias("n")).withColumn("broken", F.lit(broken.count() - left.where("not ok").count()).cast("bigint"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 300")
@@ -106,13 +160,37 @@ def paged_search(spark, d):
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
 def last_records(spark, d):
-    return plan.last_records(events(spark, d)).select("event_id", "ts")
+    return plan.last_records(events(spark, d), "event_id").select("event_id", "ts")
 
 
 @query(f"SELECT (SELECT count(*) FROM {E} WHERE _index = 'evt_click' AND value > 50) AS returned, (SELECT count(*) FROM {E} WHERE _index = 'evt_click') AS total")
 def result_envelope(spark, d):
-    e = events(spark, d).where("_index = 'evt_click'")
-    return e.agg(F.count(F.when(F.col("value") > 50, 1)).alias("returned"), F.count("*").alias("total"))
+    s = opened(spark, d)
+    got = s.rows(["evt_click"]).where("value > 50").agg(F.count("*").alias("returned"))
+    return got.withColumn("total", F.lit(store.record_total(plan_files(s)).first()[0]).cast("bigint"))
+
+
+def plan_files(s: store.Store) -> DataFrame:
+    return store.prune(s.catalog, ["evt_click"])
+
+
+@query("SELECT count(*)::HUGEINT::BIGINT AS record_count FROM (SELECT *, min(ts) OVER w AS lo FROM events WINDOW w AS (PARTITION BY event_type, date_trunc('day', ts))) WHERE lo >= TIMESTAMP '2024-01-20'")
+def record_totals(spark, d):
+    s = opened(spark, d)
+    return store.record_total(s.catalog, s.catalog.where(F.col("start_time") >= "2024-01-20"))
+
+
+SQL_SEARCH = f"""SELECT kind, n, top FROM (SELECT 'both' AS kind, count(*) AS n, max(value) AS top FROM {E} WHERE _index IN ('evt_click', 'evt_view') UNION ALL
+SELECT x.kind, count(1), max(x.value) FROM (SELECT 'from evt_x' AS kind, value FROM {E} WHERE _index = 'evt_error') x GROUP BY 1) ORDER BY 1 DESC, 2 LIMIT 5"""
+
+
+@query(SQL_SEARCH)
+def sql_surface(spark, d):
+    """UNION ALL, a derived table, ordinals, a quoted name and a literal that looks like a table, paged."""
+    s = opened(spark, d)
+    sql = """select kind, n, top from (select 'both' kind, count(*) n, max(value) top from (select * from `EVT_Click` union all select * from evt_view) b
+      union all select x.kind, count(1), max(x.value) from (select 'from evt_x' kind, value from evt_error limit 100000000) x group by 1) order by 1 desc, 2"""
+    return plan.search(spark, plan.paged_sql(sql, 0, 5), s.rows, s.indexes())
 
 
 # ---- schema
@@ -149,9 +227,19 @@ def zone_harmonised(spark, d):
     return schema.reconcile([a, b]).select("event_id", "value", ntz("ts"))
 
 
-@query("SELECT * FROM (VALUES ('left', 'c_mktsegment', 'string'), ('left', 'c_custkey', 'bigint'), ('left', 'c_name', 'string'), ('left', 'c_nationkey', 'int'), ('left', 'c_acctbal', 'double'), ('right', 's_suppkey', 'bigint'), ('right', 's_name', 'string'), ('right', 's_nationkey', 'int'), ('right', 's_acctbal', 'double')) t(side, field, type)")
+@query("SELECT side, field, type, (SELECT count(*) FROM events WHERE (ts < TIMESTAMP '2024-01-15') = (side = 'left')) AS n FROM (VALUES ('left', 'value', 'double'), ('right', 'value', 'string'), ('right', 'props', 'string'), ('right', 'more', 'int')) t(side, field, type)")
 def schema_difference(spark, d):
-    return schema.schema_difference(table(spark, d, "customer"), table(spark, d, "supplier"))
+    """Fields of the files of two times, as the files have them, with the rows on that side."""
+    c = drifted(spark, d).catalog
+    a, b = c.where("bucket_start < '20240115'"), c.where("bucket_start >= '20240115'")
+    rows = a.agg(F.sum("record_count").alias("n")).withColumn("side", F.lit("left")).unionByName(b.agg(F.sum("record_count").alias("n")).withColumn("side", F.lit("right")))
+    return schema.schema_difference(schema.field_list(a), schema.field_list(b)).join(rows, "side")
+
+
+@query("SELECT event_id, '{\"user_id\":' || user_id || CASE WHEN value > 50 THEN ',\"kind\":\"' || event_type || '\"' ELSE '' END || '}' AS record FROM events")
+def null_fields_dropped(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("value") > 50, F.col("event_type")).alias("kind"))
+    return e.select("event_id", plan.without_null_fields(e.select("user_id", "kind")).alias("record"))
 
 
 # ---- catalog and meta tables
@@ -165,17 +253,24 @@ def catalog_build(spark, d):
     return c.groupBy("index", "bucket_start").agg(F.sum("record_count").alias("record_count"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).select("index", "bucket_start", "record_count", ntz("start_time"), ntz("end_time"))
 
 
-@query(f"SELECT index, count(*) AS buckets, sum(record_count)::BIGINT AS record_count, min(start_time) AS start_time, max(end_time) AS end_time FROM ({BUCKETS}) GROUP BY 1")
+@query(f"SELECT index, count(*) AS buckets, sum(record_count)::BIGINT AS record_count, true AS sized, min(start_time) AS start_time, max(end_time) AS end_time FROM ({BUCKETS}) GROUP BY 1")
 def indexes_meta(spark, d):
-    c = store.build_catalog(spark, bucketed(spark, d)).groupBy("index", "bucket_start").agg(F.sum("record_count").alias("n"), F.min("start_time").alias("lo"), F.max("end_time").alias("hi"))
-    part = c.groupBy("index", F.col("bucket_start").substr(1, 8).alias("day")).agg(F.count("*").alias("b"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return part.groupBy("index").agg(F.sum("b").alias("buckets"), F.sum("n").alias("record_count"), F.min("lo").cast("timestamp_ntz").alias("start_time"), F.max("hi").cast("timestamp_ntz").alias("end_time"))
+    s = opened(spark, d)
+    sql = "select index, buckets, record_count, size > record_count sized, cast(start_time as timestamp_ntz) start_time, cast(end_time as timestamp_ntz) end_time from _indexes"
+    return plan.search(spark, sql, s.rows, s.indexes(), {m: s.meta(m) for m in plan.META})
+
+
+@query(f"SELECT index, count(*) AS buckets, sum(record_count)::BIGINT AS record_count, min(start_time) AS start_time FROM ({BUCKETS}) GROUP BY 1")
+def indexes_merged(spark, d):
+    """Summaries of two stores, early and late days, made apart and merged."""
+    e = events(spark, d)
+    parts = [store.Store(spark, store.write_buckets(e.where(when), store.fresh_dir(spark), stamp=DAY)).meta("_indexes") for when in (F.col("_time") < "2024-01-15", F.col("_time") >= "2024-01-15")]
+    return store.merged_indexes(parts[0].unionByName(parts[1])).select("index", "buckets", "record_count", F.col("start_time").cast("timestamp_ntz").alias("start_time"))
 
 
 @query(f"SELECT DISTINCT _index AS index FROM {E} WHERE ts >= TIMESTAMP '2024-01-20' UNION ALL SELECT * FROM (VALUES ('_indexes'), ('_schema')) t(i)")
 def index_list(spark, d):
-    named = events(spark, d).where(F.col("_time") >= "2024-01-20").select(F.col("_index").alias("index")).distinct()
-    return named.unionByName(spark.createDataFrame([(m,) for m in plan.META], "index string"))
+    return spark.createDataFrame([(n,) for n in [*opened(spark, d).indexes("2024-01-20"), *plan.META]], "index string")
 
 
 @query(f"SELECT index, count(*) AS files FROM (SELECT DISTINCT _index AS index, strftime(ts, '%Y%m%d') AS h FROM {E} WHERE ts >= TIMESTAMP '2024-01-05') GROUP BY 1")
@@ -192,18 +287,16 @@ def catalog_refresh(spark, d):
     return store.refresh_catalog(old, new).groupBy("index").agg(F.countDistinct("bucket_start").alias("files"))
 
 
-@query(f"SELECT _index AS index, 'string' AS event_type, 'double' AS value, 'bigint' AS event_id, count(*) AS buckets FROM (SELECT DISTINCT _index, date_trunc('day', ts) AS h FROM {E}) GROUP BY 1")
+@query(f"SELECT _index AS index, 'string' AS event_type, CASE WHEN h < TIMESTAMP '2024-01-15' THEN 'double' ELSE 'string' END AS value, CASE WHEN h >= TIMESTAMP '2024-01-15' THEN 'int' END AS more, count(*) AS buckets, sum(n)::BIGINT AS events FROM (SELECT _index, date_trunc('day', ts) AS h, count(*) AS n FROM {E} GROUP BY 1, 2) GROUP BY 1, 2, 3, 4")
 def schema_meta(spark, d):
-    path = bucketed(spark, d)
-    c = store.build_catalog(spark, path).select("index", "bucket_start").distinct()
-    fields = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in store.scan(spark, path).schema.fields if f.name in ("event_type", "value", "event_id")], "field string, type string")
-    wide = c.crossJoin(F.broadcast(fields)).groupBy("index", "bucket_start").pivot("field", ["event_type", "value", "event_id"]).agg(F.first("type"))
-    return wide.groupBy("index", "event_type", "value", "event_id").agg(F.count("*").alias("buckets"))
+    s = drifted(spark, d)
+    sql = "select __index index, event_type, value, more, count(distinct _bucket_id) buckets, sum(_count) events from _schema group by 1, 2, 3, 4"
+    return plan.search(spark, sql, s.rows, s.indexes(), {m: s.meta(m) for m in plan.META})
 
 
-@query(f"SELECT _index AS index, count(*) AS record_count FROM {E} GROUP BY ROLLUP (_index)")
+@query(f"SELECT index, count(*) AS files, sum(record_count)::BIGINT AS record_count, true AS sized, 0::BIGINT AS broken FROM ({BUCKETS}) GROUP BY ROLLUP (index)")
 def file_stats(spark, d):
-    return store.read_footers(spark, bucketed(spark, d)).where("ok").rollup("index").agg(F.sum("record_count").alias("record_count"))
+    return store.file_stats(store.read_footers(spark, bucketed(spark, d))).select("index", "files", "record_count", (F.col("raw_mb") >= 0).alias("sized"), "broken")
 
 
 @query("SELECT count(*) AS listed, 0::BIGINT AS flagged FROM (SELECT DISTINCT event_type, date_trunc('day', ts) FROM events)")
@@ -237,6 +330,14 @@ def smart_time(spark, d):
     return written_times(spark, d).select("event_id", ntz("t"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN date_trunc('second', ts) END AS t FROM events")
+def hostile_time(spark, d):
+    """Numbers that are no times: NaN, infinite and far out of range give null and end no job."""
+    bad = F.try_element_at(F.array(*[F.lit(x) for x in ("NaN", "1e400", "9e18", "-9e18")]), (F.col("event_id") % 5 + 1).cast("int"))
+    e = events(spark, d).select("event_id", F.when(F.col("event_id") % 5 == 4, F.unix_timestamp("_time").cast("string")).otherwise(bad).alias("raw"))
+    return e.select("event_id", F.coalesce(times.smart_time(F.col("raw")), times.smart_time(F.when(F.col("event_id") % 5 < 4, F.col("raw")), "unix_ms")).cast("timestamp_ntz").alias("t"))
+
+
 @query(f"SELECT event_id, coalesce(last_value(CASE WHEN {KIND} < 3 THEN date_trunc('second', ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), TIMESTAMP '2024-02-01') AS t FROM events")
 def time_ffill(spark, d):
     return times.filled_times(written_times(spark, d), "t", "user_id", "event_id", F.lit("2024-02-01").cast("timestamp")).select("event_id", ntz("t"))
@@ -250,11 +351,15 @@ def batch_times(spark, d):
 @query("SELECT 'evt_' || event_type AS _index, event_id, value FROM events")
 def row_batches(spark, d):
     e = table(spark, d, "events").withColumn("json", F.to_json(F.struct("event_id", "value")))
-    one = e.groupBy("user_id", F.concat(F.lit("EVT_"), "event_type").alias("index")).agg(F.collect_list("json").alias("events"))
-    payload = one.groupBy("user_id").agg(F.to_json(F.collect_list(F.struct("index", "events"))).alias("payload"))
+    one = e.groupBy("user_id", F.expr(LOT), F.concat(F.lit("EVT_"), "event_type").alias("index")).agg(F.collect_list("json").alias("events"))
+    payload = one.groupBy("user_id", "lot").agg(F.to_json(F.collect_list(F.struct("index", "events"))).alias("payload"))
     return envelopes.row_batches(payload).select("_index", F.get_json_object("event", "$.event_id").cast("bigint").alias("event_id"), F.get_json_object("event", "$.value").cast("double").alias("value"))
 
 
+#: Batches hold the events of a user within a range of ids, 500 at most.
+LOT = "event_id div 500 as lot"
+
+
 def packed(spark, d, columns: str) -> DataFrame:
     return table(spark, d, "events").selectExpr("event_id", "user_id", "event_type", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") as when", columns)
 
@@ -262,15 +367,15 @@ def packed(spark, d, columns: str) -> DataFrame:
 @query("SELECT 'main' AS _index, date_trunc('second', ts) AS t, event_id, 'header' AS event_type FROM events")
 def envelope_rows(spark, d):
     e = packed(spark, d, "1 as one").withColumn("json", F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("when").alias("at"))))
-    box = e.groupBy("user_id").agg(F.collect_list("json").alias("events")).withColumn("header", F.create_map(F.lit("timefield"), F.lit("at"), F.lit("event_type"), F.lit("header")))
+    box = e.groupBy("user_id", F.expr(LOT)).agg(F.collect_list("json").alias("events")).withColumn("header", F.create_map(F.lit("timefield"), F.lit("at"), F.lit("event_type"), F.lit("header")))
     return envelopes.row_envelopes(box).select("_index", F.col("_time").cast("timestamp_ntz").alias("t"), F.col("fields")["event_id"].cast("bigint").alias("event_id"), F.col("fields")["event_type"].alias("event_type"))
 
 
 @query("SELECT 'main' AS _index, date_trunc('second', ts) AS t, event_id, event_type, 'constant' AS source FROM events")
 def envelope_columns(spark, d):
     e = packed(spark, d, "1 as one")
-    box = e.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_id").cast("string").alias("a"), F.col("event_type").alias("b"), F.col("when").alias("c"))).alias("r"))
-    box = box.select(F.create_map(F.lit("source"), F.lit("constant"), F.lit("event_type"), F.lit("header")).alias("header"), F.array(F.lit("event_id"), F.lit("event_type"), F.lit("_time")).alias("columns"), F.array(F.col("r.a"), F.col("r.b"), F.col("r.c")).alias("events"))
+    box = e.groupBy("user_id", F.expr(LOT)).agg(F.collect_list(F.struct(F.col("event_id").cast("string").alias("a"), F.col("event_type").alias("b"), F.col("when").alias("c"))).alias("r"))
+    box = box.select(F.create_map(F.lit("source"), F.lit("constant"), F.lit("event_type"), F.lit("header"), F.lit("timeformat"), F.lit("%Y-%m-%dT%H:%M:%S")).alias("header"), F.array(F.lit("event_id"), F.lit("event_type"), F.lit("_time")).alias("columns"), F.array(F.col("r.a"), F.col("r.b"), F.col("r.c")).alias("events"))
     f = F.col("fields")
     return envelopes.column_envelopes(box).select("_index", F.col("_time").cast("timestamp_ntz").alias("t"), f["event_id"].cast("bigint").alias("event_id"), f["event_type"].alias("event_type"), f["source"].alias("source"))
 
@@ -289,6 +394,14 @@ def bucket_expiry(spark, d):
     return e.groupBy("user_id", F.session_window("_time", "30 minutes").alias("s")).agg(F.count("*").alias("n"), F.min("_time").cast("timestamp_ntz").alias("start_time")).select("user_id", "start_time", "n")
 
 
+@query("SELECT event_type AS index, strftime(ts, '%Y%m%d') AS bucket_start, count(*) AS n FROM events GROUP BY 1, 2, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY < TIMESTAMP '2024-01-20 06:00:00' AND max(ts) < TIMESTAMP '2024-01-19 20:00:00'")
+def expired_buckets(spark, d):
+    """Buckets to close: their end is past by six hours and they had no event for ten."""
+    now = F.lit("2024-01-20 06:00:00").cast("timestamp")
+    b = events(spark, d).groupBy(F.col("_index"), F.window("_time", "1 day").alias("w")).agg(F.count("*").alias("n"), F.max("_time").alias("last"))
+    return compaction.expired(b, F.col("w.end"), F.col("last"), now, "0 hours", "10 hours").select(F.regexp_replace("_index", "^evt_", "").alias("index"), F.date_format("w.start", DAY).alias("bucket_start"), "n")
+
+
 # ---- compaction
 
 FILES = "SELECT event_type AS index, date_trunc('day', ts)::DATE AS day, date_trunc('hour', ts) AS h, 100 * count(*) AS size FROM events GROUP BY 1, 2, 3"
@@ -308,11 +421,29 @@ def compaction_plan(spark, d):
     return compaction.greedy_bins(files, 1500, 5).select("index", "day", "bin", "files", "bytes")
 
 
-@query("SELECT event_id, value FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-03'")
+def compact(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Catalogs before and after the small files of each index and day have become one file."""
+    base, e = store.fresh_dir(spark), events(spark, d)
+    for part in range(2):  # two writes of each day, so that there is something to compact
+        store.write_buckets(e.where((F.hour("_time") < 12) == F.lit(part == 0)), base, stamp=DAY)
+    before = store.saved_catalog(spark, base)
+    bins = compaction.greedy_bins(compaction.candidates(before, 100_000_000), 1_000_000_000, 5)
+    bins.write.parquet(to := store.fresh_dir(spark))
+    bins = spark.read.parquet(to)
+    made = compaction.rewrite(spark, before, bins, store.fresh_dir(spark))
+    return before, compaction.commit(spark, base, before, bins, made)
+
+
+@query("SELECT event_id, value FROM events")
 def compaction_rows(spark, d):
-    path = store.fresh_dir(spark)
-    compaction.rewrite(store.scan(spark, bucketed(spark, d)).where("_index = 'evt_click' and bucket_start < '20240103'"), path)
-    return spark.read.parquet(path).select("event_id", "value")
+    return store.read_files(spark, compact(spark, d)[1]).select("event_id", "value")
+
+
+@query(f"SELECT _index AS index, count(DISTINCT (date_trunc('day', ts), hour(ts) >= 12)) AS files_before, count(DISTINCT date_trunc('day', ts)) AS files_after, count(*) AS rows_after FROM {E} GROUP BY 1")
+def compaction_commit(spark, d):
+    before, after = compact(spark, d)
+    a = before.groupBy("index").agg(F.count("*").alias("files_before"))
+    return a.join(after.groupBy("index").agg(F.count("*").alias("files_after"), F.sum("record_count").alias("rows_after")), "index")
 
 
 @query(f"SELECT index || strftime(h, '%Y%m%d%H') AS file, ((row_number() OVER (ORDER BY h, index) - 1) // 20)::BIGINT AS batch FROM ({FILES})")
@@ -342,14 +473,30 @@ def firehose_route(spark, d):
     return subs.route(events(spark, d), subscribed(spark)).select("stream_id", "event_id")
 
 
-@query("SELECT * FROM (VALUES ('s1'), ('s2')) t(stream_id)")
+@query(f"SELECT a.user_id, s.stream_id FROM (SELECT event_id AS stream_id, 'evt_' || event_type AS index_name FROM events WHERE event_type IN ('click', 'error', 'view') AND value > 90) s JOIN ({ACCESS}) a USING (index_name)")
 def streams_visible(spark, d):
-    return subs.visible(subscribed(spark), ["evt_click"]).select("stream_id")
+    """Streams derived from events, one for each with a high value, as users may see them."""
+    own = table(spark, d, "events").where("event_type in ('click', 'error', 'view') and value > 90")
+    s = own.select(F.col("event_id").alias("stream_id"), F.array(F.concat(F.lit("evt_"), "event_type")).alias("indexes"))
+    return subs.visible(s, access(spark, d)).select("user_id", "stream_id")
 
 
 @query("SELECT event_id FROM events ORDER BY ts, event_id OFFSET 100")
 def stream_replay(spark, d):
-    return subs.replay(events(spark, d), "100", [F.col("_time"), F.col("event_id")]).select("event_id")
+    return subs.replay(events(spark, d), "100", ["_time", "event_id"]).select("event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS k FROM events WHERE ts < TIMESTAMP '2024-01-20') WHERE k > 50 UNION ALL SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def stream_replay_tail(spark, d):
+    """What is there from the 51st row on, then what comes in two more batches."""
+    e, path, base = landed(spark, d)
+    old = e.where(F.col("_time") < "2024-01-20")
+    new = e.where(F.col("_time") >= "2024-01-20")
+    new.where("event_id % 2 = 0").write.mode("append").parquet(path)
+    subs.replay_then_tail(spark, old, path, "50", ["_time", "event_id"], f"{base}/out", f"{base}/state")
+    new.where("event_id % 2 <> 0").write.mode("append").parquet(path)
+    subs.run_available(subs.parquet_stream(spark, e, path), f"{base}/out", f"{base}/state")
+    return spark.read.schema(e.schema).parquet(f"{base}/out/*.parquet").select("event_id")
 
 
 def landed(spark, d, *parts) -> tuple[DataFrame, str, str]:
@@ -377,7 +524,7 @@ def subscription_restore(spark, d):
     return spark.read.parquet(f"{base}/out").select("stream_id", "event_id")
 
 
-@query()
+@query(f"SELECT _index, date_trunc('hour', ts) AS bucket_start, count(*) AS n FROM {E} GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def stream_summary(spark, d):
     e, path, base = landed(spark, d)
     e.write.parquet(path)
@@ -399,17 +546,45 @@ detection: {selection: {"Kind|contains": rcha, "Kind|startswith": pur}}
 ---
 title: no id
 ---
+id: [broken
+---
 id: r3
 title: unmapped
 detection: {selection: {Other: 1}}
+---
+id: r4
+title: Any of two
+level: low
+detection: {selection: {Kind: [click, view], User: [8, 9]}}
+---
+id: r4
+title: Older text of the same id
+level: low
+detection: {selection: {Kind: signup}}
 """
+FIELD_MAP = [("r1", "Kind", "event_type"), ("r1", "User", "user_id"), ("r2", "Kind", "event_type"), ("r4", "Kind", "event_type"), ("r4", "User", "user_id")]
 MAPPING = {"r1": {"Kind": "event_type", "User": "user_id"}, "r2": {"Kind": "event_type"}}
 MATCHED = f"SELECT 'r1' AS rule_id, * FROM {E} WHERE event_type = 'error' AND user_id = 8 UNION ALL SELECT 'r2', * FROM {E} WHERE event_type = 'purchase'"
 
 
+def rule_table(spark) -> DataFrame:
+    """The rules, of equal ids the one whose path comes last."""
+    parts = YAML.split("---\n")
+    return rules.load_rules(spark.createDataFrame([(f"rules/{99 - i:02}.yml", t) for i, t in enumerate(parts)], "path string, value string"))
+
+
 def rule_list(spark) -> list:
-    texts = spark.createDataFrame([(t,) for t in YAML.split("---\n")], "value string")
-    return [r.asDict(recursive=True) for r in rules.load_rules(texts).collect()]
+    return [r.asDict(recursive=True) for r in rule_table(spark).where("id <> 'r4'").collect()]
+
+
+@query(f"SELECT 'r1' AS rule_id, event_id FROM {E} WHERE event_type = 'error' AND user_id = 8 UNION ALL SELECT 'r4', event_id FROM {E} WHERE event_type = 'click' AND user_id IN (8, 9)")
+def rules_bound(spark, d):
+    """Rule, binding and field tables, the last two made here: r4 is bound to one of its two indexes, r2 to none, r1 twice."""
+    all_rules = rule_table(spark)
+    pairs = spark.createDataFrame([("r1", "EVT_error"), ("r1", "evt_error"), ("r4", "evt_click"), ("r9", "evt_view")], "rule_id string, index_id string")
+    bound = rules.bind(all_rules, pairs)
+    maps = rules.mappings(spark.createDataFrame(FIELD_MAP, "rule_id string, rule_field string, index_field string"))
+    return rules.match_bound(events(spark, d), [r.asDict(recursive=True) for r in all_rules.collect()], maps, bound).select("rule_id", "event_id")
 
 
 @query(f"SELECT rule_id, event_id FROM ({MATCHED})")
@@ -423,9 +598,11 @@ def rule_exec_log(spark, d):
     return rules.executions(m, ["event_id", "user_id"], ["_time", "event_id"])
 
 
-@query(f"SELECT 'alerts_rule_' || rule_id AS _index, ts, rule_id, 'rule' AS alert_type FROM ({MATCHED})")
+@query(f"""SELECT 'alerts_rule_' || rule_id AS _index, ts, rule_id, _index AS index_id, CASE rule_id WHEN 'r1' THEN 'event_type equals error AND user_id equals 8' ELSE 'event_type contains rcha AND event_type startswith pur' END AS query,
+event_type AS matched_kind, 'Rule matched: ' || CASE rule_id WHEN 'r1' THEN 'Errors of user 8' ELSE 'Text' END AS message, 'rule' AS alert_type FROM ({MATCHED})""")
 def rule_alerts(spark, d):
-    return rules.alerts(rules.match(events(spark, d), rule_list(spark), MAPPING)).select("_index", F.col("_time").cast("timestamp_ntz").alias("ts"), "rule_id", "alert_type")
+    found = rules.alerts(rules.match(events(spark, d), rule_list(spark), MAPPING), rule_list(spark), MAPPING)
+    return found.select("_index", F.col("_time").cast("timestamp_ntz").alias("ts"), "rule_id", "index_id", "query", F.col("matched_fields")["event_type"].alias("matched_kind"), "message", "alert_type")
 
 
 @query(f"SELECT rule_id, event_id FROM ({MATCHED})")
@@ -444,12 +621,6 @@ def rule_schedule(spark, d):
 
 # ---- access, audit, history
 
-ACCESS = """WITH RECURSIVE ro AS (SELECT n_nationkey AS id, 100 + n_regionkey AS parent FROM nation UNION ALL SELECT 100 + r_regionkey, 100 + (r_regionkey + 1) % 5 FROM region),
-up AS (SELECT c_custkey AS user_id, c_nationkey AS role_id, 0 AS k FROM customer UNION ALL SELECT user_id, parent, k + 1 FROM up JOIN ro ON ro.id = up.role_id WHERE k < 2),
-g AS (SELECT user_id, 'evt_click' AS index_name FROM up WHERE role_id = 101 UNION ALL SELECT user_id, 'evt_view' FROM up WHERE role_id = 7 UNION ALL SELECT c_custkey, 'evt_error' FROM customer WHERE c_custkey % 3 = 0)
-SELECT DISTINCT user_id, index_name FROM g"""
-
-
 def access(spark, d) -> DataFrame:
     roles = table(spark, d, "nation").selectExpr("n_nationkey as id", "100 + n_regionkey as parent_id").unionByName(table(spark, d, "region").selectExpr("100 + r_regionkey as id", "100 + (r_regionkey + 1) % 5 as parent_id"))
     c = table(spark, d, "customer")
@@ -464,10 +635,37 @@ def effective_access(spark, d):
     return access(spark, d).where("can_read").select("user_id", "index_name")
 
 
-@query(f"SELECT a.user_id, e._index, count(*) AS n FROM ({ACCESS}) a JOIN {E} e ON e._index = a.index_name WHERE a.user_id <= 20 GROUP BY 1, 2")
+@query(f"SELECT a.user_id, e._index, e.n FROM ({ACCESS}) a JOIN (SELECT _index, count(*) AS n FROM {E} GROUP BY 1) e ON e._index = a.index_name")
 def visible_events(spark, d):
     sizes = events(spark, d).groupBy("_index").agg(F.count("*").alias("n"))
-    return access(spark, d).where("can_read and user_id <= 20").join(sizes, F.col("index_name") == F.col("_index")).select("user_id", "_index", "n")
+    return access(spark, d).where("can_read").join(sizes, F.col("index_name") == F.col("_index")).select("user_id", "_index", "n")
+
+
+@query(f"""WITH a AS (SELECT user_id, index_name, true AS can_read, false AS can_write FROM ({ACCESS}) UNION ALL SELECT c_custkey, i, true, true FROM customer, (SELECT DISTINCT _index AS i FROM {E}) WHERE c_custkey % 50 = 0
+UNION ALL SELECT c_custkey, m, true, false FROM customer, (VALUES ('_indexes'), ('_schema')) t(m)) SELECT user_id, index_name, bool_or(can_read) AS can_read, bool_or(can_write) AS can_write FROM a GROUP BY 1, 2""")
+def full_access(spark, d):
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return plan.full_access(access(spark, d), users, users.where("user_id % 50 = 0"), opened(spark, d).indexes()).select("user_id", "index_name", "can_read", "can_write")
+
+
+@query(f"SELECT user_id, index_name FROM ({ACCESS}) JOIN (SELECT DISTINCT _index FROM {E} WHERE ts >= TIMESTAMP '2024-01-29') ON _index = index_name")
+def user_indexes(spark, d):
+    """Indexes that each user can read and that have events in the window."""
+    have = store.prune(opened(spark, d).catalog, None, "2024-01-29").select(F.col("index").alias("index_name")).distinct()
+    return access(spark, d).where("can_read").join(have, "index_name", "left_semi").select("user_id", "index_name")
+
+
+@query(f"SELECT _index, count(*) AS n FROM {E} WHERE _index IN (SELECT index_name FROM ({ACCESS}) WHERE user_id = 3) GROUP BY 1 ORDER BY 1 LIMIT 10")
+def search_as_user(spark, d):
+    """A wildcard search finds what the user may read only."""
+    return plan.search_as(spark, "select _index, count(*) n from evt_* group by 1 order by 1", opened(spark, d), 3, access(spark, d), number=0, size=10)
+
+
+@query("SELECT c_custkey AS user_id, 'evt_' || e.event_type AS index_name FROM customer c JOIN (SELECT DISTINCT event_type FROM events) e ON e.event_type = CASE c_custkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' END")
+def existing_permissions(spark, d):
+    kind = F.when(F.col("c_custkey") % 3 == 0, "click").when(F.col("c_custkey") % 3 == 1, "view").otherwise("nosuch")
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("evt_"), kind).alias("index_name"))
+    return plan.existing_permissions(wanted, opened(spark, d).catalog)
 
 
 CLIENT = "CASE event_id % 4 WHEN 0 THEN '10.0.0.' || user_id WHEN 1 THEN '10.1.0.' || user_id WHEN 2 THEN 'peer' ELSE 'unknown' END"
@@ -476,10 +674,16 @@ CLIENT = "CASE event_id % 4 WHEN 0 THEN '10.0.0.' || user_id WHEN 1 THEN '10.1.0
 @query(f"SELECT {CLIENT} AS ip_address, (event_id % 5 < 4) AS success, count(*) AS n FROM events GROUP BY 1, 2")
 def audit_client_ip(spark, d):
     e = table(spark, d, "events").selectExpr("if(event_id % 4 = 0, '10.0.0.' || user_id, '') as real_ip", "if(event_id % 4 = 1, ' 10.1.0.' || user_id || ', 1.1.1.1', null) as forwarded", "if(event_id % 4 = 2, 'peer', null) as host", "100 * (event_id % 5) + 1 as status_code")
-    ip = F.coalesce(F.nullif("real_ip", F.lit("")), F.nullif(F.trim(F.split("forwarded", ",")[0]), F.lit("")), "host", F.lit("unknown"))
+    ip = plan.client_ip(F.col("real_ip"), F.col("forwarded"), F.col("host"))
     return e.groupBy(ip.alias("ip_address"), (F.col("status_code") < 400).alias("success")).agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT ts, user_id, 'GET /' || event_type AS action, (event_id % 5 < 4) AS success, {CLIENT} AS ip_address, '{{\"status_code\":' || (100 * (event_id % 5) + 1) || ',\"path\":\"/' || event_type || '\"}}' AS details FROM events")
+def audit_rows(spark, d):
+    e = table(spark, d, "events").selectExpr("cast(ts as timestamp) as time", "user_id", "'get' as method", "'/' || event_type as path", "cast(100 * (event_id % 5) + 1 as int) as status_code", "if(event_id % 4 = 0, '10.0.0.' || user_id, '') as real_ip", "if(event_id % 4 = 1, ' 10.1.0.' || user_id || ', 1.1.1.1', null) as forwarded", "if(event_id % 4 = 2, 'peer', null) as host")
+    return plan.audit_rows(e).select(ntz("_time").alias("ts"), "user_id", "action", "success", "ip_address", "details")
+
+
 HISTORY = "SELECT user_id, event_type AS query, max(ts) AS last_used, count(*) AS times_used FROM events GROUP BY 1, 2"
 
 
@@ -492,6 +696,15 @@ def history_upsert(spark, d):
     return history(spark, d).orderBy(F.desc("last_used"))
 
 
+@query(HISTORY)
+def history_merge(spark, d):
+    """A history of the first days, with the log of the later ones taken in."""
+    e = table(spark, d, "events")
+    early, late = e.where("ts < timestamp_ntz '2024-01-15'"), e.where("ts >= timestamp_ntz '2024-01-15'")
+    old = early.groupBy("user_id", F.col("event_type").alias("query")).agg(F.max("ts").alias("last_used"), F.count("*").alias("times_used"))
+    return plan.merged_history(old, late.select("user_id", F.col("event_type").alias("query"), F.col("ts").alias("used_at")))
+
+
 @query(f"SELECT * FROM ({HISTORY}) WHERE contains(query, 'cli')")
 def history_search(spark, d):
     return history(spark, d).where(F.contains(F.lower("query"), F.lower(F.lit("CLI")))).orderBy(F.desc("last_used"))

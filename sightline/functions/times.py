@@ -31,21 +31,38 @@ def pattern_of(timeformat: str) -> str:
     return out
 
 
+def seconds_time(number: Column) -> Column:
+    """Timestamp of epoch seconds; null for what isn't finite or lies outside the years 1 to 9999."""
+    fine = (number >= -62135596800.0) & (number < 253402300800.0)  # false for NaN, which is greater than all
+    return F.when(fine, F.timestamp_micros(F.round(F.when(fine, number).otherwise(0.0) * 1e6).cast("bigint")))
+
+
 def smart_time(value: Column, timeformat: str | None = None) -> Column:
-    """Timestamp of text: epoch seconds for numbers, milliseconds for unix_ms, ISO 8601, or the given format; else null."""
+    """Timestamp of text: epoch seconds for numbers, milliseconds for unix_ms, ISO 8601, or the given format; else null.
+    No value raises: NaN, infinite and out-of-range numbers give null."""
     kind = (timeformat or "").lower()
     text = F.trim(value.cast("string"))
     number = text.try_cast("double")
     if kind in ("unix_ms", "unixms"):
-        return F.timestamp_millis(number.try_cast("bigint"))
+        return seconds_time(number / 1000)
     if kind in ("unix", "epoch"):
-        return number.cast("timestamp")
-    iso = F.coalesce(F.try_to_timestamp(F.when(~text.rlike(r"^\d{5,}$"), text)), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss")), F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd"))), number.cast("timestamp"))
+        return seconds_time(number)
+    iso = F.coalesce(F.try_to_timestamp(F.when(~text.rlike(r"^\d{5,}$"), text)), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss")), F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd"))), seconds_time(number))
     if not kind or kind in NAMED:
         return iso
     return F.try_to_timestamp(text, F.lit(pattern_of(timeformat)))
 
 
+def time_by_format(value: Column, timeformat: Column, formats: list[str]) -> Column:
+    """smart_time by a format that stands in the row: a named one or one of `formats`; another gives null, none ISO 8601."""
+    kind = F.lower(F.coalesce(timeformat, F.lit("")))
+    out = F.when(kind.isin("unix_ms", "unixms"), smart_time(value, "unix_ms")).when(kind.isin("unix", "epoch"), smart_time(value, "unix"))
+    out = out.when((kind == "") | kind.isin(*NAMED), smart_time(value))
+    for f in formats:
+        out = out.when(timeformat == f, smart_time(value, f))
+    return out
+
+
 def filled_times(df: DataFrame, time: str, batch: str, position: str, ingest: Column) -> DataFrame:
     """Null times take the last good one before them in the batch, leading ones the ingestion time."""
     w = W.partitionBy(batch).orderBy(position).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 
 def candidates(catalog: DataFrame, threshold: int) -> DataFrame:
     """Small files of (index, day) groups that have two or more."""
@@ -29,14 +33,47 @@ def fixed_batches(files: DataFrame, size: int, *order: Column) -> DataFrame:
     return files.withColumn("batch", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size).cast("long"))
 
 
-def rewrite(df: DataFrame, path: str, files: int = 1) -> int:
-    """Write the rows of a bin to few files in a staged folder and check that none is lost; returns the row count."""
-    before = df.count()
-    df.repartition(files).write.mode("overwrite").option("compression", "snappy").parquet(path)
-    after = df.sparkSession.read.parquet(path).count()
+def rewrite(spark: SparkSession, catalog: DataFrame, bins: DataFrame, to: str) -> DataFrame:
+    """Write the rows of all bins, each as one file, into the store folder `to`, and check that none is lost. Returns the
+    catalog of the new files. Files whose fields differ are brought to one schema first; unreadable ones aren't in the
+    catalog, so they stay where they are."""
+    of = bins.select("index", "day", "bin", F.explode("paths").alias("file_location"))
+    files = catalog.join(of.select("file_location"), "file_location", "left_semi")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    rows = store.read_files(spark, files, name="_file")
+    deal = of.select(plain(F.col("file_location")).alias("_file"), "bin", F.date_format("day", "yyyyMMdd").alias("_day"))
+    rows = rows.withColumn("_file", plain(F.col("_file"))).join(deal, "_file")
+    rows.drop("_file", "bucket_start").withColumn("bucket_start", F.col("_day")).repartition("_index", "_day", "bin").drop("_day", "bin").write.partitionBy("_index", "bucket_start").option("compression", "snappy").parquet(to)
+    made = store.saved_catalog(spark, to)
+    before, after = (c.agg(F.sum("record_count")).first()[0] or 0 for c in (files, made))
     if before != after:
         raise ValueError(f"{before} rows before, {after} after")
-    return after
+    return made
+
+
+def commit(spark: SparkSession, path: str, catalog: DataFrame, bins: DataFrame, made: DataFrame) -> DataFrame:
+    """Publish a rewrite: the new catalog, old files' rows replaced, is written as one table of the store, whose commit is
+    the point at which readers change over; then the old files are set aside as .old. Returns the new catalog."""
+    old = bins.select(F.explode("paths").alias("file_location"))
+    now = catalog.join(old, "file_location", "left_anti").unionByName(made)
+    to = f"{path.rstrip('/')}/_catalog/{uuid.uuid4().hex}"
+    now.write.parquet(to)
+
+    def aside(batches):
+        for b in batches:
+            for name in b["file_location"]:
+                fs, p = store._opened(name)
+                if fs.get_file_info(p).is_file:  # a task that runs again finds it gone
+                    fs.move(p, f"{p}.old")
+            yield b
+
+    old.mapInPandas(aside, "file_location string").write.format("noop").mode("overwrite").save()
+    return spark.read.parquet(to)
+
+
+def expired(buckets: DataFrame, end: Column, last: Column, now: Column, after: str, idle: str) -> DataFrame:
+    """Buckets to close: over for longer than `after`, and without an event for longer than `idle`."""
+    return buckets.where((end < now - F.expr(f"interval {after}")) & (last < now - F.expr(f"interval {idle}")))
 
 
 def packed_name(low: Column, high: Column, now: Column) -> Column:

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RULE = "id string, title string, level string, fields array<struct<field:string,op:string,value:string>>"
+RULE = "id string, title string, level string, fields array<struct<field:string,op:string,values:array<string>>>"
+SCHEDULE = "*/10 * * * *"
 
 
 def load_rules(texts: DataFrame) -> DataFrame:
-    """(value: YAML text) -> rules; texts without id are skipped, of equal ids the last path wins."""
+    """(value: YAML text, and path where known) -> rules; texts without id and texts that aren't YAML are skipped, of
+    equal ids the last path wins (without paths the last text in order)."""
 
     def parse(batches):
         import pandas as pd
@@ -20,15 +22,41 @@ def load_rules(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = []
-            for t in b["value"]:
-                rule = yaml.safe_load(t) or {}
-                if rule.get("id"):
+            for path, t in zip(b["path"], b["value"], strict=True):
+                try:
+                    rule = yaml.safe_load(t)
+                except yaml.YAMLError:
+                    continue
+                if isinstance(rule, dict) and rule.get("id"):
                     picked = (rule.get("detection") or {}).get("selection") or {}
-                    fields = [{"field": k.split("|")[0], "op": (k.split("|") + ["equals"])[1], "value": str(v)} for k, v in picked.items()]
-                    rows.append((str(rule["id"]), rule.get("title"), rule.get("level"), fields))
-            yield pd.DataFrame(rows, columns=["id", "title", "level", "fields"])
+                    fields = [{"field": k.split("|")[0], "op": (k.split("|") + ["equals"])[1], "values": [str(x) for x in (v if isinstance(v, list) else [v])]} for k, v in picked.items()]
+                    rows.append((path, str(rule["id"]), rule.get("title"), rule.get("level"), fields))
+            yield pd.DataFrame(rows, columns=["path", "id", "title", "level", "fields"])
 
-    return texts.mapInPandas(parse, RULE)
+    path = F.col("path") if "path" in texts.columns else F.col("value")
+    all_rules = texts.select(path.alias("path"), "value").mapInPandas(parse, f"path string, {RULE}")
+    return all_rules.groupBy("id").agg(F.max_by(F.struct("title", "level", "fields"), "path").alias("r")).select("id", "r.*")
+
+
+def bind(rules: DataFrame, indexes: DataFrame, schedule: str = SCHEDULE) -> DataFrame:
+    """Rules (id) and (rule_id, index_id) pairs -> rule_index: rule_id, index_id, schedule, enabled; pairs of unknown rules
+    are left out, a pair given twice is one."""
+    known = rules.select(F.col("id").alias("rule_id"))
+    return indexes.select("rule_id", F.lower("index_id").alias("index_id")).distinct().join(known, "rule_id", "left_semi").select("*", F.lit(schedule).alias("schedule"), F.lit(True).alias("enabled"))
+
+
+def mappings(field_map: DataFrame) -> dict[str, dict[str, str]]:
+    """field_map (rule_id, rule_field, index_field), a table made by hand, by rule."""
+    out: dict[str, dict[str, str]] = {}
+    for r in field_map.collect():
+        out.setdefault(r["rule_id"], {})[r["rule_field"]] = r["index_field"]
+    return out
+
+
+def match_bound(df: DataFrame, rules: list, maps: dict[str, dict[str, str]], rule_index: DataFrame) -> DataFrame:
+    """match, each rule on the indexes it is bound to, where the binding is enabled."""
+    pairs = rule_index.where("enabled").select("rule_id", F.col("index_id").alias("_index"))
+    return match(df, rules, maps).join(F.broadcast(pairs), ["rule_id", "_index"], "left_semi")  # bindings are made by hand
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -36,15 +64,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def predicate(df: DataFrame, fields: list, mapping: dict[str, str]) -> Column | None:
-    """AND over mapped fields; unmapped ones are dropped; none mapped gives None."""
+    """AND over mapped fields, OR over a field's values; unmapped ones are dropped; none mapped gives None."""
     kinds, parts = dict(df.dtypes), []
     for f in fields:
         name = mapping.get(f["field"])
         if name is None:
             continue
         c = F.col(f"`{name}`")
-        text = {"contains": c.cast("string").contains(f["value"]), "startswith": c.cast("string").startswith(f["value"]), "endswith": c.cast("string").endswith(f["value"])}
-        parts.append(text[f["op"]] if f["op"] in text else c == F.lit(f["value"]).try_cast(kinds[name]))
+        text = c.cast("string")
+        tests = {"contains": text.contains, "startswith": text.startswith, "endswith": text.endswith}
+        test = tests.get(f["op"], lambda v, c=c, kind=kinds[name]: c == F.lit(v).try_cast(kind))
+        parts.append(reduce(lambda a, b: a | b, [test(v) for v in f["values"]], F.lit(False)))
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
@@ -57,16 +87,31 @@ def match(df: DataFrame, rules: list, mappings: dict[str, dict[str, str]]) -> Da
 
 
 def executions(matches: DataFrame, shown: list[str], order: list, sample: int = 5) -> DataFrame:
-    """rule_id, num_rows and the shown columns of the first rows as JSON lines."""
+    """rule_id, num_rows and the shown columns of the first rows as JSON lines. Counts are plain partial sums; only a
+    partition's first rows of each rule are ranked."""
     body = F.to_json(F.struct(*shown))
-    ranked = matches.withColumn("_json", body).withColumn("_rank", F.row_number().over(W.partitionBy("rule_id").orderBy(*order)))
-    return ranked.groupBy("rule_id").agg(F.count("*").alias("num_rows"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_rank") <= sample, F.struct("_rank", "_json")))), lambda x: x["_json"]), "\n").alias("result_data"))
+    counts = matches.groupBy("rule_id").agg(F.count("*").alias("num_rows"))
+    first = matches.withColumn("_json", body).withColumn("_rank", F.row_number().over(W.partitionBy("rule_id").orderBy(*order))).where(F.col("_rank") <= sample)
+    lines = first.groupBy("rule_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "_json"))), lambda x: x["_json"]), "\n").alias("result_data"))
+    return counts.join(lines, "rule_id")
 
 
 def not_yet_run(due: DataFrame, log: DataFrame) -> DataFrame:
     return due.join(log, ["rule_id", "run_at"], "left_anti")
 
 
-def alerts(matches: DataFrame) -> DataFrame:
+def described(rule: dict, mapping: dict[str, str]) -> str:
+    """A rule's condition as text."""
+    return " AND ".join(f"{mapping[f['field']]} {f['op']} {' | '.join(f['values'])}" for f in rule["fields"] if f["field"] in mapping)
+
+
+def alerts(matches: DataFrame, rules: list, maps: dict[str, dict[str, str]]) -> DataFrame:
+    """Alert events: _index, _time, rule_id, index_id, query, matched_fields, raw_event, message, alert_type."""
     body = [c for c in matches.columns if c != "rule_id"]
-    return matches.select(F.concat(F.lit("alerts_rule_"), "rule_id").alias("_index"), "_time", "rule_id", F.to_json(F.struct(*body)).alias("raw_event"), F.lit("rule").alias("alert_type"))
+    text = {r["id"]: (described(r, maps.get(r["id"], {})), r["title"] or "", sorted({maps[r["id"]][f["field"]] for f in r["fields"] if f["field"] in maps.get(r["id"], {})})) for r in rules}
+    pick = lambda f, kind: reduce(lambda out, i: F.when(F.col("rule_id") == i, f(text[i])).otherwise(out), text, F.lit(None).cast(kind))
+    fields = pick(lambda x: F.map_from_arrays(F.array(*[F.lit(c) for c in x[2]]).cast("array<string>"), F.array(*[F.col(f"`{c}`").cast("string") for c in x[2]]).cast("array<string>")), "map<string,string>")
+    return matches.select(
+        F.concat(F.lit("alerts_rule_"), "rule_id").alias("_index"), "_time", "rule_id", F.col("_index").alias("index_id"), pick(lambda x: F.lit(x[0]), "string").alias("query"), fields.alias("matched_fields"),
+        F.to_json(F.struct(*body)).alias("raw_event"), F.concat(F.lit("Rule matched: "), pick(lambda x: F.lit(x[1]), "string")).alias("message"), F.lit("rule").alias("alert_type"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,14 +34,6 @@ def reconcile(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [cast_to(f, schema) for f in frames])
 
 
-def read_reconciled(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Union of Parquet files whose schemas differ: files of one schema are read together, then cast."""
-    groups: dict[str, list[str]] = {}
-    for p in paths:
-        groups.setdefault(spark.read.parquet(p).schema.json(), []).append(p)
-    return reconcile([spark.read.schema(T.StructType.fromJson(__import__("json").loads(s))).parquet(*p) for s, p in groups.items()])
-
-
 def promote_union(frames: list[DataFrame]) -> DataFrame:
     """Union by name; missing columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -55,11 +47,14 @@ def align_to_first(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, [f.select([F.col(f"`{x.name}`").cast(x.dataType) for x in first.fields]) for f in frames])
 
 
+def field_list(catalog: DataFrame) -> DataFrame:
+    """(field, type) rows of a catalog's files, as their footers have them."""
+    return catalog.select(F.explode("fields").alias("field", "type")).distinct()
+
+
 def schema_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(side, field, type) of fields that only one of two frames has."""
-    spark = a.sparkSession
-    x, y = (spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "field string, type string") for df in (a, b))
-    return x.exceptAll(y).select(F.lit("left").alias("side"), "*").unionByName(y.exceptAll(x).select(F.lit("right").alias("side"), "*"))
+    """(side, field, type) of fields that only one of two (field, type) lists has."""
+    return a.exceptAll(b).select(F.lit("left").alias("side"), "*").unionByName(b.exceptAll(a).select(F.lit("right").alias("side"), "*"))
 
 
 def without_null_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:

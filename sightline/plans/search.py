@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,28 +37,72 @@ def matching(names: list[str], token: str) -> list[str]:
     return [n for n in names if pattern.fullmatch(n) and n not in META]
 
 
-def register(spark: SparkSession, store: DataFrame, names: list[str]) -> None:
-    """A view per index over the one partitioned table."""
-    for n in names:
-        store.where(F.col("_index") == n.lower()).createOrReplaceTempView(n)
-
-
-def search(spark: SparkSession, sql: str, store: DataFrame, names: list[str]) -> DataFrame:
-    """SQL over index names; FROM and JOIN tokens with * scan all matching indexes. Unknown tables are left alone."""
-    names = [n for n in names if n not in META]
-    used = [t for t in re.findall(r"(?i)\b(?:from|join)\s+([\w*]+)", sql)]
-    known = [n for n in names if any(n.lower() == t.lower() for t in used)]
-    register(spark, store, known)
-    for token in {t for t in used if "*" in t}:
-        found = matching(names, token)
-        if not found:
-            raise ValueError(f"no index matches {token}")
-        view = "_all_" + re.sub(r"\W", "_", token)
-        store.where(F.col("_index").isin([n.lower() for n in found])).createOrReplaceTempView(view)
-        sql = re.sub(rf"(?i)\b(from|join)(\s+){re.escape(token)}(?![\w*])", rf"\1\2{view}", sql)
-    if not known and not any("*" in t for t in used) and not any(spark.catalog.tableExists(t) for t in used):
-        raise ValueError("no known index")
-    return spark.sql(sql)
+_APART = re.compile(r"'(?:[^'\\\\]|\\\\.|'')*'|--[^\n]*|/\*.*?\*/", re.S)
+_TABLE = re.compile(r"""(?i)\b(from|join)(\s+)(`[^`]+`|"[^"]+"|[\w*]+)(?![\w.*(])""")
+_ALIAS = re.compile(r"(?i)\s+(?:as\s+)?(?!(?:as|where|group|order|having|limit|offset|union|intersect|except|join|inner|left|right|full|cross|semi|anti|natural|on|using|window|lateral|tablesample)\b)([a-z_`]\w*)")
+
+
+def code_of(sql: str) -> tuple[str, list[str]]:
+    """The statement with string literals and comments taken out, each leaving a mark, and what was taken."""
+    taken = []
+
+    def out(m: re.Match) -> str:
+        taken.append(m[0])
+        return f"\0{len(taken) - 1}\0"
+
+    return _APART.sub(out, sql), taken
+
+
+def search(spark: SparkSession, sql: str, store: DataFrame | Callable[[list[str]], DataFrame], names: list[str], meta: dict[str, DataFrame] | None = None) -> DataFrame:
+    """SQL over index names, quoted or not and in any case; names with * scan all matching indexes. store: one table of
+    all indexes, or a function of index names. Unknown tables are left alone; no known one at all is an error. The views
+    are made for this statement and dropped once Spark has resolved it."""
+    meta, views = meta or {}, []
+    rows = store if callable(store) else lambda which: store.where(F.col("_index").isin(which))
+    code, taken = code_of(sql)
+    by_name = {n.lower(): n for n in names if n not in META}
+    known = False
+
+    def view(frame: DataFrame) -> str:
+        views.append(f"_index_{uuid.uuid4().hex}")
+        frame.createOrReplaceTempView(views[-1])
+        return views[-1]
+
+    def put(m: re.Match) -> str:
+        nonlocal known
+        token = m[3].strip('`"')
+        if "*" in token:
+            found = matching(names, token)
+            if not found:
+                raise ValueError(f"no index matches {token}")
+            frame = rows([n.lower() for n in found])
+        elif token.lower() in meta:
+            frame = meta[token.lower()]
+        elif token.lower() in by_name:
+            frame = rows([token.lower()])
+        else:
+            known = known or spark.catalog.tableExists(token)
+            return m[0]
+        known = True
+        alias = "" if _ALIAS.match(code, m.end()) or "*" in token else f" AS `{token}`"
+        return f"{m[1]}{m[2]}{view(frame)}{alias}"
+
+    text = _TABLE.sub(put, code)
+    try:
+        if not known:
+            raise ValueError("no known index")
+        return spark.sql(re.sub(r"\0(\d+)\0", lambda m: taken[int(m[1])], text))
+    finally:
+        for v in views:
+            spark.catalog.dropTempView(v)
+
+
+def search_as(spark: SparkSession, sql: str, store, user, access: DataFrame, low=None, high=None, number: int | None = None, size: int = 100) -> DataFrame:
+    """search for one user: over the indexes that the user may read and that have events in the range, pruned to the
+    files of the range; meta tables show those indexes only. number: page, from 0."""
+    names = readable_indexes(access, store, user, low, high)
+    meta = {m: store.meta(m, names) for m in META}
+    return search(spark, sql if number is None else paged_sql(sql, number, size), lambda which: store.rows(which, low, high), names, meta)
 
 
 def page(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFrame:
@@ -64,14 +110,19 @@ def page(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFram
 
 
 def paged_sql(sql: str, number: int, size: int) -> str:
+    """The statement with LIMIT and OFFSET, each added where the statement itself (not a subquery of it) has none."""
     sql = sql.rstrip().rstrip(";")
-    if not re.search(r"(?i)\blimit\s+\d+", sql):
-        sql += f" LIMIT {size}"
-    return sql if re.search(r"(?i)\boffset\s+\d+", sql) else f"{sql} OFFSET {number * size}"
+    outer, before = code_of(sql)[0], None
+    while outer != before:
+        before, outer = outer, re.sub(r"\([^()]*\)", " ", outer)
+    if not re.search(r"(?i)\blimit\s+\w+", outer):
+        sql += f"\nLIMIT {size}"
+    return sql if re.search(r"(?i)\boffset\s+\d+", outer) else f"{sql} OFFSET {number * size}"
 
 
-def last_records(df: DataFrame, n: int = 5) -> DataFrame:
-    return df.orderBy(F.desc("_time"), F.desc("event_id")).limit(n)
+def last_records(df: DataFrame, *ties: str, n: int = 5) -> DataFrame:
+    """The newest n events; columns that decide ties."""
+    return df.orderBy(F.desc("_time"), *[F.desc(c) for c in ties]).limit(n)
 
 
 def effective_access(spark: SparkSession, users: DataFrame, roles: DataFrame, user_roles: DataFrame, user_permissions: DataFrame, role_permissions: DataFrame, depth: int, as_of=None) -> DataFrame:
@@ -91,5 +142,61 @@ def effective_access(spark: SparkSession, users: DataFrame, roles: DataFrame, us
     return grants.groupBy("user_id", "index_name").agg(*[F.bool_or(F.coalesce(f"{k}_permission", F.lit(False))).alias(f"can_{k}") for k in ("read", "write", "delete")])
 
 
+def full_access(access: DataFrame, users: DataFrame, admins: DataFrame, indexes: list[str]) -> DataFrame:
+    """effective_access with its two rules for all: admins (user_id) may do everything on the indexes, and every user may
+    read the meta tables. indexes: the names of the catalog."""
+    names = lambda x: F.explode(F.array(*[F.lit(n) for n in x]).cast("array<string>")).alias("index_name")
+    grant = lambda yes: [F.lit(yes).alias(f"can_{k}") for k in ("write", "delete")]
+    every = admins.select("user_id", names(indexes)).select("*", F.lit(True).alias("can_read"), *grant(True))
+    meta = users.select("user_id", names(META)).select("*", F.lit(True).alias("can_read"), *grant(False))
+    both = access.unionByName(every).unionByName(meta)
+    return both.groupBy("user_id", "index_name").agg(*[F.bool_or(f"can_{k}").alias(f"can_{k}") for k in ("read", "write", "delete")])
+
+
+def readable_indexes(access: DataFrame, store, user, low=None, high=None) -> list[str]:
+    """Indexes with events in the range that the user may read."""
+    mine = {r[0].lower() for r in access.where((F.col("user_id") == F.lit(user)) & F.col("can_read")).select("index_name").distinct().collect()}
+    return [n for n in store.indexes(low, high) if n in mine]
+
+
+def restricted(requested: list[str], readable: list[str]) -> list[str]:
+    """The requested indexes that are readable, all of those where none is requested; none at all is an error."""
+    wanted = {r.lower() for r in requested}
+    out = [n for n in readable if not wanted or n.lower() in wanted]
+    if not out:
+        raise PermissionError("no readable index")
+    return out
+
+
+def existing_permissions(permissions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Permissions that name an index of the catalog."""
+    return permissions.join(catalog.select(F.col("index").alias("_n")).distinct(), F.lower("index_name") == F.col("_n"), "left_semi")
+
+
+def audit_rows(requests: DataFrame) -> DataFrame:
+    """Request log (time, user_id, method, path, status_code, real_ip, forwarded, host) -> audit events: _index, _time,
+    user_id, action, success, ip_address, details."""
+    return requests.select(
+        F.lit("_audit").alias("_index"), F.col("time").alias("_time"), "user_id", F.concat_ws(" ", F.upper("method"), "path").alias("action"),
+        (F.col("status_code") < 400).alias("success"), client_ip(F.col("real_ip"), F.col("forwarded"), F.col("host")).alias("ip_address"),
+        F.to_json(F.struct("status_code", "path")).alias("details"),
+    )
+
+
+def client_ip(real_ip: Column, forwarded: Column, host: Column) -> Column:
+    return F.coalesce(F.nullif(real_ip, F.lit("")), F.nullif(F.trim(F.split(forwarded, ",")[0]), F.lit("")), host, F.lit("unknown"))
+
+
+def merged_history(old: DataFrame, usage: DataFrame) -> DataFrame:
+    """A history (user_id, query, last_used, times_used) with a log of uses (user_id, query, used_at) taken in."""
+    new = usage.groupBy("user_id", "query").agg(F.max("used_at").alias("last_used"), F.count("*").alias("times_used"))
+    return old.select(new.columns).unionByName(new).groupBy("user_id", "query").agg(F.max("last_used").alias("last_used"), F.sum("times_used").alias("times_used"))
+
+
+def without_null_fields(df: DataFrame) -> Column:
+    """Each record as JSON, without its null fields."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "true"})
+
+
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

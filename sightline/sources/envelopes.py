@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import smart_time
+from ..functions.times import time_by_format
 
 STRINGS = "map<string,string>"
+# Explicit time formats that a header may name, besides the named ones.
+FORMATS = ["YYYY-MM-DD hh:mm:ss", "YYYY-MM-DD", "YYYYMMDD", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y%m%d", "%d/%m/%Y %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%d/%b/%Y:%H:%M:%S"]
 ROW_BATCH = "array<struct<index:string,events:array<string>>>"
 
 
@@ -28,26 +30,30 @@ def reported_count(df: DataFrame, column: str = "payload") -> DataFrame:
     return r.agg(F.coalesce(F.sum(F.greatest(F.size("r.events"), F.lit(0))), F.lit(0)).cast("long").alias("n_events"))
 
 
-def row_envelopes(df: DataFrame) -> DataFrame:
+def row_envelopes(df: DataFrame, formats: list[str] = FORMATS) -> DataFrame:
     """header map, events array of JSON -> _index, _time, fields map. Header keys win; events without time are dropped."""
     e = df.where("header is not null and events is not null").select("header", F.explode("events").alias("raw"))
     e = e.withColumn("event", F.from_json("raw", STRINGS))
     field = F.coalesce(F.col("header")["timefield"], F.lit("_time"))
-    e = e.withColumn("fields", merged(F.col("event"), F.col("header"))).withColumn("_time", smart_time(F.element_at("event", field)))
+    e = e.withColumn("fields", merged(F.col("event"), F.col("header"))).withColumn("_time", time_by_format(F.element_at("event", field), F.col("header")["timeformat"], formats))
     return e.where(F.element_at("event", field).isNotNull()).select(F.lower(F.coalesce(F.col("header")["index"], F.lit("main"))).alias("_index"), "_time", "fields")
 
 
-def column_envelopes(df: DataFrame) -> DataFrame:
+def column_envelopes(df: DataFrame, formats: list[str] = FORMATS) -> DataFrame:
     """header map, columns, events (an array for each column) -> rows. Columns win over the header; the time comes
-    from timefield, else _raw, else the batch is dropped."""
+    from timefield, else _raw, else the batch is dropped. A time that can't be read is the last good one before it in the
+    envelope, a leading one the time of ingestion."""
     n = F.size(F.col("events")[0])
     rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.map_from_arrays("columns", F.transform("events", lambda c: F.get(c, i))))
-    e = df.where(F.col("header").isNotNull() & (F.size("events") > 0) & (n > 0)).select("header", F.explode(rows).alias("event"))
-    field = F.coalesce(F.col("header")["timefield"], F.lit("_time"))
-    time = F.coalesce(F.element_at("event", field), F.col("event")["_raw"])
-    e = e.withColumn("fields", merged(F.col("header"), F.col("event"))).withColumn("raw_time", time).where("raw_time is not null")
-    parsed = F.when(F.lower(F.col("header")["timeformat"]).isin("unixms", "unix_ms"), smart_time(F.col("raw_time"), "unix_ms")).otherwise(smart_time(F.col("raw_time")))
-    return e.select(F.lower(F.coalesce(F.col("header")["index"], F.lit("main"))).alias("_index"), parsed.alias("_time"), "fields")
+    field, form = F.coalesce(F.col("header")["timefield"], F.lit("_time")), F.col("header")["timeformat"]
+    raw = lambda e: F.coalesce(F.element_at(e, field), e["_raw"])
+    timed = F.transform("rows", lambda e: F.struct(e.alias("event"), time_by_format(raw(e), form, formats).alias("t")))
+    # a bad time takes the last good one before it in its envelope, which is one row
+    last = F.aggregate("timed", F.struct(F.array().cast("array<timestamp>").alias("out"), F.lit(None).cast("timestamp").alias("t")), lambda acc, e: F.struct(F.concat(acc["out"], F.array(F.coalesce(e["t"], acc["t"]))).alias("out"), F.coalesce(e["t"], acc["t"]).alias("t")), lambda acc: acc["out"])
+    e = df.where(F.col("header").isNotNull() & (F.size("events") > 0) & (n > 0)).withColumn("rows", rows)
+    e = e.where(F.exists("rows", lambda x: raw(x).isNotNull())).withColumn("timed", timed)
+    e = e.select("header", F.explode(F.arrays_zip(F.col("timed.event").alias("event"), last.alias("t"))).alias("z"))
+    return e.select(F.lower(F.coalesce(F.col("header")["index"], F.lit("main"))).alias("_index"), F.coalesce("z.t", F.current_timestamp()).alias("_time"), merged(F.col("header"), F.col("z.event")).alias("fields"))
 
 
 def landing_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""The bucket store: partitioned Parquet by index and hour, its catalog and scans."""
+"""The bucket store: partitioned Parquet by index and time bucket, its catalog, quarantine and scans."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,70 +11,220 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CATALOG = "file_location string, index string, bucket_start string, record_count long, row_groups int, size long, ok boolean"
+from ..operators import schema
+
+CATALOG = "file_location string, index string, bucket_start string, start_time timestamp, end_time timestamp, record_count long, row_groups int, size long, fields map<string,string>, ok boolean"
+HIDDEN = r"/broken/|/_catalog/|\.tmp$|\.old$|/_SUCCESS$|\.crc$"
+META = ("_indexes", "_schema")
+#: Events in a file at most.
+MOST_EVENTS = 100_000
+# Names of physical types.
+TYPES = {"int64": "bigint", "int32": "int", "double": "double", "float": "float", "bool": "boolean", "string": "string", "large_string": "string", "binary": "binary"}
 
 
 def fresh_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, or below /tmp where there is none."""
+    """A new folder below the shared checkpoint folder. Without one, a temporary folder, on a single machine only."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="/tmp/spark-") + "/store"
+    if base:
+        return f"{base}/{uuid.uuid4().hex}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="/tmp/spark-") + "/store"
 
 
 def as_events(events: DataFrame) -> DataFrame:
-    """Fixture events as indexed events: _index, _time and the fields."""
+    """Events with an event_type and a time ts as indexed events: _index, _time and the fields."""
     return events.withColumns({"_index": F.concat(F.lit("evt_"), F.lower("event_type")), "_time": F.col("ts").cast("timestamp")})
 
 
-def write_buckets(df: DataFrame, path: str, mode: str = "append", stamp: str = "yyyyMMddHH") -> str:
-    """One folder per index and hour (or what stamp names); the commit protocol publishes whole files only."""
-    df.withColumn("bucket_start", F.date_format("_time", stamp)).repartition("_index", F.date_trunc("DAY", "_time")).write.partitionBy("_index", "bucket_start").mode(mode).parquet(path)
+def write_buckets(df: DataFrame, path: str, mode: str = "append", stamp: str = "yyyyMMddHH", most: int = MOST_EVENTS) -> str:
+    """One folder per index and hour (or what stamp names), files of `most` events at most, so that a large bucket is
+    written by many tasks; the commit protocol publishes whole files only."""
+    d = df.withColumn("bucket_start", F.date_format("_time", stamp))
+    sizes = d.groupBy("_index", "bucket_start").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1")
+    d = d.join(sizes, ["_index", "bucket_start"], "left").withColumn("_seq", F.pmod(F.xxhash64("_time"), F.coalesce("_parts", F.lit(1))))
+    d.repartition("_index", "bucket_start", "_seq").drop("_parts", "_seq").write.partitionBy("_index", "bucket_start").option("maxRecordsPerFile", most).mode(mode).parquet(path)
     return path
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, modificationTime of the store's files; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", "modificationTime").where(~F.col("path").rlike(r"/broken/|\.tmp$|\.old$|/_SUCCESS$|\.crc$"))
+    return files.select("path", "length", "modificationTime").where(~F.col("path").rlike(HIDDEN))
+
+
+def _opened(path: str):
+    """Filesystem and path of a file's name as Spark gives it."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)) if re.match(r"file:|/", path) else fs.FileSystem.from_uri(path)
 
 
 def read_footers(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog rows from file footers; unreadable files have ok = false and no counts."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(r"/broken/|\.tmp$|\.old$|/_SUCCESS$|\.crc$"))
+    """Catalog rows from file footers, which tasks read from the files' ends; unreadable files have ok = false and no
+    counts. Times are the footer's bounds of _time; where it has none, as with 96-bit times, that column alone is
+    read (spark.sql.parquet.outputTimestampType = TIMESTAMP_MICROS gives bounds)."""
     index, start = F.regexp_extract("path", "_index=([^/]+)/", 1), F.regexp_extract("path", "bucket_start=([^/]+)/", 1)
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
+    def one(r) -> tuple:
+        import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
+        fs, p = _opened(r.path)
+        m = pq.read_metadata(p, filesystem=fs)
+        groups = [m.row_group(i) for i in range(m.num_row_groups)]
+        fields = {f.name: TYPES.get(str(f.type), "timestamp" if str(f.type).startswith("timestamp") else str(f.type)) for f in m.schema.to_arrow_schema()}
+        low = high = None
+        if "_time" in fields and m.num_rows:
+            at = m.schema.names.index("_time")
+            stats = [g.column(at).statistics for g in groups if g.num_rows and g.column(at).physical_type != "INT96"]
+            if stats and all(s is not None and s.has_min_max for s in stats):
+                low, high = min(s.min for s in stats), max(s.max for s in stats)
+            else:
+                bounds = pc.min_max(pq.read_table(p, columns=["_time"], filesystem=fs, partitioning=None)["_time"]).as_py()
+                low, high = bounds["min"], bounds["max"]
+        utc = lambda t: None if t is None else pd.Timestamp(t).tz_localize("UTC") if pd.Timestamp(t).tzinfo is None else pd.Timestamp(t).tz_convert("UTC")
+        return r.path, r.index, r.bucket_start, utc(low), utc(high), m.num_rows, len(groups), sum(g.total_byte_size for g in groups), fields, True
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
                 try:
-                    m = pq.ParquetFile(io.BytesIO(r.content)).metadata
-                    rows.append((r.path, r.index, r.bucket_start, m.num_rows, m.num_row_groups, sum(m.row_group(i).total_byte_size for i in range(m.num_row_groups)), True))
+                    rows.append(one(r))
                 except Exception:  # noqa: BLE001  any damage means quarantine
-                    rows.append((r.path, r.index, r.bucket_start, None, None, None, False))
-            yield pd.DataFrame(rows, columns=["file_location", "index", "bucket_start", "record_count", "row_groups", "size", "ok"])
+                    rows.append((r.path, r.index, r.bucket_start, None, None, None, None, None, None, False))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in re.split(r", (?=\w+ )", CATALOG)])
+            for c in ("start_time", "end_time"):
+                out[c] = pd.to_datetime(out[c], utc=True)
+            yield out.astype({"record_count": "Int64", "row_groups": "Int32", "size": "Int64"})
 
-    return files.select("path", "content", index.alias("index"), start.alias("bucket_start")).mapInPandas(probe, CATALOG)
+    return list_files(spark, path).select("path", index.alias("index"), start.alias("bucket_start")).mapInPandas(probe, CATALOG)
 
 
 def build_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Good files with their index, record count and true time range."""
-    good = read_footers(spark, path).where("ok").drop("ok")
-    span = scan(spark, path).groupBy(F.col("_metadata.file_path").alias("file_location")).agg(F.min("_time").alias("start_time"), F.max("_time").alias("end_time"))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return good.withColumn("file_location", plain("file_location")).join(span.withColumn("file_location", plain("file_location")), "file_location")
+    """Good files with their index, record count, size, fields and time range."""
+    return read_footers(spark, path).where("ok").drop("ok")
+
+
+def saved_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """build_catalog, kept as a table beside the store so that it is read once."""
+    to = fresh_dir(spark)
+    build_catalog(spark, path).write.parquet(to)
+    return spark.read.parquet(to)
 
 
 def refresh_catalog(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of files that still exist, and rows of new files."""
-    return old.join(new.select("file_location"), "file_location", "left_semi").unionByName(new.join(old.select("file_location"), "file_location", "left_anti"))
+    """Rows of files that still exist as they were, and rows of new and of changed files."""
+    same = ["file_location", "record_count", "size"]
+    return old.join(new.select(same), same, "left_semi").unionByName(new.join(old.select(same), same, "left_anti"))
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Move unreadable files to the store's folder `broken`; returns their names (file_location, index). A task that runs
+    again finds a file moved already."""
+    base = re.sub(r"^file:/+", "/", path).rstrip("/")
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name in b["file_location"]:
+                fs, p = _opened(name)
+                top = _opened(base)[1] + "/broken"
+                fs.create_dir(top)
+                if fs.get_file_info(p).is_file:
+                    fs.move(p, f"{top}/{p.rsplit('/', 1)[1]}")
+            yield b
+
+    to = fresh_dir(spark)
+    read_footers(spark, path).where("not ok").select("file_location", "index").mapInPandas(move, "file_location string, index string").write.parquet(to)
+    return spark.read.parquet(to)
+
+
+def prune(catalog: DataFrame, indexes: list[str] | None = None, low=None, high=None) -> DataFrame:
+    """Catalog rows of files with events whose time range meets the (closed) range; open ends match all."""
+    rows = catalog.where(F.col("record_count") > 0)
+    rows = rows if indexes is None else rows.where(F.col("index").isin([i.lower() for i in indexes]))
+    time = lambda t: None if t is None else F.lit(t).cast("timestamp")
+    return rows.where(overlaps(F.col("start_time"), F.col("end_time"), time(low), time(high)))
+
+
+def read_files(spark: SparkSession, catalog: DataFrame, name: str | None = None) -> DataFrame:
+    """All rows of a (pruned) catalog's files, whose fields may differ in names and types: files of one set of fields are
+    read together, then brought to one schema. name: a column for the file. An empty catalog is an error. Only names of files come to the driver."""
+    shape = F.to_json(F.array_sort(F.map_entries("fields")))
+    base = F.regexp_extract("file_location", "^(.*?)/_index=", 1)
+    groups = catalog.groupBy(shape.alias("shape"), base.alias("base")).agg(F.collect_list("file_location").alias("files")).collect()
+    if not groups:
+        raise ValueError("no files")
+    frames = [spark.read.option("basePath", g["base"]).parquet(*g["files"]) for g in groups]
+    frames = [f.withColumn(name, F.col("_metadata.file_path")) for f in frames] if name else frames
+    frames = [f.withColumns({"_index": F.col("_index").cast("string"), "bucket_start": F.col("bucket_start").cast("string")}) for f in frames]
+    return frames[0] if len(frames) == 1 else schema.reconcile(frames)
 
 
-def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("ignoreCorruptFiles", "true").schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string, _time timestamp, _index string, bucket_start string")
-    return (reader.option("pathGlobFilter", glob if glob.endswith(".parquet") else f"{glob}.parquet") if glob else reader).parquet(path)
+def scan(spark: SparkSession, path: str, glob: str | None = None, index: str | None = None, catalog: DataFrame | None = None) -> DataFrame:
+    """Rows of the store or of one index; a glob names files (.parquet is added). No match is an error."""
+    rows = catalog if catalog is not None else build_catalog(spark, path)
+    rows = rows if index is None else rows.where(F.col("index") == index.lower())
+    if glob:
+        pattern = re.escape(glob if glob.endswith(".parquet") else f"{glob}.parquet").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        rows = rows.where(F.col("file_location").rlike(f"/{pattern}$"))
+    return read_files(spark, rows)
+
+
+class Store:
+    """A store's path with its catalog."""
+
+    def __init__(self, spark: SparkSession, path: str, catalog: DataFrame | None = None):
+        self.spark, self.path = spark, path
+        self.catalog = saved_catalog(spark, path) if catalog is None else catalog
+
+    def indexes(self, low=None, high=None) -> list[str]:
+        """Names of the indexes with events in the range."""
+        return sorted(r[0] for r in prune(self.catalog, None, low, high).select("index").distinct().collect())
+
+    def rows(self, indexes: list[str] | None = None, low=None, high=None, strict: bool = False) -> DataFrame:
+        """Rows of the files that meet the range; strict keeps rows within it only."""
+        out = read_files(self.spark, prune(self.catalog, indexes, low, high))
+        if strict:
+            bounds = [F.col("_time") >= F.lit(low).cast("timestamp")] * (low is not None) + [F.col("_time") <= F.lit(high).cast("timestamp")] * (high is not None)
+            for x in bounds:
+                out = out.where(x)
+        return out
+
+    def meta(self, name: str, indexes: list[str] | None = None) -> DataFrame:
+        rows = self.catalog if indexes is None else self.catalog.where(F.col("index").isin(indexes))
+        return indexes_table(rows) if name == "_indexes" else schema_table(rows)
+
+
+def indexes_table(catalog: DataFrame) -> DataFrame:
+    """index, buckets, record_count, size, start_time, end_time of each index; partial summaries by bucket first."""
+    part = catalog.groupBy("index", "bucket_start").agg(F.sum("record_count").alias("n"), F.sum("size").alias("size"), F.min("start_time").alias("lo"), F.max("end_time").alias("hi"))
+    return merged_indexes(part.groupBy("index").agg(F.count("*").alias("buckets"), F.sum("n").alias("record_count"), F.sum("size").alias("size"), F.min("lo").alias("start_time"), F.max("hi").alias("end_time")))
+
+
+def merged_indexes(parts: DataFrame) -> DataFrame:
+    """One row per index of summaries made apart."""
+    return parts.groupBy("index").agg(*[F.sum(c).alias(c) for c in ("buckets", "record_count", "size")], F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+
+
+def schema_table(catalog: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """A row per file: _bucket_id, _start, _end, _location, __index, _size, _count, and the type of each field."""
+    long = catalog.select(F.col("bucket_start").alias("_bucket_id"), F.col("start_time").alias("_start"), F.col("end_time").alias("_end"), F.col("file_location").alias("_location"), F.col("index").alias("__index"), F.col("size").alias("_size"), F.col("record_count").alias("_count"), F.explode("fields").alias("field", "type"))
+    keys = ["_bucket_id", "_start", "_end", "_location", "__index", "_size", "_count"]
+    return long.groupBy(*keys).pivot("field", fields).agg(F.first("type")) if fields else long.groupBy(*keys).pivot("field").agg(F.first("type"))
+
+
+def record_total(catalog: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """record_count over the catalog, or over a list of files (file_location)."""
+    rows = catalog if files is None else catalog.join(files.select("file_location").distinct(), "file_location", "left_semi")
+    return rows.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"))
+
+
+def file_stats(footers: DataFrame) -> DataFrame:
+    """Files, rows and raw megabytes by index with a total row (null), and the number of broken files."""
+    mb = F.round(F.coalesce(F.sum("size"), F.lit(0)) / 1e6, 2)
+    return footers.rollup("index").agg(F.count("*").alias("files"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"), mb.alias("raw_mb"), F.count(F.when(~F.col("ok"), 1)).alias("broken"))
 
 
 def overlaps(start: Column, end: Column, low: Column | None, high: Column | None) -> Column:
@@ -90,3 +241,12 @@ def in_range(time: Column, start: Column, end: Column) -> Column:
 
 def in_window(start: Column, end: Column, low: Column, high: Column) -> Column:
     return (low <= end) & (high > start)
+
+
+def buckets_of(events: DataFrame, catalog: DataFrame, step: str = "DAY") -> DataFrame:
+    """events with file_location of each bucket of their index that spans their time: an equal join on index and day (or
+    step), to which each bucket is dealt, before the range is looked at."""
+    every = F.sequence(F.date_trunc(step, "start_time"), F.date_trunc(step, "end_time"), F.expr(f"interval 1 {step.lower()}"))
+    b = catalog.select(F.col("index").alias("_index"), "file_location", "start_time", "end_time", F.explode(every).alias("_step"))
+    e = events.withColumn("_step", F.date_trunc(step, "_time"))
+    return e.join(b, ["_index", "_step"]).where(in_range(F.col("_time"), F.col("start_time"), F.col("end_time"))).drop("_step", "start_time", "end_time")

@@ -15,9 +15,15 @@ def define(subscriptions: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by(F.struct("stream_id", "indexes", "filters"), "stream_id").alias("s")).select("s.*")
 
 
-def row_map(df: DataFrame) -> Column:
-    """The row's fields as text."""
-    return F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]))
+def row_map(df: DataFrame, fields: set[str]) -> Column:
+    """The row's fields that subscriptions name, as text."""
+    own = [c for c in df.columns if c in fields]
+    return F.map_from_arrays(F.array(*[F.lit(c) for c in own]).cast("array<string>"), F.array(*[F.col(f"`{c}`").cast("string") for c in own]).cast("array<string>"))
+
+
+def filter_fields(subscriptions: DataFrame) -> set[str]:
+    """Names that filters use: at most the distinct columns that users filter by."""
+    return {r[0] for r in subscriptions.select(F.explode(F.map_keys("filters"))).distinct().collect()}
 
 
 def route(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -26,19 +32,36 @@ def route(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     wanted = F.array_contains("s_indexes", F.col("_index")) | (F.size("s_indexes") == 0)
     fits = F.forall(F.map_entries("s_filters"), lambda e: ~F.map_contains_key(F.col("_map"), e["key"]) | F.array_contains(e["value"], F.element_at(F.col("_map"), e["key"])))
     s = subscriptions.select("stream_id", F.col("indexes").alias("s_indexes"), F.col("filters").alias("s_filters"))
-    return events.withColumn("_map", row_map(events)).join(F.broadcast(s), wanted).where(fits).drop("_map", "s_indexes", "s_filters")
-
-
-def visible(subscriptions: DataFrame, allowed: list[str]) -> DataFrame:
-    ok = F.array(*[F.lit(a) for a in allowed]).cast("array<string>")
-    return subscriptions.where(F.forall("indexes", lambda i: F.array_contains(ok, i)))
+    return events.withColumn("_map", row_map(events, filter_fields(subscriptions))).join(F.broadcast(s), wanted).where(fits).drop("_map", "s_indexes", "s_filters")
+
+
+def visible(subscriptions: DataFrame, access: DataFrame) -> DataFrame:
+    """user_id, stream_id of the streams that each user of access (user_id, index_name, can_read) may see: all of a stream's
+    indexes are readable. Streams over all indexes are seen by every user of access."""
+    s = subscriptions.select("stream_id", F.array_distinct("indexes").alias("i"))
+    readable = access.where("can_read").select("user_id", "index_name").distinct()
+    named = s.where("size(i) > 0").select("stream_id", F.size("i").alias("need"), F.explode("i").alias("index_name"))
+    got = named.join(readable, "index_name").groupBy("user_id", "stream_id", "need").agg(F.count("*").alias("n")).where("n = need")
+    free = access.select("user_id").distinct().join(F.broadcast(s.where("size(i) = 0").select("stream_id")))
+    return got.select("user_id", "stream_id").unionByName(free)
+
+
+def replay(events: DataFrame, offset: str, order: list[str]) -> DataFrame:
+    """Existing rows of a stream: none for LAST, all but the first n for digits, else all. order: columns of a total order;
+    the n-th row of it is found by a top-n, then a range filter replays the rest in parallel."""
+    if offset == "LAST" or not offset.isdigit() or int(offset) == 0:
+        return events.limit(0) if offset == "LAST" else events
+    key = F.struct(*order)
+    edge = events.select(key.alias("k")).orderBy("k").limit(int(offset)).agg(F.max("k").alias("k"), F.count("*").alias("n")).first()
+    if edge["n"] < int(offset):
+        return events.limit(0)
+    return events.where(key > F.struct(*[F.lit(edge["k"][c]).alias(c) for c in order]))
 
 
-def replay(events: DataFrame, offset: str, order: list[Column]) -> DataFrame:
-    """Existing rows of a stream: none for LAST, all but the first n for digits, else all."""
-    if offset == "LAST":
-        return events.limit(0)
-    return events.orderBy(*order).offset(int(offset)) if offset.isdigit() else events
+def replay_then_tail(spark: SparkSession, existing: DataFrame, folder: str, offset: str, order: list[str], path: str, checkpoint: str) -> None:
+    """Write the replayed rows once, then whatever has come into the Parquet folder of new events."""
+    replay(existing, offset, order).write.mode("append").parquet(path)
+    run_available(parquet_stream(spark, existing, folder), path, checkpoint)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", partition: list[str] | None = None) -> None:

@@ -9,13 +9,14 @@ from pyspark.sql import types as T
 from sightline.functions.times import pattern_of, smart_time
 from sightline.operators import compaction, schema
 from sightline.plans import search
-from sightline.sources import envelopes
+from sightline.sources import envelopes, store
 
+# Times as text, their formats and instants.
 CASES = [
     ("2022-01-01", None, "2022-01-01"), ("2022-01-01", "%Y-%m-%d", "2022-01-01"), ("1640995200", "unix", "2022-01-01"), ("1640995200000", "unix_ms", "2022-01-01"),
     ("2022-01-01 12:30:45", "%Y-%m-%d %H:%M:%S", "2022-01-01T12:30:45"), ("01/15/2022", "%m/%d/%Y", "2022-01-15"), ("01/15/2022 14:30", "%m/%d/%Y %H:%M", "2022-01-15T14:30"),
     ("20220101", "%Y%m%d", "2022-01-01"), ("20220101", "YYYYMMDD", "2022-01-01"), ("Jan 15, 2022", "%b %d, %Y", "2022-01-15"), ("15-Jan-2022", "%d-%b-%Y", "2022-01-15"),
-    ("not-a-date", "%Y-%m-%d", None), ("2022-01-01", "%m/%d/%Y", None), ("20220101T101112", None, "2022-01-01T10:11:12"), ("1640995200", None, "2022-01-01"),
+    ("not-a-date", "%Y-%m-%d", None), ("2022-01-01", "%m/%d/%Y", None), ("20220101T101112", None, "2022-01-01T10:11:12"), ("NaN", None, None), ("1e400", "unix", None), ("9e18", "unix_ms", None), ("-9e18", None, None), ("Infinity", "unix_ms", None), ("1640995200", None, "2022-01-01"),
 ]
 
 
@@ -30,15 +31,18 @@ def test_patterns():
 
 
 def test_wildcards(spark):
-    names = ["pdmfc_fortigate", "pdmfc_linux_auth", "_internal", "_indexes"]
-    assert search.matching(names, "PDMFC_*") == names[:2] and search.matching(names, "*") == names[:3]
+    names = ["acme_gateway", "acme_logins", "_own", "_indexes"]
+    assert search.matching(names, "ACME_*") == names[:2] and search.matching(names, "*") == names[:3]
     store = spark.createDataFrame([(n, i) for i, n in enumerate(names[:3])], "_index string, value long")
     run = lambda sql: search.search(spark, sql, store, names).collect()
-    assert run("select max(value) from *")[0][0] == 2 and len(run("SELECT * FROM PDMFC_linux_auth a")) == 1
-    assert len(run("select a.value from (select * from pdmfc_* where value >= 0) a join _internal b on a.value <= b.value")) == 2
+    assert run("select max(value) from *")[0][0] == 2 and len(run("SELECT * FROM ACME_logins a")) == 1
+    assert len(run("select a.value from (select * from acme_* where value >= 0) a join _own b on a.value <= b.value")) == 2
     with pytest.raises(ValueError):
         run("select * from nowhere_*")
+    assert len(run("select `ACME_gateway`.value, 'from nowhere_*' as t from `ACME_gateway` -- from nowhere_*\nwhere value >= 0")) == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("_index_")]
     assert search.paged_sql("select 1 limit 7;", 2, 10) == "select 1 limit 7 OFFSET 20"
+    assert search.paged_sql("select * from (select 1 limit 7) where x = 'limit 3'", 1, 10).endswith("\nLIMIT 10 OFFSET 10")
 
 
 def test_conflicting_schemas():
@@ -68,3 +72,35 @@ def test_names(spark):
     low, high = compaction.parse_name(F.lit("20250305111507-20250306001224_packed_20250306003227.parquet"))
     got = spark.range(1).select(low.cast("string"), high.cast("string")).first()
     assert tuple(got) == ("2025-03-05 11:15:07", "2025-03-06 00:12:24")
+
+
+def test_header_formats_and_bad_times(spark):
+    rows = [({"timeformat": "%d/%m/%Y %H:%M:%S", "index": "X"}, ["_time", "v"], [["01/02/2024 03:04:05", "never", "02/02/2024 00:00:00"], ["a", "b", "c"]]), ({"timeformat": "unix_ms"}, ["_time"], [["1640995200000"]])]
+    df = spark.createDataFrame(rows, "header map<string,string>, columns array<string>, events array<array<string>>")
+    got = [(r._index, str(r._time)) for r in envelopes.column_envelopes(df).select("_index", F.col("_time").cast("string").alias("_time")).collect()]
+    assert got == [("x", "2024-02-01 03:04:05"), ("x", "2024-02-01 03:04:05"), ("x", "2024-02-02 00:00:00"), ("main", "2022-01-01 00:00:00")]
+    box = spark.createDataFrame([({"timeformat": "YYYYMMDD"}, ['{"_time":"20240203"}', '{"v":1}'])], "header map<string,string>, events array<string>")
+    assert [str(r[0]) for r in envelopes.row_envelopes(box).select(F.col("_time").cast("string")).collect()] == ["2024-02-03 00:00:00"]
+
+
+def test_store_limits_globs_and_row_groups(spark, tmp_path):
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    e = spark.range(1000).select("id", F.lit("one").alias("_index"), F.lit("2024-01-01").cast("timestamp").alias("_time"))
+    path = store.write_buckets(e, f"{tmp_path}/s", most=300)
+    c = store.build_catalog(spark, path)
+    assert sorted(r.record_count for r in c.collect()) == [100, 300, 300, 300] and store.Store(spark, path).rows(["ONE"]).count() == 1000
+    for bad in (dict(glob="nothing"), dict(index="two")):
+        with pytest.raises(ValueError):
+            store.scan(spark, path, **bad)
+    pq.write_table(pa.Table.from_pandas(pd.DataFrame({"id": range(24)})), f"{path}/_index=one/bucket_start=2024010100/part-x.parquet", row_group_size=2)
+    open(f"{path}/_index=one/bucket_start=2024010100/part-y.parquet.old", "w").close()
+    assert [r.row_groups for r in store.read_footers(spark, path).where("row_groups > 10").collect()] == [12] and store.list_files(spark, path).count() == 5
+
+
+def test_restricted():
+    assert search.restricted([], ["a", "b"]) == ["a", "b"] and search.restricted(["B"], ["a", "b"]) == ["b"]
+    with pytest.raises(PermissionError):
+        search.restricted(["c"], ["a", "b"])
