@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -33,10 +34,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder that the cluster names; a temporary one only where none is set."""
+    """Keep the folder that the cluster names. Without one: a temporary folder on a single machine, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="/tmp/spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="/tmp/spark-"))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """License scans: ordered signature rules, each a regex gated by keywords, resolved by priority and containment.
 
-Rules are made from families, versions and ways of stating a license. A text is matched against a rule's regex only if
+Rules are sentences of license texts and notices, addresses of license texts, and what families, versions and ways of
+stating a license make. A text is matched against a rule's regex only if
 it holds the rule's keyword. A detection is dropped if a detection of higher priority contains its interval, or one of
 the same priority does that is longer or earlier in the list."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +56,67 @@ CLAUSES = {"by": ("attribution", "by"), "by-sa": ("attribution share ?alike", "b
 STATED = [(r"(?:dual |re)?licen[sc]ed under (?:the |a )?(?:terms of (?:the )?)?", 3, 1.0), (r"(?:released|distributed|available|published|made available) under (?:the |a )?(?:terms of (?:the )?)?", 3, 0.95), (r"spdx licen[sc]e identifier ", 4, 1.0), (r"", 1, 0.6)]
 # Other signs of a license, without a name.
 OTHERS = [("public-domain", "public domain", r"(?:dedicated to|released into|placed in|in) the public domain", 2, 0.8), ("cc0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?", 2, 0.9), ("proprietary", "rights reserved", r"all rights reserved", 0, 0.4), ("proprietary", "proprietary", r"proprietary and confidential", 0, 0.5), ("copyright", "copyright", r"copyright(?: c)? (?:19|20)\d\d", 0, 0.3), ("unknown", "licen", r"licen[sc]ed under", 0, 0.2)]
+# Sentences of license texts and notices as label, keyword, regex of words, priority, score.
+BODIES = [
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 5, 1.0),
+    ("mit", "sell copies", r"to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", 2, 0.9),
+    ("isc", "with or without fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 5, 1.0),
+    ("hpnd", "without fee", r"permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:is hereby granted )?without fee", 5, 0.9),
+    ("bsd", "source and binary forms", r"redistribution and use in source and binary forms with or without modification are permitted", 4, 0.9),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of .{1,120}? may be used to endorse or promote products derived from this software", 5, 0.95),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 6, 0.95),
+    ("bsd-2-clause", "this list of conditions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 3, 0.7),
+    ("0bsd", "zero clause", r"(?:bsd zero clause|zero clause bsd)(?: licen[sc]e)?", 5, 0.95),
+    ("apache-2", "except in compliance", r"you may not use this file except in compliance with the licen[sc]e", 5, 1.0),
+    ("apache-2", "apache", r"apache licen[sc]e version 2 0 january 2004", 6, 1.0),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation", 5, 0.9),
+    ("gpl-2-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e or at your option any later version", 6, 1.0),
+    ("gpl-3-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version", 6, 1.0),
+    ("gpl-2", "version 2 as published", r"under the terms of the gnu general public licen[sc]e version 2 as published by the free software foundation", 6, 1.0),
+    ("gpl-2", "version 2 june 1991", r"gnu general public licen[sc]e version 2 june 1991", 6, 1.0),
+    ("gpl-3", "version 3 29 june 2007", r"gnu general public licen[sc]e version 3 29 june 2007", 6, 1.0),
+    ("gpl", "without even the implied", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e", 2, 0.8),
+    ("lgpl-2.1-or-later", "lesser", r"under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1 of the licen[sc]e or at your option any later version", 6, 1.0),
+    ("lgpl-3-or-later", "lesser", r"under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version", 6, 1.0),
+    ("lgpl-2-or-later", "library general", r"under the terms of the gnu library general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e or at your option any later version", 6, 1.0),
+    ("agpl-3-or-later", "affero", r"under the terms of the gnu affero general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version", 6, 1.0),
+    ("gfdl", "permission is granted to copy", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 5, 1.0),
+    ("mpl-2", "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e v(?:ersion)? ?2 0", 6, 1.0),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1", 6, 1.0),
+    ("epl-2", "eclipse", r"made available under the terms of the eclipse public licen[sc]e (?:v )?2 0", 6, 1.0),
+    ("epl-1", "eclipse", r"made available under the terms of the eclipse public licen[sc]e v1 0", 6, 1.0),
+    ("cddl-1.0", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 5, 0.95),
+    ("zlib", "held liable", r"in no event will the authors be held liable for any damages arising from the use of this software", 5, 0.95),
+    ("boost-1", "hereby granted", r"permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation", 5, 1.0),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 5, 1.0),
+    ("wtfpl", "you want to", r"do what the fuck you want to(?: public licen[sc]e)?", 5, 1.0),
+    ("cc0", "waive", r"to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights", 5, 1.0),
+    ("ofl-1.1", "font software", r"this font software is licen[sc]ed under the sil open font licen[sc]e version 1 1", 6, 1.0),
+    ("python-2", "psf", r"psf is making python available to licensee on an as is basis", 5, 1.0),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project", 5, 0.95),
+    ("artistic-2", "artistic", r"the artistic licen[sc]e 2 0 copyright c 2000 2006", 6, 1.0),
+    ("postgresql", "written agreement", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 6, 1.0),
+    ("ms-pl", "microsoft public", r"microsoft public licen[sc]e(?: ms pl)?", 4, 0.9),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[sc]e(?: ms rl)?", 4, 0.9),
+    ("bsl-1.1", "business source", r"business source licen[sc]e(?: 1 1)?", 4, 0.9),
+    ("sspl-1", "server side public", r"server side public licen[sc]e(?: (?:v|version )?1)?", 4, 0.9),
+    ("elastic-2", "elastic licen", r"elastic licen[sc]e(?: v?2 0)?", 4, 0.9),
+    ("beerware", "beer", r"(?:the )?beer ?ware licen[sc]e|if we meet some day and you think this stuff is worth it you can buy me a beer", 4, 0.9),
+    ("json", "good not evil", r"the software shall be used for good not evil", 5, 0.95),
+    ("x11", "x consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising", 5, 0.95),
+    ("ncsa", "university of illinois", r"university of illinois(?: ncsa)? open source licen[sc]e", 4, 0.95),
+    ("vim", "vim licen", r"vim licen[sc]e", 4, 0.9),
+    ("proprietary", "trade secret", r"(?:contains|constitutes?) (?:confidential )?(?:information and )?trade secrets? of", 1, 0.5),
+    ("proprietary", "written permission", r"(?:may not|no part of this .{1,30}? may) be (?:reproduced|copied)(?: or distributed)?(?: in any form)? without (?:the )?(?:prior )?written permission", 1, 0.5),
+    ("proprietary", "redistribution is prohibited", r"(?:unauthori[sz]ed )?(?:copying or )?redistribution is prohibited", 1, 0.5),
+]
+# Addresses of license texts as label, words of the address.
+ADDRESSES = [
+    ("mit", "opensource org licenses mit"), ("apache-2", "apache org licenses license 2 0"), ("gpl-3", "gnu org licenses gpl 3 0"), ("gpl-2", "gnu org licenses old licenses gpl 2 0"),
+    ("gpl", "gnu org licenses gpl"), ("lgpl", "gnu org licenses lgpl"), ("agpl-3", "gnu org licenses agpl 3 0"), ("mpl-2", "mozilla org mpl 2 0"), ("bsd-3-clause", "opensource org licenses bsd 3 clause"),
+    ("bsd-2-clause", "opensource org licenses bsd 2 clause"), ("isc", "opensource org licenses isc"), ("boost-1", "boost org license 1 0"), ("unlicense", "unlicense org"), ("cc0", "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "creativecommons org publicdomain mark 1 0"), ("epl-2", "eclipse org legal epl 2 0"), ("ofl-1.1", "scripts sil org ofl"), ("wtfpl", "wtfpl net"),
+]
 _WORD = np.ones(256, bool)
 _WORD[:48], _WORD[58:97], _WORD[123:128] = False, False, False
 _WORD[65:91] = True
@@ -83,8 +146,13 @@ def rules() -> list[tuple[str, str, re.Pattern, int, float]]:
                 add(f"cc-{clause}-{v.replace(' ', '.')}", "creative commons", rf"{lead}creative commons {long} {v}", priority + 1, score)
             add(f"cc-{clause}", "cc " + short, rf"{lead}cc {short}", priority, score * 0.9)
             add(f"cc-{clause}", "creative commons", rf"{lead}creative commons {long}", priority, score * 0.9)
-    for x in OTHERS:
+    for x in [*OTHERS, *BODIES]:
         add(*x)
+    for label, words in ADDRESSES:
+        add(label, words, words, 5, 0.95)
+    for clause, (_, short) in CLAUSES.items():
+        for v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
+            add(f"cc-{clause}-{v.replace(' ', '.')}", "creativecommons org", rf"creativecommons org licenses {short} {v}", 5, 1.0)
     return out
 
 
@@ -102,33 +170,53 @@ def prefilter():
     return a
 
 
-def detect(plain: str) -> list[tuple[int, int, str, float]]:
-    """start, end, label, score in a text of words joined by a space, after suppression."""
-    wanted = {i for _, v in prefilter().iter(plain) for i in v}
+def uncontained(found: list[tuple[int, int]]) -> list[int]:
+    """Positions of the intervals, given in order of rank, that none ranked before contains: a tree over the starts keeps
+    the largest end of those kept, so this takes n log n steps."""
+    starts = sorted({s for s, _ in found})
+    tree, kept = [-1] * (len(starts) + 1), []
+    for i, (s, e) in enumerate(found):
+        at = bisect_right(starts, s)
+        k, most = at, -1
+        while k:
+            most = max(most, tree[k])
+            k &= k - 1
+        if most < e:
+            kept.append(i)
+            k = at
+            while k < len(tree):
+                tree[k] = max(tree[k], e)
+                k += k & -k
+    return kept
+
+
+def detect(plain: str, filtered: bool = True) -> list[tuple[int, int, str, float]]:
+    """start, end, label, score in a text of words joined by a space, after suppression. filtered: try only the rules whose
+    keyword the text holds."""
+    wanted = {i for _, v in prefilter().iter(plain) for i in v} if filtered else range(len(rules()))
     found = []
     for i in sorted(wanted):
         label, _, pattern, priority, score = rules()[i]
         found += [(-priority, m.start() - m.end(), i, m.start(), m.end(), label, score) for m in pattern.finditer(plain)]
-    kept: list[tuple] = []
-    for x in sorted(found):
-        if not any(k[3] <= x[3] and x[4] <= k[4] for k in kept):
-            kept.append(x)
+    found.sort()
+    kept = [found[i] for i in uncontained([x[3:5] for x in found])]
     return sorted((k[3], k[4], k[5], k[6]) for k in kept)
 
 
-def scan(text: str) -> tuple[int, int | None, int | None, set[str], set[str], float]:
+def scan(text: str, filtered: bool = True) -> tuple[int, int | None, int | None, set[str], set[str], float]:
     """Places of base phrases: number, first and last word; base labels, all labels, score."""
     plain = f" {_GAP.sub(' ', text.encode().lower().decode()).strip()} "
     at, base = [], set()
     for label, phrase in BASE.items():
         i = plain.find(f" {phrase} ")
         while i >= 0:
-            at.append(plain.count(" ", 0, i + 1) - 1)
+            at.append(i)
             base.add(label)
             i = plain.find(f" {phrase} ", i + 1)
-    own = detect(plain.strip())
+    own = detect(plain.strip(), filtered)
     score = max([x[3] for x in own] + [0.9] * bool(base), default=0.0)
-    return len(at), min(at, default=None), max(at, default=None), base, base | {x[2] for x in own}, score
+    word = lambda i: plain.count(" ", 0, i + 1) - 1
+    return len(at), word(min(at)) if at else None, word(max(at)) if at else None, base, base | {x[2] for x in own}, score
 
 
 @lru_cache(1)

@@ -104,7 +104,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, grade: str = "quality", tr
                 cuts = np.cumsum(np.bincount(row, minlength=end - first))[:-1]
                 yield table({"at": at[first:end], "grade": grades[first:end], "index": np.split(index[order].astype(np.int32), cuts), "value": np.split(value[order].astype(np.float32), cuts)}, schema)
 
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("at"), "grade", "text").mapInArrow(gather, "at long, grade long, index array<int>, value array<float>").toArrow()
+    once = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # a repeated id teaches once
+    got = once.join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("at"), "grade", "text").mapInArrow(gather, "at long, grade long, index array<int>, value array<float>").toArrow()
     known = np.unique(got.column("grade").to_numpy()) if got.num_rows else np.zeros(0, np.int64)
     shape = T.StructType(docs.schema.fields + [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("keep", T.BooleanType())])
     if len(known) < 2:

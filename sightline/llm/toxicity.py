@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -18,25 +19,51 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fold, fold_of, table
 
-# The lexicon's words and the phrases that excuse them.
-WORDS = "asshole bastard bitch clown cretin degenerate disgusting dumbass fool garbage idiot imbecile jerk loser moron pathetic retard scum stupid subhuman trash vermin worthless".split()
-EXCEPTIONS = ["trash can", "trash bin", "trash collection", "garbage collection", "garbage collector", "garbage truck", "clown fish", "pathetic fallacy", "fool proof"]
+# The lexicon's words by weight, and the phrases that excuse them.
+WORDS = {
+    4.0: "asshole bastard bitch cretin cunt dickhead dumbass fuck fucker motherfucker retard scumbag shithead slut subhuman whore",
+    3.5: "bullshit degenerate imbecile moron parasite scum shit twat vermin wanker worthless",
+    3.0: "clown crap disgusting filth fool garbage idiot idiotic jerk loser pathetic shitty stupid trash",
+    2.0: "damn despicable dimwit dumb hateful imbecilic nasty pig repulsive sicko weirdo",
+}
+EXCEPTIONS = ["trash can", "trash bin", "trash collection", "garbage collection", "garbage collector", "garbage truck", "clown fish", "pathetic fallacy", "fool proof", "guinea pig", "pig iron", "damn good"]
 # Characters that look like a letter, and digits or signs that stand for one inside a word.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһνωαορκτιβ", "aeopcyxijsdhvwaopktib", strict=True))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: The fit uses at most so many labelled rows, those whose hashed id is smallest.
-TRAIN_ROWS, ENTRIES, LEAST, ODDS = 20_000, 4000, 4, 2.5
+#: The fit uses at most so many labelled rows, those whose hashed id is smallest. Entries are learned from these alone.
+TRAIN_ROWS, LEAST, ODDS = 20_000, 4, 2.5
 CUT = 0.7
 _FOLD = str.maketrans(HOMOGLYPHS)
-_SIGNED = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])")
+_SIGNED = re.compile(r"[^\W_]*(?:[@$!][^\W_]+|[^\W_]+)(?:[@$!]+[^\W_]+)*")
+_HAS_SIGN = re.compile(r"[0134578@$!]")
 _OTHER = re.compile(r"[\W\d_]+")
+_MARK = re.compile(r"[\u0300-\u036f]+")
+_BEYOND = re.compile(r"[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*")
+_BY_HAND = frozenset(" ".join(WORDS.values()).split())
+
+
+def _unmarked(m: re.Match) -> str:
+    """A word without its accents, where that is a word of the lexicon; other languages' words keep theirs."""
+    plain = _MARK.sub("", unicodedata.normalize("NFKD", m[0]))
+    return plain if plain in _BY_HAND else m[0]
+
+
+def _read(m: re.Match) -> str:
+    """A word's signs and digits as letters, where letters are most of it or it begins with one sign; else it stays."""
+    word = m[0]
+    if not _HAS_SIGN.search(word) or 2 * sum(c.isalpha() for c in word) <= len(word):
+        return word
+    return "".join(SIGNS.get(c, c) for c in word)
 
 
 def folded(text: str | None) -> str:
+    """Letters alone, lower-cased, words apart by a space: wide forms, accents on words of the lexicon, homoglyphs, and signs and digits in
+    words or at their edges are the letters that they stand for."""
     text = (text or "").lower()
     if not text.isascii():
-        text = text.translate(_FOLD)
-    text = _SIGNED.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
+        text = unicodedata.normalize("NFKC", text).translate(_FOLD)
+        text = _BEYOND.sub(_unmarked, text)
+    text = _SIGNED.sub(_read, text) if _HAS_SIGN.search(text) else text
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
@@ -60,7 +87,7 @@ class Matcher:
         self.automaton.make_automaton()
 
     def features(self, text: str) -> tuple[float, float, float, float]:
-        """log of the sum of weights, that sum by word, the largest weight, hits by word. A word counts once, with
+        """log of the sum of weights by root of length, that sum by word, the largest weight, hits by word. A word counts once, with
         its heaviest entry."""
         t = folded(text)
         hits, excused = {}, []
@@ -73,12 +100,12 @@ class Matcher:
         if excused:
             hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in excused)}
         words, total = max(1, t.count(" ") - 1), sum(hits.values())
-        return math.log1p(total), 10 * total / (words + 20), max(hits.values(), default=0.0), 10 * len(hits) / (words + 20)
+        return math.log1p(10 * total / math.sqrt(words + 20)), 10 * total / (words + 20), max(hits.values(), default=0.0), 10 * len(hits) / (words + 20)
 
 
 def learn_weights(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Log-odds of the entries that toxic texts hold; an entry that a shorter one covers as well is left out."""
-    weights = {f" {w} ": 3.0 for w in WORDS}
+    weights = {f" {w} ": weight for weight, words in WORDS.items() for w in words.split()}
     good = []
     for entry, p, n in counts:
         w = math.log((p + 0.1) / (toxic + 1)) - math.log((n + 0.1) / (clean + 1))
@@ -88,8 +115,7 @@ def learn_weights(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     for entry, w in sorted(good, key=lambda x: (len(x[0]), x[0])):
         if not any(entry[:n] in have and have[entry[:n]] >= w - 2 for n in range(5, len(entry))):
             have[entry] = w
-    weights.update(sorted(have.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
-    return weights
+    return weights | have
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 600) -> np.ndarray:
@@ -114,7 +140,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = d.join(F.broadcast(known), "doc_id").withColumn("half", F.crc32(F.concat(F.lit("half"), F.col("doc_id")).cast("binary")) % 2).withColumn("half", F.col("half").cast("int"))
+    once = d.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # a repeated id teaches once
+    sample = once.join(F.broadcast(known), "doc_id").withColumn("half", F.crc32(F.concat(F.lit("half"), F.col("doc_id")).cast("binary")) % 2).withColumn("half", F.col("half").cast("int"))
 
     def entries(batches):
         form = pa.schema([("entry", pa.string()), ("half", pa.int32()), ("p", pa.int64()), ("n", pa.int64())])
@@ -132,7 +159,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
         toxic, clean = (sum(sizes.get(h, (0, 0))[i] for h in halves) for i in (0, 1))
         least = max(LEAST, toxic // 150)
         rows = counted.where(F.col("half").isin(halves)).groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-        rows = rows.where((F.col("p") >= least) & (F.col("p") >= 10 * F.col("n"))).orderBy(F.desc("p"), "entry").limit(20 * ENTRIES).collect()
+        rows = rows.where((F.col("p") >= least) & (F.col("p") >= 10 * F.col("n"))).orderBy("entry").collect()  # bounded by the sample
         return learn_weights([tuple(r) for r in rows], toxic, clean)
 
     other = {0: weights_of([1]), 1: weights_of([0])}

@@ -1,9 +1,10 @@
 import re
+import time
 from re import _parser
 
 import numpy as np
 
-from sightline.llm.license_scan import BASE, detect, rules, scan_licenses
+from sightline.llm.license_scan import BASE, detect, rules, scan, scan_licenses, uncontained
 from sightline.llm.toxicity import Matcher, folded, score_toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -13,6 +14,7 @@ def test_folding_and_exceptions():
     assert folded("You, ѕtuр1d!") == " you stupid "
     assert "pathetic" in folded("P4th3tic") and "stupid" in folded("stup1d")
     m = Matcher({" trash ": 3.0})
+    assert folded("1diot $tupid @sshole ｉｄｉｏｔ ídiot") == " idiot stupid asshole idiot idiot " and folded("5 apples, 2024") == " apples "
     assert m.features("such trash")[2] == 3.0 and m.features("the trash can")[2] == 0 and m.features("")[0] == 0
 
 
@@ -72,6 +74,8 @@ def example(parsed, keyword):
             out += "0" if str(x[0][1]) == "CATEGORY_DIGIT" else chr(x[0][1] if str(x[0][0]) == "LITERAL" else x[0][1][0])
         elif kind == "MAX_REPEAT":
             out += example(x[2], keyword)
+        elif kind == "MIN_REPEAT":
+            out += "x" * x[0]
         elif kind == "SUBPATTERN":
             out += example(x[3], keyword)
         elif kind == "BRANCH":
@@ -89,3 +93,32 @@ def test_every_rule_reaches_scan(spark):
     got = {r.doc_id: r for r in scan_licenses(docs).collect()}
     assert got[len(texts)].labels == "cc-by-sa-4.0"
     assert all(got[i].score > 0 and {x[2] for x in detect(t)} <= set(got[i].labels.split(",")) for i, t in enumerate(texts))
+    assert all(detect(t) == detect(t, filtered=False) for t in texts)
+
+
+def test_prefilter_loses_nothing_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    texts = [r.text or "" for r in docs]
+    assert all(scan(t) == scan(t, filtered=False) for t in texts) and any(scan(t)[4] for t in texts)
+
+
+def test_license_texts():
+    label = lambda t: {x[2] for x in detect(t)}
+    assert label("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files") == {"mit"}
+    assert "bsd" in label("redistribution and use in source and binary forms with or without modification are permitted provided that")
+    assert label("https www gnu org licenses gpl 3 0 html") == {"gpl-3"} and label("http creativecommons org licenses by sa 4 0") == {"cc-by-sa-4.0"}
+
+
+def test_suppression_against_brute_force_and_long_texts():
+    chance = np.random.default_rng(4)
+    for _ in range(50):
+        start = chance.integers(0, 60, 80)
+        found = [(int(s), int(s + n)) for s, n in zip(start, chance.integers(1, 20, 80), strict=True)]
+        kept = []
+        for i, (s, e) in enumerate(found):
+            if not any(found[k][0] <= s and e <= found[k][1] for k in kept):
+                kept.append(i)
+        assert uncontained(found) == kept
+    began = time.time()
+    n, first, last, *_ = scan("cc by nc all rights reserved " * 60_000)
+    assert (n, first, last) == (60_000, 0, 59_999 * 6) and time.time() - began < 20
