@@ -220,12 +220,23 @@ def scan(text: str, filtered: bool = True) -> tuple[int, int | None, int | None,
 
 
 @lru_cache(1)
-def hint() -> re.Pattern:
-    """Finds, in raw texts, any keyword of the rules or phrase of BASE; those that hold another one add nothing."""
-    needed = {keyword for _, keyword, *_ in rules()} | set(BASE.values())
-    least = sorted(k for k in needed if not any(x != k and x in k for x in needed))
-    gap = rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    return re.compile(b"|".join(gap.join(re.escape(w.encode()) for w in k.split()) for k in least), re.I)
+def hints():
+    """Of every keyword and base phrase the longest word, with its length; up to three letters it counts as a word only."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for phrase in sorted({keyword for _, keyword, *_ in rules()} | set(BASE.values())):
+        word = max(phrase.split(), key=len)
+        a.add_word(word, len(word))
+    a.make_automaton()
+    return a
+
+
+def hinted(text: str) -> bool:
+    """Whether any rule or base phrase may stand in a raw text."""
+    low = text.lower()
+    part = lambda i: 0 <= i < len(low) and (low[i] > "\x7f" or low[i].isalnum())
+    return any(n > 3 or not (part(end - n) or part(end + 1)) for end, n in hints().iter(low))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -236,15 +247,14 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     form = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        hinted = hint().search
         for b in batches:
             for first, end, data, offsets in text_slices(b.column("text")):
                 _, _, row = word_spans(data, offsets, _WORD)
                 raw = data.tobytes()
                 got = []
                 for i in range(end - first):
-                    part = raw[offsets[i] : offsets[i + 1]]
-                    got.append(scan(part.decode()) if hinted(part) else (0, None, None, set(), set(), 0.0))
+                    text = raw[offsets[i] : offsets[i + 1]].decode()
+                    got.append(scan(text) if hinted(text) else (0, None, None, set(), set(), 0.0))
                 n, lo, hi, base, labels, score = zip(*got, strict=True)
                 join = lambda x: [",".join(sorted(s)) for s in x]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, end - first), pa.array(np.bincount(row, minlength=end - first), pa.int64()), *[pa.array(x, pa.int64()) for x in (n, lo, hi)], pa.array(join(base)), pa.array(join(labels)), pa.array(score, pa.float64())], schema=form)

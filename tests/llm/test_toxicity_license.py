@@ -4,7 +4,7 @@ from re import _parser
 
 import numpy as np
 
-from sightline.llm.license_scan import BASE, detect, rules, scan, scan_licenses, uncontained
+from sightline.llm.license_scan import BASE, detect, hinted, rules, scan, scan_licenses, uncontained
 from sightline.llm.toxicity import Matcher, folded, score_toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -99,6 +99,7 @@ def test_every_rule_reaches_scan(spark):
 def test_prefilter_loses_nothing_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
     texts = [r.text or "" for r in docs]
+    assert all(hinted(t) for t in texts if scan(t, filtered=False)[4])
     assert all(scan(t) == scan(t, filtered=False) for t in texts) and any(scan(t)[4] for t in texts)
 
 
