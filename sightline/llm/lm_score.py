@@ -1,13 +1,18 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
-Outputs are classes: the most frequent words have one each, the end mark too, and all other words share classes by
-length and letters. P(word | context) = P(class | two classes before) * P(word | class); both are normalised, so the
-products are. Word counts and class triples are counted over all training texts; the neural part is trained on
-triples drawn by their counts (TASKS * ROUNDS * STEPS * BATCH at most, at any input size), in rounds of local steps in
-tasks whose parameters are then averaged."""
+Outputs are items: frequent words, the end mark, and shapes (length and letters) for all other words. The number of words that
+are items grows with the root of the vocabulary. The most frequent items stand for themselves in a first choice, the other
+words come in bands of near frequency and are chosen inside their band; a word of a shape goes by its count in the shape:
+P(word | context) = P(band | two items before) * P(item | band, two items before) * P(word | item). Each factor is
+normalised, so the products are. Counts are taken over all training texts, and every token of every training text is an
+example: the texts are dealt to ROUNDS parts, tasks pass over their texts of a part and their parameters are averaged.
+Where a task has few tokens it passes over them again up to STEPS steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,12 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint_dir, fold, fold_of, hash_word, lower_ascii, table, text_slices, word_hashes, word_spans, written
 
-TOP = 191  # words with a class of their own
+SINGLE = 127  # most frequent words, chosen without a band
+BANDS = 64  # at least
 SHAPES = 64
-CLASSES = TOP + 1 + SHAPES
-DIM, NOISE, BATCH, STEPS, ROUNDS, TASKS = 16, 64, 2048, 60, 3, 12
-#: Words whose counts are broadcast (16 bytes each); with more, counts come by a join.
-BROADCAST_WORDS = 6_000_000
+DIM, NOISE, BAND_NOISE, BATCH, STEPS, ROUNDS, RATE = 16, 32, 4, 2048, 60, 3, 0.1
+CHUNK = 4096  # parameters in a row of the average
+#: Words whose counts are broadcast (16 bytes each); with more, counts of words that aren't items come by a join.
+BROADCAST_WORDS = 3_000_000
 END = hash_word(b"\n end of text \n")
 
 
@@ -41,102 +47,212 @@ def tokens(column: pa.Array):
         yield first, end, out_row, out_h, out_shape
 
 
-def classes(h: np.ndarray, shape: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """top: the sorted hashes of words with own classes."""
-    at = np.minimum(np.searchsorted(top, h), len(top) - 1)
-    return np.where(h == END, TOP, np.where(top[at] == h, at, TOP + 1 + shape)) if len(top) else np.where(h == END, TOP, TOP + 1 + shape)
-
-
-def contexts(row: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Number of the two classes before each token; CLASSES stands before a text."""
-    one, two = np.full(len(cls), CLASSES), np.full(len(cls), CLASSES)
-    one[1:] = np.where(row[1:] == row[:-1], cls[:-1], CLASSES)
-    two[2:] = np.where(row[2:] == row[:-2], cls[:-2], CLASSES)
-    return two * (CLASSES + 1) + one
-
-
-def initial(freq: np.ndarray) -> dict[str, np.ndarray]:
+@dataclass
+class Items:
+    """Items are the words by falling count, then the end mark, then the shapes; the number after them stands before a text."""
+
+    keys: np.ndarray  # sorted hashes of the words
+    item: np.ndarray  # item of each key
+    count: np.ndarray  # training count of every item
+    group: np.ndarray  # group of every item
+    edges: np.ndarray  # first word of each band, then the number of words
+    mass: np.ndarray  # smoothed count of each shape
+
+    @classmethod
+    def of(cls, h: np.ndarray, n: np.ndarray, n_end: int, n_shape: np.ndarray, v_shape: np.ndarray) -> Items:
+        words, single = len(h), min(SINGLE, len(h))
+        bands = min(max(BANDS, int(np.sqrt(words))), words - single)
+        edges = single + np.arange(bands + 1) * (words - single) // max(bands, 1)
+        band = np.repeat(np.arange(bands), np.diff(edges))
+        group = np.concatenate([np.arange(single), single + 1 + SHAPES + band, single + np.arange(1 + SHAPES)]).astype(np.int64)
+        order = np.argsort(h)
+        return cls(h[order], order, np.concatenate([n, [n_end], n_shape]).astype(float), group, edges, n_shape + 0.1 * (v_shape + 1))
+
+    @property
+    def words(self) -> int:
+        return len(self.keys)
+
+    @property
+    def groups(self) -> int:
+        return min(SINGLE, self.words) + 1 + SHAPES + len(self.edges) - 1
+
+    def find(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        other = np.where(h == END, self.words, self.words + 1 + shape)
+        if not self.words:
+            return other
+        at = np.minimum(np.searchsorted(self.keys, h), self.words - 1)
+        return np.where(self.keys[at] == h, self.item[at], other)
+
+    def contexts(self, row: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items two before and one before each token."""
+        pad = len(self.group)
+        one, two = np.full(len(item), pad), np.full(len(item), pad)
+        one[1:] = np.where(row[1:] == row[:-1], item[:-1], pad)
+        two[2:] = np.where(row[2:] == row[:-2], item[:-2], pad)
+        return two, one
+
+
+def initial(items: Items) -> dict[str, np.ndarray]:
+    """r: of context items, c: of the two places, t, b: of groups, u, v: of the words in their bands. Biases are log frequencies."""
     rng = np.random.default_rng(3)
-    return {"r": rng.normal(0, 0.1, (CLASSES + 1, DIM)), "c": np.stack([np.eye(DIM)] * 2), "t": rng.normal(0, 0.1, (CLASSES, DIM)), "b": np.log(freq)}
-
-
-def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
-    """Rows: contexts; columns: natural log of each class's probability."""
-    two, one = np.divmod(context, CLASSES + 1)
-    q = p["r"][two] @ p["c"][0] + p["r"][one] @ p["c"][1]
-    z = (q @ p["t"].T + p["b"]).astype(np.float32)
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def train(p: dict[str, np.ndarray], key: np.ndarray, count: np.ndarray, freq: np.ndarray, steps: int, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """Noise-contrastive steps on triples drawn by their counts, against NOISE shared words drawn by frequency."""
-    rng = np.random.default_rng(seed)
-    chance = np.cumsum(count) / count.sum()
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    for step in range(1, steps + 1):
-        pick = key[np.minimum(np.searchsorted(chance, rng.random(BATCH)), len(key) - 1)]
-        context, word = np.divmod(pick, CLASSES)
-        two, one = np.divmod(context, CLASSES + 1)
-        noise = rng.choice(CLASSES, NOISE, p=freq)
-        a, b = p["r"][two], p["r"][one]
-        q = a @ p["c"][0] + b @ p["c"][1]
-        good = (q * p["t"][word]).sum(1) + p["b"][word] - np.log(NOISE * freq[word])
-        bad = q @ p["t"][noise].T + p["b"][noise] - np.log(NOISE * freq[noise])
-        dg = 1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1
-        db = 1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-        dq = dg[:, None] * p["t"][word] + db @ p["t"][noise]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        np.add.at(g["t"], word, dg[:, None] * q)
-        np.add.at(g["t"], noise, db.T @ q)
-        g["b"] = np.bincount(word, dg, CLASSES) + np.bincount(noise, db.sum(0), CLASSES)
-        g["c"] = np.stack([a.T @ dq, b.T @ dq])
-        np.add.at(g["r"], two, dq @ p["c"][0].T)
-        np.add.at(g["r"], one, dq @ p["c"][1].T)
-        for k in p:
-            x = g[k] / BATCH
-            m[k], s[k] = 0.9 * m[k] + 0.1 * x, 0.99 * s[k] + 0.01 * x * x
-            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
-    return p
-
-
-def pack_parameters(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in ("r", "c", "t", "b")])
-
-
-def unpack_parameters(x: np.ndarray) -> dict[str, np.ndarray]:
-    shapes, out, at = {"r": (CLASSES + 1, DIM), "c": (2, DIM, DIM), "t": (CLASSES, DIM), "b": (CLASSES,)}, {}, 0
-    for k, shape in shapes.items():
-        n = int(np.prod(shape))
-        out[k] = x[at : at + n].reshape(shape)
-        at += n
+    n = items.count + 0.1
+    by_group = np.bincount(items.group, n, items.groups)
+    inside = np.log(n / by_group[items.group])[: items.words]
+    draw = lambda k: rng.normal(0, 0.1, (k, DIM))
+    p = {"r": draw(len(n) + 1), "c": np.stack([np.eye(DIM)] * 2), "t": draw(items.groups), "b": np.log(by_group / n.sum()), "u": draw(items.words), "v": inside}
+    return {k: x.astype(np.float32) for k, x in p.items()}
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    top = z.max(1)
+    z -= top[:, None]
+    return top + np.log(np.exp(z, out=z).sum(1))
+
+
+def log_probabilities(p: dict[str, np.ndarray], items: Items, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Natural log of each item's probability after its two items."""
+    first, second, out = p["r"] @ p["c"][0], p["r"] @ p["c"][1], np.zeros(len(item))
+    single = min(SINGLE, items.words)
+    for at in range(0, len(item), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        w, q = item[part], first[two[part]] + second[one[part]]
+        g = items.group[w]
+        z = q @ p["t"].T + p["b"]
+        got = z[np.arange(len(w)), g] - _log_sum(z)
+        banded = np.flatnonzero((w >= single) & (w < items.words))
+        banded = banded[np.argsort(g[banded], kind="stable")]
+        cut = np.flatnonzero(np.diff(g[banded])) + 1
+        for some in np.split(banded, cut) if len(banded) else ():
+            band = g[some[0]] - single - 1 - SHAPES
+            lo, hi = items.edges[band], items.edges[band + 1]
+            z = q[some] @ p["u"][lo:hi].T + p["v"][lo:hi]
+            got[some] += z[np.arange(len(some)), w[some] - lo] - _log_sum(z)
+        out[part] = got
     return out
 
 
-def fit(triples: DataFrame, freq: np.ndarray) -> dict[str, np.ndarray]:
-    """Rounds of local training on TASKS parts of the triple counts; a round's parameters are their weighted mean."""
-    p = initial(freq)
-    parts = written(triples.repartition(TASKS, F.xxhash64("key")).select("key", "n", F.spark_partition_id().alias("part")).repartition(TASKS, "part"))
+class Trainer:
+    """Noise-contrastive steps with AdaGrad on the rows that a batch touches."""
+
+    def __init__(self, p: dict[str, np.ndarray], items: Items, rate: float, seed: int):
+        self.p, self.items, self.rate, self.rng = {k: x.copy() for k, x in p.items()}, items, np.float32(rate), np.random.default_rng(seed)
+        self.past = {k: np.ones_like(x) for k, x in p.items()}
+        by_group = np.bincount(items.group, items.count + 0.1, items.groups)
+        self.freq = by_group / by_group.sum()
+        self.log_noise = np.log(NOISE * self.freq).astype(np.float32)
+
+    def change(self, k: str, at, g: np.ndarray) -> None:
+        """Take a step on rows at by the sums of their gradients."""
+        if not isinstance(at, slice):
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            at, g = at[first], np.add.reduceat(g[order], first)
+        self.past[k][at] += g * g
+        self.p[k][at] -= self.rate * g / np.sqrt(self.past[k][at])
+
+    def step(self, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> None:
+        p, items, all_rows = self.p, self.items, slice(None)
+        group, noise = items.group[item], self.rng.choice(items.groups, NOISE, p=self.freq)
+        a, b = p["r"][two], p["r"][one]
+        q = a @ p["c"][0] + b @ p["c"][1]
+        good = _sigmoid((q * p["t"][group]).sum(1) + p["b"][group] - self.log_noise[group]) - 1
+        bad = _sigmoid(q @ p["t"][noise].T + p["b"][noise] - self.log_noise[noise])
+        dq = good[:, None] * p["t"][group] + bad @ p["t"][noise]
+        changes = [("t", np.concatenate([group, noise]), np.concatenate([good[:, None] * q, bad.T @ q])), ("b", np.concatenate([group, noise]), np.concatenate([good, bad.sum(0)]))]
+        single = min(SINGLE, items.words)
+        inner = np.flatnonzero((item >= single) & (item < items.words))
+        if len(inner):
+            word, x = item[inner], q[inner]
+            band = group[inner] - single - 1 - SHAPES
+            lo, size = items.edges[band], np.diff(items.edges)[band]
+            other = lo[:, None] + (self.rng.random((len(inner), BAND_NOISE)) * size[:, None]).astype(np.int64)
+            level = np.log(BAND_NOISE / size).astype(np.float32)
+            good2 = _sigmoid((x * p["u"][word]).sum(1) + p["v"][word] - level) - 1
+            far = p["u"][other]
+            bad2 = _sigmoid(np.einsum("nd,nkd->nk", x, far) + p["v"][other] - level[:, None])
+            dq[inner] += good2[:, None] * p["u"][word] + np.einsum("nk,nkd->nd", bad2, far)
+            at = np.concatenate([word, other.ravel()])
+            changes += [("u", at, np.concatenate([good2[:, None] * x, (bad2[:, :, None] * x[:, None, :]).reshape(-1, DIM)])), ("v", at, np.concatenate([good2, bad2.ravel()]))]
+        changes += [("r", np.concatenate([two, one]), np.concatenate([dq @ p["c"][0].T, dq @ p["c"][1].T])), ("c", all_rows, np.stack([a.T @ dq, b.T @ dq]))]
+        for change in changes:
+            self.change(*change)
+
+    def learn(self, two: np.ndarray, one: np.ndarray, item: np.ndarray, steps: int) -> None:
+        """Steps over the examples in random order, over again where they are fewer."""
+        n, at = len(item), np.zeros(0, np.int64)
+        for _ in range(steps):
+            if not len(at):
+                at = self.rng.permutation(n)
+            now, at = at[:BATCH], at[BATCH:]
+            self.step(two[now], one[now], item[now])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in p.values()])
+
+
+def _unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([v.size for v in like.values()])
+    return {k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(like.items(), np.split(x, ends[:-1]), strict=True)}
+
+
+def fit(learn: DataFrame, items: Items) -> dict[str, np.ndarray]:
+    """A pass over all texts (doc_id, text): in each round every task learns from its texts of one part, by steps in line with
+    their tokens, and the parameters of the tasks are averaged, weighted by tokens. The averages are sums by chunk in tasks."""
+    spark, p = learn.sparkSession, initial(items)
+    form = pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("p", pa.binary())])
     for turn in range(ROUNDS):
-        state = triples.sparkSession.sparkContext.broadcast((pack_parameters(p), freq))
-        schema = pa.schema([("weight", pa.float64()), ("p", pa.list_(pa.float64()))])
+        state = spark.sparkContext.broadcast((p, items))
 
         def run(batches, state=state, turn=turn):
-            got = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-            if got:
-                key, n = (np.concatenate(x) for x in zip(*got, strict=True))
-                order = np.argsort(key)
-                start, freq = state.value
-                p = train(unpack_parameters(start), key[order], n[order].astype(float), freq, STEPS, 0.02 / (1 + turn), turn)
-                yield table({"weight": [float(n.sum())], "p": [pack_parameters(p)]}, schema)
-
-        got = parts.mapInArrow(run, "weight double, p array<double>").toArrow()
+            p, items = state.value
+            trainer, seen = Trainer(p, items, RATE / (1 + turn), turn), 0
+            for at_end, examples in _examples(batches, items):
+                n = len(examples[0])
+                trainer.learn(*examples, steps=STEPS if at_end and not seen else -(-n // BATCH))
+                seen += n
+            if seen:
+                flat = _flat(trainer.p)
+                for chunk, at in enumerate(range(0, len(flat), CHUNK)):
+                    yield table({"chunk": [chunk], "weight": [float(seen)], "p": [flat[at : at + CHUNK].tobytes()]}, form)
+
+        def mean(batches):
+            sums: dict[int, list] = {}
+            for b in batches:
+                for chunk, weight, raw in zip(*(b.column(x).to_pylist() for x in ("chunk", "weight", "p")), strict=True):
+                    s = sums.setdefault(chunk, [0.0, 0.0])
+                    s[0], s[1] = s[0] + weight, s[1] + weight * np.frombuffer(raw, np.float32).astype(float)
+            for chunk, (weight, x) in sums.items():
+                yield table({"chunk": [chunk], "weight": [weight], "p": [(x / weight).astype(np.float32).tobytes()]}, form)
+
+        part = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text")
+        kind = "chunk int, weight double, p binary"
+        got = part.mapInArrow(run, kind).repartition("chunk").mapInArrow(mean, kind).orderBy("chunk").toArrow()
         if got.num_rows:
-            p = unpack_parameters(np.average(np.array(got.column("p").to_pylist()), axis=0, weights=got.column("weight").to_numpy()))
+            p = _unflat(np.concatenate([np.frombuffer(x, np.float32) for x in got.column("p").to_pylist()]), p)
     return p
 
 
+def _examples(batches, items: Items) -> Iterator[tuple[bool, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """two, one, item of some STEPS batches or more at a time; True with the last ones."""
+    held, n = [], 0
+    for b in batches:
+        for _, _, row, h, shape in tokens(b.column("text")):
+            item = items.find(h, shape)
+            held.append((*items.contexts(row, item), item))
+            n += len(item)
+            if n >= STEPS * BATCH:
+                yield False, tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+    if held:
+        yield True, tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def score_texts(docs: DataFrame, folds: int = 10, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -156,31 +272,19 @@ def score_texts(docs: DataFrame, folds: int = 10, broadcast_words: int = BROADCA
 
     counts = written(learn.mapInArrow(count, "h long, shape int, n long").groupBy("h", "shape").agg(F.sum("n").alias("n")))
     end = int(np.uint64(END).astype(np.int64))
-    tall = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, kinds = tall["n"] or 0, tall["v"]
-    heavy = counts.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(TOP).collect()
-    top = np.sort(np.array([r["h"] for r in heavy], np.int64).view(np.uint64))
-    n_top = np.zeros(CLASSES)
-    for r in heavy:
-        n_top[np.searchsorted(top, np.array([r["h"]], np.int64).view(np.uint64)[0])] = r["n"]
-    rest = counts.where((F.col("h") != end) & ~F.col("h").isin([r["h"] for r in heavy])).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    mass = np.full(SHAPES, 0.1)
-    for r in rest:
-        mass[r["shape"]] = r["n"] + 0.1 * (r["v"] + 1)
-        n_top[TOP + 1 + r["shape"]] = r["n"]
-    n_top[TOP] = counts.where(F.col("h") == end).agg(F.sum("n")).first()[0] or 0
-    freq = (n_top + 0.1) / (n_top + 0.1).sum()
-
-    def triple(batches):
-        form = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-        for b in batches:
-            for _, _, row, h, shape in tokens(b.column("text")):
-                cls = classes(h, shape, top)
-                key, n = np.unique(contexts(row, cls) * CLASSES + cls, return_counts=True)
-                yield table({"key": key, "n": n}, form)
-
-    triples = learn.mapInArrow(triple, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    model = fit(triples, freq)
+    n_shape, v_shape, n_end = np.zeros(SHAPES), np.zeros(SHAPES), 0
+    for r in counts.groupBy((F.col("h") == end).alias("end"), "shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        if r["end"]:
+            n_end = r["n"]
+        else:
+            n_shape[r["shape"]], v_shape[r["shape"]] = r["n"], r["v"]
+    total, kinds = int(n_shape.sum()) + n_end, int(v_shape.sum()) + (n_end > 0)
+    heavy = counts.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(max(3 * SINGLE, int(4 * kinds**0.5))).toArrow()
+    heavy_h, heavy_n, heavy_shape = (heavy.column(x).to_numpy() for x in ("h", "n", "shape"))
+    n_shape -= np.bincount(heavy_shape, heavy_n, SHAPES)
+    v_shape -= np.bincount(heavy_shape, minlength=SHAPES)
+    items = Items.of(heavy_h.view(np.uint64), heavy_n, n_end, n_shape, v_shape)
+    model = fit(learn, items)
     small = kinds <= broadcast_words
     if small:
         got = counts.select("h", "n").toArrow()
@@ -188,62 +292,64 @@ def score_texts(docs: DataFrame, folds: int = 10, broadcast_words: int = BROADCA
         order = np.argsort(h)
         lookup = (h[order], got.column("n").to_numpy()[order])
     else:
-        lookup = None
-    state = spark.sparkContext.broadcast((model, top, mass, lookup))
+        lookup = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    state = spark.sparkContext.broadcast((model, items, lookup))
     out = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def word_parts(c, cls, mass):
-        """log10 of the base probability, and of a word in its class."""
-        inside = np.where(cls > TOP, np.log10((c + 0.1) / mass[np.maximum(cls - TOP - 1, 0)]), 0.0)
-        return np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))), inside
-
     def score(batches):
-        model, top, mass, lookup = state.value
+        """Sums over tokens; where counts are joined, words that aren't items are left to the join."""
+        model, items, (keys, n_of) = state.value
         for b in batches:
             known_id = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             ids = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             uid = b.column("uid").to_numpy(zero_copy_only=False) if "uid" in b.schema.names else ids
             held = (fold_of(ids, folds) == 0) | ~known_id
             for first, last, row, h, shape in tokens(b.column("text")):
-                cls = classes(h, shape, top)
-                context, at = np.unique(contexts(row, cls), return_inverse=True)
-                value = log_probabilities(model, context)[at, cls] / np.log(10)
-                n = last - first
-                base = np.zeros(n)
-                known = np.zeros(n, np.int64)
-                if lookup is not None:
-                    word, back = np.unique(h, return_inverse=True)
-                    if len(lookup[0]):
-                        where = np.minimum(np.searchsorted(lookup[0], word), len(lookup[0]) - 1)
-                        c = np.where(lookup[0][where] == word, lookup[1][where], 0)[back]
-                    else:
-                        c = np.zeros(len(h))
-                    log_base, inside = word_parts(c, cls, mass)
-                    base, known = np.bincount(row, log_base, n), np.bincount(row, c > 0, n).astype(np.int64)
-                    value = value + inside
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((uid[first:last], pa.array(ids[first:last], mask=~known_id[first:last]), held[first:last], np.bincount(row, minlength=n), known, base, np.bincount(row, value, n)), out, strict=True)], schema=out)
+                item = items.find(h, shape)
+                value = log_probabilities(model, items, *items.contexts(row, item), item) / np.log(10)
+                n, c = last - first, items.count[item]
+                other = np.flatnonzero(item > items.words)
+                c[other] = 0
+                if len(keys):
+                    word, back = np.unique(h[other], return_inverse=True)
+                    at = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+                    c[other] = np.where(keys[at] == word, n_of[at], 0)[back]
+                base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
+                if small:
+                    value[other] += np.log10((c[other] + 0.1) / items.mass[shape[other]])
+                else:
+                    base[other] = 0
+                sums = [np.bincount(row, x, n) for x in (base, value)]
+                known = np.bincount(row, c > 0, n).astype(np.int64)
+                columns = (uid[first:last], pa.array(ids[first:last], mask=~known_id[first:last]), held[first:last], np.bincount(row, minlength=n), known, *sums)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
     shape_out = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     if small:
         scored = d.mapInArrow(score, shape_out)
     else:
         d = written(d.withColumn("uid", F.monotonically_increasing_id()))
-        form = pa.schema([("uid", pa.int64()), ("h", pa.int64()), ("cls", pa.int32()), ("tf", pa.int64())])
+        form = pa.schema([("uid", pa.int64()), ("h", pa.int64()), ("shape", pa.int32()), ("tf", pa.int64())])
 
         def frequencies(batches):
+            """Words that aren't items: they are rare, so no key of the join is hot."""
+            items = state.value[1]
             for b in batches:
                 uid = b.column("uid").to_numpy(zero_copy_only=False)
                 for first, _, row, h, shape in tokens(b.column("text")):
-                    order = np.lexsort((h, row))
-                    row, h, cls = row[order], h[order], classes(h, shape, top)[order]
-                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
-                    yield table({"uid": uid[first + row[new]], "h": h[new].view(np.int64), "cls": cls[new].astype(np.int32), "tf": np.diff(np.append(new, len(row)))}, form)
+                    other = items.find(h, shape) > items.words
+                    row, h, shape = row[other], h[other], shape[other]
+                    if len(row):
+                        order = np.lexsort((h, row))
+                        row, h, shape = row[order], h[order], shape[order]
+                        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
+                        yield table({"uid": uid[first + row[new]], "h": h[new].view(np.int64), "shape": shape[new].astype(np.int32), "tf": np.diff(np.append(new, len(row)))}, form)
 
         c = F.coalesce("n", F.lit(0))
-        mass_of = F.element_at(F.array(*[F.lit(float(x)) for x in mass]), F.greatest(F.col("cls") - TOP, F.lit(1)))
-        inside = F.when(F.col("cls") > TOP, F.log10((c + 0.1) / mass_of)).otherwise(0.0)
-        sums = d.select("uid", "text").mapInArrow(frequencies, "uid long, h long, cls int, tf long").join(counts.select("h", "n"), "h", "left").groupBy("uid").agg(
+        inside = F.log10((c + 0.1) / F.element_at(F.array(*[F.lit(float(x)) for x in items.mass]), F.col("shape") + 1))
+        sums = d.select("uid", "text").mapInArrow(frequencies, "uid long, h long, shape int, tf long").join(counts.select("h", "n"), "h", "left").groupBy("uid").agg(
             F.sum(F.col("tf") * F.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))).alias("b"), F.sum(F.col("tf") * inside).alias("i"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("k")
         )
-        scored = d.mapInArrow(score, shape_out).join(sums, "uid").withColumns({"base_score": F.col("b"), "score": F.col("score") + F.col("i"), "n_known": F.col("k")})
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+        more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+        scored = d.mapInArrow(score, shape_out).join(sums, "uid", "left").withColumns({"base_score": more("base_score", "b"), "score": more("score", "i"), "n_known": more("n_known", "k")})
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

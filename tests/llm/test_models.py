@@ -64,9 +64,27 @@ def test_lm_base_and_gain(spark):
 
 
 def test_lm_is_normalised_and_edges(spark):
-    p = lm_score.initial(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
-    assert np.allclose(np.exp(lm_score.log_probabilities(p, np.array([0, 500, 66048]))).sum(1), 1, atol=1e-4)
+    n = np.arange(900, 0, -1)
+    for words in (0, 5, 127, 300, 900):
+        items = lm_score.Items.of(n[:words].astype(np.uint64), n[:words], 7, np.ones(64), np.ones(64))
+        p, all_items = lm_score.initial(items), np.arange(words + 65)
+        p = {k: x + np.random.default_rng(1).normal(0, 0.5, x.shape) for k, x in p.items()}
+        for two, one in ((0, 1), (words + 65, words), (words + 65, words + 65)):
+            logs = lm_score.log_probabilities(p, items, np.full(words + 65, two), np.full(words + 65, one), all_items)
+            assert abs(np.exp(logs).sum() - 1) < 1e-4
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (4, "a " * 5000), (4, "a b"), (5, "A\x0bé")], "doc_id long, text string")
     rows = score_texts(docs).collect()
     assert len(rows) == 6 and all(np.isfinite(r.score) and r.score <= 0 for r in rows)
     assert score_texts(docs.limit(0)).collect() == []
+
+
+def test_lm_learns_words_after_words():
+    items = lm_score.Items.of(np.arange(400, dtype=np.uint64), np.full(400, 100), 1, np.zeros(64), np.zeros(64))
+    rng = np.random.default_rng(0)
+    one = rng.integers(0, 400, 100_000)
+    two, word = rng.integers(0, 400, 100_000), (one + 200) % 400
+    trainer = lm_score.Trainer(lm_score.initial(items), items, lm_score.RATE, 0)
+    loss = lambda p: -lm_score.log_probabilities(p, items, two, one, word).mean()
+    before = loss(trainer.p)
+    trainer.learn(two, one, word, 400)
+    assert before > 5.9 and loss(trainer.p) < before - 1
