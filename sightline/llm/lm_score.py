@@ -1,12 +1,12 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
 Outputs are items: frequent words, the end mark, and shapes (length and letters) for all other words. The number of words that
-are items grows with the root of the vocabulary. The most frequent items stand for themselves in a first choice, the other
-words come in bands of near frequency and are chosen inside their band; a word of a shape goes by its count in the shape:
-P(word | context) = P(band | two items before) * P(item | band, two items before) * P(word | item). Each factor is
+are items grows with the root of the vocabulary. The most frequent words and the end mark are groups of their own, the other
+words make groups of near frequency (bands), the shapes one more; a word of a shape goes by its count in the shape:
+P(word | context) = P(group | two items before) * P(item | group, two items before) * P(word | item). Each factor is
 normalised, so the products are. Counts are taken over all training texts, and every token of every training text is an
 example: the texts are dealt to ROUNDS parts, tasks pass over their texts of a part and their parameters are averaged.
-Where a task has few tokens it passes over them again up to STEPS steps."""
+Where a task has few tokens its batches are smaller."""
 
 from __future__ import annotations
 
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint_dir, fold, fold_of, hash_word, lower_ascii, table, text_slices, word_hashes, word_spans, written
 
-SINGLE = 127  # most frequent words, chosen without a band
-BANDS = 64  # at least
+SINGLE = 63  # most frequent words, groups of their own
+BANDS = 63  # at least
 SHAPES = 64
-DIM, NOISE, BAND_NOISE, BATCH, STEPS, ROUNDS, RATE = 16, 32, 4, 2048, 60, 3, 0.1
+DIM, NOISE, BAND_NOISE, BATCH, STEPS, ROUNDS, RATE = 15, 24, 1, 2048, 60, 3, 0.1
+PAST = 10.0  # squared gradient that every row starts with
 CHUNK = 4096  # parameters in a row of the average
 #: Words whose counts are broadcast (16 bytes each); with more, counts of words that aren't items come by a join.
 BROADCAST_WORDS = 3_000_000
@@ -49,24 +50,23 @@ def tokens(column: pa.Array):
 
 @dataclass
 class Items:
-    """Items are the words by falling count, then the end mark, then the shapes; the number after them stands before a text."""
+    """Items are the words by falling count, then the shapes, then the end mark; the number after them stands before a text."""
 
     keys: np.ndarray  # sorted hashes of the words
     item: np.ndarray  # item of each key
     count: np.ndarray  # training count of every item
-    group: np.ndarray  # group of every item
-    edges: np.ndarray  # first word of each band, then the number of words
+    group: np.ndarray  # group of every item: bands, shapes, single words, end mark
+    edges: np.ndarray  # first item of each band, of the shapes, and of what follows them
     mass: np.ndarray  # smoothed count of each shape
 
     @classmethod
     def of(cls, h: np.ndarray, n: np.ndarray, n_end: int, n_shape: np.ndarray, v_shape: np.ndarray) -> Items:
         words, single = len(h), min(SINGLE, len(h))
         bands = min(max(BANDS, int(np.sqrt(words))), words - single)
-        edges = single + np.arange(bands + 1) * (words - single) // max(bands, 1)
-        band = np.repeat(np.arange(bands), np.diff(edges))
-        group = np.concatenate([np.arange(single), single + 1 + SHAPES + band, single + np.arange(1 + SHAPES)]).astype(np.int64)
+        edges = np.append(single + np.arange(bands + 1) * (words - single) // max(bands, 1), words + SHAPES)
+        group = np.concatenate([np.arange(single) + bands + 1, np.repeat(np.arange(bands + 1), np.diff(edges)), [bands + 1 + single]])
         order = np.argsort(h)
-        return cls(h[order], order, np.concatenate([n, [n_end], n_shape]).astype(float), group, edges, n_shape + 0.1 * (v_shape + 1))
+        return cls(h[order], order, np.concatenate([n, n_shape, [n_end]]).astype(float), group, edges, n_shape + 0.1 * (v_shape + 1))
 
     @property
     def words(self) -> int:
@@ -74,10 +74,17 @@ class Items:
 
     @property
     def groups(self) -> int:
-        return min(SINGLE, self.words) + 1 + SHAPES + len(self.edges) - 1
+        return len(self.edges) + min(SINGLE, self.words)
+
+    def is_shape(self, item: np.ndarray) -> np.ndarray:
+        return (item >= self.words) & (item < self.words + SHAPES)
+
+    def choices(self, group: np.ndarray) -> np.ndarray:
+        """Positions of the items that are chosen inside their group."""
+        return np.flatnonzero(group < len(self.edges) - 1)
 
     def find(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        other = np.where(h == END, self.words, self.words + 1 + shape)
+        other = np.where(h == END, self.words + SHAPES, self.words + shape)
         if not self.words:
             return other
         at = np.minimum(np.searchsorted(self.keys, h), self.words - 1)
@@ -93,13 +100,13 @@ class Items:
 
 
 def initial(items: Items) -> dict[str, np.ndarray]:
-    """r: of context items, c: of the two places, t, b: of groups, u, v: of the words in their bands. Biases are log frequencies."""
+    """r: of context items, c: of the two places, t: of groups, u: of items in their groups; the last column of t and u is a
+    bias that starts as the log frequency."""
     rng = np.random.default_rng(3)
     n = items.count + 0.1
     by_group = np.bincount(items.group, n, items.groups)
-    inside = np.log(n / by_group[items.group])[: items.words]
-    draw = lambda k: rng.normal(0, 0.1, (k, DIM))
-    p = {"r": draw(len(n) + 1), "c": np.stack([np.eye(DIM)] * 2), "t": draw(items.groups), "b": np.log(by_group / n.sum()), "u": draw(items.words), "v": inside}
+    out = lambda log: np.column_stack([rng.normal(0, 0.1, (len(log), DIM)), log])
+    p = {"r": rng.normal(0, 0.1, (len(n) + 1, DIM)), "c": np.stack([np.eye(DIM)] * 2), "t": out(np.log(by_group / n.sum())), "u": out(np.log(n / by_group[items.group]))}
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
@@ -111,85 +118,100 @@ def _log_sum(z: np.ndarray) -> np.ndarray:
 
 def log_probabilities(p: dict[str, np.ndarray], items: Items, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Natural log of each item's probability after its two items."""
-    first, second, out = p["r"] @ p["c"][0], p["r"] @ p["c"][1], np.zeros(len(item))
-    single = min(SINGLE, items.words)
-    for at in range(0, len(item), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        w, q = item[part], first[two[part]] + second[one[part]]
-        g = items.group[w]
-        z = q @ p["t"].T + p["b"]
-        got = z[np.arange(len(w)), g] - _log_sum(z)
-        banded = np.flatnonzero((w >= single) & (w < items.words))
-        banded = banded[np.argsort(g[banded], kind="stable")]
-        cut = np.flatnonzero(np.diff(g[banded])) + 1
-        for some in np.split(banded, cut) if len(banded) else ():
-            band = g[some[0]] - single - 1 - SHAPES
-            lo, hi = items.edges[band], items.edges[band + 1]
-            z = q[some] @ p["u"][lo:hi].T + p["v"][lo:hi]
-            got[some] += z[np.arange(len(some)), w[some] - lo] - _log_sum(z)
-        out[part] = got
+    first, second = p["r"] @ p["c"][0], p["r"] @ p["c"][1]
+    q, group, out = first[two], items.group[item], np.zeros(len(item))
+    q += second[one]
+
+    def choose(rows: np.ndarray | slice, right: np.ndarray, among: np.ndarray) -> None:
+        z = q[rows] @ among[:, :DIM].T
+        z += among[:, DIM]
+        out[rows] += z[np.arange(len(z)), right] - _log_sum(z)
+
+    for at in range(0, len(item), 1 << 10):
+        part = slice(at, at + (1 << 10))
+        choose(part, group[part], p["t"])
+    inner = items.choices(group)
+    inner = inner[np.argsort(_short(group[inner]), kind="stable")]
+    for some in np.split(inner, np.flatnonzero(np.diff(group[inner])) + 1) if len(inner) else ():
+        lo, hi = items.edges[group[some[0]] : group[some[0]] + 2]
+        for at in range(0, len(some), 1 << 10):
+            part = some[at : at + (1 << 10)]
+            choose(part, item[part] - lo, p["u"][lo:hi])
     return out
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Small numbers in a type that sorts faster."""
+    return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+
+
 class Trainer:
-    """Noise-contrastive steps with AdaGrad on the rows that a batch touches."""
+    """Noise-contrastive steps with AdaGrad, one rate a row, on the rows that a batch touches."""
 
     def __init__(self, p: dict[str, np.ndarray], items: Items, rate: float, seed: int):
         self.p, self.items, self.rate, self.rng = {k: x.copy() for k, x in p.items()}, items, np.float32(rate), np.random.default_rng(seed)
-        self.past = {k: np.ones_like(x) for k, x in p.items()}
+        self.past = {k: np.full(len(x), PAST, np.float32) for k, x in p.items()}
         by_group = np.bincount(items.group, items.count + 0.1, items.groups)
         self.freq = by_group / by_group.sum()
         self.log_noise = np.log(NOISE * self.freq).astype(np.float32)
 
-    def change(self, k: str, at, g: np.ndarray) -> None:
+    def change(self, k: str, at: np.ndarray, g: np.ndarray) -> None:
         """Take a step on rows at by the sums of their gradients."""
-        if not isinstance(at, slice):
-            order = np.argsort(at, kind="stable")
-            at = at[order]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            at, g = at[first], np.add.reduceat(g[order], first)
-        self.past[k][at] += g * g
-        self.p[k][at] -= self.rate * g / np.sqrt(self.past[k][at])
+        order = np.argsort(_short(at), kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        at, g = at[first], np.add.reduceat(g[order], first)
+        past = self.past[k][at] + np.einsum("nd,nd->n", g, g) / g.shape[1]
+        self.past[k][at] = past
+        g *= (self.rate / np.sqrt(past))[:, None]
+        self.p[k][at] -= g
 
     def step(self, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> None:
-        p, items, all_rows = self.p, self.items, slice(None)
+        p, items = self.p, self.items
         group, noise = items.group[item], self.rng.choice(items.groups, NOISE, p=self.freq)
         a, b = p["r"][two], p["r"][one]
-        q = a @ p["c"][0] + b @ p["c"][1]
-        good = _sigmoid((q * p["t"][group]).sum(1) + p["b"][group] - self.log_noise[group]) - 1
-        bad = _sigmoid(q @ p["t"][noise].T + p["b"][noise] - self.log_noise[noise])
-        dq = good[:, None] * p["t"][group] + bad @ p["t"][noise]
-        changes = [("t", np.concatenate([group, noise]), np.concatenate([good[:, None] * q, bad.T @ q])), ("b", np.concatenate([group, noise]), np.concatenate([good, bad.sum(0)]))]
-        single = min(SINGLE, items.words)
-        inner = np.flatnonzero((item >= single) & (item < items.words))
+        x = np.ones((len(item), DIM + 1), np.float32)
+        x[:, :DIM] = a @ p["c"][0] + b @ p["c"][1]
+        right, wrong = p["t"][group], p["t"][noise]
+        good = _sigmoid(np.einsum("nd,nd->n", x, right) - self.log_noise[group]) - 1
+        bad = _sigmoid(x @ wrong.T - self.log_noise[noise])
+        dx = good[:, None] * right + bad @ wrong
+        self.change("t", np.concatenate([group, noise]), np.concatenate([good[:, None] * x, bad.T @ x]))
+        inner = items.choices(group)
         if len(inner):
-            word, x = item[inner], q[inner]
-            band = group[inner] - single - 1 - SHAPES
-            lo, size = items.edges[band], np.diff(items.edges)[band]
-            other = lo[:, None] + (self.rng.random((len(inner), BAND_NOISE)) * size[:, None]).astype(np.int64)
+            some, g = x[inner], group[inner]
+            lo, size = items.edges[g], np.diff(items.edges)[g]
             level = np.log(BAND_NOISE / size).astype(np.float32)
-            good2 = _sigmoid((x * p["u"][word]).sum(1) + p["v"][word] - level) - 1
-            far = p["u"][other]
-            bad2 = _sigmoid(np.einsum("nd,nkd->nk", x, far) + p["v"][other] - level[:, None])
-            dq[inner] += good2[:, None] * p["u"][word] + np.einsum("nk,nkd->nd", bad2, far)
-            at = np.concatenate([word, other.ravel()])
-            changes += [("u", at, np.concatenate([good2[:, None] * x, (bad2[:, :, None] * x[:, None, :]).reshape(-1, DIM)])), ("v", at, np.concatenate([good2, bad2.ravel()]))]
-        changes += [("r", np.concatenate([two, one]), np.concatenate([dq @ p["c"][0].T, dq @ p["c"][1].T])), ("c", all_rows, np.stack([a.T @ dq, b.T @ dq]))]
-        for change in changes:
-            self.change(*change)
-
-    def learn(self, two: np.ndarray, one: np.ndarray, item: np.ndarray, steps: int) -> None:
-        """Steps over the examples in random order, over again where they are fewer."""
-        n, at = len(item), np.zeros(0, np.int64)
-        for _ in range(steps):
-            if not len(at):
-                at = self.rng.permutation(n)
-            now, at = at[:BATCH], at[BATCH:]
+            word = [item[inner], *(lo + (self.rng.random(len(inner), np.float32) * size).astype(np.int64) for _ in range(BAND_NOISE))]
+            d = np.zeros_like(some)
+            moves = []
+            for i, w in enumerate(word):
+                row = p["u"][w]
+                s = _sigmoid(np.einsum("nd,nd->n", some, row) - level) - (not i)
+                d += s[:, None] * row
+                moves.append(s[:, None] * some)
+            dx[inner] += d
+            self.change("u", np.concatenate(word), np.concatenate(moves))
+        dq = dx[:, :DIM]
+        moves = np.concatenate([dq @ p["c"][0].T, dq @ p["c"][1].T])
+        g = np.stack([a.T @ dq, b.T @ dq])
+        self.past["c"] += (g * g).mean((1, 2))
+        p["c"] -= g * (self.rate / np.sqrt(self.past["c"]))[:, None, None]
+        self.change("r", np.concatenate([two, one]), moves)
+
+    def learn(self, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> None:
+        """A pass over the examples in random order, in STEPS batches or more."""
+        order, batch = self.rng.permutation(len(item)), min(BATCH, -(-len(item) // STEPS))
+        for at in range(0, len(item), batch):
+            now = order[at : at + batch]
             self.step(two[now], one[now], item[now])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(-x, -30, 30)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -202,8 +224,8 @@ def _unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]
 
 
 def fit(learn: DataFrame, items: Items) -> dict[str, np.ndarray]:
-    """A pass over all texts (doc_id, text): in each round every task learns from its texts of one part, by steps in line with
-    their tokens, and the parameters of the tasks are averaged, weighted by tokens. The averages are sums by chunk in tasks."""
+    """A pass over all texts (doc_id, text): in each round every task learns from its texts of one part, and the
+    parameters of the tasks are averaged, weighted by tokens. The averages are sums by chunk in tasks."""
     spark, p = learn.sparkSession, initial(items)
     form = pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("p", pa.binary())])
     for turn in range(ROUNDS):
@@ -212,10 +234,9 @@ def fit(learn: DataFrame, items: Items) -> dict[str, np.ndarray]:
         def run(batches, state=state, turn=turn):
             p, items = state.value
             trainer, seen = Trainer(p, items, RATE / (1 + turn), turn), 0
-            for at_end, examples in _examples(batches, items):
-                n = len(examples[0])
-                trainer.learn(*examples, steps=STEPS if at_end and not seen else -(-n // BATCH))
-                seen += n
+            for examples in _examples(batches, items):
+                trainer.learn(*examples)
+                seen += len(examples[0])
             if seen:
                 flat = _flat(trainer.p)
                 for chunk, at in enumerate(range(0, len(flat), CHUNK)):
@@ -238,8 +259,8 @@ def fit(learn: DataFrame, items: Items) -> dict[str, np.ndarray]:
     return p
 
 
-def _examples(batches, items: Items) -> Iterator[tuple[bool, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """two, one, item of some STEPS batches or more at a time; True with the last ones."""
+def _examples(batches, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """two, one, item of STEPS batches or more at a time, and of what is left."""
     held, n = [], 0
     for b in batches:
         for _, _, row, h, shape in tokens(b.column("text")):
@@ -247,10 +268,10 @@ def _examples(batches, items: Items) -> Iterator[tuple[bool, tuple[np.ndarray, n
             held.append((*items.contexts(row, item), item))
             n += len(item)
             if n >= STEPS * BATCH:
-                yield False, tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held, n = [], 0
     if held:
-        yield True, tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def score_texts(docs: DataFrame, folds: int = 10, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -308,7 +329,7 @@ def score_texts(docs: DataFrame, folds: int = 10, broadcast_words: int = BROADCA
                 item = items.find(h, shape)
                 value = log_probabilities(model, items, *items.contexts(row, item), item) / np.log(10)
                 n, c = last - first, items.count[item]
-                other = np.flatnonzero(item > items.words)
+                other = np.flatnonzero(items.is_shape(item))
                 c[other] = 0
                 if len(keys):
                     word, back = np.unique(h[other], return_inverse=True)
@@ -337,7 +358,7 @@ def score_texts(docs: DataFrame, folds: int = 10, broadcast_words: int = BROADCA
             for b in batches:
                 uid = b.column("uid").to_numpy(zero_copy_only=False)
                 for first, _, row, h, shape in tokens(b.column("text")):
-                    other = items.find(h, shape) > items.words
+                    other = items.is_shape(items.find(h, shape))
                     row, h, shape = row[other], h[other], shape[other]
                     if len(row):
                         order = np.lexsort((h, row))

@@ -86,5 +86,6 @@ def test_lm_learns_words_after_words():
     trainer = lm_score.Trainer(lm_score.initial(items), items, lm_score.RATE, 0)
     loss = lambda p: -lm_score.log_probabilities(p, items, two, one, word).mean()
     before = loss(trainer.p)
-    trainer.learn(two, one, word, 400)
+    for _ in range(8):
+        trainer.learn(two, one, word)
     assert before > 5.9 and loss(trainer.p) < before - 1
