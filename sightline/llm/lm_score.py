@@ -26,8 +26,6 @@ SHAPES = 64
 DIM, NOISE, BAND_NOISE, BATCH, STEPS, ROUNDS, RATE = 15, 24, 1, 2048, 60, 3, 0.1
 PAST = 10.0  # squared gradient that every row starts with
 CHUNK = 4096  # parameters in a row of the average
-#: Words whose counts are broadcast (16 bytes each); with more, counts of words that aren't items come by a join.
-BROADCAST_WORDS = 3_000_000
 END = hash_word(b"\n end of text \n")
 
 
@@ -274,7 +272,7 @@ def _examples(batches, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def score_texts(docs: DataFrame, folds: int = 10, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Texts whose id's crc32 modulo folds is 0 are held out of the training. Null text is empty; a null doc_id is held
@@ -306,71 +304,52 @@ def score_texts(docs: DataFrame, folds: int = 10, broadcast_words: int = BROADCA
     v_shape -= np.bincount(heavy_shape, minlength=SHAPES)
     items = Items.of(heavy_h.view(np.uint64), heavy_n, n_end, n_shape, v_shape)
     model = fit(learn, items)
-    small = kinds <= broadcast_words
-    if small:
-        got = counts.select("h", "n").toArrow()
-        h = got.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        lookup = (h[order], got.column("n").to_numpy()[order])
-    else:
-        lookup = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    state = spark.sparkContext.broadcast((model, items, lookup))
+    state = spark.sparkContext.broadcast((model, items))
     out = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(batches):
-        """Sums over tokens; where counts are joined, words that aren't items are left to the join."""
-        model, items, (keys, n_of) = state.value
+        """Sums over tokens; counts of words that aren't items are left to the join."""
+        model, items = state.value
         for b in batches:
             known_id = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             ids = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            uid = b.column("uid").to_numpy(zero_copy_only=False) if "uid" in b.schema.names else ids
+            uid = b.column("uid").to_numpy(zero_copy_only=False)
             held = (fold_of(ids, folds) == 0) | ~known_id
             for first, last, row, h, shape in tokens(b.column("text")):
                 item = items.find(h, shape)
                 value = log_probabilities(model, items, *items.contexts(row, item), item) / np.log(10)
                 n, c = last - first, items.count[item]
-                other = np.flatnonzero(items.is_shape(item))
-                c[other] = 0
-                if len(keys):
-                    word, back = np.unique(h[other], return_inverse=True)
-                    at = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
-                    c[other] = np.where(keys[at] == word, n_of[at], 0)[back]
                 base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-                if small:
-                    value[other] += np.log10((c[other] + 0.1) / items.mass[shape[other]])
-                else:
-                    base[other] = 0
+                other = items.is_shape(item)
+                base[other], c[other] = 0, 0
                 sums = [np.bincount(row, x, n) for x in (base, value)]
                 known = np.bincount(row, c > 0, n).astype(np.int64)
                 columns = (uid[first:last], pa.array(ids[first:last], mask=~known_id[first:last]), held[first:last], np.bincount(row, minlength=n), known, *sums)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
-    shape_out = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    if small:
-        scored = d.mapInArrow(score, shape_out)
-    else:
-        d = written(d.withColumn("uid", F.monotonically_increasing_id()))
-        form = pa.schema([("uid", pa.int64()), ("h", pa.int64()), ("shape", pa.int32()), ("tf", pa.int64())])
+    d = written(d.withColumn("uid", F.monotonically_increasing_id()))
+    scored = d.mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    form = pa.schema([("uid", pa.int64()), ("h", pa.int64()), ("shape", pa.int32()), ("tf", pa.int64())])
 
-        def frequencies(batches):
-            """Words that aren't items: they are rare, so no key of the join is hot."""
-            items = state.value[1]
-            for b in batches:
-                uid = b.column("uid").to_numpy(zero_copy_only=False)
-                for first, _, row, h, shape in tokens(b.column("text")):
-                    other = items.is_shape(items.find(h, shape))
-                    row, h, shape = row[other], h[other], shape[other]
-                    if len(row):
-                        order = np.lexsort((h, row))
-                        row, h, shape = row[order], h[order], shape[order]
-                        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
-                        yield table({"uid": uid[first + row[new]], "h": h[new].view(np.int64), "shape": shape[new].astype(np.int32), "tf": np.diff(np.append(new, len(row)))}, form)
-
-        c = F.coalesce("n", F.lit(0))
-        inside = F.log10((c + 0.1) / F.element_at(F.array(*[F.lit(float(x)) for x in items.mass]), F.col("shape") + 1))
-        sums = d.select("uid", "text").mapInArrow(frequencies, "uid long, h long, shape int, tf long").join(counts.select("h", "n"), "h", "left").groupBy("uid").agg(
-            F.sum(F.col("tf") * F.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))).alias("b"), F.sum(F.col("tf") * inside).alias("i"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("k")
-        )
-        more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-        scored = d.mapInArrow(score, shape_out).join(sums, "uid", "left").withColumns({"base_score": more("base_score", "b"), "score": more("score", "i"), "n_known": more("n_known", "k")})
+    def frequencies(batches):
+        """Words that aren't items: they are rare, so no key of the join is hot."""
+        items = state.value[1]
+        for b in batches:
+            uid = b.column("uid").to_numpy(zero_copy_only=False)
+            for first, _, row, h, shape in tokens(b.column("text")):
+                other = items.is_shape(items.find(h, shape))
+                row, h, shape = row[other], h[other], shape[other]
+                if len(row):
+                    order = np.lexsort((h, row))
+                    row, h, shape = row[order], h[order], shape[order]
+                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
+                    yield table({"uid": uid[first + row[new]], "h": h[new].view(np.int64), "shape": shape[new].astype(np.int32), "tf": np.diff(np.append(new, len(row)))}, form)
+
+    c = F.coalesce("n", F.lit(0))
+    inside = F.log10((c + 0.1) / F.element_at(F.array(*[F.lit(float(x)) for x in items.mass]), F.col("shape") + 1))
+    sums = d.select("uid", "text").mapInArrow(frequencies, "uid long, h long, shape int, tf long").join(counts.select("h", "n"), "h", "left").groupBy("uid").agg(
+        F.sum(F.col("tf") * F.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))).alias("b"), F.sum(F.col("tf") * inside).alias("i"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("k")
+    )
+    more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    scored = scored.join(sums, "uid", "left").withColumns({"base_score": more("base_score", "b"), "score": more("score", "i"), "n_known": more("n_known", "k")})
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
