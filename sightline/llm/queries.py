@@ -12,6 +12,7 @@ from .embedding_dedup import near_vectors
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .lm_score import score_texts
+from .oracles import jaccard_sql, url_filter_sql
 from .ordinal_quality import score_quality
 from .packing import pack
 from .quality_rules import QUALITY_SQL, quality_rules
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": QUALITY_SQL}
+    return {"op3_url_filter": url_filter_sql(), "op4_ngram_jaccard_join": jaccard_sql(), "op7_quality_rules": QUALITY_SQL}
