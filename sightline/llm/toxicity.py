@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -98,7 +99,11 @@ class Matcher:
             elif w > hits.get(start, 0):
                 hits[start] = w
         if excused:
-            hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in excused)}
+            begins, reach = [], []  # the phrases' begins in order, and how far those so far reach
+            for a, b in sorted(excused):
+                begins.append(a)
+                reach.append(max(b, reach[-1] if reach else b))
+            hits = {s: w for s, w in hits.items() if not (k := bisect_right(begins, s)) or s >= reach[k - 1]}
         words, total = max(1, t.count(" ") - 1), sum(hits.values())
         return math.log1p(10 * total / math.sqrt(words + 20)), 10 * total / (words + 20), max(hits.values(), default=0.0), 10 * len(hits) / (words + 20)
 
@@ -148,7 +153,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
         for b in batches:
             both = (Counter(), Counter())
             for text, toxic, half in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
-                both[1 - toxic].update((c, half) for c in candidates(set(folded(text).split())))
+                both[toxic <= 0].update((c, half) for c in candidates(set(folded(text).split())))
             keys = list(both[0].keys() | both[1].keys())
             yield table({"entry": [k for k, _ in keys], "half": [h for _, h in keys], "p": [both[0][k] for k in keys], "n": [both[1][k] for k in keys]}, form)
 

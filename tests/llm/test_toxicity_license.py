@@ -18,6 +18,14 @@ def test_folding_and_exceptions():
     assert m.features("such trash")[2] == 3.0 and m.features("the trash can")[2] == 0 and m.features("")[0] == 0
 
 
+def test_exceptions_in_a_long_text():
+    m = Matcher({" pig ": 3.0, " trash ": 3.0})
+    began = time.time()
+    x = m.features("guinea pig iron trash can " * 60_000 + "such trash")
+    assert time.time() - began < 20 and x[2] == 3.0 and x[3] == 10 / (5 * 60_000 + 2 + 20)
+    assert m.features("guinea pig iron trash can")[3] == 0 and m.features("pig guinea pig pig")[3] == 20 / 24
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
