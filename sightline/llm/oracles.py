@@ -1,4 +1,4 @@
-"""DuckDB SQL for the rows of op3 and op4. The near-linear work of the Spark jobs isn't repeated here: SQL compares what
+"""DuckDB SQL for the rows of op3, op4, op11 and op13. The near-linear work of the Spark jobs isn't repeated here: SQL compares what
 the definitions name (all grams, all pairs with a common shingle), so it suits small tables."""
 
 from __future__ import annotations
@@ -57,3 +57,19 @@ m AS (SELECT a, min(b) AS low FROM r GROUP BY 1)
 SELECT d.doc_id::BIGINT AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.low, c.rep, d.doc_id)::BIGINT AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.of = n.of AND c.n = n.n LEFT JOIN m ON m.a = c.rep
 """
+
+
+def contamination_sql(window: int = 10) -> str:
+    """Words of documents inside a window of an item, by all windows as text; and the items with such windows."""
+    words = rf"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH i AS (SELECT item_id, {words} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(len(w), {window}) AS n, array_to_string(w[k + 1 : k + least(len(w), {window})], ' ') AS s FROM (SELECT *, unnest(range(greatest(len(w) - {window - 1}, 1))) AS k FROM i WHERE len(w) > 0)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+p AS (SELECT r, k, n, array_to_string(w[k + 1 : k + n], ' ') AS s FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT r, k, n, item_id FROM p JOIN v USING (n, s)),
+m AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM h) GROUP BY 1),
+t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT d.doc_id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN m USING (r) LEFT JOIN t USING (r)
+"""

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
+from .decontamination import contamination
 from .embedding_dedup import near_vectors
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .lm_score import score_texts
-from .oracles import jaccard_sql, url_filter_sql
+from .oracles import contamination_sql, jaccard_sql, url_filter_sql
 from .ordinal_quality import score_quality
 from .packing import pack
 from .quality_rules import QUALITY_SQL, quality_rules
@@ -63,6 +64,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ordinal_quality": op1,
@@ -75,8 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8,
         "op9_license_scan": op9,
         "op10_embedding_dedup": op10,
+        "op13_decontamination": op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter_sql(), "op4_ngram_jaccard_join": jaccard_sql(), "op7_quality_rules": QUALITY_SQL}
+    return {"op3_url_filter": url_filter_sql(), "op4_ngram_jaccard_join": jaccard_sql(), "op7_quality_rules": QUALITY_SQL, "op13_decontamination": contamination_sql()}
