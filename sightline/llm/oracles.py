@@ -73,3 +73,25 @@ t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM
 SELECT d.doc_id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN m USING (r) LEFT JOIN t USING (r)
 """
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd's algorithm on integers with every entry compared, a chain of tables a round. All vectors have one length, a multiple of parts."""
+    far = "list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2])::HUGEINT * (z[1] - z[2])))"
+    steps = "".join(
+        f"""
+a{t} AS MATERIALIZED (SELECT r, p, min(coalesce({far}, 0) * {entries} + b.e) AS m FROM x JOIN b{t} b USING (p) GROUP BY 1, 2),
+s{t} AS (SELECT p, (m % {entries})::BIGINT AS e, i, sum(x.c[i])::HUGEINT AS s, count(*) AS n FROM a{t} JOIN x USING (r, p), unnest(range(1, len(x.c) + 1)) u(i) GROUP BY 1, 2, 3),
+b{t + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(any_value(c) FILTER (i IS NULL), list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i)) AS c FROM b{t} b LEFT JOIN s{t} USING (p, e) GROUP BY 1, 2),"""
+        for t in range(rounds)
+    )
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda y: floor({scale} * y::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS c FROM k, unnest(range({parts})) t(p)),
+f AS (SELECT vec_id, min(v) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k WHERE vec_id IS NOT NULL GROUP BY 1 QUALIFY e < {entries}),
+b0 AS MATERIALIZED (SELECT p, e, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS c FROM f, unnest(range({parts})) t(p)),{steps}
+z AS (SELECT r, p, min(coalesce({far}, 0) * {entries} + b.e) AS m FROM x JOIN b{rounds} b USING (p) GROUP BY 1, 2),
+o AS (SELECT r, string_agg(printf('%02x', (m % {entries})::BIGINT), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM z GROUP BY 1)
+SELECT vec_id::BIGINT AS vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM k JOIN o USING (r)
+"""
