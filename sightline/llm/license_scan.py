@@ -1,8 +1,8 @@
 """License scans: ordered signature rules, each a regex gated by keywords, resolved by priority and containment.
 
-Rules are sentences of license texts and notices, addresses of license texts, and what families, versions and ways of
-stating a license make. A text is matched against a rule's regex only if
-it holds the rule's keyword. A detection is dropped if a detection of higher priority contains its interval, or one of
+Rules are sentences of license texts and notices, addresses of license texts, and what families, versions, identifiers and
+ways of stating a license make. Keywords come from the rules' own patterns: pieces of text of which every match holds one.
+A text is matched against a rule's regex only if it holds one of the rule's keywords. A detection is dropped if a detection of higher priority contains its interval, or one of
 the same priority does that is longer or earlier in the list."""
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from functools import lru_cache
+from re import _parser as re_parser
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,18 @@ FAMILIES = {
 }
 # Clauses of Creative Commons licenses, long and short.
 CLAUSES = {"by": ("attribution", "by"), "by-sa": ("attribution share ?alike", "by sa"), "by-nd": ("attribution no ?deriv(?:ative)?s?", "by nd"), "by-nc": ("attribution non ?commercial", "by nc"), "by-nc-sa": ("attribution non ?commercial share ?alike", "by nc sa"), "by-nc-nd": ("attribution non ?commercial no ?deriv(?:ative)?s?", "by nc nd")}
+# Short identifiers of licenses as label: regex of the words.
+IDS = {
+    "mit": "mit|expat|x11 mit", "mit-0": "mit 0", "apache-2": "apache 2(?: 0)?|apache2(?: 0)?|asl 2(?: 0)?", "apache-1.1": "apache 1 1", "bsd-2-clause": "bsd 2 clause|bsd2|bsd 2", "bsd-3-clause": "bsd 3 clause|bsd3|bsd 3",
+    "bsd-4-clause": "bsd 4 clause", "0bsd": "0bsd", "bsd": "bsd", "isc": "isc", "gpl-2": "gpl ?v?2(?: 0)?(?: only)?", "gpl-3": "gpl ?v?3(?: 0)?(?: only)?", "gpl-2-or-later": "gpl ?v?2(?: 0)? (?:or later|plus)",
+    "gpl-3-or-later": "gpl ?v?3(?: 0)? (?:or later|plus)", "gpl": "gpl", "lgpl-2.1": "lgpl ?v?2 1(?: only)?", "lgpl-3": "lgpl ?v?3(?: 0)?(?: only)?", "lgpl-2.1-or-later": "lgpl ?v?2 1 (?:or later|plus)",
+    "lgpl-3-or-later": "lgpl ?v?3(?: 0)? (?:or later|plus)", "lgpl": "lgpl", "agpl-3": "agpl ?v?3(?: 0)?(?: only)?", "agpl-3-or-later": "agpl ?v?3(?: 0)? (?:or later|plus)", "gfdl": "gfdl(?: 1 [123])?", "mpl-2": "mpl ?v?2(?: 0)?",
+    "mpl-1.1": "mpl ?v?1 1", "epl-1": "epl 1(?: 0)?", "epl-2": "epl 2(?: 0)?", "cddl-1.0": "cddl 1 0", "artistic-2": "artistic 2(?: 0)?", "boost-1": "bsl 1 0|boost 1(?: 0)?", "zlib": "zlib", "unlicense": "unlicense", "wtfpl": "wtfpl",
+    "eupl-1.2": "eupl 1 2", "ofl-1.1": "ofl 1 1", "python-2": "psf 2 0|python 2 0", "openssl": "openssl", "postgresql": "postgresql", "odbl-1": "odbl 1 0", "cc0": "cc0(?: 1 0)?", "ncsa": "ncsa", "vim": "vim", "ms-pl": "ms pl", "bsl-1.1": "busl 1 1",
+    "cc-by-4.0": "cc by 4 0", "cc-by-sa-4.0": "cc by sa 4 0", "cc-by-nc-4.0": "cc by nc 4 0", "cc-by-3.0": "cc by 3 0", "cc-by-sa-3.0": "cc by sa 3 0", "proprietary": "proprietary", "public-domain": "public domain",
+}
+# Ways of stating a license before an identifier: (regex, priority, score).
+TAGGED = [(r"spdx licen[sc]e identifier (?:[a-z0-9 ]{1,80}? (?:or|and|with) )??", 5, 1.0), (r"licen[sc]es?(?: is| id| type| name| osi approved)? ", 3, 0.9), (r"dual(?:ly)?(?: licen[sc]ed?)?(?: under)?(?: the)? (?:[a-z0-9 ]{1,20}? )??", 3, 0.85), (r"(?:licen[sc]ed|released|distributed|available|published) (?:under|as) (?:the )?", 3, 0.85)]
 # Ways of stating a license before its name: (regex, priority, score).
 STATED = [(r"(?:dual |re)?licen[sc]ed under (?:the |a )?(?:terms of (?:the )?)?", 3, 1.0), (r"(?:released|distributed|available|published|made available) under (?:the |a )?(?:terms of (?:the )?)?", 3, 0.95), (r"spdx licen[sc]e identifier ", 4, 1.0), (r"", 1, 0.6)]
 # Other signs of a license, without a name.
@@ -117,6 +130,8 @@ ADDRESSES = [
     ("bsd-2-clause", "opensource org licenses bsd 2 clause"), ("isc", "opensource org licenses isc"), ("boost-1", "boost org license 1 0"), ("unlicense", "unlicense org"), ("cc0", "creativecommons org publicdomain zero 1 0"),
     ("public-domain", "creativecommons org publicdomain mark 1 0"), ("epl-2", "eclipse org legal epl 2 0"), ("ofl-1.1", "scripts sil org ofl"), ("wtfpl", "wtfpl net"),
 ]
+#: Words that any text may hold: of equally long ones others are looked for first.
+COMMON = {"what", "want", "with", "this", "that", "from", "under", "when", "have", "into"}
 _WORD = np.ones(256, bool)
 _WORD[:48], _WORD[58:97], _WORD[123:128] = False, False, False
 _WORD[65:91] = True
@@ -146,6 +161,9 @@ def rules() -> list[tuple[str, str, re.Pattern, int, float]]:
                 add(f"cc-{clause}-{v.replace(' ', '.')}", "creative commons", rf"{lead}creative commons {long} {v}", priority + 1, score)
             add(f"cc-{clause}", "cc " + short, rf"{lead}cc {short}", priority, score * 0.9)
             add(f"cc-{clause}", "creative commons", rf"{lead}creative commons {long}", priority, score * 0.9)
+    for label, name in IDS.items():
+        for lead, priority, score in TAGGED:
+            add(label, "", rf"{lead}(?P<id>{name})", priority, score)
     for x in [*OTHERS, *BODIES]:
         add(*x)
     for label, words in ADDRESSES:
@@ -156,18 +174,73 @@ def rules() -> list[tuple[str, str, re.Pattern, int, float]]:
     return out
 
 
+def literals(pattern: str) -> set[str]:
+    """Pieces of text of which every match of the regex holds one; of several choices the one whose shortest piece is longest."""
+
+    def of(parsed) -> set[str] | None:
+        best: set[str] | None = None
+        run = ""
+
+        def better(x: set[str] | None) -> None:
+            nonlocal best
+            size = lambda y: min(max(map(len, z.split()), default=0) for z in y)
+            if x and all(z.strip() for z in x) and (best is None or size(x) > size(best)):
+                best = x
+
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(value)
+                continue
+            if name in ("ASSERT_NOT", "ASSERT", "AT"):
+                continue
+            better({run} if run else None)
+            run = ""
+            if name == "SUBPATTERN":
+                better(of(value[-1]))
+            elif name == "BRANCH":
+                parts = [of(x) for x in value[1]]
+                better(set().union(*parts) if all(parts) else None)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+                better(of(value[2]))
+        better({run} if run else None)
+        return best
+
+    return of(re_parser.parse(pattern)) or set()
+
+
 @lru_cache(1)
 def prefilter():
+    """Automaton over the keywords of all rules, and groups of rules with the same keywords: rules, and the most characters that a match takes."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
+    a, groups = ahocorasick.Automaton(), {}
+    for i, (label, _, pattern, *_) in enumerate(rules()):
+        found = frozenset(k.strip() for k in literals(pattern.pattern))
+        if not found:
+            raise ValueError(f"a rule for {label} has no keyword")
+        groups.setdefault(found, []).append(i)
     by: dict[str, list[int]] = {}
-    for i, (_, keyword, *_) in enumerate(rules()):
-        by.setdefault(keyword, []).append(i)
+    for g, found in enumerate(groups):
+        for k in found:
+            by.setdefault(k, []).append(g)
     for k, v in by.items():
         a.add_word(k, v)
     a.make_automaton()
-    return a
+    return a, [(x, max(re_parser.parse(rules()[i][2].pattern).getwidth()[1] for i in x)) for x in groups.values()]
+
+
+def stretches(plain: str, ends: list[int], width: int) -> list[tuple[int, int]]:
+    """Parts of the text, from space to space, that hold all matches of up to `width` characters that reach over one of the places."""
+    out: list[tuple[int, int]] = []
+    for e in ends:
+        a, z = plain.rfind(" ", 0, max(e - width, 0) + 1), plain.find(" ", e + width)
+        a, z = max(a, 0), len(plain) if z < 0 else z
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(z, out[-1][1])
+        else:
+            out.append((a, z))
+    return out
 
 
 def uncontained(found: list[tuple[int, int]]) -> list[int]:
@@ -191,13 +264,20 @@ def uncontained(found: list[tuple[int, int]]) -> list[int]:
 
 
 def detect(plain: str, filtered: bool = True) -> list[tuple[int, int, str, float]]:
-    """start, end, label, score in a text of words joined by a space, after suppression. filtered: try only the rules whose
-    keyword the text holds."""
-    wanted = {i for _, v in prefilter().iter(plain) for i in v} if filtered else range(len(rules()))
+    """start, end, label, score in a text of words joined by a space, after suppression. filtered: try rules only where their
+    keywords stand."""
+    automaton, groups = prefilter()
+    places: dict[int, list[int]] = {}
+    if filtered:
+        for end, v in automaton.iter(plain):
+            for g in v:
+                places.setdefault(g, []).append(end)
+    parts = [(i, span) for g, ends in places.items() for span in stretches(plain, ends, groups[g][1]) for i in groups[g][0]] if filtered else [(i, (0, len(plain))) for i in range(len(rules()))]
     found = []
-    for i in sorted(wanted):
+    for i, span in parts:
         label, _, pattern, priority, score = rules()[i]
-        found += [(-priority, m.start() - m.end(), i, m.start(), m.end(), label, score) for m in pattern.finditer(plain)]
+        name = "id" if "id" in pattern.groupindex else 0  # of one statement, each identifier counts by itself
+        found += [(-priority, m.start(name) - m.end(name), i, m.start(name), m.end(name), label, score) for m in pattern.finditer(plain, *span)]
     found.sort()
     kept = [found[i] for i in uncontained([x[3:5] for x in found])]
     return sorted((k[3], k[4], k[5], k[6]) for k in kept)
@@ -221,22 +301,31 @@ def scan(text: str, filtered: bool = True) -> tuple[int, int | None, int | None,
 
 @lru_cache(1)
 def hints():
-    """Of every keyword and base phrase the longest word, with its length; up to three letters it counts as a word only."""
+    """Of every keyword and base phrase the longest word, which a raw text must hold somewhere. Of keywords whose words have up to
+    three letters, all words are looked at: (length, None) or (length, regexes of keywords that may begin there)."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for phrase in sorted({keyword for _, keyword, *_ in rules()} | set(BASE.values())):
-        word = max(phrase.split(), key=len)
-        a.add_word(word, len(word))
+    long, short = set(), {}
+    for phrase in {k for k, _ in prefilter()[0].items()} | set(BASE.values()):
+        word = max(phrase.split(), key=lambda w: (len(w), w not in COMMON))
+        if len(word) > 3:
+            long.add(word)
+        else:
+            first, gap = phrase.split()[0], _GAP.pattern
+            short.setdefault(first, []).append(re.compile(gap.join(map(re.escape, phrase.split()))))
+    for word in long:
+        a.add_word(word, (len(word), None))
+    for word, patterns in short.items():
+        a.add_word(word, (len(word), patterns))
     a.make_automaton()
     return a
 
 
 def hinted(text: str) -> bool:
     """Whether any rule or base phrase may stand in a raw text."""
-    low = text.lower()
-    part = lambda i: 0 <= i < len(low) and (low[i] > "\x7f" or low[i].isalnum())
-    return any(n > 3 or not (part(end - n) or part(end + 1)) for end, n in hints().iter(low))
+    low = text.encode().lower().decode()
+    return any(patterns is None or any(p.match(low, end - n + 1) for p in patterns) for end, (n, patterns) in hints().iter(low))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
