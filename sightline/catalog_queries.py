@@ -10,6 +10,7 @@ from .functions import times
 from .operators import compaction, packets, rules, schema
 from .plans import search as plan
 from .sources import envelopes, store
+from .streaming import placement
 from .streaming import subscriptions as subs
 
 Q: dict = {}
@@ -50,8 +51,9 @@ def ntz(c: str):
 
 
 
-ACCESS = """WITH RECURSIVE ro AS (SELECT n_nationkey AS id, 100 + n_regionkey AS parent FROM nation UNION ALL SELECT 100 + r_regionkey, 100 + (r_regionkey + 1) % 5 FROM region),
-up AS (SELECT c_custkey AS user_id, c_nationkey AS role_id, 0 AS k FROM customer UNION ALL SELECT user_id, parent, k + 1 FROM up JOIN ro ON ro.id = up.role_id WHERE k < 2),
+# roles above regions: 4 below 1, and 2 and 3 below each other
+ACCESS = """WITH RECURSIVE ro AS (SELECT n_nationkey AS id, 100 + n_regionkey AS parent FROM nation UNION ALL SELECT 100 + r_regionkey, 100 + [2, NULL, 3, 2, 1][r_regionkey + 1] FROM region),
+up AS (SELECT c_custkey AS user_id, c_nationkey AS role_id FROM customer UNION SELECT user_id, parent FROM up JOIN ro ON ro.id = up.role_id WHERE parent IS NOT NULL),
 g AS (SELECT user_id, 'evt_click' AS index_name FROM up WHERE role_id = 101 UNION ALL SELECT user_id, 'evt_view' FROM up WHERE role_id = 7 UNION ALL SELECT c_custkey, 'evt_error' FROM customer WHERE c_custkey % 3 = 0)
 SELECT DISTINCT user_id, index_name FROM g"""
 
@@ -193,6 +195,16 @@ def sql_surface(spark, d):
     return plan.search(spark, plan.paged_sql(sql, 0, 5), s.rows, s.indexes())
 
 
+@query(f"""WITH c AS (SELECT user_id, count(*) AS n FROM {E} WHERE _index = 'evt_click' GROUP BY 1) SELECT v.user_id, c.n, count(*) AS views FROM {E} v, c WHERE v._index = 'evt_view' AND v.user_id = c.user_id
+AND c.n > (SELECT count(*) FROM {E} WHERE _index = 'evt_error') / 1000000.0 GROUP BY 1, 2""")
+def sql_names(spark, d):
+    """Indexes in a list of tables, in a common table expression and in a subquery."""
+    s = opened(spark, d)
+    sql = """with c as (select user_id, count(*) n from evt_cl* group by 1) select evt_view.user_id, c.n, count(*) views from evt_view, c
+      where evt_view.user_id = c.user_id and c.n > (select count(*) from "EVT_error") / 1000000.0 group by 1, 2"""
+    return plan.search(spark, sql, s.rows, s.indexes())
+
+
 # ---- schema
 
 
@@ -273,18 +285,18 @@ def index_list(spark, d):
     return spark.createDataFrame([(n,) for n in [*opened(spark, d).indexes("2024-01-20"), *plan.META]], "index string")
 
 
-@query(f"SELECT index, count(*) AS files FROM (SELECT DISTINCT _index AS index, strftime(ts, '%Y%m%d') AS h FROM {E} WHERE ts >= TIMESTAMP '2024-01-05') GROUP BY 1")
+@query(f"SELECT index, count(*) AS files, sum(n)::BIGINT AS rows, max(v)::BIGINT AS version FROM (SELECT _index AS index, strftime(ts, '%Y%m%d') AS h, count(*) AS n, CASE WHEN min(ts) < TIMESTAMP '2024-01-25' THEN 1 ELSE 2 END AS v FROM {E} WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY 1, 2, date_trunc('day', ts)) GROUP BY 1")
 def catalog_refresh(spark, d):
-    e = events(spark, d)
-    path = store.write_buckets(e.where(F.col("_time") < "2024-01-25"), store.fresh_dir(spark), stamp=DAY)
-    old = store.build_catalog(spark, path)
-    old = old.where("bucket_start >= '20240105'")
-    kept = store.fresh_dir(spark)
-    old.write.parquet(kept)
-    old = spark.read.parquet(kept)
-    store.write_buckets(e.where(F.col("_time") >= "2024-01-25"), path, stamp=DAY)
-    new = store.build_catalog(spark, path).where("bucket_start >= '20240105'")
-    return store.refresh_catalog(old, new).groupBy("index").agg(F.countDistinct("bucket_start").alias("files"))
+    """Files that others write into a store: days up to the 24th come first, then the rest, while those before the 5th go."""
+    e, path = events(spark, d).withColumn("bucket_start", F.date_format("_time", DAY)), store.fresh_dir(spark)
+    write = lambda rows: rows.repartition("_index", "bucket_start").write.mode("append").partitionBy("_index", "bucket_start").parquet(path)
+    write(e.where(F.col("_time") < "2024-01-25"))
+    store.refresh(spark, path)
+    write(e.where(F.col("_time") >= "2024-01-25"))
+    early = store.Store(spark, path).catalog.where("bucket_start < '20240105'").select("file_location")
+    store.moved(early, lambda name: f"{name}.old").write.format("noop").mode("overwrite").save()
+    store.refresh(spark, path)
+    return store.Store(spark, path).catalog.groupBy("index").agg(F.countDistinct("bucket_start").alias("files"), F.sum("record_count").alias("rows"), F.max("version").alias("version"))
 
 
 @query(f"SELECT _index AS index, 'string' AS event_type, CASE WHEN h < TIMESTAMP '2024-01-15' THEN 'double' ELSE 'string' END AS value, CASE WHEN h >= TIMESTAMP '2024-01-15' THEN 'int' END AS more, count(*) AS buckets, sum(n)::BIGINT AS events FROM (SELECT _index, date_trunc('day', ts) AS h, count(*) AS n FROM {E} GROUP BY 1, 2) GROUP BY 1, 2, 3, 4")
@@ -296,7 +308,15 @@ def schema_meta(spark, d):
 
 @query(f"SELECT index, count(*) AS files, sum(record_count)::BIGINT AS record_count, true AS sized, 0::BIGINT AS broken FROM ({BUCKETS}) GROUP BY ROLLUP (index)")
 def file_stats(spark, d):
-    return store.file_stats(store.read_footers(spark, bucketed(spark, d))).select("index", "files", "record_count", (F.col("raw_mb") >= 0).alias("sized"), "broken")
+    """sized: megabytes on disk are those of the listing, and raw ones those of the row per file."""
+    path = bucketed(spark, d)
+    footers = store.read_footers(spark, path)
+    index = F.regexp_extract("path", "_index=([^/]+)/", 1).alias("index")
+    listed = store.list_files(spark, path).rollup(index).agg(F.round(F.sum("length") / 1e6, 2).alias("listed"))
+    files = store.file_table(footers).rollup("index").agg(F.sum("raw_mb").alias("raw"), F.count("*").alias("n"))
+    both = store.file_stats(footers).join(listed.withColumnRenamed("index", "_i"), F.col("index").eqNullSafe(F.col("_i"))).join(files.withColumnRenamed("index", "_j"), F.col("index").eqNullSafe(F.col("_j")))
+    sized = (F.col("mb") == F.col("listed")) & (F.abs(F.col("raw_mb") - F.col("raw")) <= 0.005 * (F.col("n") + 1)) & (F.size("broken_files") == 0)
+    return both.select("index", "files", "record_count", sized.alias("sized"), "broken")
 
 
 @query("SELECT count(*) AS listed, 0::BIGINT AS flagged FROM (SELECT DISTINCT event_type, date_trunc('day', ts) FROM events)")
@@ -408,7 +428,7 @@ FILES = "SELECT event_type AS index, date_trunc('day', ts)::DATE AS day, date_tr
 
 
 def hour_files(spark, d) -> DataFrame:
-    e = events(spark, d).groupBy(F.col("event_type").alias("index"), F.date_trunc("HOUR", "_time").alias("start_time")).agg((100 * F.count("*")).alias("size"))
+    e = events(spark, d).groupBy(F.col("event_type").alias("index"), F.date_trunc("HOUR", "_time").alias("start_time")).agg((100 * F.count("*")).alias("length"), F.count("*").alias("record_count"))
     return e.withColumn("file_location", F.date_format("start_time", "yyyyMMddHH"))
 
 
@@ -421,34 +441,44 @@ def compaction_plan(spark, d):
     return compaction.greedy_bins(files, 1500, 5).select("index", "day", "bin", "files", "bytes")
 
 
-def compact(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Catalogs before and after the small files of each index and day have become one file."""
-    base, e = store.fresh_dir(spark), events(spark, d)
-    for part in range(2):  # two writes of each day, so that there is something to compact
-        store.write_buckets(e.where((F.hour("_time") < 12) == F.lit(part == 0)), base, stamp=DAY)
-    before = store.saved_catalog(spark, base)
-    bins = compaction.greedy_bins(compaction.candidates(before, 100_000_000), 1_000_000_000, 5)
-    bins.write.parquet(to := store.fresh_dir(spark))
-    bins = spark.read.parquet(to)
-    made = compaction.rewrite(spark, before, bins, store.fresh_dir(spark))
-    return before, compaction.commit(spark, base, before, bins, made)
+def compacted(spark, d) -> tuple[str, int]:
+    """A store of two writes of each day whose small files have become one file an index and day; and the number of the snapshot before."""
+    path, e = store.fresh_dir(spark), events(spark, d)
+    for part in range(2):
+        store.write_buckets(e.where((F.hour("_time") < 12) == F.lit(part == 0)), path, stamp=DAY)
+    before = store.catalog_of(spark, path).snapshot().number
+    compaction.compact(spark, path, 100_000_000, 1_000_000_000, 5)
+    return path, before
 
 
 @query("SELECT event_id, value FROM events")
 def compaction_rows(spark, d):
-    return store.read_files(spark, compact(spark, d)[1]).select("event_id", "value")
+    """What a reader who opens the store by its path sees after the compaction."""
+    return store.Store(spark, compacted(spark, d)[0]).rows().select("event_id", "value")
 
 
-@query(f"SELECT _index AS index, count(DISTINCT (date_trunc('day', ts), hour(ts) >= 12)) AS files_before, count(DISTINCT date_trunc('day', ts)) AS files_after, count(*) AS rows_after FROM {E} GROUP BY 1")
+@query(f"SELECT _index AS index, count(DISTINCT (date_trunc('day', ts), hour(ts) >= 12)) AS files_before, count(DISTINCT date_trunc('day', ts)) AS files_after, count(*) AS rows_before, count(*) AS rows_after FROM {E} GROUP BY 1")
 def compaction_commit(spark, d):
-    before, after = compact(spark, d)
-    a = before.groupBy("index").agg(F.count("*").alias("files_before"))
-    return a.join(after.groupBy("index").agg(F.count("*").alias("files_after"), F.sum("record_count").alias("rows_after")), "index")
+    """Files and rows by the snapshots before and after; files that none but the older one names are set aside last."""
+    path, number = compacted(spark, d)
+    before, after = (store.Store(spark, path, number=n).catalog.groupBy("index").agg(F.count("*").alias(f"files_{w}"), F.sum("record_count").alias(f"rows_{w}")) for n, w in ((number, "before"), (None, "after")))
+    store.set_aside(spark, path, "0 seconds")
+    return before.join(after, "index")
+
+
+@query(f"SELECT _index AS index, strftime(ts, '%Y%m%d') AS bucket_start, (count(DISTINCT event_id % 4) + 1) // 2 AS files, count(*) AS n FROM {E} GROUP BY 1, 2")
+def compaction_bins(spark, d):
+    """Bins of at most two files each keep files of their own: every index and day has as many files as bins."""
+    path = store.fresh_dir(spark)
+    for part in range(4):
+        store.write_buckets(events(spark, d).where(F.col("event_id") % 4 == part), path, stamp=DAY)
+    compaction.compact(spark, path, 100_000_000, 1_000_000_000, 2)
+    return store.Store(spark, path).catalog.groupBy("index", "bucket_start").agg(F.count("*").alias("files"), F.sum("record_count").alias("n"))
 
 
 @query(f"SELECT index || strftime(h, '%Y%m%d%H') AS file, ((row_number() OVER (ORDER BY h, index) - 1) // 20)::BIGINT AS batch FROM ({FILES})")
 def merge_batches(spark, d):
-    return compaction.fixed_batches(hour_files(spark, d), 20, F.col("start_time"), F.col("index")).select(F.concat("index", "file_location").alias("file"), "batch")
+    return compaction.fixed_batches(hour_files(spark, d), 20, "start_time", "index").select(F.concat("index", "file_location").alias("file"), "batch")
 
 
 @query("SELECT event_type AS index, strftime(min(ts), '%Y%m%d%H%M%S') || '-' || strftime(max(ts), '%Y%m%d%H%M%S') || '_packed_20240201000000' AS name, date_trunc('second', min(ts)) AS start_time FROM events GROUP BY 1")
@@ -473,12 +503,19 @@ def firehose_route(spark, d):
     return subs.route(events(spark, d), subscribed(spark)).select("stream_id", "event_id")
 
 
-@query(f"SELECT a.user_id, s.stream_id FROM (SELECT event_id AS stream_id, 'evt_' || event_type AS index_name FROM events WHERE event_type IN ('click', 'error', 'view') AND value > 90) s JOIN ({ACCESS}) a USING (index_name)")
+@query(f"SELECT a.user_id, sum(s.n)::BIGINT AS streams FROM (SELECT 'evt_' || event_type AS index_name, count(*) AS n FROM events GROUP BY 1) s JOIN ({ACCESS}) a USING (index_name) GROUP BY 1")
 def streams_visible(spark, d):
-    """Streams derived from events, one for each with a high value, as users may see them."""
-    own = table(spark, d, "events").where("event_type in ('click', 'error', 'view') and value > 90")
-    s = own.select(F.col("event_id").alias("stream_id"), F.array(F.concat(F.lit("evt_"), "event_type")).alias("indexes"))
-    return subs.visible(s, access(spark, d)).select("user_id", "stream_id")
+    """Streams derived from events, one for each, and how many of them each user may see."""
+    s = table(spark, d, "events").select(F.col("event_id").alias("stream_id"), F.array(F.concat(F.lit("evt_"), "event_type")).alias("indexes"))
+    return subs.visible_counts(s, access(spark, d).where("can_read"))
+
+
+@query("""SELECT c.c_custkey AS user_id, s.stream_id FROM customer c JOIN (SELECT r_regionkey AS stream_id, r_regionkey AS k FROM region) s ON s.k = c.c_nationkey % 5 UNION ALL SELECT c_custkey, 99 FROM customer""")
+def streams_of_users(spark, d):
+    """Each user reads one index; one stream is over all indexes."""
+    c = table(spark, d, "customer").selectExpr("c_custkey as user_id", "'i' || (c_nationkey % 5) as index_name", "true as can_read")
+    s = table(spark, d, "region").selectExpr("cast(r_regionkey as bigint) as stream_id", "array('i' || r_regionkey, 'i' || r_regionkey) as indexes")
+    return subs.visible(s.unionByName(spark.createDataFrame([(99, [])], "stream_id bigint, indexes array<string>")), c)
 
 
 @query("SELECT event_id FROM events ORDER BY ts, event_id OFFSET 100")
@@ -506,12 +543,68 @@ def landed(spark, d, *parts) -> tuple[DataFrame, str, str]:
 
 @query(f"SELECT _index, event_id, strftime(ts, '%Y%m%d') AS bucket_start FROM {E}")
 def stream_ingest(spark, d):
+    """Two runs of a stream into the store, the second from the checkpoint; then a batch that comes again adds nothing."""
     e, path, base = landed(spark, d)
-    for part in (0, 1):  # the second run goes on from the checkpoint
+    for part in (0, 1):
         e.where(F.col("event_id") % 2 == part).select("event_id", "_index", "_time").write.mode("append").json(path)
-        stream = envelopes.landing_stream(spark, path, "event_id long, _index string, _time timestamp")
-        subs.run_available(stream.withColumn("bucket_start", F.date_format("_time", DAY)), f"{base}/out", f"{base}/state", partition=["_index", "bucket_start"])
-    return spark.read.schema("event_id long, _index string, bucket_start string").parquet(f"{base}/out").select("_index", "event_id", "bucket_start")
+        subs.ingest(envelopes.landing_stream(spark, path, "event_id long, _index string, _time timestamp"), f"{base}/out", f"{base}/state", DAY, "events")
+    subs.put_batch(e.select("event_id", "_index", "_time"), f"{base}/out", "events", 1, DAY)
+    return store.Store(spark, f"{base}/out").rows().select("_index", "event_id", "bucket_start")
+
+
+LIVE = ROUTED.replace("'s4'", "'s1'") + f" UNION ALL SELECT 's9', event_id FROM {E} WHERE event_id % 2 = 1 AND _index = 'evt_signup'"
+
+
+@query(LIVE + " EXCEPT ALL SELECT 's3', event_id FROM " + E + " WHERE event_id % 2 = 1 AND _index IN ('evt_view', 'evt_error')")
+def subscriptions_live(spark, d):
+    """Between two batches of a stream one subscription comes and one goes; the stream goes on from its checkpoint and follows."""
+    e, path, base = landed(spark, d)
+    table = subs.subscription_table(spark, f"{base}/subscriptions")
+    subs.subscribe(table, subscribed(spark))
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).write.mode("append").parquet(path)
+        subs.route_live(subs.parquet_stream(spark, e, path), table, f"{base}/out{part}", f"{base}/state")
+        subs.subscribe(table, spark.createDataFrame([("s8", ["evt_click"], {"user_id": ["9", "8", "9"]}), ("s9", ["evt_signup"], {})], subs.SUBSCRIPTION))
+        subs.unsubscribe(table, spark.createDataFrame([("s3",)], "stream_id string"))
+    return spark.read.parquet(f"{base}/out0/*").unionByName(spark.read.parquet(f"{base}/out1/*")).select("stream_id", "event_id")
+
+
+# batches: the events of an index and hour, which come up to twelve hours late
+BATCHES = f"SELECT _index, strftime(ts, '%Y%m%d%H') AS batch, max(ts) + to_hours(((hour(ts) * 7) % 5 * 3)::INTEGER) AS arrival, min(ts) AS low, max(ts) AS high, count(*) AS n FROM {E} GROUP BY 1, 2, hour(ts)"
+PLACES = f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY _index ORDER BY arrival, batch) AS k FROM ({BATCHES})),
+r AS (SELECT DISTINCT _index, 0::BIGINT AS k, NULL::VARCHAR AS batch, 0::BIGINT AS next, NULL::BIGINT AS seq, NULL::TIMESTAMP AS start_time, NULL::TIMESTAMP AS end_time, []::STRUCT(s TIMESTAMP, e TIMESTAMP, n BIGINT, q BIGINT, a TIMESTAMP)[] AS open FROM b
+UNION ALL SELECT _index, k, batch, next, (put[1]).q, (put[1]).s, (put[1]).e, CASE WHEN len(full_list) >= 3 THEN list_filter(full_list, lambda o: o.q <> (list_sort(list_transform(full_list, lambda o: struct_pack(a := o.a, q := o.q)))[1]).q) ELSE full_list END FROM (
+  SELECT _index, k, batch, next, put, list_transform(left_open, lambda o: CASE WHEN o.q = (put[1]).q THEN put[1] ELSE o END) || CASE WHEN fit IS NULL THEN put ELSE []::STRUCT(s TIMESTAMP, e TIMESTAMP, n BIGINT, q BIGINT, a TIMESTAMP)[] END AS full_list FROM (
+    SELECT _index, k, batch, left_open, fit, next + (fit IS NULL)::BIGINT AS next, [CASE WHEN fit IS NULL THEN {{'s': low - INTERVAL 10 MINUTE, 'e': greatest(low + INTERVAL 110 MINUTE, high), 'n': n, 'q': next, 'a': arrival}} ELSE {{'s': fit.s, 'e': fit.e, 'n': fit.n + n, 'q': fit.q, 'a': arrival}} END] AS put FROM (
+      SELECT *, (list_filter(left_open, lambda o: low <= o.e AND high > o.s AND o.n < 6))[1] AS fit FROM (
+        SELECT b._index, b.k, b.batch, b.low, b.high, b.arrival, b.n, r.next, list_filter(r.open, lambda o: NOT (o.e < b.arrival - INTERVAL 4 HOUR AND o.a < b.arrival - INTERVAL 1 HOUR)) AS left_open FROM r JOIN b ON b._index = r._index AND b.k = r.k + 1))))
+) SELECT _index, batch, seq, start_time, end_time FROM r WHERE k > 0"""
+LIMITS = placement.Limits(start_delta=10 * placement.MINUTE, duration=120 * placement.MINUTE, most=6, open=3, over=240 * placement.MINUTE, idle=60 * placement.MINUTE)
+
+
+def hour_batches(spark, d) -> DataFrame:
+    hours = F.hour("_time") * 7 % 5 * 3
+    e = events(spark, d).withColumns({"batch": F.date_format("_time", "yyyyMMddHH"), "arrival": F.col("_time") + F.make_interval(hours=hours)})
+    return placement.batches_of(e, "batch", "arrival")
+
+
+@query(PLACES)
+def bucket_place(spark, d):
+    return placement.place(hour_batches(spark, d), LIMITS).select("_index", "batch", "seq", ntz("start_time"), ntz("end_time"))
+
+
+@query(PLACES)
+def bucket_place_stream(spark, d):
+    """The batches as they arrive, in three runs of a stream that keeps its open buckets."""
+    _, path, base = landed(spark, d)
+    batches = hour_batches(spark, d)
+    batches.write.parquet(f"{base}/all")
+    batches = spark.read.parquet(f"{base}/all")
+    cuts = ["2024-01-01", "2024-01-11", "2024-01-21", "2099-01-01"]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        batches.where((F.col("arrival") >= low) & (F.col("arrival") < high)).write.mode("append").parquet(path)
+        subs.run_available(placement.place_stream(subs.parquet_stream(spark, batches, path), LIMITS), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("_index", "batch", "seq", ntz("start_time"), ntz("end_time"))
 
 
 @query(ROUTED)
@@ -613,6 +706,29 @@ def stream_alerts(spark, d):
     return spark.read.parquet(f"{base}/out").select("rule_id", "event_id")
 
 
+@query(f"SELECT 'alerts_rule_' || rule_id AS _index, rule_id, event_id FROM ({MATCHED})")
+def rules_incremental(spark, d):
+    """Rules run after each of two writes, once more with nothing new, and after a compaction of what they have seen: the alerts of one run over all."""
+    path, to = store.fresh_dir(spark), store.fresh_dir(spark)
+    own = [r.asDict(recursive=True) for r in rules.upsert(rule_table(spark).where("id <> 'r2'"), rule_table(spark).where("id = 'r2'")).where("id <> 'r4'").collect()]
+    pairs = spark.createDataFrame([("r1", "evt_error"), ("r2", "evt_purchase"), ("r1", "evt_view")], "rule_id string, index_id string")
+    bound = rules.bind(rule_table(spark), pairs)
+    for part in (0, 1):
+        store.write_buckets(events(spark, d).where(F.col("event_id") % 2 == part), path, stamp=DAY)
+        rules.detect(spark, path, to, own, MAPPING, bound)
+    compaction.compact(spark, path, 100_000_000, 1_000_000_000, 5, rules.seen_upto(spark, to))
+    rules.detect(spark, path, to, own, MAPPING, bound)
+    found = store.Store(spark, to).rows()
+    return found.select("_index", "rule_id", F.get_json_object("raw_event", "$.event_id").cast("bigint").alias("event_id"))
+
+
+@query(f"""SELECT 'alerts_rule_' || rule_id AS _index, max(ts) AS ts, rule_id, _index AS index_id, count(*) AS num_rows, arg_min(event_id, (ts, event_id)) AS first FROM ({MATCHED}) GROUP BY 3, 4""")
+def rule_samples(spark, d):
+    m = rules.match(events(spark, d), rule_list(spark), MAPPING)
+    found = rules.summaries(m, rule_list(spark), MAPPING, ["event_id"], ["_time", "event_id"])
+    return found.select("_index", ntz("_time").alias("ts"), "rule_id", "index_id", "num_rows", F.get_json_object(F.split("sample", "\n")[0], "$.event_id").cast("bigint").alias("first"))
+
+
 @query("SELECT user_id AS rule_id, date_trunc('hour', ts) AS run_at FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2")
 def rule_schedule(spark, d):
     due = events(spark, d).select(F.col("user_id").alias("rule_id"), F.date_trunc("HOUR", "_time").alias("run_at")).distinct()
@@ -622,12 +738,12 @@ def rule_schedule(spark, d):
 # ---- access, audit, history
 
 def access(spark, d) -> DataFrame:
-    roles = table(spark, d, "nation").selectExpr("n_nationkey as id", "100 + n_regionkey as parent_id").unionByName(table(spark, d, "region").selectExpr("100 + r_regionkey as id", "100 + (r_regionkey + 1) % 5 as parent_id"))
+    roles = table(spark, d, "nation").selectExpr("n_nationkey as id", "100 + n_regionkey as parent_id").unionByName(table(spark, d, "region").selectExpr("100 + r_regionkey as id", "100 + array(2, null, 3, 2, 1)[r_regionkey] as parent_id"))
     c = table(spark, d, "customer")
     grant = "true as read_permission, false as write_permission, false as delete_permission".split(", ")
     role_permissions = spark.createDataFrame([(101, "evt_click"), (7, "evt_view")], "role_id int, index_name string").selectExpr("*", *grant)
     own = c.where("c_custkey % 3 = 0").selectExpr("c_custkey as user_id", "'evt_error' as index_name", *grant)
-    return plan.effective_access(spark, c, roles, c.selectExpr("c_custkey as user_id", "c_nationkey as role_id"), own, role_permissions, 2)
+    return plan.effective_access(spark, c, roles, c.selectExpr("c_custkey as user_id", "c_nationkey as role_id"), own, role_permissions)
 
 
 @query(ACCESS)

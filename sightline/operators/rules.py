@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import store
+from ..sources.snapshots import Conflict, Snapshot
+
 RULE = "id string, title string, level string, fields array<struct<field:string,op:string,values:array<string>>>"
 SCHEDULE = "*/10 * * * *"
 
@@ -56,7 +60,7 @@ def mappings(field_map: DataFrame) -> dict[str, dict[str, str]]:
 def match_bound(df: DataFrame, rules: list, maps: dict[str, dict[str, str]], rule_index: DataFrame) -> DataFrame:
     """match, each rule on the indexes it is bound to, where the binding is enabled."""
     pairs = rule_index.where("enabled").select("rule_id", F.col("index_id").alias("_index"))
-    return match(df, rules, maps).join(F.broadcast(pairs), ["rule_id", "_index"], "left_semi")  # bindings are made by hand
+    return match(df, rules, maps).join(F.broadcast(pairs) if pairs.count() <= 100_000 else pairs, ["rule_id", "_index"], "left_semi")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -115,3 +119,49 @@ def alerts(matches: DataFrame, rules: list, maps: dict[str, dict[str, str]]) ->
         F.concat(F.lit("alerts_rule_"), "rule_id").alias("_index"), "_time", "rule_id", F.col("_index").alias("index_id"), pick(lambda x: F.lit(x[0]), "string").alias("query"), fields.alias("matched_fields"),
         F.to_json(F.struct(*body)).alias("raw_event"), F.concat(F.lit("Rule matched: "), pick(lambda x: F.lit(x[1]), "string")).alias("message"), F.lit("rule").alias("alert_type"),
     )
+
+
+def summaries(matches: DataFrame, rules: list, maps: dict[str, dict[str, str]], shown: list[str], order: list, sample: int = 5) -> DataFrame:
+    """One alert per rule and index with matches: _index, _time (of the last match), rule_id, index_id, query, num_rows, sample (the first rows as JSON lines)."""
+    both = matches.withColumn("rule_id", F.to_json(F.struct(F.col("rule_id").alias("r"), F.col("_index").alias("i"))))
+    runs = executions(both, shown, order, sample).join(both.groupBy("rule_id").agg(F.max("_time").alias("_time")), "rule_id")
+    runs = runs.select(F.from_json("rule_id", "r string, i string").alias("k"), "_time", "num_rows", "result_data")
+    query = reduce(lambda out, r: F.when(F.col("k.r") == r["id"], F.lit(described(r, maps.get(r["id"], {})))).otherwise(out), rules, F.lit(None).cast("string"))
+    return runs.select(F.concat(F.lit("alerts_rule_"), "k.r").alias("_index"), "_time", F.col("k.r").alias("rule_id"), F.col("k.i").alias("index_id"), query.alias("query"), "num_rows", F.col("result_data").alias("sample"))
+
+
+def detect(spark: SparkSession, source: str, to: str, rules: list, maps: dict[str, dict[str, str]], rule_index: DataFrame) -> Snapshot:
+    """Run each enabled rule on what has come into its indexes of the store `source` since its last run, and append its alerts to the
+    store `to`. How far each pair of rule and index has come is noted in the commit of the alerts itself, so each event
+    is looked at once per pair: a run that fails before its commit has happened not at all, of two at once one is a Conflict.
+    Only files of later snapshots are opened; files that compaction made count as what they were made of, provided
+    that it takes files that all rules have seen (compact's upto: see seen_upto)."""
+    source_table, table = store.catalog_of(spark, source), store.catalog_of(spark, to)
+    at, before = source_table.snapshot(), table.snapshot()
+    marks = before.notes.get("marks", {})
+    pairs = [(r["rule_id"], r["index_id"]) for r in rule_index.where("enabled").select("rule_id", "index_id").distinct().collect()]  # made by hand
+    by_mark: dict[int, list[tuple[str, str]]] = {}
+    for p in pairs:
+        by_mark.setdefault(marks.get(json.dumps(p), 0), []).append(p)
+    catalog, found = source_table.rows(at), None
+    for mark, due in by_mark.items():
+        new = store.prune(catalog.where(F.coalesce("since", "version") > mark), [i for _, i in due])
+        if mark >= at.number or new.isEmpty():
+            continue
+        rows = match_bound(store.read_files(spark, new), rules, maps, rule_index.join(spark.createDataFrame(due, "rule_id string, index_id string"), ["rule_id", "index_id"], "left_semi"))
+        one = alerts(rows, rules, maps)
+        found = one if found is None else found.unionByName(one)
+    notes = {"marks": marks | {json.dumps(p): max(at.number, marks.get(json.dumps(p), 0)) for p in pairs}}
+
+    def alone(now: Snapshot) -> None:
+        if now.notes.get("marks", {}) != marks:
+            raise Conflict("another run came first")
+
+    if found is None:
+        return table.commit(notes=notes, check=alone)
+    return store.append(found, to, stamp="yyyyMMdd", notes=notes, check=alone)
+
+
+def seen_upto(spark: SparkSession, to: str) -> int:
+    """The snapshot that all rules whose alerts go to a store have seen, so that files up to it may be put together."""
+    return min(store.catalog_of(spark, to).snapshot().notes.get("marks", {}).values(), default=0)

@@ -23,6 +23,26 @@ def unified_schema(schemas: list[T.StructType]) -> T.StructType:
     return T.StructType(out)
 
 
+def agreeing(fields: list[dict[str, str]]) -> list[tuple[dict[str, str], list[int]]]:
+    """Sets of fields (name to type) put together where no field has two types: merged fields and the positions of the sets. Only
+    fields that conflict somewhere can part sets; a set goes to the first that it agrees with."""
+    kinds: dict[str, set[str]] = {}
+    for x in fields:
+        for name, kind in x.items():
+            kinds.setdefault(name, set()).add(kind)
+    disputed = {name for name, k in kinds.items() if len(k) > 1}
+    out: list[tuple[dict[str, str], list[int]]] = []
+    for i, x in enumerate(fields):
+        own = {n: x[n] for n in disputed & x.keys()}
+        fits = next((o for o in out if all(o[0].get(n, t) == t for n, t in own.items())), None)
+        if fits is None:
+            out.append(({}, []))
+            fits = out[-1]
+        fits[0].update(x)
+        fits[1].append(i)
+    return [(dict(sorted(m.items())), members) for m, members in out]
+
+
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     have = {f.name for f in df.schema.fields}
     return df.select([(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])

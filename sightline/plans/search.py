@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import ranks
+
 META = ("_indexes", "_schema")
 
 
@@ -38,8 +40,17 @@ def matching(names: list[str], token: str) -> list[str]:
 
 
 _APART = re.compile(r"'(?:[^'\\\\]|\\\\.|'')*'|--[^\n]*|/\*.*?\*/", re.S)
-_TABLE = re.compile(r"""(?i)\b(from|join)(\s+)(`[^`]+`|"[^"]+"|[\w*]+)(?![\w.*(])""")
-_ALIAS = re.compile(r"(?i)\s+(?:as\s+)?(?!(?:as|where|group|order|having|limit|offset|union|intersect|except|join|inner|left|right|full|cross|semi|anti|natural|on|using|window|lateral|tablesample)\b)([a-z_`]\w*)")
+_TOKEN = re.compile(r"`(?:[^`]|``)*`|\"[^\"]*\"|[\w*]+(?:\.[\w*]+)*|[(),]|[^\s\w]")
+#: Words that end a list of tables; behind ON and USING a comma goes on with it.
+_AFTER = set("select where group having order limit offset union intersect except window cluster distribute sort values".split())
+# Nodes of the parser's plan that a search may consist of; what isn't here is refused.
+_ALLOWED = set(
+    """Project Filter Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except Join AsOfJoin LateralJoin SubqueryAlias
+    UnresolvedSubqueryColumnAliases UnresolvedWith WithWindowDefinition UnresolvedRelation UnresolvedInlineTable OneRowRelation Generate Pivot UnresolvedPivot UnresolvedUnpivot Unpivot
+    Sample UnresolvedHint UnresolvedOrdinal LimitAll UnresolvedInlineTable""".split()
+)
+# Functions that reach beyond the rows of a search.
+_REFUSED = {"reflect", "java_method", "try_reflect", "read_files", "input_file_name", "current_database", "current_schema", "current_catalog", "version", "assert_true", "raise_error"}
 
 
 def code_of(sql: str) -> tuple[str, list[str]]:
@@ -53,45 +64,125 @@ def code_of(sql: str) -> tuple[str, list[str]]:
     return _APART.sub(out, sql), taken
 
 
-def search(spark: SparkSession, sql: str, store: DataFrame | Callable[[list[str]], DataFrame], names: list[str], meta: dict[str, DataFrame] | None = None) -> DataFrame:
+def quoted_tables(sql: str) -> str:
+    """The statement with wildcards and double-quoted names in the place of tables put into back quotes, which the parser takes."""
+    code, taken = code_of(sql)
+    out, at, stack = [], 0, [[False, False]]  # in a list of tables, a table is next
+    for m in _TOKEN.finditer(code):
+        word, state = m[0].lower(), stack[-1]
+        text = m[0]
+        if word in ("from", "join"):
+            state[:] = [True, True]
+        elif word == "(":
+            state[1] = False
+            stack.append([False, False])
+        elif word == ")":
+            if len(stack) > 1:
+                stack.pop()
+        elif word == ",":
+            state[1] = state[0]
+        elif word in _AFTER:
+            state[:] = [False, False]
+        elif word in ("on", "using", "lateral", "as"):
+            state[1] = False
+        elif state[1]:
+            state[1] = False
+            if text[0] == '"':
+                text = f"`{text[1:-1]}`"
+            elif "*" in text:
+                text = f"`{text}`"
+        out += [code[at : m.start()], text]
+        at = m.end()
+    return re.sub(r"\0(\d+)\0", lambda m: taken[int(m[1])], "".join([*out, code[at:]]))
+
+
+def _items(seq) -> Iterator:
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _functions(e) -> Iterator[str]:
+    if e.getClass().getSimpleName() == "UnresolvedFunction":
+        yield from _items(e.nameParts())
+    for c in _items(e.children()):
+        yield from _functions(c)
+
+
+def tables_of(spark: SparkSession, sql: str) -> list[tuple[int, int, list[str], bool]]:
+    """Start, end, parts of the name, and whether an alias follows, of every table that a query names, also in subqueries and
+    common table expressions, whose own names are none. Spark's parser decides; statements that aren't plain queries, table
+    functions and functions that reach out are refused."""
+    if "${" in sql:
+        raise PermissionError("no variables")
+    found = []
+
+    def walk(node, scope: frozenset, above: str) -> None:
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if kind not in _ALLOWED:
+            raise PermissionError(f"{kind} is not part of a search")
+        for e in _items(node.expressions()):
+            if bad := _REFUSED & {n.lower() for n in _functions(e)}:
+                raise PermissionError(f"{min(bad)} is not part of a search")
+        if kind == "UnresolvedRelation":
+            name = list(_items(node.multipartIdentifier()))
+            if len(name) > 1 or name[0].lower() not in scope:
+                origin = node.origin()
+                found.append((origin.startIndex().get(), origin.stopIndex().get() + 1, name, above == "SubqueryAlias"))
+        for c in _items(node.innerChildren()):
+            # expressions of WITH see those before them; those of other nodes are subqueries
+            walk(c, scope, kind)
+            if kind == "UnresolvedWith":
+                scope = scope | {c.alias().lower()}
+        for c in _items(node.children()):
+            walk(c, scope, kind)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset(), "")
+    return sorted({(a, z): (a, z, n, x) for a, z, n, x in found}.values())
+
+
+def search(spark: SparkSession, sql: str, store: DataFrame | Callable[[list[str]], DataFrame], names: list[str], meta: dict[str, DataFrame] | None = None, known: list[str] | None = None) -> DataFrame:
     """SQL over index names, quoted or not and in any case; names with * scan all matching indexes. store: one table of
-    all indexes, or a function of index names. Unknown tables are left alone; no known one at all is an error. The views
-    are made for this statement and dropped once Spark has resolved it."""
+    all indexes, or a function of index names. Only indexes and meta tables can be named: paths, tables of the session and
+    other statements than queries are a PermissionError, as are indexes of `known` that aren't among `names`; a name that nothing
+    bears is a ValueError, and so is a query of no index. The views are made for this statement and dropped once Spark has resolved it."""
     meta, views = meta or {}, []
-    rows = store if callable(store) else lambda which: store.where(F.col("_index").isin(which))
-    code, taken = code_of(sql)
+    rows = store if callable(store) else lambda which: store.where(F.lower("_index").isin(which))
     by_name = {n.lower(): n for n in names if n not in META}
-    known = False
+    sql = quoted_tables(sql)
 
     def view(frame: DataFrame) -> str:
         views.append(f"_index_{uuid.uuid4().hex}")
         frame.createOrReplaceTempView(views[-1])
         return views[-1]
 
-    def put(m: re.Match) -> str:
-        nonlocal known
-        token = m[3].strip('`"')
+    def frame_of(parts: list[str]) -> DataFrame:
+        token = parts[0]
+        if len(parts) > 1:
+            raise PermissionError(f"{'.'.join(parts)} is no index")
         if "*" in token:
             found = matching(names, token)
             if not found:
                 raise ValueError(f"no index matches {token}")
-            frame = rows([n.lower() for n in found])
-        elif token.lower() in meta:
-            frame = meta[token.lower()]
-        elif token.lower() in by_name:
-            frame = rows([token.lower()])
-        else:
-            known = known or spark.catalog.tableExists(token)
-            return m[0]
-        known = True
-        alias = "" if _ALIAS.match(code, m.end()) or "*" in token else f" AS `{token}`"
-        return f"{m[1]}{m[2]}{view(frame)}{alias}"
-
-    text = _TABLE.sub(put, code)
+            return rows([n.lower() for n in found])
+        if token.lower() in meta:
+            return meta[token.lower()]
+        if token.lower() in by_name:
+            return rows([token.lower()])
+        if token.lower() in {n.lower() for n in known or []}:
+            restricted([token], names)
+        raise ValueError(f"unknown index {token}")
+
     try:
-        if not known:
+        tables = tables_of(spark, sql)
+        if not tables:
             raise ValueError("no known index")
-        return spark.sql(re.sub(r"\0(\d+)\0", lambda m: taken[int(m[1])], text))
+        out, at = [], 0
+        for start, end, parts, aliased in tables:
+            alias = "" if aliased or "*" in parts[0] else f" AS `{parts[0]}`"
+            out += [sql[at:start], view(frame_of(parts)), alias]
+            at = end
+        return spark.sql("".join([*out, sql[at:]]))
     finally:
         for v in views:
             spark.catalog.dropTempView(v)
@@ -99,13 +190,16 @@ def search(spark: SparkSession, sql: str, store: DataFrame | Callable[[list[str]
 
 def search_as(spark: SparkSession, sql: str, store, user, access: DataFrame, low=None, high=None, number: int | None = None, size: int = 100) -> DataFrame:
     """search for one user: over the indexes that the user may read and that have events in the range, pruned to the
-    files of the range; meta tables show those indexes only. number: page, from 0."""
+    files of the range; meta tables show those indexes only. An index that the user may not read is a PermissionError. number: page, from 0."""
     names = readable_indexes(access, store, user, low, high)
     meta = {m: store.meta(m, names) for m in META}
-    return search(spark, sql if number is None else paged_sql(sql, number, size), lambda which: store.rows(which, low, high), names, meta)
+    return search(spark, sql if number is None else paged_sql(sql, number, size), lambda which: store.rows(which, low, high), names, meta, store.indexes())
 
 
 def page(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFrame:
+    """A page, from 0, of a total order. Far pages are found by counts of range partitions, so that no task takes all rows before."""
+    if number * size > ranks.PART_ROWS:
+        return ranks.skipped(df, order, number * size, size)
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
@@ -125,23 +219,39 @@ def last_records(df: DataFrame, *ties: str, n: int = 5) -> DataFrame:
     return df.orderBy(F.desc("_time"), *[F.desc(c) for c in ties]).limit(n)
 
 
-def effective_access(spark: SparkSession, users: DataFrame, roles: DataFrame, user_roles: DataFrame, user_permissions: DataFrame, role_permissions: DataFrame, depth: int, as_of=None) -> DataFrame:
-    """user_id, index_name, can_read, can_write, can_delete: OR of own grants and those of roles and their parents.
-    depth bounds the climb, at most the number of roles, so cycles end."""
+def effective_access(spark: SparkSession, users: DataFrame, roles: DataFrame, user_roles: DataFrame, user_permissions: DataFrame, role_permissions: DataFrame, as_of=None) -> DataFrame:
+    """user_id, index_name, can_read, can_write, can_delete: OR of own grants and those of roles and all roles above them."""
     if as_of is not None:
         now = F.lit(as_of).cast("timestamp")
         live = F.coalesce(F.col("effective_date") <= now, F.lit(True)) & F.coalesce(F.col("expiration_date") > now, F.lit(True))
         user_permissions, role_permissions = user_permissions.where(live), role_permissions.where(live)
-    reach = step = user_roles.select("user_id", "role_id").distinct()
-    parents = roles.select(F.col("id").alias("role_id"), "parent_id").where("parent_id is not null")
-    for _ in range(depth):
-        step = step.join(F.broadcast(parents), "role_id").select("user_id", F.col("parent_id").alias("role_id"))
-        reach = reach.unionByName(step)
+    own = user_roles.select("user_id", "role_id").distinct()
+    reach = own.unionByName(own.join(above(roles), "role_id").select("user_id", F.col("ancestor").alias("role_id")))
     grants = reach.distinct().join(role_permissions, "role_id").select("user_id", "index_name", "read_permission", "write_permission", "delete_permission")
     grants = grants.unionByName(user_permissions.select(grants.columns))
     return grants.groupBy("user_id", "index_name").agg(*[F.bool_or(F.coalesce(f"{k}_permission", F.lit(False))).alias(f"can_{k}") for k in ("read", "write", "delete")])
 
 
+def above(roles: DataFrame) -> DataFrame:
+    """role_id, ancestor: each role (id, parent_id) with itself and all above it. Paths double with every round until nothing new
+    comes, so a chain of n takes about log n rounds and cycles end."""
+    from ..sources.store import fresh_dir
+
+    def kept(df: DataFrame) -> DataFrame:
+        df.write.parquet(to := fresh_dir(df.sparkSession))
+        return df.sparkSession.read.parquet(to)
+
+    links = roles.where("parent_id is not null").select(F.col("id").alias("role_id"), F.col("parent_id").alias("ancestor"))
+    ids = roles.select(F.col("id").alias("role_id")).unionByName(links.select(F.col("ancestor").alias("role_id")))
+    out = kept(links.unionByName(ids.select("role_id", F.col("role_id").alias("ancestor"))).distinct())
+    n = out.count()
+    while True:
+        more = kept(out.join(out.select(F.col("role_id").alias("ancestor"), F.col("ancestor").alias("top")), "ancestor").select("role_id", F.col("top").alias("ancestor")).distinct())
+        if (m := more.count()) == n:
+            return more
+        out, n = more, m
+
+
 def full_access(access: DataFrame, users: DataFrame, admins: DataFrame, indexes: list[str]) -> DataFrame:
     """effective_access with its two rules for all: admins (user_id) may do everything on the indexes, and every user may
     read the meta tables. indexes: the names of the catalog."""

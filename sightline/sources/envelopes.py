@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..functions.times import time_by_format
 
 STRINGS = "map<string,string>"
@@ -44,15 +45,16 @@ def column_envelopes(df: DataFrame, formats: list[str] = FORMATS) -> DataFrame:
     from timefield, else _raw, else the batch is dropped. A time that can't be read is the last good one before it in the
     envelope, a leading one the time of ingestion."""
     n = F.size(F.col("events")[0])
-    rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.map_from_arrays("columns", F.transform("events", lambda c: F.get(c, i))))
     field, form = F.coalesce(F.col("header")["timefield"], F.lit("_time")), F.col("header")["timeformat"]
-    raw = lambda e: F.coalesce(F.element_at(e, field), e["_raw"])
-    timed = F.transform("rows", lambda e: F.struct(e.alias("event"), time_by_format(raw(e), form, formats).alias("t")))
-    # a bad time takes the last good one before it in its envelope, which is one row
-    last = F.aggregate("timed", F.struct(F.array().cast("array<timestamp>").alias("out"), F.lit(None).cast("timestamp").alias("t")), lambda acc, e: F.struct(F.concat(acc["out"], F.array(F.coalesce(e["t"], acc["t"]))).alias("out"), F.coalesce(e["t"], acc["t"]).alias("t")), lambda acc: acc["out"])
-    e = df.where(F.col("header").isNotNull() & (F.size("events") > 0) & (n > 0)).withColumn("rows", rows)
-    e = e.where(F.exists("rows", lambda x: raw(x).isNotNull())).withColumn("timed", timed)
-    e = e.select("header", F.explode(F.arrays_zip(F.col("timed.event").alias("event"), last.alias("t"))).alias("z"))
+    column = lambda name: F.get("events", F.array_position("columns", name).cast("int") - 1)
+    places = F.sequence(F.lit(0), n - 1)
+    raw = times.bound(F.struct(column(field).alias("a"), column(F.lit("_raw")).alias("b")), lambda c: F.transform(places, lambda i: F.coalesce(F.get(c["a"], i), F.get(c["b"], i))))
+    # the format is looked at once per envelope
+    parsed = lambda x: times.by_format(lambda f: F.transform(x, lambda v: times.smart_time(v, f)), form, formats)
+    timed = times.bound(raw, lambda x: F.when(F.exists(x, lambda v: v.isNotNull()), times.filled(parsed(x))))
+    rows = F.transform(places, lambda i: F.map_from_arrays("columns", F.transform("events", lambda c: F.get(c, i))))
+    e = df.where(F.col("header").isNotNull() & (F.size("events") > 0) & (n > 0)).select("header", timed.alias("t"), rows.alias("event")).where("t is not null")
+    e = e.select("header", F.explode(F.arrays_zip("event", "t")).alias("z"))
     return e.select(F.lower(F.coalesce(F.col("header")["index"], F.lit("main"))).alias("_index"), F.coalesce("z.t", F.current_timestamp()).alias("_time"), merged(F.col("header"), F.col("z.event")).alias("fields"))
 
 

@@ -1,6 +1,7 @@
 """Fixtures of the survey: time formats, query texts, conflicting schemas, names and edge rows."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def test_access_cycle_and_dates(spark):
     late = datetime.datetime(2030, 1, 1)
     grants = spark.createDataFrame([(3, "i", True, False, None, None, None), (2, "j", True, None, False, late, None)], "role_id int, " + empty)
     own = spark.createDataFrame([], "user_id int, " + empty)
-    see = lambda **k: {r.index_name for r in search.effective_access(spark, users, roles, links, own, grants, 3, **k).collect()}
+    see = lambda **k: {r.index_name for r in search.effective_access(spark, users, roles, links, own, grants, **k).collect()}
     assert see() == {"i", "j"} and see(as_of="2025-01-01 00:00:00") == {"i"}
 
 
@@ -95,6 +96,7 @@ def test_store_limits_globs_and_row_groups(spark, tmp_path):
     for bad in (dict(glob="nothing"), dict(index="two")):
         with pytest.raises(ValueError):
             store.scan(spark, path, **bad)
+    os.makedirs(f"{path}/_index=one/bucket_start=2024010100")
     pq.write_table(pa.Table.from_pandas(pd.DataFrame({"id": range(24)})), f"{path}/_index=one/bucket_start=2024010100/part-x.parquet", row_group_size=2)
     open(f"{path}/_index=one/bucket_start=2024010100/part-y.parquet.old", "w").close()
     assert [r.row_groups for r in store.read_footers(spark, path).where("row_groups > 10").collect()] == [12] and store.list_files(spark, path).count() == 5
