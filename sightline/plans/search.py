@@ -47,7 +47,7 @@ _AFTER = set("select where group having order limit offset union intersect excep
 _ALLOWED = set(
     """Project Filter Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except Join AsOfJoin LateralJoin SubqueryAlias
     UnresolvedSubqueryColumnAliases UnresolvedWith WithWindowDefinition UnresolvedRelation UnresolvedInlineTable OneRowRelation Generate Pivot UnresolvedPivot UnresolvedUnpivot Unpivot
-    Sample UnresolvedHint UnresolvedOrdinal LimitAll UnresolvedInlineTable""".split()
+    LocalRelation Sample UnresolvedHint""".split()
 )
 # Functions that reach beyond the rows of a search.
 _REFUSED = {"reflect", "java_method", "try_reflect", "read_files", "input_file_name", "current_database", "current_schema", "current_catalog", "version", "assert_true", "raise_error"}
