@@ -37,6 +37,7 @@ _KIND = np.full(256, 3, np.uint8)
 _KIND[[32, 9, 10, 11, 12, 13]] = 0
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:], _KIND[39] = 1, 1, 2, 4, 5
 _CUT = np.array([[(a == 0) != (b == 0) or (a and b and max(a, b) < 4 and (a != b or a == 2)) for b in range(6)] for a in range(6)], bool).ravel()
+CASES = "The THE the tHe A a B b Of OF Xy ABCDEFGHIJKLMNOPQRSTUVWXYZ A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
 PROBE = "Don't cut rock'n'roll, (it's 12.5% Été-2024's)... a_b@c.d #x1y2 ''s 'Ll x'S İI é中1² ***.!! we'd"
 
 
@@ -63,6 +64,8 @@ class PartEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Letters' case makes no difference, so parts that differ in it only share their ids.
+        self.folds = self.tokenizer.encode(CASES, add_special_tokens=False).ids == self.tokenizer.encode(CASES.lower(), add_special_tokens=False).ids
         self.clear()
         self.cuts = True
         data = np.frombuffer(PROBE.encode(), np.uint8)
@@ -133,7 +136,7 @@ class PartEncoder:
         starts, ends = edges[:-1], edges[1:]
         some = kind[starts] != 0
         starts, ends = starts[some], ends[some]
-        at = self.places(word_hashes(lower_ascii(data), starts, ends), data, starts, ends)
+        at = self.places(word_hashes(lower_ascii(data) if self.folds else data, starts, ends), data, starts, ends)
         size = self.size[at] if len(at) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         edge = total[np.searchsorted(starts, offsets)]

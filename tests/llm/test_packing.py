@@ -108,3 +108,17 @@ def test_parts_equal_whole_texts():
         ids, n = encode(data, offsets, 1)
         for i, x in zip(range(first, end), np.split(ids, np.cumsum(n)[:-1]), strict=True):
             assert x.tolist() == encode.tokenizer.encode(texts[i], add_special_tokens=False).ids + [1]
+
+
+def test_case_of_letters(tmp_path):
+    """A tokenizer that tells cases apart gets its own ids for each of them."""
+    from tokenizers import models, pre_tokenizers
+
+    words = ["[UNK]", "The", "the", "THE", "a", "A"]
+    tokenizer = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    tokenizer.save(f"{tmp_path}/t.json")
+    data = np.frombuffer(b"The the THE a A the", np.uint8)
+    ids, n = PartEncoder(f"{tmp_path}/t.json")(data, np.array([0, len(data)]), 9)
+    assert ids.tolist() == [1, 2, 3, 4, 5, 2, 9] and n.tolist() == [7]
+    assert PartEncoder(default_tokenizer()).folds
