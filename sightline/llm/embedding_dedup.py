@@ -25,6 +25,8 @@ from .components import components
 #: whose hash is smallest. The number of centres grows with the root of the vectors, so that a cell holds about OCCUPIED.
 TRAIN_CENTRE, TRAIN_ROWS, TARGET, ROUNDS = 32, 4000, 0.998, 10
 OCCUPIED, BLOCK = 128, 256
+#: Blocks of a cell that one task compares with as many others.
+SIDE = 32
 
 
 def centres(x: np.ndarray, k: int) -> np.ndarray:
@@ -164,12 +166,14 @@ def links(cls: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
 
     placed = written(cls.select("label", "id", "copies", "x").mapInArrow(place, "label string, cell int, home int, id long, copies long, x binary"))
     sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("home") == F.col("cell"), 1)).alias("own")).where("own > 0")
-    sizes = written(sizes.select("label", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    sizes = written(sizes.select("label", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).withColumn("sides", F.ceil(F.col("blocks") / SIDE).cast("int")))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     visitors = placed.join(F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes, ["label", "cell"]).withColumn("block", block)
-    blocks = lambda df, *c: df.groupBy("label", "cell", "block").agg(F.collect_list(F.struct(*c)).alias("v"))  # noqa: E731  BLOCK or a little more each
-    held = blocks(visitors.where("home = cell"), "id", "copies", "x").select("label", "cell", F.col("v").alias("p"))
-    asks = blocks(visitors, "id", "copies", "home", "x").select("label", "cell", F.col("v").alias("q"))
+    blocks = lambda df, *c: df.groupBy("label", "cell", "block", "sides").agg(F.collect_list(F.struct(*c)).alias("v"))  # noqa: E731  BLOCK or a little more each
+    # a dense cell is a square of tasks: a block goes to all tasks of its row or column
+    own, every = F.pmod(F.col("block"), F.col("sides")), F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    held = blocks(visitors.where("home = cell"), "id", "copies", "x").select("label", "cell", F.col("v").alias("p"), own.alias("across"), every.alias("down"))
+    asks = blocks(visitors, "id", "copies", "home", "x").select("label", "cell", F.col("v").alias("q"), own.alias("down"), every.alias("across"))
     to = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def side(column: pa.ListArray, i: int):
@@ -198,4 +202,4 @@ def links(cls: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
                 none = lambda m: pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, left])), pa.concat_arrays([none(len(ids)), pa.array(right)]), pa.concat_arrays([pa.array(n), none(len(left))])], schema=to)
 
-    return asks.join(held, ["label", "cell"]).select("cell", "p", "q").mapInArrow(compare, "a long, b long, n long")
+    return asks.join(held, ["label", "cell", "down", "across"]).select("cell", "p", "q").mapInArrow(compare, "a long, b long, n long")

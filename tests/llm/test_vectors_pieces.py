@@ -49,6 +49,7 @@ def test_vectors(spark):
 def test_vectors_in_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "OCCUPIED", 8)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "SIDE", 2)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
     rows = [(i, [float(c) for c in base[i % 40] * (1 + i % 3) + rng.normal(size=16) * 0.12], i % 2) for i in range(900)] + [(900 + i, [float(c) for c in base[i % 2]], 0) for i in range(50)]
