@@ -30,8 +30,12 @@ def headers(packets: DataFrame) -> DataFrame:
     })
 
 
+# Names of the flag bits, the lowest first.
+FLAGS = ["FIN", "SYN", "RST", "PSH", "ACK", "URG"]
+
+
 def flag_names(flags: Column) -> Column:
-    names = F.array_join(F.array_compact(F.array(*[F.when(flags.bitwiseAND(1 << i) != 0, n) for i, n in enumerate(["FIN", "SYN", "RST", "PSH", "ACK", "URG"])])), "|")
+    names = F.array_join(F.array_compact(F.array(*[F.when(flags.bitwiseAND(1 << i) != 0, n) for i, n in enumerate(FLAGS)])), "|")
     return F.when(names == "", "None").otherwise(names)
 
 

@@ -46,10 +46,10 @@ def test_wildcards(spark):
     assert search.paged_sql("select * from (select 1 limit 7) where x = 'limit 3'", 1, 10).endswith("\nLIMIT 10 OFFSET 10")
 
 
-def test_conflicting_schemas():
-    one = T.StructType.fromDDL("_time timestamp_ntz, srcport string, dstport string, origin bigint")
-    two = T.StructType.fromDDL("_time timestamp_ntz, srcport binary, newport string, origin binary")
-    assert schema.unified_schema([one, two]) == T.StructType.fromDDL("_time timestamp_ntz, dstport string, newport string, origin string, srcport string")
+def test_conflicting_schemas(spark):
+    one = T.StructType.fromDDL("_time timestamp_ntz, badge string, door string, floor bigint")
+    two = T.StructType.fromDDL("_time timestamp_ntz, badge binary, lift string, floor binary")
+    assert schema.unified_schema([one, two]) == T.StructType.fromDDL("_time timestamp_ntz, badge string, door string, floor string, lift string")
 
 
 def test_row_batches_skip_and_count(spark):
@@ -70,9 +70,9 @@ def test_access_cycle_and_dates(spark):
 
 
 def test_names(spark):
-    low, high = compaction.parse_name(F.lit("20250305111507-20250306001224_packed_20250306003227.parquet"))
+    low, high = compaction.parse_name(F.lit("20231130235958-20231231010203_packed_20240101000000.parquet"))
     got = spark.range(1).select(low.cast("string"), high.cast("string")).first()
-    assert tuple(got) == ("2025-03-05 11:15:07", "2025-03-06 00:12:24")
+    assert tuple(got) == ("2023-11-30 23:59:58", "2023-12-31 01:02:03")
 
 
 def test_header_formats_and_bad_times(spark):
@@ -106,3 +106,23 @@ def test_restricted():
     assert search.restricted([], ["a", "b"]) == ["a", "b"] and search.restricted(["B"], ["a", "b"]) == ["b"]
     with pytest.raises(PermissionError):
         search.restricted(["c"], ["a", "b"])
+
+
+def test_frames_of_other_kinds(spark):
+    """IPv6, Linux cooked captures and ARP, by hand."""
+    from sightline.operators import packets
+
+    v6 = "60000000" + "0014" + "{next}" + "40" + "20010db8000000000000000000000001" + "20010db8000000000000000000000002"
+    tcp, v4 = "1F90" + "01BB" + "00" * 8 + "50" + "12" + "00" * 6 + "CAFE", "45000028000000004006" + "0000" + "0A000001" + "0A0000FE"
+    arp = "FF" * 6 + "00" * 6 + "0806" + "0001080006040001" + "AABBCCDDEEFF" + "0A000001" + "112233445566" + "0A000002"
+    frames = [(1, 1, "FF" * 12 + "86DD" + v6.format(next="06") + tcp), (2, 113, "00" * 14 + "0800" + v4 + tcp), (3, 1, "FF" * 12 + "86DD" + v6.format(next="3A") + "8000" + "00" * 6), (4, 1, arp), (5, 113, "00" * 14 + "86DD" + v6.format(next="11") + "00350036" + "00080000"), (6, 1, None), (7, 1, "FF")]
+    df = spark.createDataFrame(frames, "id int, link_type int, h string").select("id", "link_type", F.unhex("h").alias("data"))
+    got = {r.id: r for r in packets.headers(df).withColumn("names", packets.flag_names(F.col("flags"))).collect()}
+    assert sorted(got) == [1, 2, 3, 5]
+    assert (got[1].src, got[1].proto, got[1].src_port, got[1].dst_port, got[1].names) == ("2001:0db8:0000:0000:0000:0000:0000:0001", 6, 8080, 443, "SYN|ACK")
+    assert (got[2].src, got[2].dst, got[2].src_port) == ("10.0.0.1", "10.0.0.254", 8080) and (got[3].proto, got[3].src_port) == (58, None) and (got[5].proto, got[5].src_port, got[5].dst_port) == (17, 53, 54)
+    assert {r.protocol: r.packets for r in packets.protocol_mix(packets.headers(df)).collect()} == {"TCP": 2, "ICMP": 1, "UDP": 1}
+    blank = {r.id: bytes(r.data).hex() for r in packets.blank_arp(df.where("id = 4")).collect()}[4]
+    assert blank == (arp[:56] + "0" * 8 + arp[64:76] + "0" * 8).lower()
+    cut = {r.id: len(r.data) for r in packets.without_payload(packets.headers(df)).collect()}
+    assert cut[1] == 14 + 40 + 20 and cut[2] == 16 + 20 + 20
