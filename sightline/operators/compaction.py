@@ -67,7 +67,7 @@ def rewrite(spark: SparkSession, catalog: DataFrame, bins: DataFrame, path: str)
         deal = F.broadcast(deal) if deal.count() <= store.FEW_FILES else deal
         rows = store.read_files(spark, some, name="_file")
         rows = rows.drop("bucket_start").withColumn("_file", plain(F.col("_file"))).join(deal, "_file").drop("_file").withColumnRenamed("_day", "bucket_start")
-        with store.micro_times(spark):
+        with store.writing(spark):
             rows.repartition("_write", "_index").write.partitionBy("_write", "_index", "bucket_start").option("compression", "snappy").mode("append").parquet(path)
     new = store.list_files(spark, path).where(F.col("path").contains(f"/_write={name}-"))
     since = files.groupBy("_write", "index").agg(F.max(F.coalesce("since", "version")).alias("_since"), F.sum("record_count").alias("_rows"))
@@ -110,7 +110,7 @@ def merge_batches(spark: SparkSession, files: DataFrame, size: int, to: str) ->
     dealt = dealt.drop("day").join(days, "batch").select(F.regexp_replace("path", "^file:/+", "/").alias("_file"), "batch", "day")
     rows = store.read_files(spark, store.build_catalog(spark, "", files.select("path", "length", "modificationTime")), name="_file")
     rows = rows.withColumn("_file", F.regexp_replace("_file", "^file:/+", "/")).join(dealt, "_file").drop("_file")
-    with store.micro_times(spark):
+    with store.writing(spark):
         rows.repartition("day", "batch").write.partitionBy("day", "batch").option("compression", "snappy").mode("append").parquet(to)
     done = store.read_footers(spark, to).select(F.regexp_extract("file_location", "/batch=([0-9]+)/", 1).cast("long").alias("batch"), F.col("record_count").alias("rows"))
     return dealt.groupBy("batch").agg(F.count("*").alias("files")).join(done.groupBy("batch").agg(F.sum("rows").alias("rows")), "batch", "left")

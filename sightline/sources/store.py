@@ -50,15 +50,18 @@ def as_events(events: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def micro_times(spark: SparkSession) -> Iterator[None]:
-    """Write times as microseconds, whose bounds footers hold."""
-    name = "spark.sql.parquet.outputTimestampType"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "TIMESTAMP_MICROS")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Write times as microseconds, whose bounds footers hold; and many small buckets by many tasks: hashing keeps a bucket in one
+    task anyhow, so putting small tasks together would save no file."""
+    wanted = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def catalog_of(spark: SparkSession, path: str) -> Snapshots:
@@ -73,7 +76,7 @@ def write_files(df: DataFrame, path: str, name: str | None = None, stamp: str |
     name = name or uuid.uuid4().hex
     d = df.withColumns({"_write": F.lit(name), "_index": F.lower(F.coalesce("_index", F.lit("main")))})
     d = d.withColumn("bucket_start", F.date_format("_time", stamp)) if stamp else d
-    with micro_times(df.sparkSession):
+    with writing(df.sparkSession):
         d.hint("rebalance", F.col("_index"), F.col("bucket_start")).write.partitionBy("_write", "_index", "bucket_start").option("maxRecordsPerFile", most).mode("append").parquet(path)
     return f"{path.rstrip('/')}/_write={name}"
 
