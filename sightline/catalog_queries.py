@@ -358,6 +358,21 @@ def hostile_time(spark, d):
     return e.select("event_id", F.coalesce(times.smart_time(F.col("raw")), times.smart_time(F.when(F.col("event_id") % 5 < 4, F.col("raw")), "unix_ms")).cast("timestamp_ntz").alias("t"))
 
 
+#: Formats as a sender names them, with the patterns that write such times.
+WRITTEN = [("%Y-%m-%d %H:%M:%S", "yyyy-MM-dd HH:mm:ss"), ("%d/%b/%Y:%H:%M:%S", "dd/MMM/yyyy:HH:mm:ss"), ("YYYY-MM-DD hh:mm:ss", "yyyy-MM-dd HH:mm:ss"), ("YYYYMMDD", "yyyyMMdd"), ("%m/%d/%Y", "MM/dd/yyyy")]
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 < 3 THEN date_trunc('second', ts) WHEN event_id % 6 < 5 THEN date_trunc('day', ts) END AS t FROM events")
+def time_formats(spark, d):
+    """Times in strptime and token formats, and a text that doesn't fit its format."""
+    e = events(spark, d).withColumn("kind", F.col("event_id") % 6)
+    t = F.lit(None).cast("timestamp")
+    for k, (form, pattern) in enumerate(WRITTEN):
+        t = F.when(F.col("kind") == k, times.smart_time(F.date_format("_time", pattern), form)).otherwise(t)
+    t = F.when(F.col("kind") == 5, times.smart_time(F.date_format("_time", "yyyy-MM-dd"), "%m/%d/%Y")).otherwise(t)
+    return e.select("event_id", t.cast("timestamp_ntz").alias("t"))
+
+
 @query(f"SELECT event_id, coalesce(last_value(CASE WHEN {KIND} < 3 THEN date_trunc('second', ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), TIMESTAMP '2024-02-01') AS t FROM events")
 def time_ffill(spark, d):
     return times.filled_times(written_times(spark, d), "t", "user_id", "event_id", F.lit("2024-02-01").cast("timestamp")).select("event_id", ntz("t"))
@@ -771,6 +786,13 @@ def user_indexes(spark, d):
     return access(spark, d).where("can_read").join(have, "index_name", "left_semi").select("user_id", "index_name")
 
 
+@query(f"SELECT user_id, index_name FROM ({ACCESS}) WHERE user_id % 2 = 1 OR index_name = CASE WHEN user_id % 4 = 0 THEN 'evt_click' ELSE 'evt_view' END")
+def requested_indexes(spark, d):
+    """Users with even numbers ask for one index each, the others for none in particular."""
+    wanted = table(spark, d, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey as user_id", "if(c_custkey % 4 = 0, 'EVT_click', 'evt_VIEW') as index_name")
+    return plan.permitted(wanted, access(spark, d))
+
+
 @query(f"SELECT _index, count(*) AS n FROM {E} WHERE _index IN (SELECT index_name FROM ({ACCESS}) WHERE user_id = 3) GROUP BY 1 ORDER BY 1 LIMIT 10")
 def search_as_user(spark, d):
     """A wildcard search finds what the user may read only."""

@@ -278,6 +278,15 @@ def restricted(requested: list[str], readable: list[str]) -> list[str]:
     return out
 
 
+def permitted(requests: DataFrame, access: DataFrame) -> DataFrame:
+    """user_id, index_name: for all users at once what restricted gives: the indexes of requests (user_id, index_name) that the user
+    may read, all of those for users without requests. Users without a row may read nothing of what they ask for."""
+    readable = access.where("can_read").select("user_id", F.lower("index_name").alias("index_name")).distinct()
+    wanted = requests.where("index_name is not null").select("user_id", F.lower("index_name").alias("index_name"))
+    some = readable.join(wanted, ["user_id", "index_name"], "left_semi")
+    return some.unionByName(readable.join(wanted, "user_id", "left_anti"))
+
+
 def existing_permissions(permissions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Permissions that name an index of the catalog."""
     return permissions.join(catalog.select(F.col("index").alias("_n")).distinct(), F.lower("index_name") == F.col("_n"), "left_semi")
