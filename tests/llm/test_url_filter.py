@@ -64,3 +64,17 @@ def test_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, None)], "page_id long, url string")
     assert len(judge_urls(pages).collect()) == 3
     assert judge_urls(pages.limit(0)).collect() == []
+
+
+def test_exact_cut(spark):
+    """The value at a rank of many, with ties and of both signs."""
+    import random
+
+    from sightline.llm.url_filter import kth_smallest
+
+    r = random.Random(5)
+    values = [round(r.gauss(0, 3), 9) for _ in range(6000)] + [0.123456789] * 500 + [-1.0] * 500
+    df = spark.createDataFrame([(v,) for v in values], "score double")
+    order = sorted(values)
+    for k in (1, 2, 70, 3500, 6999, 7000):
+        assert kth_smallest(df, "score", k) == order[k - 1]
