@@ -284,8 +284,8 @@ def quarantine(spark: SparkSession, path: str) -> DataFrame:
         return f"{root}/_broken/{own[len(root) :].lstrip('/')}"
 
     to = f"{base}/_broken/_log/{uuid.uuid4().hex}"
-    rows = read_footers(spark, path).where("fault = 'format'").select("file_location", "index", "bucket_start", "reason")
-    moved(rows, target).write.parquet(to)
+    read_footers(spark, path).where("fault = 'format'").select("file_location", "index", "bucket_start", "reason").write.parquet(found := fresh_dir(spark))
+    moved(spark.read.parquet(found), target).write.parquet(to)  # from a table, so that a task that runs again still knows its files
     out, table = spark.read.parquet(to), catalog_of(spark, path)
     at = table.snapshot()
     if at.number:
