@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, fold, fold_of, hash_word, lower_ascii, table, text_slices, word_hashes, word_spans, written
+from .common import SLICE_BYTES, WORD, checkpoint_dir, fold, hash_word, lower_ascii, table, text_slices, word_hashes, word_spans, written
 
 SINGLE = 63  # most frequent words, groups of their own
 BANDS = 63  # at least
@@ -26,18 +26,21 @@ SHAPES = 64
 DIM, NOISE, BAND_NOISE, BATCH, STEPS, ROUNDS, RATE = 15, 24, 1, 2048, 60, 3, 0.1
 PAST = 10.0  # squared gradient that every row starts with
 CHUNK = 4096  # parameters in a row of the average
+SCORE_BYTES = 1 << 19  # of text at a time: arrays that stay near the processor
+TABLE_BYTES = 32 << 20  # of a scorer's tables in a task, more or less
 END = hash_word(b"\n end of text \n")
+_MARKS = np.array([16 * (b >= 128) + 32 * (b < 97 or 122 < b < 128) for b in range(256)], np.uint8) * WORD
 
 
-def tokens(column: pa.Array):
+def tokens(column: pa.Array, limit: int = SLICE_BYTES):
     """first row, end row, row, word hash, shape of every token in order; each text closes with an end mark."""
-    for first, end, data, offsets in text_slices(column):
+    for first, end, data, offsets in text_slices(column, limit):
         data = lower_ascii(data)
         starts, ends, row = word_spans(data, offsets)
         h = word_hashes(data, starts, ends)
-        up = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-        high, odd = up(data >= 128), up((data < 97) | (data > 122) & (data < 128))
-        shape = np.minimum(ends - starts, 16) - 1 + 16 * (high[ends] > high[starts]) + 32 * (odd[ends] > odd[starts])
+        shape = np.minimum(ends - starts, 16) - 1
+        if len(starts):  # white space has no marks, so a word may be taken up to the next one
+            shape += np.bitwise_or.reduceat(_MARKS[data], starts)
         n = np.bincount(row, minlength=end - first)
         at = np.arange(len(row)) + row
         total = len(row) + end - first
@@ -114,28 +117,75 @@ def _log_sum(z: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(z, out=z).sum(1))
 
 
+class Scorer:
+    """Natural log of each item's probability after its two items.
+
+    The groups and the shapes are chosen at most tokens. The sum over their choices' exponentials is a product of two rows, that of the
+    item two before and that of the one before, of tables (items by choices) that are made once for a model. They hold the shapes,
+    the marks and the most frequent words, as many as TABLE_BYTES takes; after other words the exponentials are summed for the token."""
+
+    def __init__(self, p: dict[str, np.ndarray], items: Items):
+        self.p, self.items = p, items
+        self.places = [p["r"] @ c for c in p["c"]]
+        self.held = int(np.clip(TABLE_BYTES // (8 * (items.groups + SHAPES)) - SHAPES - 2, 0, items.words))
+        self.of_groups, self.of_shapes = self._tables(p["t"]), self._tables(p["u"][items.words : items.words + SHAPES])
+
+    def _tables(self, among: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each place the exponentials of its part of the choices' sums, and the log of what each row is divided by."""
+        out = []
+        for place, bias in zip(self.places, (among[:, DIM], 0), strict=True):
+            z = np.concatenate([place[: self.held], place[self.items.words :]]) @ among[:, :DIM].T
+            z += bias
+            top = z.max(1)
+            z -= top[:, None]
+            out.append((np.exp(z, out=z), top))
+        return out
+
+    def _choose(self, some: np.ndarray | slice, q: np.ndarray, rows: tuple, right: np.ndarray, among: np.ndarray, tables: list) -> np.ndarray:
+        two, one, out_of = (x[some] for x in rows)
+        (a, top_a), (b, top_b) = tables
+        sums = np.empty(len(q), a.dtype)
+        for at in range(0, len(q), 512):
+            part = slice(at, at + 512)
+            sums[part] = np.einsum("nd,nd->n", a.take(two[part], axis=0), b.take(one[part], axis=0))
+        plain = np.flatnonzero(out_of | (sums < 1e-20))  # or two rows so far apart that the product may have lost the choices
+        sums[plain] = 1
+        chosen = among.take(right, axis=0)
+        out = np.einsum("nd,nd->n", q, chosen[:, :DIM]) + chosen[:, DIM] - (np.log(sums) + top_a[two] + top_b[one])
+        for at in range(0, len(plain), 1 << 10):
+            part = plain[at : at + (1 << 10)]
+            out[part] = _plain(q[part], right[part], among)
+        return out
+
+    def __call__(self, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> np.ndarray:
+        p, items = self.p, self.items
+        q, group = self.places[0].take(two, axis=0), items.group[item]
+        q += self.places[1].take(one, axis=0)
+        lo = items.words
+        rows = [np.where(x < lo, np.minimum(x, max(self.held - 1, 0)), x - (lo - self.held)) for x in (two, one)]
+        rows.append((two >= self.held) & (two < lo) | (one >= self.held) & (one < lo))
+        out = self._choose(slice(None), q, rows, group, p["t"], self.of_groups).astype(float)
+        shaped = items.is_shape(item)
+        some = np.flatnonzero(shaped)
+        out[some] += self._choose(some, q[some], rows, item[some] - lo, p["u"][lo : lo + SHAPES], self.of_shapes)
+        inner = np.flatnonzero((group < len(items.edges) - 1) & ~shaped)
+        inner = inner[np.argsort(_short(group[inner]), kind="stable")]
+        for some in np.split(inner, np.flatnonzero(np.diff(group[inner])) + 1) if len(inner) else ():
+            lo, hi = items.edges[group[some[0]] : group[some[0]] + 2]
+            for at in range(0, len(some), 1 << 10):
+                part = some[at : at + (1 << 10)]
+                out[part] += _plain(q.take(part, axis=0), item[part] - lo, p["u"][lo:hi])
+        return out
+
+
+def _plain(q: np.ndarray, right: np.ndarray, among: np.ndarray) -> np.ndarray:
+    z = q @ among[:, :DIM].T
+    z += among[:, DIM]
+    return z[np.arange(len(z)), right] - _log_sum(z)
+
+
 def log_probabilities(p: dict[str, np.ndarray], items: Items, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Natural log of each item's probability after its two items."""
-    first, second = p["r"] @ p["c"][0], p["r"] @ p["c"][1]
-    q, group, out = first[two], items.group[item], np.zeros(len(item))
-    q += second[one]
-
-    def choose(rows: np.ndarray | slice, right: np.ndarray, among: np.ndarray) -> None:
-        z = q[rows] @ among[:, :DIM].T
-        z += among[:, DIM]
-        out[rows] += z[np.arange(len(z)), right] - _log_sum(z)
-
-    for at in range(0, len(item), 1 << 10):
-        part = slice(at, at + (1 << 10))
-        choose(part, group[part], p["t"])
-    inner = items.choices(group)
-    inner = inner[np.argsort(_short(group[inner]), kind="stable")]
-    for some in np.split(inner, np.flatnonzero(np.diff(group[inner])) + 1) if len(inner) else ():
-        lo, hi = items.edges[group[some[0]] : group[some[0]] + 2]
-        for at in range(0, len(some), 1 << 10):
-            part = some[at : at + (1 << 10)]
-            choose(part, item[part] - lo, p["u"][lo:hi])
-    return out
+    return Scorer(p, items)(two, one, item)
 
 
 def _short(x: np.ndarray) -> np.ndarray:
@@ -150,63 +200,68 @@ class Trainer:
         self.p, self.items, self.rate, self.rng = {k: x.copy() for k, x in p.items()}, items, np.float32(rate), np.random.default_rng(seed)
         self.past = {k: np.full(len(x), PAST, np.float32) for k, x in p.items()}
         by_group = np.bincount(items.group, items.count + 0.1, items.groups)
-        self.freq = by_group / by_group.sum()
-        self.log_noise = np.log(NOISE * self.freq).astype(np.float32)
+        self.up_to = np.cumsum(by_group) / by_group.sum()
+        self.log_noise = np.log(NOISE * by_group / by_group.sum()).astype(np.float32)
+        self.size = np.diff(items.edges)
+        self.level = np.log(BAND_NOISE / np.maximum(self.size, 1)).astype(np.float32)
 
     def change(self, k: str, at: np.ndarray, g: np.ndarray) -> None:
-        """Take a step on rows at by the sums of their gradients."""
+        """Take a step on rows at by the sums of their gradients, DIM + 1 numbers each, which are added up two at a time."""
         order = np.argsort(_short(at), kind="stable")
         at = at[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        at, g = at[first], np.add.reduceat(g[order], first)
+        at = at[first]
+        g = np.add.reduceat(g.take(order, axis=0).view(np.complex64), first).view(np.float32)[:, : self.p[k].shape[1]]
         past = self.past[k][at] + np.einsum("nd,nd->n", g, g) / g.shape[1]
         self.past[k][at] = past
         g *= (self.rate / np.sqrt(past))[:, None]
-        self.p[k][at] -= g
-
-    def step(self, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> None:
-        p, items = self.p, self.items
-        group, noise = items.group[item], self.rng.choice(items.groups, NOISE, p=self.freq)
-        a, b = p["r"][two], p["r"][one]
-        x = np.ones((len(item), DIM + 1), np.float32)
-        x[:, :DIM] = a @ p["c"][0] + b @ p["c"][1]
-        right, wrong = p["t"][group], p["t"][noise]
-        good = _sigmoid(np.einsum("nd,nd->n", x, right) - self.log_noise[group]) - 1
-        bad = _sigmoid(x @ wrong.T - self.log_noise[noise])
-        dx = good[:, None] * right + bad @ wrong
+        self.p[k][at] = self.p[k].take(at, axis=0) - g
+
+    def step(self, context: np.ndarray, item: np.ndarray) -> None:
+        """context: the items two before and one before each item."""
+        p, items, n = self.p, self.items, len(item)
+        group, noise = items.group[item], np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE), "right"), items.groups - 1)
+        before, places = p["r"].take(context.ravel(), axis=0).reshape(n, 2 * DIM), p["c"].reshape(2 * DIM, DIM)
+        x = np.ones((n, DIM + 1), np.float32)
+        x[:, :DIM] = before @ places
+        right, wrong = p["t"].take(group, axis=0), p["t"].take(noise, axis=0)
+        good = _sigmoid(self.log_noise[group] - np.einsum("nd,nd->n", x, right)) - 1
+        level = -wrong
+        level[:, DIM] += self.log_noise[noise]
+        bad = _sigmoid(x @ level.T)
+        dx = bad @ wrong
+        dx += good[:, None] * right
         self.change("t", np.concatenate([group, noise]), np.concatenate([good[:, None] * x, bad.T @ x]))
         inner = items.choices(group)
         if len(inner):
-            some, g = x[inner], group[inner]
-            lo, size = items.edges[g], np.diff(items.edges)[g]
-            level = np.log(BAND_NOISE / size).astype(np.float32)
-            word = [item[inner], *(lo + (self.rng.random(len(inner), np.float32) * size).astype(np.int64) for _ in range(BAND_NOISE))]
-            d = np.zeros_like(some)
-            moves = []
-            for i, w in enumerate(word):
-                row = p["u"][w]
-                s = _sigmoid(np.einsum("nd,nd->n", some, row) - level) - (not i)
-                d += s[:, None] * row
-                moves.append(s[:, None] * some)
-            dx[inner] += d
-            self.change("u", np.concatenate(word), np.concatenate(moves))
+            some, g = x.take(inner, axis=0), group[inner]
+            drawn = items.edges[g] + (self.rng.random((BAND_NOISE, len(inner)), np.float32) * self.size[g]).astype(np.int64)
+            word = np.concatenate([item[inner][None], drawn])
+            rows = p["u"].take(word, axis=0)
+            s = _sigmoid(self.level[g] - np.einsum("nd,ind->in", some, rows))
+            s[0] -= 1
+            rows *= s[:, :, None]
+            dx[inner] = dx.take(inner, axis=0) + rows.sum(0)
+            self.change("u", word.ravel(), (s[:, :, None] * some).reshape(-1, DIM + 1))
         dq = dx[:, :DIM]
-        moves = np.concatenate([dq @ p["c"][0].T, dq @ p["c"][1].T])
-        g = np.stack([a.T @ dq, b.T @ dq])
+        back = np.zeros((2, DIM + 1, DIM), np.float32)
+        back[:, :DIM] = p["c"]
+        moves, g = (dq @ back.reshape(-1, DIM).T).reshape(2 * n, DIM + 1), (before.T @ dq).reshape(2, DIM, DIM)
         self.past["c"] += (g * g).mean((1, 2))
         p["c"] -= g * (self.rate / np.sqrt(self.past["c"]))[:, None, None]
-        self.change("r", np.concatenate([two, one]), moves)
+        self.change("r", context.ravel(), moves)
 
     def learn(self, two: np.ndarray, one: np.ndarray, item: np.ndarray) -> None:
         """A pass over the examples in random order, in STEPS batches or more."""
         order, batch = self.rng.permutation(len(item)), min(BATCH, -(-len(item) // STEPS))
+        context, item = np.column_stack([two, one])[order], item[order]
         for at in range(0, len(item), batch):
-            now = order[at : at + batch]
-            self.step(two[now], one[now], item[now])
+            self.step(context[at : at + batch], item[at : at + batch])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.clip(-x, -30, 30)
+    """Of the negative of x, in place."""
+    np.minimum(x, 30, out=x)
     np.exp(x, out=x)
     x += 1
     return np.divide(1, x, out=x)
@@ -286,8 +341,10 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     def count(batches):
         for b in batches:
             for _, _, _, h, shape in tokens(b.column("text")):
-                word, at, n = np.unique(h, return_index=True, return_counts=True)
-                yield table({"h": word.view(np.int64), "shape": shape[at].astype(np.int32), "n": n}, counted)
+                order = np.argsort(h)
+                h = h[order]
+                new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                yield table({"h": h[new].view(np.int64), "shape": shape[order[new]].astype(np.int32), "n": np.diff(np.append(new, len(h)))}, counted)
 
     counts = written(learn.mapInArrow(count, "h long, shape int, n long").groupBy("h", "shape").agg(F.sum("n").alias("n")))
     end = int(np.uint64(END).astype(np.int64))
@@ -305,51 +362,45 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     items = Items.of(heavy_h.view(np.uint64), heavy_n, n_end, n_shape, v_shape)
     model = fit(learn, items)
     state = spark.sparkContext.broadcast((model, items))
-    out = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    text = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    form = pa.schema([("uid", pa.int64()), ("h", pa.int64()), ("tf", pa.int64()), ("text", text)])
 
     def score(batches):
-        """Sums over tokens; counts of words that aren't items are left to the join."""
+        """A row a text with the sums over its tokens, and a row for each of its words that aren't items: their counts are left to
+        the join. They are rare, so no key of the join is hot; rows of texts are dealt by uid, and have no occurrences of a word."""
         model, items = state.value
+        scorer, inside = Scorer(model, items), np.log10((total + 0.1 * (kinds + 1)) / items.mass)
         for b in batches:
-            known_id = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            ids = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            uid = b.column("uid").to_numpy(zero_copy_only=False)
-            held = (fold_of(ids, folds) == 0) | ~known_id
-            for first, last, row, h, shape in tokens(b.column("text")):
+            ids, uid = b.column("doc_id"), b.column("uid").to_numpy(zero_copy_only=False)
+            for first, last, row, h, shape in tokens(b.column("text"), SCORE_BYTES):
                 item = items.find(h, shape)
-                value = log_probabilities(model, items, *items.contexts(row, item), item) / np.log(10)
+                value = scorer(*items.contexts(row, item), item) / np.log(10)
                 n, c = last - first, items.count[item]
                 base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-                other = items.is_shape(item)
+                other = np.flatnonzero(items.is_shape(item))
                 base[other], c[other] = 0, 0
+                value[other] += inside[shape[other]]
                 sums = [np.bincount(row, x, n) for x in (base, value)]
                 known = np.bincount(row, c > 0, n).astype(np.int64)
-                columns = (uid[first:last], pa.array(ids[first:last], mask=~known_id[first:last]), held[first:last], np.bincount(row, minlength=n), known, *sums)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
+                columns = (ids.slice(first, n), np.bincount(row, minlength=n), known, *sums)
+                texts = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, text, strict=True)], fields=list(text))
+                yield table({"uid": uid[first:last], "h": uid[first:last], "tf": np.zeros(n, np.int64), "text": texts}, form)
+                if len(other):
+                    row, h = row[other], h[other]
+                    bits = np.uint64(int(n).bit_length())
+                    order = np.argsort(row.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits)
+                    row, h = row[order], h[order]
+                    # words that agree in the bits compared may lie mixed: their rows are more, the sums the same
+                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
+                    yield table({"uid": uid[first + row[new]], "h": h[new].view(np.int64), "tf": np.diff(np.append(new, len(row))), "text": pa.nulls(len(new), text)}, form)
 
     d = written(d.withColumn("uid", F.monotonically_increasing_id()))
-    scored = d.mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    form = pa.schema([("uid", pa.int64()), ("h", pa.int64()), ("shape", pa.int32()), ("tf", pa.int64())])
-
-    def frequencies(batches):
-        """Words that aren't items: they are rare, so no key of the join is hot."""
-        items = state.value[1]
-        for b in batches:
-            uid = b.column("uid").to_numpy(zero_copy_only=False)
-            for first, _, row, h, shape in tokens(b.column("text")):
-                other = items.is_shape(items.find(h, shape))
-                row, h, shape = row[other], h[other], shape[other]
-                if len(row):
-                    order = np.lexsort((h, row))
-                    row, h, shape = row[order], h[order], shape[order]
-                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
-                    yield table({"uid": uid[first + row[new]], "h": h[new].view(np.int64), "shape": shape[new].astype(np.int32), "tf": np.diff(np.append(new, len(row)))}, form)
-
-    c = F.coalesce("n", F.lit(0))
-    inside = F.log10((c + 0.1) / F.element_at(F.array(*[F.lit(float(x)) for x in items.mass]), F.col("shape") + 1))
-    sums = d.select("uid", "text").mapInArrow(frequencies, "uid long, h long, shape int, tf long").join(counts.select("h", "n"), "h", "left").groupBy("uid").agg(
-        F.sum(F.col("tf") * F.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))).alias("b"), F.sum(F.col("tf") * inside).alias("i"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("k")
-    )
-    more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    scored = scored.join(sums, "uid", "left").withColumns({"base_score": more("base_score", "b"), "score": more("score", "i"), "n_known": more("n_known", "k")})
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = d.mapInArrow(score, "uid long, h long, tf long, text struct<doc_id: long, n_tokens: long, n_known: long, base_score: double, score: double>")
+    c, zero = F.coalesce("n", F.lit(0)), F.lit(0)
+    rare = F.col("tf") * F.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
+    known = F.when(c > 0, F.col("tf")).otherwise(0)
+    sums = {"n_tokens": F.col("text.n_tokens"), "n_known": F.coalesce("text.n_known", zero) + known}
+    sums |= {x: F.coalesce(f"text.{x}", zero) + rare for x in ("base_score", "score")}
+    scored = rows.join(counts.select("h", "n"), "h", "left").groupBy("uid").agg(F.max("text.doc_id").alias("doc_id"), *(F.sum(x).alias(k) for k, x in sums.items()))
+    held = F.col("doc_id").isNull() | (fold("doc_id", folds) == 0)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -75,6 +75,67 @@ def test_lm_is_normalised_and_edges(spark):
     assert score_texts(docs.limit(0)).collect() == []
 
 
+def plain_log(p, items, two, one, item):
+    """Natural log of an item's probability after its two items, by loops."""
+    q = [sum(float(p["r"][w][i]) * float(p["c"][k][i][j]) for k, w in enumerate((two, one)) for i in range(lm_score.DIM)) for j in range(lm_score.DIM)]
+
+    def choose(right, among):
+        z = [sum(a * float(b) for a, b in zip(q, row[:-1], strict=True)) + float(row[-1]) for row in among]
+        return z[right] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))
+
+    group = items.group[item]
+    inside = np.flatnonzero(items.group == group)
+    return choose(group, p["t"]) + (choose(item - inside[0], p["u"][inside]) if group < len(items.edges) - 1 else 0)
+
+
+def test_lm_tables_equal_plain_loops(monkeypatch):
+    n = np.arange(900, 0, -1)
+    items = lm_score.Items.of(n.astype(np.uint64), n, 7, np.ones(64), np.ones(64))
+    rng = np.random.default_rng(2)
+    two, one, item = (np.concatenate([[963, 964, 965], rng.integers(0, 966, 60)]) for _ in range(3))
+    item = np.minimum(item, 964)
+    for spread in (0.5, 20):  # the second: choices so far apart that products of exponentials vanish
+        p = {k: (x + rng.normal(0, spread, x.shape)).astype(np.float32) for k, x in lm_score.initial(items).items()}
+        want = np.array([plain_log(p, items, *x) for x in zip(two, one, item, strict=True)])
+        for size in (0, 200_000, 32 << 20):  # no words, some and all in the tables
+            monkeypatch.setattr(lm_score, "TABLE_BYTES", size)
+            scorer = lm_score.Scorer(p, items)
+            assert (scorer.held == 900) == (size > 200_000) and (scorer.held > 0) == (size > 0)
+            assert np.allclose(scorer(two, one, item), want, rtol=1e-4, atol=1e-3 * spread)
+
+
+def test_lm_scores_in_one_pass_equal_plain_loops(spark, monkeypatch):
+    seen, fit = [], lm_score.fit
+    monkeypatch.setattr(lm_score, "fit", lambda learn, items: seen.append((fit(learn, items), items)) or seen[0][0])
+    words = [f"{a}{b}" for a in ("x", "Yy", "z9", "é") for b in range(200)]
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(words[int(k)] for k in rng.zipf(1.3, 40) % len(words))) for i in range(60)] + [(60, ""), (61, None), (62, "new new x1")]
+    scored = score_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert scored._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    (p, items), got, held = seen[0], {r.doc_id: r.score for r in scored.collect()}, {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    toks = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split() for i, t in rows}
+    count = Counter(w for i, ws in toks.items() if i not in held for w in ws)
+
+    def shape(w):
+        return min(len(w), 16) - 1 + 16 * any(b >= 128 for b in w) + 32 * any(b < 97 or 122 < b < 128 for b in w)
+
+    item_of = {int(k): int(i) for k, i in zip(items.keys, items.item, strict=True)}
+    rare = [w for w in count if lm_score.hash_word(w) not in item_of]
+    mass = Counter()
+    for w in rare:
+        mass[shape(w)] += count[w] + 0.1
+    assert len(item_of) and rare
+    for i, ws in toks.items():
+        total, two, one = 0.0, items.words + 65, items.words + 65
+        for w in [*ws, None]:
+            item = items.words + 64 if w is None else item_of.get(lm_score.hash_word(w), items.words + shape(w))
+            total += plain_log(p, items, two, one, item)
+            if items.words <= item < items.words + 64:
+                total += math.log((count[w] + 0.1) / (mass[shape(w)] + 0.1))
+            two, one = one, item
+        assert abs(got[i] - total / math.log(10)) < 1e-4 * abs(got[i]), i
+
+
 def test_lm_learns_words_after_words():
     items = lm_score.Items.of(np.arange(400, dtype=np.uint64), np.full(400, 100), 1, np.zeros(64), np.zeros(64))
     rng = np.random.default_rng(0)
