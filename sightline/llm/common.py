@@ -64,6 +64,11 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: shuffle files of what nothing refers to any more go only then, and a driver with little to do waits long."""
+    spark._jvm.System.gc()
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

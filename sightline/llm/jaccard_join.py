@@ -11,6 +11,10 @@ becomes a signature. Two allocations keep every link:
 
 The cheaper one is chosen for each band from the number of sets in it. Candidates are verified exactly on texts.
 
+Disk: the sets' ids travel with their signatures, sorted and packed in some four bytes for each, so that a bucket finds
+the sets of a signature by itself, whatever their number. Sketches and texts go to cells and pairs in turns, each of a
+bounded number for a set, and the files of a turn go before the next.
+
 Large groups: the sets of a signature make a cell, or cells of blocks that share one set where they are many; equal
 cells are one. A task compares the parity sketches of a cell's sets: only pairs whose sketches differ in no more bits
 than linked sets can differ in elements may link. At first each set leaves a cell with its first such partner only;
@@ -22,21 +26,22 @@ verified whole. So a linked group never makes all of its pairs, and no link betw
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, mix, ragged, table, text_slices, word_hashes, word_spans, written
+from .common import checkpointed, discard, lower_ascii, mix, new_folder, ragged, swept, table, text_slices, word_hashes, word_spans, written
 from .components import components
 
-BITMAP_BITS = 26
 BROADCAST_ROWS = 2_000_000
-#: Bytes of signatures in a bucket, and buckets above which signatures are counted as rows.
-BUCKET_BYTES, BUCKETS = 16 << 20, 4096
+#: Bytes of signatures in a bucket, signatures that are packed together, and bits of a packed one beyond those of their number.
+BUCKET_BYTES, PACKED, SPARE_BITS = 16 << 20, 2_000_000, 9
+#: In a turn: places in cells and pairs for each set, or as many as here if that is more.
+CELLS_A_SET, LINKS_A_SET, LEAST_ROWS = 6, 0.25, 1 << 20
 #: Sets in a block of a large signature, and pairs that a task compares at a time.
 BLOCK, PAIRS_AT_ONCE = 2048, 1 << 16
 #: Rounds of a few pairs for each set at most, and candidates for each set at which all are verified.
@@ -90,6 +95,10 @@ class Bands:
             plans = [(True, differ + 1 + slack, slack), (False, (differ + 2) // 2, 0)]
             self.choose(plans[0] if differ == 0 else min(plans, key=lambda p: self.cost(p, size, (counts or {}).get(k, 0))))
 
+    def made(self, k: int) -> float:
+        """Signatures of a set in a band, under this band alone."""
+        return self.segments[k] + (0 if self.exact[k] else float(self.low[k + 1]))
+
     @staticmethod
     def cost(plan: tuple[bool, int, int], size: float, sets: int) -> float:
         """Signatures that a band's sets make, and pairs of unlike sets that meet, of which each costs ten."""
@@ -140,7 +149,8 @@ class Bands:
 
 
 def _profile(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64())])
+    """Size, keys and parity sketch of each text's set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -150,92 +160,113 @@ def _profile(k: int):
                 a, c = np.zeros(end - first, np.uint64), np.zeros(end - first, np.uint64)
                 np.add.at(a, row, mix(value + np.uint64(1)))
                 np.add.at(c, row, mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                yield table({"doc_id": ids[first:end], "n_shingles": n, "key_a": a.view(np.int64), "key_b": c.view(np.int64)}, schema)
+                yield table({"doc_id": ids[first:end], "n_shingles": n, "key_a": a.view(np.int64), "key_b": c.view(np.int64), "sketch": sketches(row, value, n)}, schema)
 
-    return run, "doc_id long, n_shingles long, key_a long, key_b long"
+    return run, "doc_id long, n_shingles long, key_a long, key_b long, sketch binary"
 
 
-def _signatures(k: int, bands: Bands, bitmap=None):
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+def to_bits(x: np.ndarray) -> tuple[int, bytes]:
+    """Width and bits of numbers, each in as many bits as the largest needs."""
+    width = int(x.max()).bit_length()
+    bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return width, np.packbits(bits[:, :width], bitorder="little").tobytes()
 
-    def run(batches):
-        bits = None if bitmap is None else bitmap.value
-        for b in batches:
-            ids = np.array(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
-            for first, end, row, value in shingle_sets(b.column("text"), k):
-                n = np.bincount(row, minlength=end - first)
-                at, sig = bands.signatures(row, value, n)
-                if bits is not None:
-                    x = sig & np.uint64((1 << BITMAP_BITS) - 1)
-                    ok = (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    at, sig = at[ok], sig[ok]
-                yield table({"sig": sig.view(np.int64), "doc_id": ids[first + at], "n": n[at]}, schema)
 
-    return run, "sig long, doc_id long, n long"
+def from_bits(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, :width] = np.unpackbits(raw, count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+
 
+def pack(sig: np.ndarray, ids: np.ndarray) -> bytes:
+    """Signatures, which are in order, with the ids of their sets: a head, the signatures' steps and the ids' distances from the least."""
+    least = ids.min()
+    parts = [to_bits(np.diff(sig, prepend=sig[:1])), to_bits((ids - least).view(np.uint64))]
+    head = [len(sig), parts[0][0], parts[1][0], int(sig[0]), int(least.view(np.uint64))]
+    return np.array(head, "<u8").tobytes() + parts[0][1] + parts[1][1]
 
-def _packed(k: int, bands: Bands, buckets: int):
-    """Signatures of each slice of texts in one value for each bucket; a signature of several sets is there twice."""
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, *widths, first, least = np.frombuffer(raw, "<u8", 5).tolist()
+    data = np.frombuffer(raw, np.uint8, offset=40)
+    cut = (n * widths[0] + 7) // 8
+    sig, ids = from_bits(data[:cut], n, widths[0]), from_bits(data[cut:], n, widths[1])
+    return np.cumsum(sig, dtype=np.uint64) + np.uint64(first), (ids + np.uint64(least)).view(np.int64)
+
+
+def _packed(k: int, bands: Bands, buckets: int, bits: int):
+    """Signatures of many texts, their first bits, with the ids: one value for each bucket."""
     schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary())])
 
+    def packed(sig, ids):
+        sig, ids = np.concatenate(sig), np.concatenate(ids)
+        order = np.argsort(sig)
+        sig, ids = sig[order], ids[order]
+        to = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+        sig >>= np.uint64(64 - bits)
+        cut = np.flatnonzero(np.diff(to, prepend=-1))
+        ends = np.append(cut[1:], len(sig))
+        return pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array([pack(sig[x:y], ids[x:y]) for x, y in zip(cut, ends, strict=True)], pa.binary())], schema=schema)
+
     def run(batches):
+        sigs, owners, held = [], [], 0
         for b in batches:
+            ids = np.array(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
             for first, end, row, value in shingle_sets(b.column("text"), k):
-                n = np.bincount(row, minlength=end - first)
-                at, sig = bands.signatures(row, value, n)
-                sums = np.zeros(end - first, np.uint64)
-                np.add.at(sums, row, mix(value + np.uint64(1)))
-                owner = np.unique(sums, return_inverse=True)[1][at]
-                order = np.lexsort((owner, sig))
-                sig, owner = sig[order], owner[order]
-                fresh = np.ones(len(sig), bool)
-                fresh[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
-                sig = sig[fresh]
-                twice = np.ones(len(sig), bool)
-                twice[2:] = sig[2:] != sig[:-2]
-                sig = sig[twice]
-                to = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-                cut = np.flatnonzero(np.diff(to, prepend=-1))
-                ends = np.append(cut[1:], len(sig))
-                yield pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array([sig[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], schema=schema)
+                at, sig = bands.signatures(row, value, np.bincount(row, minlength=end - first))
+                sigs.append(sig)
+                owners.append(ids[first + at])
+                held += len(sig)
+                if held >= PACKED:
+                    yield packed(sigs, owners)
+                    sigs, owners, held = [], [], 0
+        if held:
+            yield packed(sigs, owners)
 
     return run, "bucket int, sigs binary"
 
 
-def _repeats():
-    """Words of the bitmap of signatures that are twice or more in whole buckets."""
-    schema = pa.schema([("at", pa.int64()), ("bits", pa.int64())])
+def _groups():
+    """Buckets (sorted) -> the sets of each signature that several have, in blocks of BLOCK or fewer; the leader is in every block of its signature."""
+    schema = pa.schema([("sig", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("leader", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches):
-        sig = [np.frombuffer(x, np.uint64) for b in batches for x in b.column("sigs").to_pylist()]
-        if sig:
-            sig = np.concatenate(sig)
-            sig.sort()
-            x = np.unique(sig[1:][sig[1:] == sig[:-1]] & np.uint64((1 << BITMAP_BITS) - 1))
-            at, bits = (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63))
-            cut = np.flatnonzero(np.diff(at, prepend=-1))
-            if len(cut):
-                yield table({"at": at[cut], "bits": np.bitwise_or.reduceat(bits, cut).view(np.int64)}, schema)
-
-    return run, "at long, bits long"
-
-
-def _bitmap(texts: DataFrame, k: int, bands: Bands, sigs: int):
-    """Fixed 2**BITMAP_BITS bits of the repeated signatures; other signatures mostly miss it and need no shuffle."""
-    buckets = max(8, math.ceil(8 * sigs / BUCKET_BYTES))
-    if buckets <= BUCKETS:
-        run, shape = _packed(k, bands, buckets)
-        find, form = _repeats()
-        bits = texts.mapInArrow(run, shape).repartition(buckets, "bucket").mapInArrow(find, form)
-    else:
-        run, shape = _signatures(k, bands)
-        x = F.col("sig").bitwiseAND((1 << BITMAP_BITS) - 1)
-        repeated = texts.mapInArrow(run, shape).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
-        bits = repeated.select(F.shiftright(x, 6).alias("at"), F.expr("shiftleft(1L, cast(sig & 63 as int))").alias("bits"))
-    words = bits.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return texts.sparkSession.sparkContext.broadcast(out)
+        bucket, held = None, []
+        for b in batches:
+            for to, raw in zip(b.column("bucket").to_pylist(), b.column("sigs"), strict=True):
+                if to != bucket and held:
+                    yield from groups(held)
+                    held = []
+                bucket = to
+                held.append(unpack(raw.as_buffer()))
+        if held:
+            yield from groups(held)
+
+    def groups(held):
+        sig, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, sig))
+        sig, ids = sig[order], ids[order]
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+        sig, ids = sig[fresh], ids[fresh]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        n = np.diff(first, append=len(sig))
+        small = (n > 1) & (n <= BLOCK)
+        if small.any():
+            yield rows(sig[first[small]], 1, 0, ids[first[small]], ids[ragged(first[small], n[small])], n[small])
+        for at, count in zip(first[n > BLOCK].tolist(), n[n > BLOCK].tolist(), strict=True):
+            mine = ids[at : at + count]
+            mine = mine[np.argsort(mix(mine.view(np.uint64)), kind="stable")]
+            blocks = -(-count // BLOCK)
+            for j, own in enumerate(np.array_split(mine, blocks)):
+                own = np.sort(own if j == 0 else np.append(own, mine[0]))
+                yield rows(sig[at : at + 1], blocks, j, mine[:1], own, np.array([len(own)]))
+
+    def rows(sig, blocks, block, leader, members, n):
+        members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(members))
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(n), blocks, np.int64)), pa.array(np.full(len(n), block, np.int64)), pa.array(leader), members], schema=schema)
+
+    return run, "sig long, blocks long, block long, leader long, members array<long>"
 
 
 def _verify(k: int, num: int, den: int):
@@ -263,22 +294,14 @@ def _verify(k: int, num: int, den: int):
     return run, "a long, b long"
 
 
-def _sketch(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
-
-    def run(batches):
-        for b in batches:
-            ids = np.array(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
-            for first, end, row, value in shingle_sets(b.column("text"), k):
-                n = np.bincount(row, minlength=end - first)
-                words = np.int64(1) << (levels(n) - 6)
-                base = np.cumsum(words) - words
-                bit = mix(value + np.uint64(0xD1B54A32D192ED03)) & (words[row] * 64 - 1).astype(np.uint64)
-                out = np.zeros(int(words.sum()), np.uint64)
-                np.bitwise_xor.at(out, base[row] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-                yield table({"doc_id": ids[first:end], "n": n, "sketch": [out[i : i + w].tobytes() for i, w in zip(base.tolist(), words.tolist(), strict=True)]}, schema)
-
-    return run, "doc_id long, n long, sketch binary"
+def sketches(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set."""
+    words = np.int64(1) << (levels(n) - 6)
+    base = np.cumsum(words) - words
+    bit = mix(value + np.uint64(0xD1B54A32D192ED03)) & (words[row] * 64 - 1).astype(np.uint64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, base[row] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return [out[i : i + w].tobytes() for i, w in zip(base.tolist(), words.tolist(), strict=True)]
 
 
 def levels(n: np.ndarray) -> np.ndarray:
@@ -393,7 +416,8 @@ def first_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> D
     without words stay."""
     if docs.where("doc_id is null").isEmpty() and _single(docs):
         spare = jaccard_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-        return docs.join(spare, docs["doc_id"] == spare["_gone"], "left_anti").select(docs.columns)
+        spare = written(spare)
+        return docs.join(F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare, docs["doc_id"] == spare["_gone"], "left_anti").select(docs.columns)
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k, num, den)
     rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("_row").alias("z"))
@@ -413,55 +437,68 @@ def _classes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     run, shape = _profile(k)
     unnamed = texts.where("doc_id is null")
     texts = texts.where("doc_id is not null")
-    profile = checkpointed(texts.mapInArrow(run, shape))
-    cls = checkpointed(profile.where("n_shingles > 0").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    profile = written(texts.mapInArrow(run, shape))
+    filled = profile.where("n_shingles > 0")
+    cls = checkpointed(filled.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     probe = Bands(num, den)
     lows = F.array(*[F.lit(x) for x in probe.low.tolist()])
     band = F.size(F.filter(lows, lambda x: x <= F.col("n_shingles"))) - 1
     counts = {r["band"]: r["n"] for r in cls.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
     bands = Bands(num, den, counts)
 
-    sigs = sum(2 * c * int(bands.segments[j]) for j, c in counts.items())
-    run, shape = _signatures(k, bands, _bitmap(texts, k, bands, int(sigs)))
-    reps = cls.select(F.col("rep").alias("doc_id"))
-    held = written(texts.mapInArrow(run, shape).join(reps, "doc_id", "left_semi"))
-    shared = held.groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("leader")).where("least <> most")
-    shared = checkpointed(shared.select("sig", "blocks", "leader"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    def among(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
+
+    sigs = max(1, round(sum(c * sum(bands.made(i) for i in (j, j - 1) if i >= 0) for j, c in counts.items())))
+    buckets = max(8, math.ceil(8 * sigs / BUCKET_BYTES))
+    copies = checkpointed(filled.select("doc_id").join(cls.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
+    run, shape = _packed(k, bands, buckets, min(64, max(32, sigs.bit_length() + SPARE_BITS)))
+    find, form = _groups()
+    groups = written(among(texts, copies, "left_anti").mapInArrow(run, shape).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, form))
+    swept(spark)
 
     def cells_of(members: DataFrame) -> DataFrame:
         return written(members.select("members").distinct().select(F.xxhash64("members").alias("cell"), F.explode("members").alias("doc_id")))
 
-    members = F.sort_array(F.array_union(F.collect_set("doc_id"), F.array(F.first("leader"))))
-    cells = cells_of(held.join(shared, "sig").groupBy("sig", block.alias("block")).agg(members.alias("members")))
+    cells = cells_of(groups)
+    sets = cells.select("doc_id").distinct().count()
+    sketch = filled.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    swept(spark)
 
-    few = lambda ids: ids.count() <= BROADCAST_ROWS
-    wanted = checkpointed(cells.select("doc_id").distinct())
-    sets = wanted.count()
-    found = written(texts.join(F.broadcast(wanted) if sets <= BROADCAST_ROWS else wanted, "doc_id", "left_semi"))
-    run, shape = _sketch(k)
-    sketch = written(found.mapInArrow(run, shape))
+    def in_turns(rows: DataFrame, key: Column, a_set: float, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """step's results of all rows, a share of the keys at a time."""
+        turns = math.ceil(rows.count() / max(LEAST_ROWS, a_set * sets)) or 1
+        folder = new_folder(spark)
+        for turn in range(turns):
+            written(step(rows.where(F.pmod(key, F.lit(turns)) == turn)), f"{folder}/{turn}")
+            swept(spark)
+        return spark.read.parquet(*[f"{folder}/{turn}" for turn in range(turns)])
 
     def near(cells: DataFrame, component: DataFrame | None) -> DataFrame:
         """cells (cell, doc_id) -> all distinct pairs of different components that may link; without components, a few."""
         node = sketch.withColumn("component", F.col("doc_id")) if component is None else sketch.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         run, shape = _near(num, den, component is None)
-        return written(cells.join(node, "doc_id").select("cell", "doc_id", "n", "component", "sketch").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(run, shape).distinct())
+        return written(in_turns(cells, F.col("cell"), CELLS_A_SET, lambda some: some.join(node, "doc_id").select("cell", "doc_id", "n", "component", "sketch").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(run, shape).distinct()).distinct())
 
     def links(pairs: DataFrame) -> DataFrame:
-        def side(x: str) -> DataFrame:
-            texts, ids = found.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")), pairs.select(x).distinct()
-            return texts.join(F.broadcast(ids), x, "left_semi") if few(ids) else texts
-
         check, form = _verify(k, num, den)
-        return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, form))
+
+        def verified(some: DataFrame) -> DataFrame:
+            ids = checkpointed(some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+            found = written(among(texts, ids, "left_semi"), folder := new_folder(spark))
+            done = written(some.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, form))
+            discard(spark, folder)
+            return done
+
+        return in_turns(pairs, F.xxhash64("a", "b"), LINKS_A_SET, verified)
 
     found_links = links(near(cells, None))
     component = components(found_links).withColumnRenamed("node", "doc_id")
-    large = shared.where("blocks > 1")
+    large = groups.where("blocks > 1")
     if not large.isEmpty():
-        label = held.join(large, "sig").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        label = written(label.select("sig", "doc_id", "component", "blocks", block.alias("block")))
+        label = large.select("sig", "blocks", "block", "leader", F.explode("members").alias("doc_id")).where("block = 0 or doc_id <> leader")
+        label = label.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        label = written(label.select("sig", "doc_id", "component", "blocks", "block"))
         apart = label.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
         across = label.join(apart, "sig", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> other")
         across = across.groupBy("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.sort_array(F.collect_set("doc_id")).alias("members"))

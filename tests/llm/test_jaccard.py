@@ -1,6 +1,10 @@
 import re
+from contextlib import suppress
 from itertools import combinations
+from pathlib import Path
+from threading import Event, Thread
 
+from sightline.llm import jaccard_join
 from sightline.llm.jaccard_join import first_of_each, jaccard_components
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +58,38 @@ def test_repeated_and_null_ids(spark):
     once = docs.where("doc_id = 2 or text = 'c'").dropDuplicates(["doc_id"])
     assert {r.doc_id for r in first_of_each(once.unionByName(once.selectExpr("doc_id + 10 as doc_id", "text", "_gone", "component_id"))).collect()} == {2, 4}
     assert first_of_each(docs.limit(0)).collect() == []
+
+
+def test_blocks_and_turns(spark, monkeypatch):
+    """Groups of several blocks, signatures packed a few at a time, cells and pairs in many turns."""
+    for name, value in (("BLOCK", 4), ("PACKED", 50), ("CELLS_A_SET", 3), ("LINKS_A_SET", 1), ("LEAST_ROWS", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(10**15 * (-1) ** i + i, " ".join(base[:i] + [f"x{i}"] + base[i:])) for i in range(14)] + [(100 + i, " ".join(base[i:] + base[:i])) for i in range(14)]
+    rows += [(200 + i, f"a{i // 3} b{i // 3} c{i // 3} d{i // 3}") for i in range(9)] + [(-(2**63), "z y x"), (2**63 - 1, "z y x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_components(docs, 2, 8, 10).collect()} == brute(rows, 2, 8, 10)
+
+
+def test_disk(spark):
+    """Shuffle files on disk at any one time, against the texts' bytes: 0.91 when signatures were shuffled as rows, sketches went to all
+    cells at once and files stayed until the driver happened to collect its garbage."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    held = lambda: {f: f.stat().st_size for d in folders for f in Path(d.getPath()).glob("*/shuffle_*.data") if f.exists()}
+    before, peak, over = set(held()), 0, Event()
+
+    def watch():
+        nonlocal peak
+        while not over.wait(0.1):
+            with suppress(FileNotFoundError):  # a file may go meanwhile
+                peak = max(peak, sum(n for f, n in held().items() if f not in before))
+
+    thread = Thread(target=watch)
+    thread.start()
+    try:
+        assert jaccard_components(docs).count() == docs.count()
+    finally:
+        over.set()
+        thread.join()
+    assert 0 < peak < 0.5 * docs.selectExpr("sum(octet_length(text))").first()[0]
