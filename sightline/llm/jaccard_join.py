@@ -18,8 +18,8 @@ bounded number for a set, and the files of a turn go before the next.
 Large groups: the sets of a signature make a cell, or cells of blocks that share one set where they are many; equal
 cells are one. A task compares the parity sketches of a cell's sets: only pairs whose sketches differ in no more bits
 than linked sets can differ in elements may link. At first each set leaves a cell with its first such partner only;
-these pairs are verified and components formed. Then all such pairs of different components leave, of different blocks
-too. While they are many, a few for each set are verified and pairs within a component dropped; what is left is
+these pairs are verified and components formed. Then, of the cells that had a pair and are of several components, all such pairs of different
+components leave, of different blocks too. While they are many, a few for each set are verified and pairs within a component dropped; what is left is
 verified whole. So a linked group never makes all of its pairs, and no link between components is lost.
 """
 
@@ -41,7 +41,7 @@ BROADCAST_ROWS = 2_000_000
 #: Bytes of signatures in a bucket, signatures that are packed together, and bits of a packed one beyond those of their number.
 BUCKET_BYTES, PACKED, SPARE_BITS = 16 << 20, 2_000_000, 9
 #: In a turn: places in cells and pairs for each set, or as many as here if that is more.
-CELLS_A_SET, LINKS_A_SET, LEAST_ROWS = 6, 0.25, 1 << 20
+CELLS_A_SET, LINKS_A_SET, LEAST_ROWS = 16, 0.25, 1 << 20
 #: Sets in a block of a large signature, and pairs that a task compares at a time.
 BLOCK, PAIRS_AT_ONCE = 2048, 1 << 16
 #: Rounds of a few pairs for each set at most, and candidates for each set at which all are verified.
@@ -310,10 +310,10 @@ def levels(n: np.ndarray) -> np.ndarray:
 
 def _near(num: int, den: int, first_only: bool):
     """Cells (sorted; cell, doc_id, n, component, sketch) -> pairs of different components that the sketches don't rule
-    out, or the first of a cell for each of its sets. Half a sketch laid over the other half is the sketch of the next lower level."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    out (cell 0), or the first of a cell for each of its sets, with the cell. Half a sketch laid over the other half is the sketch of the next lower level."""
+    schema = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(ids, n, comp, ends, sketches):
+    def compare(cell, ids, n, comp, ends, sketches):
         level = levels(n)
         order = np.argsort(level, kind="stable")
         place = np.empty(len(n), np.int64)
@@ -357,14 +357,14 @@ def _near(num: int, den: int, first_only: bool):
                 has_partner[kept[-1][:, 1]] = True
             first = last
         if not kept:
-            return np.zeros((0, 2), np.int64)
+            return np.zeros((0, 3), np.int64)
         x, y = np.concatenate(kept).T
         if first_only:
             order = np.lexsort((x, y))
             x, y = x[order], y[order]
             fresh = np.diff(y, prepend=-1) > 0
             x, y = x[fresh], y[fresh]
-        return np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
+        return np.unique(np.stack([cell[x] if first_only else np.zeros(len(x), np.int64), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
 
     def run(batches):
         held = None
@@ -381,10 +381,10 @@ def _near(num: int, den: int, first_only: bool):
     def from_cells(t: pa.Table) -> pa.RecordBatch:
         cell, ids, n, comp = (t.column(c).to_numpy() for c in ("cell", "doc_id", "n", "component"))
         cut = np.flatnonzero(np.append(cell[1:] != cell[:-1], True)) + 1
-        found = compare(ids, n, comp, np.repeat(cut, np.diff(cut, prepend=0)), t.column("sketch").to_pylist())
-        return table({"a": found[:, 0], "b": found[:, 1]}, schema)
+        found = compare(cell, ids, n, comp, np.repeat(cut, np.diff(cut, prepend=0)), t.column("sketch").to_pylist())
+        return table({"cell": found[:, 0], "a": found[:, 1], "b": found[:, 2]}, schema)
 
-    return run, "a long, b long"
+    return run, "cell long, a long, b long"
 
 
 def _single(docs: DataFrame) -> bool:
@@ -475,10 +475,11 @@ def _classes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         return spark.read.parquet(*[f"{folder}/{turn}" for turn in range(turns)])
 
     def near(cells: DataFrame, component: DataFrame | None) -> DataFrame:
-        """cells (cell, doc_id) -> all distinct pairs of different components that may link; without components, a few."""
+        """cells (cell, doc_id) -> all pairs (cell, a, b) of different components that may link; without components, a few of
+        each cell that has any. A pair may be there more than once."""
         node = sketch.withColumn("component", F.col("doc_id")) if component is None else sketch.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         run, shape = _near(num, den, component is None)
-        return written(in_turns(cells, F.col("cell"), CELLS_A_SET, lambda some: some.join(node, "doc_id").select("cell", "doc_id", "n", "component", "sketch").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(run, shape).distinct()).distinct())
+        return in_turns(cells, F.col("cell"), CELLS_A_SET, lambda some: some.join(node, "doc_id").select("cell", "doc_id", "n", "component", "sketch").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(run, shape).distinct())
 
     def links(pairs: DataFrame) -> DataFrame:
         check, form = _verify(k, num, den)
@@ -492,8 +493,12 @@ def _classes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
         return in_turns(pairs, F.xxhash64("a", "b"), LINKS_A_SET, verified)
 
-    found_links = links(near(cells, None))
+    some = near(cells, None)
+    found_links = links(written(some.select("a", "b").distinct()))
     component = components(found_links).withColumnRenamed("node", "doc_id")
+    own = F.coalesce("component", "doc_id")
+    apart = cells.join(component, "doc_id", "left").groupBy("cell").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y")
+    cells = written(cells.join(apart, "cell", "left_semi").join(some.select("cell").distinct(), "cell", "left_semi"))
     large = groups.where("blocks > 1")
     if not large.isEmpty():
         label = large.select("sig", "blocks", "block", "leader", F.explode("members").alias("doc_id")).where("block = 0 or doc_id <> leader")
@@ -503,7 +508,7 @@ def _classes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         across = label.join(apart, "sig", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> other")
         across = across.groupBy("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
         cells = cells.unionByName(cells_of(across))
-    left = near(cells, component)
+    left = written(near(cells, component).select("a", "b").distinct())
     for turn in range(1, ROUNDS + 1):
         some = left
         if turn < ROUNDS and left.count() > PAIRS_A_SET * sets:
